@@ -15,6 +15,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,7 +128,7 @@ def slices(batches, column: str = "text", limit: int = 2 << 20):
         if n == 0:
             continue
         i = batch.schema.get_field_index(column)
-        size = pa.compute.fill_null(pa.compute.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False)
+        size = pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(size)
         start = 0
         while start < n:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chronofold.llm import packing, wavelet
+from chronofold.llm import langid, packing, pii, simhash, unigram, wavelet
 from chronofold.llm.common import documents
 
 
@@ -16,6 +17,27 @@ def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_digest(wavelet.with_starts(wavelet.encode_shards(documents(spark, sf_dir))))
 
 
+def op4_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.find_spans(docs, pii.fit(pii.training_texts(docs)))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.neighbours_digest(documents(spark, sf_dir))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rows = langid.training_rows(docs.where(~langid.held_out()))
+    model = langid.fit([t for t, _ in rows], [x for _, x in rows])
+    out = langid.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "lang_rejected")
+
+
+def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode_documents(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
