@@ -40,7 +40,7 @@ class Settings:
     ``longest`` characters.  This bounds what reaches the driver.
     """
 
-    sample: int = 4000
+    sample: int = 3000
     languages: int = 128
     longest: int = 60_000
     buckets: int = 1 << 15
@@ -119,13 +119,14 @@ def fit(texts: list[str], labels: list[str], settings: Settings = Settings()) ->
     if c == 0:
         return Model([], np.zeros((s.buckets, 0), np.float32), np.zeros(0), 1.0, 0.0)
     target = np.array([languages.index(x) for x in labels])
-    raw, offsets = text_bytes(pa.array(texts, pa.large_string()))
-    both = [(h, b) for h, b in runs(raw, offsets, s.buckets)]
     rows = []  # distinct buckets of a row and their shares
-    for i in range(n):
-        h = np.concatenate([h[b[i] : b[i + 1]] for h, b in both])
-        u, k = np.unique(h, return_counts=True)
-        rows.append((u, k / max(len(h), 1)))
+    for lo in range(0, n, 32):
+        raw, offsets = text_bytes(pa.array(texts[lo : lo + 32], pa.large_string()))
+        both = list(runs(raw, offsets, s.buckets))
+        for i in range(len(offsets) - 1):
+            h = np.concatenate([h[b[i] : b[i + 1]] for h, b in both])
+            u, k = np.unique(h, return_counts=True)
+            rows.append((u.astype(np.int32), (k / max(len(h), 1)).astype(np.float32)))
     order = rng.permutation(n)
     held = max(1, int(n * s.calibration)) if n > 3 else 0
     tune, train = order[:held], order[held:]
@@ -160,7 +161,7 @@ def fit(texts: list[str], labels: list[str], settings: Settings = Settings()) ->
             steps += 1
     temperature, least = 1.0, 0.0
     if held:
-        z = forward(tune)[4]
+        z = np.concatenate([forward(tune[i : i + 64])[4] for i in range(0, held, 64)])
         grid = np.geomspace(0.05, 20, 60)
         loss = [-np.log(_softmax(z / t)[np.arange(held), target[tune]] + 1e-12).mean() for t in grid]
         temperature = float(grid[int(np.argmin(loss))])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import langid, packing, pii, simhash, unigram, wavelet
+from chronofold.llm import langid, packing, pii, quality, simhash, unigram, wavelet
 from chronofold.llm.common import documents
 
 
@@ -17,6 +17,11 @@ def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_digest(wavelet.with_starts(wavelet.encode_shards(documents(spark, sf_dir))))
 
 
+def op3_certified_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return pii.find_spans(docs, pii.fit(pii.training_texts(docs)))
@@ -42,5 +47,41 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+def _op3_sql() -> str:
+    risk, rules = quality.Risk(), quality.RULES
+    ladder = ", ".join(f"('{r.name}', {i}, CAST({c} AS DOUBLE), {r.high})" for r in rules for i, c in enumerate(r.ladder))
+    value = "CASE rule " + " ".join(f"WHEN '{r.name}' THEN ({r.measure.split(' / ')[0]}) / nullif({r.measure.split(' / ')[1]}, 0)" for r in rules) + " END"
+    beyond = f"coalesce(CASE WHEN high THEN {value} > cutoff ELSE {value} < cutoff END, false)"
+    rate = risk.rate / len(rules)
+    term = f"exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({rate!r}) + (n - j) * ln(1 - {rate!r}))"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '(null)') AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i, ws FROM w WHERE len(ws) >= 5),
+r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i:i + 4]) AS k FROM g),
+p AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS q FROM r WHERE k > 1) GROUP BY doc_id),
+s AS (SELECT w.doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words,
+             CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN p USING (doc_id)),
+l AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+good AS (SELECT s.* FROM s JOIN l USING (doc_id)),
+sizes AS (SELECT stratum, count(*) AS c, count(*) * {quality.STRATA} >= (SELECT count(*) FROM good) AS large FROM good GROUP BY stratum),
+ladder(rule, cut, cutoff, high) AS (VALUES {ladder}),
+named AS (SELECT good.*, CASE WHEN large THEN stratum ELSE '{quality.POOLED}' END AS stratum2 FROM good JOIN sizes USING (stratum)),
+tests AS (SELECT stratum2, rule, cut, count(*) AS n, count(*) FILTER ({beyond}) AS k FROM named, ladder GROUP BY ALL),
+proved AS (SELECT *, CASE WHEN k < n * {rate!r} THEN list_sum(list_transform(range(0, k + 1), lambda j: {term})) ELSE 1.0 END AS p FROM tests),
+best AS (SELECT stratum2, rule, min(cut) AS cut FROM proved
+         WHERE p <= {risk.error!r} / ((SELECT count(*) FILTER (large) + 1 FROM sizes) * {sum(len(r.ladder) for r in rules)}) GROUP BY ALL),
+failed AS (SELECT DISTINCT s.doc_id FROM s LEFT JOIN sizes z ON z.stratum = s.stratum
+           JOIN best b ON b.stratum2 = CASE WHEN z.large THEN s.stratum ELSE '{quality.POOLED}' END JOIN ladder USING (rule, cut) WHERE {beyond}),
+v AS (SELECT s.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s)
+SELECT v.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND f.doc_id IS NULL AS kept
+FROM v LEFT JOIN failed f USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_certified_quality": _op3_sql()}
