@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import langid, packing, pii, quality, simhash, unigram, wavelet
+from chronofold.llm import langid, minhash, packing, pii, quality, simhash, unigram, wavelet
 from chronofold.llm.common import documents
 
 
@@ -31,6 +31,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.neighbours_digest(documents(spark, sf_dir))
 
 
+def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), words=2)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rows = langid.training_rows(docs.where(~langid.held_out()))
@@ -83,5 +87,21 @@ SELECT v.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 FROM v LEFT JOIN failed f USING (doc_id)"""
 
 
+_OP7_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 2 THEN [ws]
+             ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i:i + 1])) END AS g FROM d),
+n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles FROM s),
+c AS (SELECT list_sort(g) AS g, min(doc_id) AS rep FROM s WHERE len(g) > 0 GROUP BY ALL),
+f AS (SELECT rep, len(g) AS n, unnest(g) AS x FROM c),
+p AS (SELECT a.rep AS a, b.rep AS b FROM f a JOIN f b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+      GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(v, m) AS (SELECT rep, rep FROM c UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.v WHERE r.m < e.b),
+l AS (SELECT v, min(m) AS m FROM r GROUP BY v)
+SELECT n.doc_id, n.n_shingles, coalesce(l.m, n.doc_id) AS component_id, coalesce(l.m, n.doc_id) = n.doc_id AS kept
+FROM n JOIN s USING (doc_id) LEFT JOIN c ON c.g = list_sort(s.g) AND len(s.g) > 0 LEFT JOIN l ON l.v = c.rep"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_certified_quality": _op3_sql()}
+    return {"op3_certified_quality": _op3_sql(), "op7_hyperminhash": _OP7_SQL}
