@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import langid, minhash, packing, pii, quality, simhash, unigram, wavelet
+from chronofold.llm import langid, minhash, packing, pii, quality, simhash, substring, unigram, wavelet
 from chronofold.llm.common import documents
 
 
@@ -31,6 +31,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.neighbours_digest(documents(spark, sf_dir))
 
 
+def op6_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(documents(spark, sf_dir), span=35, with_text=False)
+
+
 def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), words=2)
 
@@ -103,5 +107,19 @@ SELECT n.doc_id, n.n_shingles, coalesce(l.m, n.doc_id) AS component_id, coalesce
 FROM n JOIN s USING (doc_id) LEFT JOIN c ON c.g = list_sort(s.g) AND len(s.g) > 0 LEFT JOIN l ON l.v = c.rep"""
 
 
+_OP6_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35),
+h AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS m FROM w),
+r AS (SELECT doc_id, i FROM h WHERE m IN (SELECT m FROM h GROUP BY m HAVING count(*) > 1)),
+c AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM r) GROUP BY doc_id),
+k AS (SELECT d.doc_id, ws, coalesce(ps, []) AS ps FROM d LEFT JOIN c USING (doc_id)),
+x AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM k),
+g AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM x
+      LEFT JOIN (SELECT doc_id, unnest(ps) AS p, true AS gone FROM k) USING (doc_id, p) WHERE gone IS NULL GROUP BY x.doc_id)
+SELECT k.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ps) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM k LEFT JOIN g USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_certified_quality": _op3_sql(), "op7_hyperminhash": _OP7_SQL}
+    return {"op6_seed_extend": _OP6_SQL, "op3_certified_quality": _op3_sql(), "op7_hyperminhash": _OP7_SQL}
