@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import langid, minhash, packing, pii, quality, simhash, substring, unigram, wavelet
+from chronofold.llm import langid, minhash, packing, pii, quality, simhash, substring, suffix, unigram, wavelet
 from chronofold.llm.common import documents
 
 
@@ -39,6 +39,10 @@ def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), words=2)
 
 
+def op8_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(documents(spark, sf_dir), with_bytes=False)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rows = langid.training_rows(docs.where(~langid.held_out()))
