@@ -1,11 +1,76 @@
-"""A corpus from raw documents to packed sequences, in five stages."""
+"""A corpus from raw documents to packed training sequences, in five stages.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+and read again as the next one's ``docs``.  All but the last return the columns
+of ``documents``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronofold.llm import langid, minhash, packing, pii, substring
+from chronofold.llm.common import shared_dir
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """The length column follows the text."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is not recognised go; the others keep their columns."""
+    rows = langid.training_rows(docs)
+    model = langid.fit([t for t, _ in rows], [x for _, x in rows])
+    return langid.predict(docs, model).where(~F.col("lang_rejected")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays; documents with a null id are in no group."""
+    groups = minhash.near_duplicates(docs)
+    return docs.join(groups.where("kept AND doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of fifty words and more that stand in several places go; documents of which nothing is left go too."""
+    left = substring.remove_repeats(docs, keep_columns=True)
+    return _measured(left.where(F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]")))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets are replaced by their kind."""
+    return pii.mask_documents(docs, pii.fit(pii.training_texts(docs)))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole texts in sequences of 2048 tokens; one row for each piece."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("substring_dedup", drop_repeated_passages),
+    ("pii", mask_personal_data),
+    ("packing", pack_sequences),
+]
+
+#: Stages 1, 4 and 5 are learned or tokenised, which SQL cannot express; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents table; each result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (name, stage) in enumerate(STAGES):
+        made = stage(spark, docs, sf_dir)
+        path = f"{folder}/{number}_{name}"
+        made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
     return docs
