@@ -117,6 +117,6 @@ def kish(w: Column) -> Column:
 def crossfit_mean(df: DataFrame, *, fold: str, y: str, w: str) -> DataFrame:
     """Each row with the weighted mean of the other folds."""
     per = df.groupBy(fold).agg(F.sum(F.col(w) * F.col(y)).alias("_s"), F.sum(w).alias("_w"))
-    total = per.agg(F.sum("_s").alias("_S"), F.sum("_w").alias("_W"))
-    out = per.join(F.broadcast(total)).select(fold, F.try_divide(F.col("_S") - F.col("_s"), F.col("_W") - F.col("_w")).alias("baseline"))
+    total = per.agg(F.sum("_s").alias("_all_s"), F.sum("_w").alias("_all_w"))
+    out = per.join(F.broadcast(total)).select(fold, F.try_divide(F.col("_all_s") - F.col("_s"), F.col("_all_w") - F.col("_w")).alias("baseline"))
     return df.join(F.broadcast(out), fold)
