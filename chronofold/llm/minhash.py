@@ -23,6 +23,8 @@ decide.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -125,14 +127,12 @@ def band_keys(registers: np.ndarray, kind: int) -> np.ndarray:
     return code.view(np.int64)
 
 
+@lru_cache(100_000)
 def chance(n1: int, n2: int) -> float:
     """The share of registers of different least hashes that are equal all the same."""
-    total = 0.0
-    for a, b in ((n1, n2),):
-        z = np.arange(1, 50, dtype=np.float64)
-        level = lambda n: np.exp(-n * 2.0**-z) - np.exp(-n * 2.0 ** (1 - z))  # noqa: E731  least hash within a level
-        total = float((level(a) * level(b)).sum()) / (1 << MANTISSA)
-    return total
+    z = np.arange(1, 50, dtype=np.float64)
+    level = lambda n: np.exp(-n * 2.0**-z) - np.exp(-n * 2.0 ** (1 - z))  # noqa: E731  least hash within a level
+    return float((level(n1) * level(n2)).sum()) / (1 << MANTISSA)
 
 
 def estimate(r1: np.ndarray, r2: np.ndarray, n1: int, n2: int) -> float:
@@ -159,10 +159,9 @@ def sketch(docs: DataFrame, words: int, *, id_column: str, text_column: str) ->
                 if len(full):
                     h[k, full] = np.add.reduceat(mix64(code ^ np.uint64(salt)), bounds[full])
             keys: list = [[] for _ in size]
-            for kind, rows, make in ((0, np.flatnonzero((size > 0) & (size <= LARGE)), own_registers), (1, np.flatnonzero(size >= SMALL), shared_registers)):
+            for kind, rows, make in _kinds(size):
                 if len(rows):
-                    take = np.concatenate([np.arange(bounds[r], bounds[r + 1]) for r in rows])
-                    made = band_keys(make(code[take], np.concatenate([[0], np.cumsum(size[rows])])), kind)
+                    made = band_keys(make(*_taken(code, bounds, size, rows)), kind)
                     for r, row in zip(rows.tolist(), made, strict=True):
                         keys[r].append(row)
             flat = [np.concatenate(k) if k else np.zeros(0, np.int64) for k in keys]
@@ -173,56 +172,59 @@ def sketch(docs: DataFrame, words: int, *, id_column: str, text_column: str) ->
 
 
 def set_blobs(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id and its full set as ascending 64-bit hashes."""
+    """doc_id, its full set as ascending 64-bit hashes, and its registers of each kind that its size has."""
 
     def run(batches):
         for batch in slices(batches, "text", 1 << 20):
             code, bounds = shingles(batch.column(1), words)
-            data = code.tobytes()
+            data, size = code.tobytes(), np.diff(bounds)
             blobs = [data[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["doc_id", "blob"])
+            registers = [[None] * len(size) for _ in range(2)]
+            for kind, rows, make in _kinds(size):
+                if len(rows):
+                    for r, x in zip(rows.tolist(), make(*_taken(code, bounds, size, rows)), strict=True):
+                        registers[kind][r] = x.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), *[pa.array(x, pa.binary()) for x in registers]], ["doc_id", "blob", "own", "shared"])
+
+    return docs.mapInArrow(run, "doc_id long, blob binary, own binary, shared binary")
+
 
-    return docs.mapInArrow(run, "doc_id long, blob binary")
+def _kinds(size: np.ndarray):
+    return ((0, np.flatnonzero((size > 0) & (size <= LARGE)), own_registers), (1, np.flatnonzero(size >= SMALL), shared_registers))
+
+
+def _taken(code: np.ndarray, bounds: np.ndarray, size: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and offsets of some rows only."""
+    return np.concatenate([code[bounds[r] : bounds[r + 1]] for r in rows]), np.concatenate([[0], np.cumsum(size[rows])])
 
 
 def verify(pairs: DataFrame, blobs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    counted = pairs.groupBy("a").count()
-    heavy = heavy_keys(counted, "count", 100).select(F.col("a").alias("doc_id")).join(blobs, "doc_id").select(F.col("doc_id").alias("a"), F.col("blob").alias("blob_a"))
-    left = pairs.join(blobs.select(F.col("doc_id").alias("b"), F.col("blob").alias("blob_b")), "b")
-    both = skew_join(left, blobs.select(F.col("doc_id").alias("a"), F.col("blob").alias("blob_a")), ["a"], heavy)
+    named = lambda x: blobs.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("blob", "own", "shared")])
+    heavy = heavy_keys(pairs.groupBy("a").count(), "count", 100).select("a").join(named("a"), "a")
+    both = skew_join(pairs.join(named("b"), "b"), named("a"), ["a"], heavy)
     # far below the threshold: more than five standard errors
     floor = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
 
     def run(batches):
-        memo: dict[bytes, np.ndarray] = {}
-
-        def registers(blob: bytes, kind: int) -> np.ndarray:
-            key = (blob[:32], len(blob), kind)
-            if key not in memo:
-                if len(memo) > 500:
-                    memo.clear()
-                code = np.frombuffer(blob, np.uint64)
-                memo[key] = (shared_registers if kind else own_registers)(code, np.array([0, len(code)]))[0]
-            return memo[key]
-
         for batch in slices(batches, "blob_b", 4 << 20):
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            a, b, *rest = (batch.column(i).to_pylist() for i in range(8))
             keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            for i, (x, y, x0, y0, x1, y1) in enumerate(zip(*rest, strict=True)):
                 n, m = len(x) // 8, len(y) // 8
                 if 100 * min(n, m) < percent * max(n, m):
                     continue
-                kind = int(max(n, m) > LARGE)
-                if estimate(registers(x, kind), registers(y, kind), n, m) < floor:
+                r, q = (x1, y1) if max(n, m) > LARGE else (x0, y0)
+                if estimate(np.frombuffer(r, np.uint16), np.frombuffer(q, np.uint16), n, m) < floor:
                     continue
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(p, q, assume_unique=True))
+                both_ = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+                both_.sort(kind="stable")
+                common = int((both_[1:] == both_[:-1]).sum())
                 if 100 * common >= percent * (n + m - common):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
 
-    return both.select("a", "b", "blob_a", "blob_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "blob_a", "blob_b", "own_a", "own_b", "shared_a", "shared_b").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -237,20 +239,19 @@ def components(edges: DataFrame) -> DataFrame:
     busy = heavy_keys(both.groupBy("a").count(), "count").select("a")
     while True:
         known = labels.select(F.col("id").alias("a"), "component")
-        near = skew_join(both, known, ["a"], known.join(F.broadcast(busy), "a")).groupBy("b").agg(F.min("component").alias("m"))
-        step = labels.join(near.withColumnRenamed("b", "id"), "id", "left").select("id", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        step = stage_table(step, "step")
-        popular = heavy_keys(step.groupBy("component").count(), "count").select("component")
-        jump = step.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        new = skew_join(step, jump, ["component"], jump.join(F.broadcast(popular), "component"), "left")
-        new = stage_table(new.select("id", "old", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
+        near = skew_join(both, known, ["a"], known.join(F.broadcast(busy), "a")).groupBy("b").agg(F.min("component").alias("near"))
+        popular = heavy_keys(labels.groupBy("component").count(), "count").select("component")
+        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
+        step = skew_join(labels, jump, ["component"], jump.join(F.broadcast(popular), "component"), "left")
+        step = step.join(near.withColumnRenamed("b", "id"), "id", "left")
+        new = stage_table(step.select("id", F.col("component").alias("old"), F.least("component", "further", "near").alias("component")), "labels")
         labels = new.select("id", "component")
         if not new.where("component <> old").limit(1).count():
             return labels
 
 
-#: Star rounds at most; each only saves comparisons that the last step would make.
-ROUNDS = 4
+#: Star rounds at most; each only saves comparisons that the last step would make, and none follows one that linked little.
+ROUNDS, WORTH = 3, 0.1
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -272,9 +273,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     involved = grouped.select(F.col("rep").alias("doc_id")).distinct()
     # a repeated id with different texts stands for its first class only
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).join(involved, "doc_id", "left_semi")
-    blobs = stage_table(set_blobs(texts, words).groupBy("doc_id").agg(F.max("blob").alias("blob")) if _repeats(sketches) else set_blobs(texts, words), "sets")
-    links = None
-    labels = None
+    blobs = stage_table(set_blobs(texts, words).groupBy("doc_id").agg(F.max_by(F.struct("blob", "own", "shared"), "blob").alias("_s")).select("doc_id", "_s.*") if _repeats(sketches) else set_blobs(texts, words), "sets")
+    links, labels, linked = None, None, 1.0
     for turn in range(ROUNDS + 1):
         members = grouped
         if labels is not None:
@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
             if not total[0]:
                 break
             members = stage_table(skew_join(members.drop("size"), spread.select("key", "size"), ["key"], heavy_keys(spread.select("key", "size"), "size")), "open")
-            if total[0] <= 2 * total[1] or turn == ROUNDS:
+            if total[0] <= 2 * total[1] or linked < WORTH or turn == ROUNDS:
                 left = members.select("key", F.col("rep").alias("a"), F.col("n_shingles").alias("n"), F.col("component").alias("ca"))
                 right = members.select("key", F.col("rep").alias("b"), F.col("n_shingles").alias("m"), F.col("component").alias("cb"))
                 close = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
@@ -308,6 +308,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
         found = stage_table(verify(pairs, blobs, percent), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
+        linked = found.count() / max(1, pairs.count())
     named = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*identity, F.coalesce("component", "rep").alias("component_id"), "members")
     heavy = heavy_keys(named, "members").drop("members")
     out = skew_join(sketches.select("doc_id", *identity), named.drop("members"), identity, heavy, "left")
