@@ -5,7 +5,28 @@ from __future__ import annotations
 import importlib
 
 #: Modules of ``chronofold.plans`` with a QUERIES list of (name, query, SQL or None).
-MODULES = ["time", "relational", "evaluation", "texts", "retrieval", "inputs", "flows"]
+MODULES = ["time", "relational", "evaluation", "texts", "retrieval", "inputs", "flows", "labelling"]
+
+#: Operators that share a query with another one: the same rows show both.
+SHARED = {
+    "sink_jsonl": "sink_json",
+    "guard_required": "schema_project_ordered",
+    "guard_domain": "audit_rules",
+    "scan_csv_in_zip_checked": "scan_tsv_zip",
+    "fn_split_sections": "fn_extract_sections",
+    "fn_canonical": "fn_legal_name",
+    "fn_last_completed_quarter": "fn_quarter_label",
+    "fn_md5_id": "fn_sha_id",
+    "fn_expit": "fn_logit_clip",
+    "fn_bounded_score": "fn_logit_clip",
+    "win_drawdown": "win_cumprod",
+    "topk_vector": "ret_vector",
+    "ml_scale_robust": "ml_scale",
+    "ml_scale_standard": "ml_scale",
+    "str_poll": "str_dedupe_state",
+    "str_late": "str_dedupe_state",
+    "str_checkpoint": "str_dedupe_state",
+}
 
 
 def _entries():
@@ -14,8 +35,10 @@ def _entries():
 
 
 def queries() -> dict:
-    return {name: query for name, query, _ in _entries()}
+    own = {name: query for name, query, _ in _entries()}
+    return own | {name: own[other] for name, other in SHARED.items()}
 
 
 def oracle_sql() -> dict:
-    return {name: sql for name, _, sql in _entries() if sql}
+    own = {name: sql for name, _, sql in _entries() if sql}
+    return own | {name: own[other] for name, other in SHARED.items() if other in own}

@@ -41,3 +41,36 @@ def decide(prior_event: Column, in_window: Column, unresolved: Column, followed:
     label = F.when(prior_event, None).when(in_window, 1).when(unresolved, None).when(~followed, None).otherwise(0).cast("int")
     reason = F.when(prior_event, "prior_event").when(in_window, "event_in_window").when(unresolved, "unresolved").when(~followed, "no_follow_up").otherwise("followed_without_event")
     return label, reason
+
+
+def earliest_event(df: DataFrame, events: DataFrame, *, by: str, anchor: str, event: str, source: str, years: int, observed_through: Column) -> DataFrame:
+    """Positive (1) with the source of the earliest event in (anchor, anchor + years]; never 0, as silence proves nothing."""
+    e = events.select(F.col(by).alias("_by"), F.col(event).alias("_e"), F.col(source).alias("_s"))
+    inside = (F.col("_by") == F.col(by)) & (F.col("_e") > F.col(anchor)) & (F.col("_e") <= F.add_months(anchor, 12 * years)) & (F.col("_e") <= observed_through)
+    first = F.min_by("_s", F.struct("_e", "_s"))
+    return df.join(e, inside, "left").groupBy(*df.columns).agg(F.max(F.when(F.col("_e").isNotNull(), 1)).alias("target"), first.alias("source"))
+
+
+def review_coverage(df: DataFrame, filings: DataFrame, *, by: str, anchor: str, filed: str, years: int, least: int) -> DataFrame:
+    """Whether a row's horizon is reviewed: an earlier filing within three years, and at least ``least`` filings inside."""
+    f = filings.select(F.col(by).alias("_by"), F.col(filed).alias("_f"))
+    rows = df.join(f, F.col("_by") == F.col(by), "left").groupBy(*df.columns).agg(
+        F.coalesce(F.bool_or((F.col("_f") < F.col(anchor)) & (F.col("_f") >= F.add_months(anchor, -36))), F.lit(False)).alias("has_prior"),
+        F.count_if((F.col("_f") > F.col(anchor)) & (F.col("_f") <= F.add_months(anchor, 12 * years))).alias("n_inside"),
+    )
+    return rows.withColumn("reviewed", F.col("has_prior") & (F.col("n_inside") >= least))
+
+
+def amend(labels_: DataFrame, corrections: DataFrame, *, key: str) -> tuple[DataFrame, DataFrame]:
+    """(labels, log): a correction (key, new) replaces the label, null included; the log has what changed."""
+    c = corrections.select(key, F.col("new").alias("_new"), F.lit(True).alias("_c"))
+    rows = labels_.join(c, key, "left").withColumn("amended", F.when(F.col("_c"), F.col("_new")).otherwise(F.col("label")))
+    log = rows.where(~F.col("label").eqNullSafe(F.col("amended"))).select(key, F.col("label").alias("old"), F.col("amended").alias("new"))
+    return rows.select(key, F.col("amended").alias("label")), log
+
+
+def assess_reviews(responses: DataFrame, *, unit: str, reviewer: str, verdict: str) -> DataFrame:
+    """Per unit: approved by two distinct reviewers, else correction or uncertain as any says, else pending."""
+    g = responses.groupBy(unit).agg(F.count_distinct(F.when(F.col(verdict) == "approve", F.col(reviewer))).alias("n"), F.collect_set(verdict).alias("v"))
+    state = F.when(F.array_contains("v", "correct"), "correction").when(F.array_contains("v", "unsure"), "uncertain").when(F.col("n") >= 2, "approved").otherwise("pending")
+    return g.select(unit, F.col("n").alias("n_reviewers"), state.alias("state"))
