@@ -77,7 +77,7 @@ def window_counts(anchors: DataFrame, events: DataFrame, *, by: str, anchor: str
     """
     e = events.withColumnsRenamed({by: "_by"}).withColumn("_t", F.col(time))
     inside = (F.col("_by") == F.col(by)) & (F.col("_t") < F.col(anchor)) & (F.col("_t") >= F.date_sub(anchor, days))
-    known = F.lit(True) if complete is None else F.coalesce(F.bool_and(complete), F.lit(True))
+    known = F.lit(True) if complete is None else F.coalesce(F.bool_and(F.col("_t").isNull() | complete), F.lit(True))
     made = []
     for name, condition in counts.items():
         n = F.count_if(F.col("_t").isNotNull() & condition)

@@ -25,7 +25,8 @@ def strategy(panel: DataFrame, *, period: str, ticker: str, position: str, ret:
     n = F.sum(position).over(by_period)
     rows = panel.withColumn("w", F.coalesce(F.try_divide(F.col(position), n), F.lit(0.0)))
     rows = rows.withColumn("gross", F.sum(F.col("w") * F.col(ret)).over(by_period))
-    drifted = F.when(F.lag("gross").over(own) <= -1, 0.0).otherwise(F.lag("w").over(own) * (1 + F.lag(ret).over(own)) / (1 + F.lag("gross").over(own)))
+    before = 1 + F.lag("gross").over(own)
+    drifted = F.when(before <= 0, 0.0).otherwise(F.try_divide(F.lag("w").over(own) * (1 + F.lag(ret).over(own)), before))
     rows = rows.withColumn("turn", F.abs(F.col("w") - F.coalesce(drifted, F.lit(0.0))))
     daily = rows.groupBy(period).agg(F.first("gross").alias("gross"), F.sum("turn").alias("turnover"))
     daily = daily.withColumn("net", F.col("gross") - F.col("turnover") * cost_bps / 10000)
