@@ -139,7 +139,7 @@ def binomial_tail(k: Column, n: Column, rate: float) -> Column:
 
 
 def _step(rule: Rule) -> Column:
-    """How many of the rule's cutoffs, from the lenient end, a document is beyond."""
+    """How many of the rule's cutoffs a document is beyond."""
     value = F.expr(f"try_divide({rule.measure.split(' / ')[0]}, {rule.measure.split(' / ')[1]})").cast("double")
     beyond = [F.coalesce(value > c if rule.high else value < c, F.lit(False)).cast("int") for c in rule.ladder]
     out = beyond[0]
@@ -164,10 +164,9 @@ def certify(labelled: DataFrame, risk: Risk = Risk(), rules: tuple[Rule, ...] =
     ladders = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(i).alias("cut")) for r in rules for i in range(len(r.ladder))])
     sizes = good.groupBy("stratum").agg(F.count("*").alias("n"))
     tests = sizes.select("stratum", "n", F.inline(ladders))
-    # a document is beyond the i-th cutoff (strict first) if it is beyond at least (length - i) of them
-    length = F.create_map(*[F.lit(x) for r in rules for x in (r.name, len(r.ladder))])
+    # ladders are strict first: a document beyond the i-th cutoff is beyond all before it, i + 1 in all
     beyond = tests.join(counted, ["stratum", "rule"], "left").groupBy("stratum", "n", "rule", "cut").agg(
-        F.coalesce(F.sum(F.when(F.col("step") >= F.element_at(length, F.col("rule")) - F.col("cut"), F.col("count"))), F.lit(0)).alias("k")
+        F.coalesce(F.sum(F.when(F.col("step") > F.col("cut"), F.col("count"))), F.lit(0)).alias("k")
     )
     strata = len(large) + 1
     number = strata * sum(len(r.ladder) for r in rules)
@@ -190,7 +189,7 @@ def apply_rules(stats: DataFrame, cutoffs: DataFrame, rules: tuple[Rule, ...] =
     rows = stats.join(known, F.coalesce(F.col("stratum"), F.lit("(null)")) == F.col("_stratum"), "left").join(one, F.lit(True), "left")
     cuts = F.coalesce("_cuts", "_pooled")
     fails = [
-        F.when(F.coalesce(_step(r) >= len(r.ladder) - F.element_at(cuts, F.lit(r.name)), F.lit(False)), F.lit(r.name))
+        F.when(F.coalesce(_step(r) > F.element_at(cuts, F.lit(r.name)), F.lit(False)), F.lit(r.name))
         for r in rules
     ]
     rows = rows.withColumn("base_failed", base_failed()).withColumn("failed_rules", F.array_compact(F.array(*fails)))
