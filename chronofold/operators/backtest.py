@@ -33,7 +33,8 @@ def strategy(panel: DataFrame, *, period: str, ticker: str, position: str, ret:
     # one row a period is left, so its running product is small
     run = Window.orderBy(period).rowsBetween(Window.unboundedPreceding, 0)
     daily = daily.withColumn("equity", F.exp(F.sum(F.when(F.col("net") > -1, F.ln(1 + F.col("net")))).over(run)) * F.min(F.when(F.col("net") > -1, 1.0).otherwise(0.0)).over(run))
-    return daily.withColumn("drawdown", F.col("equity") / F.max("equity").over(run) - 1)
+    # a loss of everything in the first period leaves no peak to compare with
+    return daily.withColumn("drawdown", F.coalesce(F.try_divide("equity", F.max("equity").over(run)), F.lit(0.0)) - 1)
 
 
 def buy_and_hold(panel: DataFrame, *, period: str, ticker: str, ret: str) -> DataFrame:
