@@ -13,8 +13,9 @@ pair at the threshold of 0.8 fails to meet with a probability below 1e-7.
 Documents with equal sets are one class from the start, so copies cost nothing.
 Within a candidate group not all pairs are made: first each group's members are
 compared with one leader, links join classes into components, and this is
-repeated with other leaders while it pays; then all pairs that are still in
-different components are compared.  So no link between components is missed,
+repeated with other leaders while it pays; then, of the documents in groups that
+still hold several components, all pairs that an exact prefix filter leaves are
+compared.  So no link between components is missed,
 and a tight group of any size costs one comparison a member.  A comparison
 first corrects the share of equal registers for chance collisions; where that
 estimate is far below the threshold the pair is dropped, else the full sets
@@ -250,8 +251,58 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+#: Cells of the frequency table that orders shingles; its size does not depend on the input.
+CELLS = 1 << 20
+
+
+def prefix_pairs(members: DataFrame, blobs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may reach the threshold; none that does is left out.
+
+    Two sets with a similarity of t share one of the (n - ceil(t n) + 1) first
+    shingles of each, whatever the order that both use.  Here it is from rare
+    to frequent, by a table of counts of hashed shingles, so what many
+    documents have in common (a line, a passage) pairs nobody.  The place of a
+    shared shingle also bounds how many can follow it.
+    """
+    spark = members.sparkSession
+    rows = stage_table(members.join(blobs.select("doc_id", "blob"), "doc_id"), "open-sets")
+
+    def count(batches):
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                np.add.at(total, (np.frombuffer(blob, np.uint64) % np.uint64(CELLS)).astype(np.int64), 1)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
+
+    cells = rows.select("blob").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(CELLS, np.int64)
+    often[cells.column(0).to_numpy()] = cells.column(1).to_numpy()
+    sent = spark.sparkContext.broadcast(often)
+
+    def prefix(batches):
+        table = sent.value
+        for batch in slices(batches, "blob", 4 << 20):
+            out: list[tuple] = []
+            for doc, component, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                h = np.frombuffer(blob, np.uint64)
+                n = len(h)
+                first = np.lexsort((h, table[(h % np.uint64(CELLS)).astype(np.int64)]))[: n + percent * -n // 100 + 1]
+                out.append((h[first].view(np.int64), np.arange(len(first)), np.full(len(first), n), np.full(len(first), doc), np.full(len(first), component)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["key", "place", "n", "id", "component"])
+
+    keyed = stage_table(rows.select("doc_id", "component", "blob").mapInArrow(prefix, "key long, place long, n long, id long, component long"), "prefixes")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "size")
+    keyed = stage_table(skew_join(keyed, shared.select("key"), ["key"], heavy_keys(shared, "size").select("key")), "shared-prefixes")
+    x, y = (keyed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("place", "n", "id", "component")]) for side in "ab")
+    n, m = F.col("n_a"), F.col("n_b")
+    most = 1 + F.least(n - 1 - F.col("place_a"), m - 1 - F.col("place_b"))
+    close = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
+    return x.join(y, (x["key"] == y["key"]) & close).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
 #: Star rounds at most; each only saves comparisons that the last step would make, and none follows one that linked little.
-ROUNDS, WORTH = 3, 0.1
+ROUNDS, WORTH = 4, 0.02
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -288,19 +339,17 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
             if not total[0]:
                 break
             members = stage_table(skew_join(members.drop("size"), spread.select("key", "size"), ["key"], heavy_keys(spread.select("key", "size"), "size")), "open")
-            if total[0] <= 2 * total[1] or linked < WORTH or turn == ROUNDS:
-                left = members.select("key", F.col("rep").alias("a"), F.col("n_shingles").alias("n"), F.col("component").alias("ca"))
-                right = members.select("key", F.col("rep").alias("b"), F.col("n_shingles").alias("m"), F.col("component").alias("cb"))
-                close = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-                pairs = left.join(right, "key").where(close).select("a", "b").distinct()
-                found = stage_table(verify(stage_table(pairs, "pairs"), blobs, percent), "links")
+            if total[0] <= 2 * total[1] or (turn > 1 and linked < WORTH) or turn == ROUNDS:
+                pairs = prefix_pairs(members.select(F.col("rep").alias("doc_id"), "component").distinct(), blobs, percent)
+                pairs = stage_table(pairs, "pairs")
+                found = stage_table(verify(pairs, blobs, percent), "links")
                 links = links.unionByName(found)
                 labels = components(links)
                 break
         else:
             members = members.withColumn("component", F.col("rep"))
-        # a group's leader changes from round to round
-        rank = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
+        # first the least id leads all its groups; later each group draws a leader of its own, so a member meets many
+        rank = F.col("rep") if turn == 0 else F.xxhash64("rep", "key", F.lit(turn))
         leader = members.groupBy("key", "size").agg(F.min_by(F.struct(F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("n")), rank).alias("_l"))
         pairs = skew_join(members.drop("size"), leader.select("key", "_l"), ["key"], heavy_keys(leader, "size").select("key", "_l"))
         pairs = pairs.where((F.col("component") != F.col("_l.ca")) & (100 * F.least("n_shingles", "_l.n") >= percent * F.greatest("n_shingles", "_l.n")))
