@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from chronofold.llm.common import heavy_keys, mix64, range_hash, skew_join, slices, stage_table, text_bytes, _BYTE_CODE
 from chronofold.llm.repeats import Found, Windows, _keyed, covered, find, segments, spans_of, symbols, with_lists
 
-#: Segments of one anchor in a shard, and bytes of text for which one suffix array is built.
-SHARD_SEGMENTS, SHARD_BYTES = 2000, 2 << 20
+#: Segments of one anchor in a shard (about 3 MB of text), and bytes after which a suffix array is built.
+SHARD_SEGMENTS, SHARD_BYTES = 4000, 2 << 20
 
 
 def suffix_array(text: np.ndarray, ends: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +154,8 @@ def search_shards(pieces: DataFrame, span: int) -> DataFrame:
     """Ranges of repeated windows of the pieces, and window hashes of anchors that have several shards.
 
     Rows with ``hi``: windows lo to hi (exclusive) of the segment are repeated.
-    Rows with ``h``: a distinct window and how often its shard has it (at most 2).
+    Rows with ``h``: a window that is new to its shard (times 1, with its document),
+    or one that the shard has settled, once (times 2).
     """
     n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shard = F.xxhash64("anchor", F.pmod("content", "shards"))
@@ -163,13 +164,19 @@ def search_shards(pieces: DataFrame, span: int) -> DataFrame:
 
     def search(rows: list[tuple]) -> pa.RecordBatch:
         out: list[tuple] = []
+        told: set[tuple[int, int]] = set()
         for (anchor, content, k, count, shards, data), hit in zip(rows, repeated_starts([r[5] for r in rows], span), strict=True):
             if count == 1:
                 out += [(k, content, a, b, None, None, None) for a, b in spans_of(hit)]
             if shards > 1:
                 starts = np.arange(len(hit))
                 h = range_hash(_BYTE_CODE[np.frombuffer(data, np.uint8)], 0x9E6D62D06F6A9A9B)(starts, starts + span).view(np.int64)
-                out += [(k if count == 1 else None, content, i, None, x, anchor, 2 if count > 1 or again else 1) for i, (x, again) in enumerate(zip(h.tolist(), hit.tolist(), strict=True))]
+                for i, (x, again) in enumerate(zip(h.tolist(), hit.tolist(), strict=True)):
+                    if count == 1 and not again:  # new to this shard: ask the others
+                        out.append((k, content, i, None, x, anchor, 1))
+                    elif (anchor, x) not in told:  # settled here: tell the others once
+                        told.add((anchor, x))
+                        out.append((None, content, i, None, x, anchor, 2))
         columns = list(zip(*out, strict=True)) or [[]] * 7
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
