@@ -15,7 +15,8 @@ context on both sides that those windows reach.
 Every step is a count or a join on hashes, with partial sums before each
 shuffle; keys that hold a large share of the rows are joined by broadcast of at
 most ``HEAVY_SHARE`` rows.  Documents are found again by a hash of their id; what
-is looked up in them is content, so equal ids do no harm.
+is looked up in them is content, and what a document does not have is passed
+over, so equal and null ids do no harm.
 """
 
 from __future__ import annotations

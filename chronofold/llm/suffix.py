@@ -244,9 +244,14 @@ def remove_repeats(docs: DataFrame, *, span: int = 400, gram: int = 48, id_colum
                     ranges = [(x, a, b) for x, a, b in zip(cs, lo, hi, strict=True) if b is not None]
                     if ranges:
                         x, a, b = (np.array(v, np.int64) for v in zip(*ranges, strict=True))
-                        at = first[order[np.searchsorted(content[order], x)]]
-                        starts.append(at + a)
-                        ends.append(at + b - 1 + span)
+                        # rows with an equal key share a list: of its ranges only those of the row's own segments apply
+                        sorted_ = content[order]
+                        place = np.searchsorted(sorted_, x)
+                        own = np.flatnonzero(place < len(sorted_))
+                        own = own[sorted_[place[own]] == x[own]]
+                        at = first[order[place[own]]]
+                        starts.append(at + a[own])
+                        ends.append(at + b[own] - 1 + span)
                     merged_ = np.sort(np.array([y for y in h if y is not None], np.int64))
                     if len(merged_) and not all_.all():
                         rest = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[~all_], last[~all_], strict=True)])

@@ -197,3 +197,23 @@ def test_empty_null_and_repeated(spark, frame, run):
     rows = [(None, "one two"), (None, None), (3, "one two"), (3, "one two"), (4, None)]
     clash = frame(rows).selectExpr("*", "1 AS k", "2 AS items", "3 AS component", "4 AS _k")
     assert run(clash).count() == len(rows)
+
+
+@pytest.mark.parametrize("ids", [(None, None, None, 7), (3, 3, 3, None), (1, None, 1, None)])
+def test_long_rows_without_an_id_of_their_own(spark, frame, ids):
+    """Rows that share an id, or have none, get their own hits only."""
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(500)
+    texts = [text(300) + passage + text(90), text(450) + passage + text(700), text(800), passage[:470] + text(333)]
+    rows = [t.encode() for t in texts]
+    seen = Counter(b[p : p + 400] for b in rows for p in range(len(b) - 399))
+    want = []
+    for b in rows:
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 399):
+            if seen[b[p : p + 400]] > 1:
+                gone[p : p + 400] = True
+        want.append((len(b), int(gone.sum()), bytes(x for x, g in zip(b, gone, strict=True) if not g)))
+    got = suffix.remove_repeats(frame(list(zip(ids, texts, strict=True))))
+    assert sorted((r.n_bytes, r.n_removed, bytes(r.kept)) for r in got.collect()) == sorted(want)
