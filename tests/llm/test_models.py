@@ -187,3 +187,19 @@ def test_pipeline_stages(spark, frame, tmp_path):
         if name == "pii":
             assert "<EMAIL>" in got[105].text and "example.com" not in got[105].text
     assert docs.count() >= len(got) and "sequence_id" in docs.columns
+
+
+def test_pipeline_keeps_one_row_of_repeated_and_null_ids(spark, frame, tmp_path):
+    """One row of each group stays, so the next stage does not lose the text; equal ids with other texts stand alone."""
+    rng = random.Random(21)
+    text = lambda: " ".join(rng.choice([f"v{i}" for i in range(300)]) for _ in range(70))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, a), (1, a), (1, a), (None, b), (None, b), (None, c), (7, c), (8, c + " tail"), (9, d), (9, e), (None, None), (2, " ")]
+    made = corpus_pipeline.drop_near_duplicates(spark, frame(rows), str(tmp_path))
+    path = f"file://{tmp_path}/near"
+    made.write.parquet(path)
+    near = spark.read.parquet(path)
+    whole = sorted([(1, a), (None, b), (7, c), (9, d), (9, e)], key=str)
+    assert sorted([(r.doc_id, r.text) for r in near.collect()], key=str) == sorted([*whole, (None, None), (2, " ")], key=str)
+    left = corpus_pipeline.drop_repeated_passages(spark, near, str(tmp_path))
+    assert sorted([(r.doc_id, r.text) for r in left.collect()], key=str) == whole
