@@ -21,6 +21,16 @@ def test_encoder_equals_library():
     assert e.encode([None])[0].tolist() == []
 
 
+def test_added_tokens_are_coded_as_by_the_library():
+    from tokenizers import Tokenizer
+
+    plain, e = Tokenizer.from_file(vocabulary_path()), Encoder(vocabulary_path())
+    texts = [*ODD, "a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|>b c", "<|endoftext|> <|endoftext|>\nx", "a <|endoftext| > b", "plain words"]
+    for text, ids in zip(texts, e.encode(texts), strict=True):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    assert e.encode(["a <|endoftext|> b"])[0].tolist() == [64, 220, 50256, 275]
+
+
 def test_limits_hold_and_every_token_is_placed():
     rng = np.random.default_rng(1)
     totals = rng.integers(1, 300, 500).tolist() + [5000, 1]
