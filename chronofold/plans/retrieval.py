@@ -141,16 +141,44 @@ def ret_theme_link(spark, sf_dir):
     return d.select(F.explode(found).alias("theme")).groupBy("theme").agg(F.count("*").alias("n_sources"))
 
 
+#: The reference's bounds of the term table and of the vectors.
+FEATURES, DIMENSIONS = 12_000, 64
+
+
+def latent(rows, *, key: str, text: str, features: int = FEATURES, dimensions: int = DIMENSIONS):
+    """(key, u): unit vectors of whole texts: one- and two-word terms, 1 + ln tf, smoothed idf, L2, truncated SVD, L2."""
+    import numpy as np
+    from pyspark.ml.feature import IDF, CountVectorizer, NGram, StopWordsRemover
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+    from pyspark.mllib.linalg.distributed import IndexedRowMatrix
+    from pyspark.mllib.util import MLUtils
+
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
+    said = StopWordsRemover(inputCol="all", outputCol="one").transform(rows.select(F.col(key).cast("long").alias("index"), words.alias("all")))
+    terms = NGram(n=2, inputCol="one", outputCol="two").transform(said).select("index", F.concat("one", "two").alias("terms")).where("size(terms) > 0")
+    counted = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=features).fit(terms).transform(terms).select("index", "tf").cache()
+    idf = counted.sparkSession.sparkContext.broadcast(IDF(inputCol="tf", outputCol="v").fit(counted).idf.toArray() + 1)
+
+    @F.udf(VectorUDT())
+    def weighted(v):
+        x = (1 + np.log(v.values)) * idf.value[v.indices]
+        return SparseVector(v.size, v.indices, x / (np.linalg.norm(x) or 1.0))
+
+    matrix = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(counted.select("index", weighted("tf").alias("vector")), "vector").cache())
+    most = min(dimensions, counted.count() - 1, len(idf.value) - 1)
+    low = matrix.multiply(matrix.computeSVD(most).V) if most >= 2 else None
+    if low is None:
+        return counted.sparkSession.createDataFrame([], f"{key} long, u array<double>")
+
+    def unit(row):
+        x = row.vector.toArray()
+        return row.index, (x / (np.linalg.norm(x) or 1.0)).tolist()
+
+    return low.rows.map(unit).toDF(f"{key} long, u array<double>")
+
+
 @query()
 def ret_lsa(spark, sf_dir):
-    """Latent semantic vectors of titles: TF-IDF, SVD, cosine; the corpus is the filtered one (Spanish)."""
-    from pyspark.ml.feature import IDF, PCA, CountVectorizer, Normalizer
-    from pyspark.ml.functions import vector_to_array
-
-    d = table(spark, sf_dir, "documents").where("lang = 'es'").select("doc_id", F.slice(r.terms(F.col("text"), 64), 1, 64).alias("w")).where("size(w) > 0")
-    counted = CountVectorizer(inputCol="w", outputCol="tf", vocabSize=400).fit(d).transform(d)
-    weighted = IDF(inputCol="tf", outputCol="v").fit(counted).transform(counted)
-    low = PCA(k=16, inputCol="v", outputCol="p").fit(weighted).transform(weighted)
-    unit = Normalizer(inputCol="p", outputCol="u").transform(low).select("doc_id", vector_to_array("u").alias("u"))
-    first = unit.orderBy("doc_id").limit(5)
-    return r.nearest(first, unit, query="doc_id", key="doc_id", vector="u", k=5, least=0.2)
+    """Latent semantic vectors of whole documents; every row whose id is divisible by 100 is a query."""
+    u = latent(table(spark, sf_dir, "documents"), key="doc_id", text="text").cache()
+    return r.nearest(u.where("doc_id % 100 = 0"), u, query="doc_id", key="doc_id", vector="u", k=5, least=0.2)

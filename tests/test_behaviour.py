@@ -230,3 +230,16 @@ def test_cooldown(spark):
     df = spark.createDataFrame([("a", f"2024-01-01 0{h}:{m:02d}:00") for h, m in ((0, 0), (0, 30), (1, 0), (1, 59), (2, 1))], "k string, t string").withColumn("t", F.col("t").cast("timestamp"))
     sent = [r.sent_at % 86400 // 60 for r in monitor.cooldown(df, key="k", time="t", seconds=3600).orderBy("sent_at").collect()]
     assert sent == [0, 60, 121]
+
+
+
+def test_latent_vectors_see_whole_texts(spark, tmp_path):
+    """Two documents that agree only after their first hundred words find each other."""
+    from chronofold.plans import retrieval
+
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(100))
+    late = " ".join(f"topic{j}" for j in range(150))
+    rows = [(0, f"{own(0)} {late}"), (1, f"{own(1)} {late}"), *[(i, own(i)) for i in range(2, 8)], (100, own(100))]
+    spark.createDataFrame([(i, t, "de") for i, t in rows], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["query"], r["key"]) for r in retrieval.ret_lsa(spark, str(tmp_path)).collect()}
+    assert {(0, 0), (0, 1), (100, 100)} <= got and (100, 0) not in got
