@@ -318,23 +318,34 @@ def ml_calibrate_sigmoid(spark, sf_dir):
     return LogisticRegression(weightCol="w", labelCol="quality", maxIter=20).fit(rows).transform(rows).select("unit", vector_to_array("probability")[1].alias("calibrated"))
 
 
+#: Candidates of the inner folds, and what is taken where an inner fit has one outcome only.
+STRENGTHS, FALLBACK = (0.001, 0.1), 0.1
+
+
 @query()
 def ml_nested_calibration(spark, sf_dir):
-    """Inner folds choose the regularisation by log loss; the outer fold is scored."""
+    """Each fold is scored by a model whose regularisation was chosen by the log loss over all inner folds together."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import vector_to_array
 
     rows, out = _model_frame(spark, sf_dir).cache(), None
-    for held in range(2):
-        best = []
-        outer = rows.where(F.col("fold") != held)
-        for strength in (0.001, 0.1):
-            inner = (held + 1) % 4
-            m = LogisticRegression(weightCol="w", labelCol="quality", regParam=strength, maxIter=10).fit(outer.where(F.col("fold") != inner))
-            scores = m.transform(outer.where(F.col("fold") == inner)).select(vector_to_array("probability")[1].alias("s"), "quality", "w")
+    seen = {tuple(r) for r in rows.select("fold", "quality").distinct().collect()}
+    folds = sorted({f for f, _ in seen})
+    both = lambda *without: len({y for f, y in seen if f not in without}) == 2
+    fit = lambda strength, *without: LogisticRegression(weightCol="w", labelCol="quality", regParam=strength, maxIter=10).fit(rows.where(~F.col("fold").isin(*without)))
+    score = vector_to_array("probability")[1]
+    for held in folds:
+        if not both(held):
+            raise ValueError("an outer fit needs both outcomes")
+        best, inner = [], [f for f in folds if f != held]
+        for strength in STRENGTHS if all(both(held, f) for f in inner) else ():
+            scores = None
+            for f in inner:
+                one = fit(strength, held, f).transform(rows.where(F.col("fold") == f)).select(score.alias("s"), "quality", "w")
+                scores = one if scores is None else scores.unionByName(one)
             best.append((scores.agg(metrics.log_loss(F.col("s"), F.col("quality"), F.col("w"))).first()[0], strength))
-        m = LogisticRegression(weightCol="w", labelCol="quality", regParam=min(best)[1], maxIter=10).fit(outer)
-        one = m.transform(rows.where(F.col("fold") == held)).select("unit", F.lit(min(best)[1]).alias("strength"), vector_to_array("probability")[1].alias("score"))
+        chosen = min(best)[1] if best else FALLBACK
+        one = fit(chosen, held).transform(rows.where(F.col("fold") == held)).select("unit", F.lit(chosen).alias("strength"), score.alias("score"))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -232,6 +232,13 @@ def test_cooldown(spark):
     assert sent == [0, 60, 121]
 
 
+def test_nested_calibration_scores_every_fold(spark):
+    from chronofold.plans import evaluation
+
+    sf = "/root/testdata/sf0.001"
+    want = sorted(r.unit for r in evaluation._model_frame(spark, sf).select("unit").collect())
+    assert sorted(r.unit for r in evaluation.ml_nested_calibration(spark, sf).select("unit").collect()) == want
+
 
 def test_latent_vectors_see_whole_texts(spark, tmp_path):
     """Two documents that agree only after their first hundred words find each other."""
