@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -21,15 +22,24 @@ from pyspark.sql import functions as F
 
 #: No key of a heavy set built by ``heavy_keys`` can number more than this.
 HEAVY_SHARE = 1000
+#: Keys with so many rows at most are joined like all others.
+LEAST_HEAVY = 200
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where none is named."""
+    """The shared folder of the cluster.
+
+    Where ``spark.checkpoint.dir`` is unset a local session gets a temporary
+    folder of this machine; a cluster, whose machines share none, is refused.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         named = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -72,34 +82,40 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def doc_key(column: str = "doc_id"):
-    """A join key for a row's id that is never null; equal ids have equal keys."""
-    return F.xxhash64(F.col(column))
+def row_key(id_column: str = "doc_id", text_column: str = "text"):
+    """A join key that is never null and that only rows with the same id and text share.
+
+    Such rows have the same results, so they may share what is found for them.
+    """
+    return F.xxhash64(F.col(id_column).cast("long"), F.col(text_column))
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], heavy: DataFrame, how: str = "inner") -> DataFrame:
-    """Join on ``keys`` where single keys may hold a large share of ``left``.
+def heavy_keys(counted: DataFrame, count: str, keys: list[str], share: int = HEAVY_SHARE) -> list[int]:
+    """Hashes of the keys of ``counted`` whose count exceeds 1/share of the sum of all counts.
 
-    ``right`` has at most one row for each key.  ``heavy`` lists keys with
-    their rows of ``right``; it was cut by ``heavy_keys``, so it has at most
-    HEAVY_SHARE rows whatever the input.  Rows of heavy keys meet their one
-    partner by broadcast, without being shuffled; all others are few for each
-    key and go through an ordinary shuffled join.
+    At most ``share`` keys can do so, which bounds what comes to the driver.
+    Keys with no more than LEAST_HEAVY rows never count as heavy.
     """
-    marked = left.join(F.broadcast(heavy.select(*keys).withColumn("_heavy", F.lit(True))), keys, "left")
-    rest = marked.where(F.col("_heavy").isNull()).drop("_heavy")
-    hot = left.join(F.broadcast(heavy), keys, "inner")
-    return rest.join(right.hint("merge"), keys, how).unionByName(hot)
+    total, most = counted.agg(F.sum(count), F.max(count)).first()
+    limit = max((total or 0) // share, LEAST_HEAVY)
+    if (most or 0) <= limit:
+        return []
+    return [r[0] for r in counted.where(F.col(count) > limit).select(F.xxhash64(*keys)).collect()]
 
 
-def heavy_keys(counted: DataFrame, count: str, share: int = HEAVY_SHARE) -> DataFrame:
-    """Rows of ``counted`` whose count exceeds 1/share of the sum of all counts.
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], heavy: list[int], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where single keys may hold a large share of ``left``.
 
-    At most ``share`` rows can do so, which is the bound that lets the result
-    be broadcast.
+    ``right`` has at most one row for each key, so its part with the hashes
+    ``heavy`` (see ``heavy_keys``) has a bounded number of rows.  Rows of heavy
+    keys meet their partner by broadcast, without being shuffled; all others
+    are few for each key and go through an ordinary shuffled join.
     """
-    total = counted.agg(F.sum(count)).first()[0] or 0
-    return counted.where(F.col(count) > max(total // share, 1))
+    if not heavy:
+        return left.join(right.hint("merge"), keys, how)
+    hot = F.xxhash64(*keys).isin(heavy)
+    rest = left.where(~hot).join(right.where(~hot).hint("merge"), keys, how)
+    return rest.unionByName(left.where(hot).join(F.broadcast(right.where(hot)), keys, how))
 
 
 # ---------------------------------------------------------------- Arrow side

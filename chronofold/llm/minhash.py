@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import heavy_keys, mix64, skew_join, slices, stage_table, text_bytes, word_bounds, word_hashes
+from chronofold.llm.common import heavy_keys, mix64, row_key, skew_join, slices, stage_table, text_bytes, word_bounds, word_hashes
 
 REGISTERS, BAND = 128, 4
 MANTISSA = 10
@@ -144,21 +144,27 @@ def estimate(r1: np.ndarray, r2: np.ndarray, n1: int, n2: int) -> float:
     return max(0.0, (share - c) / (1 - c))
 
 
-SKETCH = "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"
+SKETCH = "doc_id long, k long, n_shingles long, h1 long, h2 long, keys array<long>"
+
+
+def identity_hashes(code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Two 64-bit sums over each set; with its size they stand for the set."""
+    full = np.flatnonzero(np.diff(bounds))
+    h = np.zeros((2, len(bounds) - 1), np.uint64)
+    if len(full):
+        for k, salt in enumerate((0x94D049BB133111EB, 0xBF58476D1CE4E5B9)):
+            h[k, full] = np.add.reduceat(mix64(code ^ np.uint64(salt)), bounds[full])
+    return h.view(np.int64)
 
 
 def sketch(docs: DataFrame, words: int, *, id_column: str, text_column: str) -> DataFrame:
-    """Size, identity and band keys of each document's set."""
+    """Row key, size, identity and band keys of each document's set."""
 
     def run(batches):
         for batch in slices(batches, "text", 1 << 20):
             code, bounds = shingles(batch.column(1), words)
             size = np.diff(bounds)
-            full = np.flatnonzero(size)
-            h = np.zeros((2, len(size)), np.uint64)
-            for k, salt in enumerate((0x94D049BB133111EB, 0xBF58476D1CE4E5B9)):
-                if len(full):
-                    h[k, full] = np.add.reduceat(mix64(code ^ np.uint64(salt)), bounds[full])
+            h = identity_hashes(code, bounds)
             keys: list = [[] for _ in size]
             for kind, rows, make in _kinds(size):
                 if len(rows):
@@ -167,27 +173,34 @@ def sketch(docs: DataFrame, words: int, *, id_column: str, text_column: str) ->
                         keys[r].append(row)
             flat = [np.concatenate(k) if k else np.zeros(0, np.int64) for k in keys]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in flat])]), pa.int32()), pa.array(np.concatenate(flat), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int64)), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), lists], ["doc_id", "n_shingles", "h1", "h2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size.astype(np.int64)), pa.array(h[0]), pa.array(h[1]), lists], ["doc_id", "k", "n_shingles", "h1", "h2", "keys"])
+
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), row_key(id_column, text_column).alias("k")).mapInArrow(run, SKETCH)
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, SKETCH)
 
+def set_blobs(texts: DataFrame, words: int) -> DataFrame:
+    """cid, the class's full set as ascending 64-bit hashes, and its registers of each kind that its size has.
 
-def set_blobs(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, its full set as ascending 64-bit hashes, and its registers of each kind that its size has."""
+    ``texts`` has text, cid and the class's identity (n_shingles, h1, h2).  A
+    text that does not have that set, which shares a row key by chance, gives
+    no row.
+    """
 
     def run(batches):
         for batch in slices(batches, "text", 1 << 20):
-            code, bounds = shingles(batch.column(1), words)
-            data, size = code.tobytes(), np.diff(bounds)
-            blobs = [data[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            code, bounds = shingles(batch.column(0), words)
+            data, size, h = code.tobytes(), np.diff(bounds), identity_hashes(code, bounds)
+            own = np.array([batch.column(i).to_numpy() for i in (2, 3, 4)]) == np.array([size, *h])
             registers = [[None] * len(size) for _ in range(2)]
             for kind, rows, make in _kinds(size):
                 if len(rows):
                     for r, x in zip(rows.tolist(), make(*_taken(code, bounds, size, rows)), strict=True):
                         registers[kind][r] = x.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), *[pa.array(x, pa.binary()) for x in registers]], ["doc_id", "blob", "own", "shared"])
+            blobs = [data[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            made = pa.RecordBatch.from_arrays([batch.column(1), pa.array(blobs, pa.binary()), *[pa.array(x, pa.binary()) for x in registers]], ["cid", "blob", "own", "shared"])
+            yield made.filter(pa.array(own.all(axis=0)))
 
-    return docs.mapInArrow(run, "doc_id long, blob binary, own binary, shared binary")
+    return texts.select("text", "cid", "n_shingles", "h1", "h2").mapInArrow(run, "cid long, blob binary, own binary, shared binary")
 
 
 def _kinds(size: np.ndarray):
@@ -201,8 +214,8 @@ def _taken(code: np.ndarray, bounds: np.ndarray, size: np.ndarray, rows: np.ndar
 
 def verify(pairs: DataFrame, blobs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    named = lambda x: blobs.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("blob", "own", "shared")])
-    heavy = heavy_keys(pairs.groupBy("a").count(), "count", 100).select("a").join(named("a"), "a")
+    named = lambda x: blobs.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("blob", "own", "shared")])
+    heavy = heavy_keys(pairs.groupBy("a").count(), "count", ["a"], 100)
     both = skew_join(pairs.join(named("b"), "b"), named("a"), ["a"], heavy)
     # far below the threshold: more than five standard errors
     floor = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
@@ -237,13 +250,12 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = stage_table(both, "edges")
     labels = stage_table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
-    busy = heavy_keys(both.groupBy("a").count(), "count").select("a")
+    busy = heavy_keys(both.groupBy("a").count(), "count", ["a"])
     while True:
-        known = labels.select(F.col("id").alias("a"), "component")
-        near = skew_join(both, known, ["a"], known.join(F.broadcast(busy), "a")).groupBy("b").agg(F.min("component").alias("near"))
-        popular = heavy_keys(labels.groupBy("component").count(), "count").select("component")
+        near = skew_join(both, labels.select(F.col("id").alias("a"), "component"), ["a"], busy).groupBy("b").agg(F.min("component").alias("near"))
+        popular = heavy_keys(labels.groupBy("component").count(), "count", ["component"])
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        step = skew_join(labels, jump, ["component"], jump.join(F.broadcast(popular), "component"), "left")
+        step = skew_join(labels, jump, ["component"], popular, "left")
         step = step.join(near.withColumnRenamed("b", "id"), "id", "left")
         new = stage_table(step.select("id", F.col("component").alias("old"), F.least("component", "further", "near").alias("component")), "labels")
         labels = new.select("id", "component")
@@ -265,7 +277,7 @@ def prefix_pairs(members: DataFrame, blobs: DataFrame, percent: int) -> DataFram
     shared shingle also bounds how many can follow it.
     """
     spark = members.sparkSession
-    rows = stage_table(members.join(blobs.select("doc_id", "blob"), "doc_id"), "open-sets")
+    rows = stage_table(members.join(blobs.select("cid", "blob"), "cid"), "open-sets")
 
     def count(batches):
         total = np.zeros(CELLS, np.int64)
@@ -284,89 +296,145 @@ def prefix_pairs(members: DataFrame, blobs: DataFrame, percent: int) -> DataFram
         table = sent.value
         for batch in slices(batches, "blob", 4 << 20):
             out: list[tuple] = []
-            for doc, component, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for cid, component, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 h = np.frombuffer(blob, np.uint64)
                 n = len(h)
                 first = np.lexsort((h, table[(h % np.uint64(CELLS)).astype(np.int64)]))[: n + percent * -n // 100 + 1]
-                out.append((h[first].view(np.int64), np.arange(len(first)), np.full(len(first), n), np.full(len(first), doc), np.full(len(first), component)))
+                out.append((h[first].view(np.int64), np.arange(len(first)), np.full(len(first), n), np.full(len(first), cid), np.full(len(first), component)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["key", "place", "n", "id", "component"])
 
-    keyed = stage_table(rows.select("doc_id", "component", "blob").mapInArrow(prefix, "key long, place long, n long, id long, component long"), "prefixes")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "size")
-    keyed = stage_table(skew_join(keyed, shared.select("key"), ["key"], heavy_keys(shared, "size").select("key")), "shared-prefixes")
-    x, y = (keyed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("place", "n", "id", "component")]) for side in "ab")
+    keyed = stage_table(rows.select("cid", "component", "blob").mapInArrow(prefix, "key long, place long, n long, id long, component long"), "prefixes")
+    # of each shingle's documents only those outside its largest component look for partners
+    held = keyed.groupBy("key", "component").agg(F.count("*").alias("c"))
+    shared = held.groupBy("key").agg(F.sum("c").alias("size"), F.max_by("component", F.struct("c", "component")).alias("major"), F.count("*").alias("parts")).where("parts > 1")
+    shared = stage_table(shared.select("key", "size", "major"), "shared-keys")
+    keyed = stage_table(skew_join(keyed, shared.select("key", "major"), ["key"], heavy_keys(shared, "size", ["key"])), "shared-prefixes")
+    x, y = (keyed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("place", "n", "id", "component", "major")]) for side in "ab")
     n, m = F.col("n_a"), F.col("n_b")
     most = 1 + F.least(n - 1 - F.col("place_a"), m - 1 - F.col("place_b"))
-    close = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
-    return x.join(y, (x["key"] == y["key"]) & close).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    once = (F.col("component_b") == F.col("major_b")) | (F.col("id_a") < F.col("id_b"))
+    close = (F.col("component_a") != F.col("component_b")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
+    pairs = x.where("component_a <> major_a").join(y, (x["key"] == y["key"]) & once & close)
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 #: Star rounds at most; each only saves comparisons that the last step would make, and none follows one that linked little.
 ROUNDS, WORTH = 4, 0.02
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id and kept (it is its component's least id).
+def classes_of(docs: DataFrame, words: int, percent: int, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+    """(sketches, classes): each row with its set's identity, and each set with its component.
 
-    Words are runs without ASCII white space, A-Z in lower case.  A text of
-    fewer words than a shingle is one shingle of its own; null and empty texts
-    have none and link with nothing, as do rows with a null id (their component
-    is null, and they are kept).  Rows with equal ids all get that id's result.
+    Classes have n_shingles, h1, h2, the number of their rows, ``rep`` (their
+    least id), ``first`` (their least row: none, doc_id, k; rows without an id
+    come last) and ``component``, a class number that linked classes share.
+    Rows take part by their sets alone, so repeated and null ids do no harm.
     """
-    spark = docs.sparkSession
     sketches = stage_table(sketch(docs, words, id_column=id_column, text_column=text_column), "sketch")
-    identity = ["n_shingles", "h1", "h2"]
-    linked = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stage_table(linked.groupBy(*identity).agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("keys").alias("keys")), "classes")
-    keyed = classes.select("rep", "n_shingles", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.max("n_shingles").alias("_x")).where("size > 1").select("key", "size")
-    grouped = stage_table(skew_join(keyed, shared, ["key"], heavy_keys(shared, "size")), "groups")
-    involved = grouped.select(F.col("rep").alias("doc_id")).distinct()
-    # a repeated id with different texts stands for its first class only
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).join(involved, "doc_id", "left_semi")
-    blobs = stage_table(set_blobs(texts, words).groupBy("doc_id").agg(F.max_by(F.struct("blob", "own", "shared"), "blob").alias("_s")).select("doc_id", "_s.*") if _repeats(sketches) else set_blobs(texts, words), "sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k"))
+    classes = sketches.where("n_shingles > 0").groupBy(*IDENTITY).agg(F.count("*").alias("members"), F.min("doc_id").alias("rep"), first.alias("first"), F.first("keys").alias("keys"))
+    classes = stage_table(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    labels = _linked(docs, classes, words, percent, id_column, text_column)
+    classes = classes.drop("keys")
+    if labels is None:
+        return sketches, classes.withColumn("component", F.col("cid"))
+    classes = classes.join(labels.select(F.col("id").alias("cid"), "component"), "cid", "left")
+    return sketches, stage_table(classes.withColumn("component", F.coalesce("component", "cid")), "components")
+
+
+IDENTITY = ["n_shingles", "h1", "h2"]
+
+
+def _linked(docs: DataFrame, classes: DataFrame, words: int, percent: int, id_column: str, text_column: str) -> DataFrame | None:
+    """(id, component) of the classes that link with another; None if there is no candidate."""
+    keyed = classes.select("cid", "n_shingles", F.explode("keys").alias("key"))
+    shared = stage_table(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    grouped = stage_table(skew_join(keyed, shared, ["key"], heavy_keys(shared, "size", ["key"])), "groups")
+    involved = stage_table(grouped.select("cid").distinct().join(classes.select("cid", F.col("first.k").alias("k"), *IDENTITY), "cid"), "involved")
+    asked = involved.count()
+    if not asked:
+        return None
+    texts = docs.select(row_key(id_column, text_column).alias("k"), F.col(text_column).alias("text")).join(involved, "k")
+    blobs = stage_table(set_blobs(texts, words), "sets")
+    if blobs.count() > asked:  # rows that are repeated whole give their set once; copies meet in their own partitions first
+        blobs = stage_table(blobs.dropDuplicates(["cid"]), "sets")
     links, labels, linked = None, None, 1.0
     for turn in range(ROUNDS + 1):
         members = grouped
         if labels is not None:
-            label = labels.select(F.col("id").alias("rep"), "component")
-            members = grouped.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+            label = labels.select(F.col("id").alias("cid"), "component")
+            members = grouped.join(label, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
             spread = members.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(
                 F.sum("c").alias("size"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")
             ).where("pairs > 0")
             spread = stage_table(spread, "spread")
-            total = spread.agg(F.sum("pairs"), F.sum("size")).first()
-            if not total[0]:
+            pairs_left, rows_left = spread.agg(F.sum("pairs"), F.sum("size")).first()
+            if not pairs_left:
                 break
-            members = stage_table(skew_join(members.drop("size"), spread.select("key", "size"), ["key"], heavy_keys(spread.select("key", "size"), "size")), "open")
-            if total[0] <= 2 * total[1] or (turn > 1 and linked < WORTH) or turn == ROUNDS:
-                pairs = prefix_pairs(members.select(F.col("rep").alias("doc_id"), "component").distinct(), blobs, percent)
-                pairs = stage_table(pairs, "pairs")
-                found = stage_table(verify(pairs, blobs, percent), "links")
-                links = links.unionByName(found)
+            # groups that have become one component are not looked at again
+            members = stage_table(skew_join(members.drop("size"), spread.select("key", "size"), ["key"], heavy_keys(spread, "size", ["key"])), "open")
+            grouped = members.drop("component")
+            if pairs_left <= 2 * rows_left or (turn > 1 and linked < WORTH) or turn == ROUNDS:
+                pairs = stage_table(prefix_pairs(members.select("cid", "component").distinct(), blobs, percent), "pairs")
+                links = links.unionByName(stage_table(verify(pairs, blobs, percent), "links"))
                 labels = components(links)
                 break
         else:
-            members = members.withColumn("component", F.col("rep"))
-        # first the least id leads all its groups; later each group draws a leader of its own, so a member meets many
-        rank = F.col("rep") if turn == 0 else F.xxhash64("rep", "key", F.lit(turn))
-        leader = members.groupBy("key", "size").agg(F.min_by(F.struct(F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("n")), rank).alias("_l"))
-        pairs = skew_join(members.drop("size"), leader.select("key", "_l"), ["key"], heavy_keys(leader, "size").select("key", "_l"))
+            members = members.withColumn("component", F.col("cid"))
+        # first the least class leads all its groups; later each group draws a leader of its own, so a member meets many
+        rank = F.col("cid") if turn == 0 else F.xxhash64("cid", "key", F.lit(turn))
+        leader = members.groupBy("key", "size").agg(F.min_by(F.struct(F.col("cid").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("n")), rank).alias("_l"))
+        leader = stage_table(leader, "leaders")
+        pairs = skew_join(members.drop("size"), leader.select("key", "_l"), ["key"], heavy_keys(leader, "size", ["key"]))
         pairs = pairs.where((F.col("component") != F.col("_l.ca")) & (100 * F.least("n_shingles", "_l.n") >= percent * F.greatest("n_shingles", "_l.n")))
-        pairs = stage_table(pairs.select(F.col("_l.a").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+        pairs = stage_table(pairs.select(F.col("_l.a").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
         found = stage_table(verify(pairs, blobs, percent), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
         linked = found.count() / max(1, pairs.count())
-    named = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*identity, F.coalesce("component", "rep").alias("component_id"), "members")
-    heavy = heavy_keys(named, "members").drop("members")
-    out = skew_join(sketches.select("doc_id", *identity), named.drop("members"), identity, heavy, "left")
-    # equal ids share the least component of their rows only where their texts do; null ids and empty sets stand alone
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))).otherwise(F.col("doc_id"))
+    return labels
+
+
+def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id and kept (it is its component's least id).
+
+    Words are runs without ASCII white space, A-Z in lower case.  A text of
+    fewer words than a shingle is one shingle of its own; null and empty texts
+    have none and link with nothing.  Every row takes part by its own text, so
+    rows with equal ids may be in different components.  Rows with a null id
+    link like others; their component is its least id, null if it has none.
+    """
+    sketches, classes = classes_of(docs, words, percent, id_column, text_column)
+    least = stage_table(classes.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("size"), F.sum("members").alias("rows")).where("rows > 1"), "least")
+    named = skew_join(classes.select("component", "members", *IDENTITY), least.select("component", "component_id"), ["component"], heavy_keys(least, "size", ["component"]))
+    named = stage_table(named.select(*IDENTITY, "component_id", "members", F.lit(True).alias("grouped")), "named")
+    out = skew_join(sketches.select("doc_id", *IDENTITY), named.drop("members"), IDENTITY, heavy_keys(named, "members", IDENTITY), "left")
+    component = F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _repeats(sketches: DataFrame) -> bool:
-    """Whether any id stands for more than one row."""
-    return bool(sketches.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count())
+def deduplicate(docs: DataFrame, *, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group of near duplicates, and all rows without words.
+
+    The row with the least id stays, one without an id only where no other is
+    in the group; of rows that are equal in id and text any one.  Columns are
+    unchanged, whatever their names.
+    """
+    sketches, classes = classes_of(docs, words, percent, id_column, text_column)
+    first = classes.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.k").alias("k")).distinct()
+    copies = stage_table(sketches.where("n_shingles > 0").groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "copies")
+    first = stage_table(first.join(copies, "k", "left"), "first")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    of = dict(zip(docs.columns, names, strict=True))
+    rows = docs.toDF(*names).withColumn("k", row_key(of[id_column], of[text_column]))
+    worded = F.coalesce(F.col(of[text_column]).rlike(WORD), F.lit(False))
+    kept = rows.where(worded).join(first.where("n IS NULL"), "k", "left_semi").select(*names)
+    if copies.limit(1).count():
+        again = rows.where(worded).join(first.where("n IS NOT NULL"), "k", "left_semi")
+        kept = kept.unionByName(again.dropDuplicates(["k", of[id_column], of[text_column]]).select(*names))
+    return kept.unionByName(rows.where(~worded).select(*names)).toDF(*docs.columns)
+
+
+#: Any character that is not ASCII white space.
+WORD = "[^ \\t\\n\\x0B\\f\\r]"

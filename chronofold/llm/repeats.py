@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import _BYTE_CODE, doc_key, heavy_keys, mix64, range_hash, skew_join, slices, stage_table, text_bytes, word_bounds, word_hashes
+from chronofold.llm.common import _BYTE_CODE, row_key, heavy_keys, mix64, range_hash, skew_join, slices, stage_table, text_bytes, word_bounds, word_hashes
 
 _INDEX = np.uint64((1 << 28) - 1)
 
@@ -100,7 +100,7 @@ def segments(sym: np.ndarray, offsets: np.ndarray, what: Windows) -> Segments:
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), doc_key(id_column).alias("k"))
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), row_key(id_column, text_column).alias("k"))
 
 
 @dataclass
@@ -127,13 +127,13 @@ def find(docs: DataFrame, what: Windows, *, id_column: str = "doc_id", text_colu
     made = stage_table(_keyed(docs, id_column, text_column).select("text", "k").mapInArrow(run, "k long, anchor long, content long, n int"), "anchors")
     often = made.groupBy("anchor").agg(F.sum("n").alias("times")).where("times > 1")
     often = stage_table(often, "often")
-    rows = stage_table(skew_join(made, often.select("anchor"), ["anchor"], heavy_keys(often, "times").select("anchor")), "repeated")
+    rows = stage_table(skew_join(made, often.select("anchor"), ["anchor"], heavy_keys(often, "times", ["anchor"])), "repeated")
     counted = stage_table(rows.groupBy("anchor", "content").agg(F.sum("n").alias("n"), F.min("k").alias("k")), "segments")
     twice = counted.where("n > 1").select("anchor", "content", "n")
     pair = ["anchor", "content"]
-    whole = stage_table(skew_join(rows.select("k", *pair), twice.select(*pair), pair, heavy_keys(twice, "n").select(*pair)).select("k", "content"), "whole")
+    whole = stage_table(skew_join(rows.select("k", *pair), twice.select(*pair), pair, heavy_keys(twice, "n", pair)).select("k", "content"), "whole")
     rivals = stage_table(counted.groupBy("anchor").agg(F.count("*").alias("rivals")).where("rivals > 1"), "rivals")
-    open_ = stage_table(skew_join(counted, rivals, ["anchor"], heavy_keys(rivals, "rivals")), "open")
+    open_ = stage_table(skew_join(counted, rivals, ["anchor"], heavy_keys(rivals, "rivals", ["anchor"])), "open")
     return Found(whole, open_)
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import heavy_keys, range_hash, skew_join, slices, stage_table
+from chronofold.llm.common import heavy_keys, range_hash, row_key, skew_join, slices, stage_table
 from chronofold.llm.repeats import Found, Windows, _keyed, covered, find, segments, spans_of, symbols, with_lists
 
 
@@ -49,7 +49,7 @@ def repeated_windows(docs: DataFrame, found: Found, what: Windows) -> DataFrame:
     pair = ["h", "anchor"]
     twice = stage_table(made.groupBy(*pair).agg(F.sum("n").alias("times")).where("times > 1"), "twice")
     single = made.where("n = 1").select("k", *pair)
-    return skew_join(single, twice.select(*pair), pair, heavy_keys(twice, "times").select(*pair)).select("k", F.col("h").alias("item"))
+    return skew_join(single, twice.select(*pair), pair, heavy_keys(twice, "times", pair)).select("k", F.col("h").alias("item"))
 
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start:int,end:int>>"
@@ -73,7 +73,7 @@ def remove_repeats(docs: DataFrame, *, span: int = 50, gram: int = 8, id_column:
     lists = stage_table(found.whole.select("k", F.col("content").alias("item"), F.lit(True).alias("whole")).unionByName(some.withColumn("whole", F.lit(False))), "removed")
     lists = lists.distinct().groupBy("k").agg(F.collect_list(F.when(F.col("whole"), F.col("item"))).alias("_whole"), F.collect_list(F.when(~F.col("whole"), F.col("item"))).alias("_some"))
     if keep_columns:
-        rows = docs.withColumn("_k", F.xxhash64(id_column)).withColumn("_text", F.col(text_column))
+        rows = docs.withColumn("_k", row_key(id_column, text_column)).withColumn("_text", F.col(text_column))
     else:
         rows = keyed.select(F.col("doc_id"), F.col("k").alias("_k"), F.col("text").alias("_text"))
     rows = rows.join(lists.withColumnRenamed("k", "_k"), "_k", "left").drop("_k")

@@ -215,7 +215,7 @@ def remove_repeats(docs: DataFrame, *, span: int = 400, gram: int = 48, id_colum
     across = hits.where("h IS NOT NULL")
     pair = ["h", "anchor"]
     merged = across.groupBy(*pair).agg(F.sum("times").alias("total")).where("total > 1")
-    merged = skew_join(across.where("k IS NOT NULL AND times = 1").select("k", *pair), merged.select(*pair), pair, heavy_keys(merged, "total").select(*pair))
+    merged = skew_join(across.where("k IS NOT NULL AND times = 1").select("k", *pair), merged.select(*pair), pair, heavy_keys(merged, "total", pair))
     entry = lambda content, lo, hi, h: F.struct(content.alias("content"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), h.cast("long").alias("h"))
     none, c = F.lit(None), F.col
     lists = (

@@ -35,19 +35,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group stays, whatever its ids: that of the least id, one with no id last.
-
-    Rows stand for themselves by a hash of id and text, so that repeated, null and ambiguous ids take part like any
-    other.  Rows without words are in no group and stay.
-    """
-    words = F.coalesce(F.col("text").rlike(WORDS), F.lit(False))
-    keyed = docs.where(words).withColumn("_row", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
-    groups = minhash.near_duplicates(keyed.select("_row", "text"), id_column="_row").select(F.col("doc_id").alias("_row"), "component_id").distinct()
-    ids = keyed.select("_row", "doc_id").distinct()
-    first = groups.join(ids, "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("_m"))
-    # copies of a row are reduced in their own partitions first, so many of them do not meet in one task
-    kept = keyed.dropDuplicates(["_row"]).join(first.select("_m._row"), "_row", "left_semi")
-    return kept.select(*docs.columns).unionByName(docs.where(~words))
+    """One row of each near-duplicate group stays, whatever its ids: that of the least id, one with no id last."""
+    return minhash.deduplicate(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

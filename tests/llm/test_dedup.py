@@ -217,3 +217,39 @@ def test_long_rows_without_an_id_of_their_own(spark, frame, ids):
         want.append((len(b), int(gone.sum()), bytes(x for x, g in zip(b, gone, strict=True) if not g)))
     got = suffix.remove_repeats(frame(list(zip(ids, texts, strict=True))))
     assert sorted((r.n_bytes, r.n_removed, bytes(r.kept)) for r in got.collect()) == sorted(want)
+
+
+def brute_rows(rows, words, percent):
+    """Component of each row by its own text, as the least id that is reachable."""
+    by_place = brute_components([(p, t) for p, (_, t) in enumerate(rows)], words, percent)
+    ids = {}
+    for p, (i, _) in enumerate(rows):
+        if i is not None:
+            ids[by_place[p][1]] = min(i, ids.get(by_place[p][1], i))
+    out = []
+    for p, (i, _) in enumerate(rows):
+        n, root, _ = by_place[p]
+        component = ids.get(root) if n else i
+        out.append((i, n, component, i == component))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("heavy", [1, 200])
+def test_repeated_and_null_ids_link_by_their_texts(spark, frame, monkeypatch, heavy):
+    """A repeated id with different texts loses no link; rows without an id link too."""
+    monkeypatch.setattr("chronofold.llm.common.LEAST_HEAVY", heavy)
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    a, b, c = text(60), text(60), text(300)
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (3, b + " y"), (None, c), (7, c + " z"), (None, c + " q"), (None, text(40)), (4, ""), (None, None)]
+    got = sorted((tuple(r) for r in minhash.near_duplicates(frame(rows), words=2).collect()), key=repr)
+    assert got == brute_rows(rows, 2, 80)
+    kept = sorted(((r.doc_id, r.text) for r in minhash.deduplicate(frame(rows), words=2).collect()), key=repr)
+    assert kept == sorted([(1, a), (1, b), (7, c + " z"), rows[8], (4, ""), (None, None)], key=repr)
+
+
+def test_deduplicate_keeps_columns_of_any_name(spark, frame):
+    rows = [(i, "one two three four five six seven" if i % 2 else "eight nine ten") for i in range(6)]
+    clash = frame(rows).selectExpr("*", "1 AS k", "2 AS c0", "3 AS component", "4 AS `a.b`", "5 AS n")
+    kept = minhash.deduplicate(clash, words=2)
+    assert kept.columns == clash.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1]
