@@ -347,7 +347,7 @@ IDENTITY = ["n_shingles", "h1", "h2"]
 
 def _linked(docs: DataFrame, classes: DataFrame, words: int, percent: int, id_column: str, text_column: str) -> DataFrame | None:
     """(id, component) of the classes that link with another; None if there is no candidate."""
-    keyed = classes.select("cid", "n_shingles", F.explode("keys").alias("key"))
+    keyed = classes.select("cid", "rep", "n_shingles", F.explode("keys").alias("key"))
     shared = stage_table(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     grouped = stage_table(skew_join(keyed, shared, ["key"], heavy_keys(shared, "size", ["key"])), "groups")
     involved = stage_table(grouped.select("cid").distinct().join(classes.select("cid", F.col("first.k").alias("k"), *IDENTITY), "cid"), "involved")
@@ -381,8 +381,8 @@ def _linked(docs: DataFrame, classes: DataFrame, words: int, percent: int, id_co
                 break
         else:
             members = members.withColumn("component", F.col("cid"))
-        # first the least class leads all its groups; later each group draws a leader of its own, so a member meets many
-        rank = F.col("cid") if turn == 0 else F.xxhash64("cid", "key", F.lit(turn))
+        # first the class of the least id leads all its groups; later each group draws a leader of its own, so a member meets many
+        rank = F.struct(F.col("rep").isNull(), "rep", "cid") if turn == 0 else F.xxhash64("cid", "key", F.lit(turn))
         leader = members.groupBy("key", "size").agg(F.min_by(F.struct(F.col("cid").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("n")), rank).alias("_l"))
         leader = stage_table(leader, "leaders")
         pairs = skew_join(members.drop("size"), leader.select("key", "_l"), ["key"], heavy_keys(leader, "size", ["key"]))
