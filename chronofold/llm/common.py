@@ -180,21 +180,26 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have[0][:n], have[1][:n]
 
 
-def range_hash(symbols: np.ndarray, base: int):
+class range_hash:  # noqa: N801  used like a function
     """A function (starts, ends) -> 64-bit hashes of those ranges of ``symbols``.
 
     Polynomial hashing modulo 2**64 by prefix sums; every range costs the same.
     ``symbols`` are already well-mixed 64-bit values.
     """
-    n = len(symbols)
-    up, down = powers(base, n + 1)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(symbols * up[:n], out=prefix[1:])
 
-    def hashes(starts, ends):
-        return mix64((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    def __init__(self, symbols: np.ndarray, base: int):
+        n = len(symbols)
+        up, self.down = powers(base, n + 1)
+        self.prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum(symbols * up[:n], out=self.prefix[1:])
 
-    return hashes
+    def __call__(self, starts, ends):
+        return mix64((self.prefix[ends] - self.prefix[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def fixed(self, width: int) -> np.ndarray:
+        """Hashes of all ranges of one width in order, unmixed: only their upper bits are good."""
+        m = max(0, len(self.prefix) - width)
+        return (self.prefix[width:] - self.prefix[:m]) * self.down[:m]
 
 
 #: White space of the word rule: space and U+0009 to U+000D.

@@ -1,58 +1,63 @@
-"""Repeated word sequences: seeds from winnowed anchors, extended to maximal repeats.
-
-Seeds are the anchors of ``repeats``; documents meet on them by counting, not in
-pairs.  Extension goes both ways from a seed as far as a window reaches: first
-the whole context at once, and where contexts differ, window by window.  Runs of
-repeated windows are the maximal repeats of at least ``span`` words.
+"""Repeated word sequences: seeds from winnowed anchors, extended both ways to maximal repeats.
+
+Documents are joined on their anchors (``repeats``): all pieces of an anchor,
+each the anchor with the words around it, come together.  From the seed each
+piece is extended to the left and to the right, word by word, and a window of
+the span is a match where another piece has the same words as far to the left
+and as far to the right.  That is told by the hashes of both extensions, which
+are sorted rather than compared in pairs, so a group of n pieces costs n log n.
+Runs of matching windows over all seeds of a document are its maximal repeats
+of at least ``span`` words.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import heavy_keys, range_hash, row_key, skew_join, slices, stage_table
-from chronofold.llm.repeats import Found, Windows, _keyed, covered, find, segments, spans_of, symbols, with_lists
-
+from chronofold.llm.common import mix64, range_hash, row_key, slices
+from chronofold.llm.repeats import SLICE, Piece, Windows, find, keyed, pieces, removed, search_shards, spans_of, with_ranges
 
-def _window_hashes(sym: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
-    return range_hash(sym, 0xD6E8FEB86659FD93)(starts, starts + span).view(np.int64)
+#: Bytes of word hashes after which seeds are extended together.
+ENOUGH = 2 << 20
 
 
-def repeated_windows(docs: DataFrame, found: Found, what: Windows) -> DataFrame:
-    """(k, item): hashes of repeated windows in segments that occur once.  ``docs`` has text and k."""
-    items = F.struct("content", F.least("n", F.lit(2)).cast("long").alias("n"))
-    joined = with_lists(docs, found.open.select("k", items.alias("item")), "inner")
-    flat = joined.select("text", "k", "items.content", "items.n")
+def extend(held: list[Piece], what: Windows) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each piece, which of its windows another piece of the same anchor has too, and a hash of each window.
 
-    def run(batches):
-        for batch in slices(batches, "text", 1 << 20):
-            sym, offsets = symbols(batch.column(0), what)
-            s = segments(sym, offsets, what)
-            lo, hi = np.searchsorted(s.row, np.arange(batch.num_rows)), np.searchsorted(s.row, np.arange(batch.num_rows), "right")
-            out: list[tuple] = []
-            for r, (k, content, n) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)):
-                want = dict(zip(content, n, strict=True))
-                for i in range(lo[r], hi[r]):
-                    m = want.pop(int(s.content[i]), None)  # one copy of a segment takes part
-                    if m is not None:
-                        starts = np.arange(s.first[i], s.last[i] + 1)
-                        out.append((np.full(len(starts), k), _window_hashes(sym, starts, what.span), np.full(len(starts), s.anchor[i]), np.full(len(starts), m)))
-            columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["k", "h", "anchor", "n"])
-
-    made = stage_table(flat.mapInArrow(run, "k long, h long, anchor long, n long"), "windows")
-    pair = ["h", "anchor"]
-    twice = stage_table(made.groupBy(*pair).agg(F.sum("n").alias("times")).where("times > 1"), "twice")
-    single = made.where("n = 1").select("k", *pair)
-    return skew_join(single, twice.select(*pair), pair, heavy_keys(twice, "times", pair)).select("k", F.col("h").alias("item"))
+    Window i of a piece reaches (seed - i) words to the left of its seed and the
+    rest of the span to the right.
+    """
+    sizes = np.array([len(p.data) // 8 for p in held], np.int64)
+    count = sizes - what.span + 1
+    ends = np.cumsum(sizes)
+    words = np.frombuffer(b"".join(p.data for p in held), np.uint64)
+    owner = np.repeat(np.arange(len(held)), count)
+    i = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    start = (ends - sizes)[owner] + i
+    seed = (ends - sizes + np.array([p.seed for p in held], np.int64))[owner]
+    anchor = np.array([p.anchor for p in held], np.int64).view(np.uint64)[owner]
+    hashes = range_hash(words, 0xD6E8FEB86659FD93)
+    left, right = hashes(start, seed), hashes(seed + what.gram, start + what.span)
+    both = mix64(left ^ mix64(right ^ anchor))
+    weight = np.array([p.n for p in held], np.int64)[owner]  # a piece with several places matches itself
+    order = np.argsort(both)
+    new = np.flatnonzero(np.concatenate([[True], both[order][1:] != both[order][:-1]])) if len(order) else order
+    times = np.add.reduceat(weight[order], new) if len(order) else weight
+    hit = np.zeros(len(owner), bool)
+    hit[order] = np.repeat(times, np.diff(np.append(new, len(order)))) > 1
+    cut = np.cumsum(count)[:-1]
+    return list(zip(np.split(hit, cut), np.split(both.view(np.int64), cut), strict=True))
 
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start:int,end:int>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def remove_repeats(docs: DataFrame, *, span: int = 50, gram: int = 8, id_column: str = "doc_id", text_column: str = "text", with_text: bool = True, keep_columns: bool = False) -> DataFrame:
@@ -63,68 +68,49 @@ def remove_repeats(docs: DataFrame, *, span: int = 50, gram: int = 8, id_column:
     a text from which nothing is removed is kept as it is.  spans are ranges of
     removed words.  Null and empty texts have no words (a null text stays
     null); equal rows count as different places, so all their windows are
-    repeated.  ``keep_columns`` returns the rows of ``docs`` with the text
-    replaced instead, for use as a stage.
+    repeated; null and equal ids do no harm.  ``keep_columns`` returns the rows
+    of ``docs``, whatever their columns' names, with the text replaced instead,
+    for use as a stage.
     """
     what = Windows(span, min(gram, span), True)
-    found = find(docs, what, id_column=id_column, text_column=text_column)
-    keyed = _keyed(docs, id_column, text_column)
-    some = repeated_windows(keyed.select("text", "k"), found, what)
-    lists = stage_table(found.whole.select("k", F.col("content").alias("item"), F.lit(True).alias("whole")).unionByName(some.withColumn("whole", F.lit(False))), "removed")
-    lists = lists.distinct().groupBy("k").agg(F.collect_list(F.when(F.col("whole"), F.col("item"))).alias("_whole"), F.collect_list(F.when(~F.col("whole"), F.col("item"))).alias("_some"))
+    rows = keyed(docs, id_column, text_column)
+    found = find(rows, what)
+    hits = search_shards(pieces(rows, found, what), lambda held: extend(held, what), ENOUGH)
     if keep_columns:
-        rows = docs.withColumn("_k", row_key(id_column, text_column)).withColumn("_text", F.col(text_column))
+        kept = [f"c{i}" for i in range(len(docs.columns))]
+        of = dict(zip(docs.columns, kept, strict=True))
+        rows = docs.toDF(*kept).withColumn("k", row_key(of[id_column], of[text_column]))
+        schema, at = docs.schema, docs.columns.index(text_column)
     else:
-        rows = keyed.select(F.col("doc_id"), F.col("k").alias("_k"), F.col("text").alias("_text"))
-    rows = rows.join(lists.withColumnRenamed("k", "_k"), "_k", "left").drop("_k")
-    kept = [c for c in rows.columns if c not in ("_text", "_whole", "_some")]
-    rows = rows.select(*kept, "_text", "_whole", "_some")
-    at = len(kept)
-    nothing = np.zeros(0, np.int64)
+        kept, schema, at = ["doc_id", "text"], OUT if with_text else ", ".join(OUT.split(", ")[:4]), 1
+    rows = with_ranges(rows, found, hits).select(*kept, "items")
+    names = schema.names if keep_columns else [x.split()[0] for x in schema.split(", ")]
+
+    def cut(batch: pa.RecordBatch, touched: bool) -> pa.RecordBatch:
+        text, out = batch.column(at), []
+        gone, offsets = removed(text, batch.column(len(kept)), what) if touched else (None, None)
+        for r, t in enumerate(text.to_pylist()):
+            left = words = (t or "").encode().split()
+            mask = gone[offsets[r] : offsets[r + 1]] if touched else None
+            if touched:
+                left = list(compress(words, (~mask).tolist()))
+            joined = b" ".join(left)
+            lost = len(words) - len(left)
+            out.append((len(words), lost, joined, spans_of(mask) if lost else [], joined.decode() if lost else t))
+        n, lost, joined, spans, texts = zip(*out, strict=True)
+        if keep_columns:
+            return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()).cast(batch.column(i).type) if i == at else batch.column(i) for i in range(len(kept))], names)
+        columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in joined])]
+        if with_text:
+            columns += [pa.array(texts, pa.string()), pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], _SPANS)]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches):
-        for batch in slices(batches, "_text", 1 << 20):
-            text = batch.column(at)
-            sym, offsets = symbols(text, what)
-            s = segments(sym, offsets, what)
-            lo, hi = np.searchsorted(s.row, np.arange(batch.num_rows)), np.searchsorted(s.row, np.arange(batch.num_rows), "right")
-            out = []
-            for r, (t, whole, some) in enumerate(zip(*(batch.column(at + i).to_pylist() for i in range(3)), strict=True)):
-                data = (t or "").encode()
-                words = data.split()
-                spans: list = []
-                if whole or some:
-                    part = slice(lo[r], hi[r])
-                    first, last = s.first[part], s.last[part]
-                    all_ = np.isin(s.content[part], np.array(whole or nothing, np.int64))
-                    starts, ends = [first[all_]], [last[all_] + what.span]
-                    if some:
-                        rest = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[~all_], last[~all_], strict=True)] or [nothing])
-                        if len(rest):
-                            hit = rest[np.isin(_window_hashes(sym, rest, what.span), np.array(some, np.int64))]
-                            starts.append(hit)
-                            ends.append(hit + what.span)
-                    gone = covered(len(words), np.concatenate(starts) - offsets[r], np.concatenate(ends) - offsets[r])
-                    spans = spans_of(gone)
-                    left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                else:
-                    left = words
-                joined = b" ".join(left)
-                removed = len(words) - len(left)
-                out.append((len(words), removed, joined, spans, t if not removed else joined.decode()))
-            n, removed, joined, spans, texts = zip(*out, strict=True)
-            if keep_columns:
-                columns = [pa.array(texts, pa.string()).cast(batch.column(i).type) if c == text_column else batch.column(i) for i, c in enumerate(kept)]
-                yield pa.RecordBatch.from_arrays(columns, kept)
-            else:
-                columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in joined])]
-                names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-                if with_text:
-                    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                    columns += [pa.array(texts, pa.string()), pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], kind)]
-                    names += ["kept_text", "spans"]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    if keep_columns:
-        return rows.mapInArrow(run, docs.schema)
-    return rows.mapInArrow(run, OUT if with_text else ", ".join(OUT.split(", ")[:4]))
+        for batch in slices(batches, kept[at], SLICE):
+            some = batch.column(len(kept)).is_valid()
+            for touched, mask in ((True, some), (False, pc.invert(some))):
+                part = batch.filter(mask)
+                if part.num_rows:
+                    yield cut(part, touched)
+
+    return rows.mapInArrow(run, schema)

@@ -1,19 +1,21 @@
 """Repeated byte strings by per-shard suffix arrays.
 
-``repeats`` first narrows texts down to segments: short stretches around anchors
-that occur more than once in different surroundings.  Segments with the same
-anchor come into the same shard, so equal windows do too.  A shard's suffix
-array is built by prefix doubling in the manner of Larsson and Sadakane (groups
-that are already single are left alone), in numpy; common prefixes follow
-Kasai's rule that the value at a text position is at least that of the one
-before it, less one, so only positions where the rule does not give the value
-are compared.  A window is repeated if it has ``span`` bytes in common with a
-neighbour in the array.
-
-An anchor with more than ``SHARD_SEGMENTS`` segments is dealt out to several
-shards.  Windows of such anchors that are new to their own shard meet those of
-the other shards by a count of hashes, and a document looks its windows up in
-the sorted result by binary search.
+``repeats`` first narrows texts down to pieces: short stretches around anchors
+that occur more than once.  Pieces with the same anchor come into the same
+shard, so equal windows do too.  A shard's suffix array is built by the
+refinement of Larsson and Sadakane in numpy: suffixes are sorted by their first
+bytes, and then by pairs of ranks, each round twice as far; groups that are
+single are left alone.  Kasai's rule gives common prefixes in text order: the
+value at a position is that of the one before it, less one, wherever the
+neighbour in the array moves on by one as well; elsewhere bytes are compared.  A
+window is repeated if it has ``span`` bytes in common with a neighbour in the
+array.
+
+A piece that stands in several places enters the array once: each of its
+suffixes stands beside its copies', with all that is left of the piece in
+common.  An anchor with very many pieces is dealt out to several shards; windows
+that are new to their own shard are looked up among the sorted windows of the
+others by binary search (``repeats.merge_shards``).
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from chronofold.llm.common import heavy_keys, mix64, range_hash, skew_join, slices, stage_table, text_bytes, _BYTE_CODE
-from chronofold.llm.repeats import Found, Windows, _keyed, covered, find, segments, spans_of, symbols, with_lists
+from chronofold.llm.common import _BYTE_CODE, range_hash, slices, text_bytes
+from chronofold.llm.repeats import SLICE, Piece, Windows, find, keyed, pieces, removed, search_shards, spans_of, with_ranges
 
-#: Segments of one anchor in a shard (about 3 MB of text), and bytes after which a suffix array is built.
-SHARD_SEGMENTS, SHARD_BYTES = 4000, 2 << 20
+#: Bytes after which a suffix array is built.
+ENOUGH = 1 << 19
 
 
 def suffix_array(text: np.ndarray, ends: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,43 +45,50 @@ def suffix_array(text: np.ndarray, ends: np.ndarray, upto: int) -> tuple[np.ndar
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    left = np.repeat(ends, np.diff(np.concatenate([[0], ends]))) - np.arange(n)  # bytes of each suffix
+    bits = np.uint64(n.bit_length())
+    if 3 * int(bits) > 64:
+        raise ValueError("a shard has at most two million bytes")
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    place = np.arange(n)
+    left = np.repeat(ends, np.diff(np.concatenate([[0], ends]))) - place  # bytes of each suffix
     key = np.zeros(n, np.uint64)
+    code = text.astype(np.uint64) + np.uint64(1)
     for k in range(7):  # seven bytes at nine bits; 0 stands for the end
-        code = np.zeros(n, np.uint64)
-        code[: n - k] = text[k:].astype(np.uint64) + np.uint64(1)
-        code[left <= k] = 0
-        key = key << np.uint64(9) | code
-    sa = np.argsort(key, kind="stable")
-    sorted_key = key[sa]
-    new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
-    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        part = np.zeros(n, np.uint64)
+        part[: n - k] = code[k:]
+        part[left <= k] = 0
+        key = key << np.uint64(9) | part
+    sa = np.argsort(key)
+    ordered = key[sa]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    start = np.flatnonzero(new)
     rank = np.empty(n, np.int64)
-    rank[sa] = start
+    rank[sa] = np.repeat(start, np.diff(np.append(start, n)))
     h = 7
-    single = new & np.append(new[1:], True)
-    slots = np.flatnonzero(~single)  # places of the array whose groups have several suffixes
+    slots = np.flatnonzero(~(new & np.append(new[1:], True)))  # places of the array whose groups have several suffixes
     while len(slots) and h < upto:
         pos = sa[slots]
-        group = rank[pos]
-        follow = np.where(left[pos] > h, rank[np.minimum(pos + h, n - 1)], -1 - pos)
-        order = np.lexsort((follow, group))
-        pos, group, follow = pos[order], group[order], follow[order]
+        # the rank h bytes on, above those of suffixes that end before, which are in text order
+        follow = np.where(left[pos] > h, rank[np.minimum(pos + h, n - 1)] + 1, 0)
+        key = (rank[pos].astype(np.uint64) << bits | follow.astype(np.uint64)) << bits | pos.astype(np.uint64)
+        key.sort()
+        pos, pair = (key & low).astype(np.int64), key >> bits
         sa[slots] = pos
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])])
-        rank[pos] = slots[np.maximum.accumulate(np.where(new, np.arange(len(pos)), 0))]
-        single = new & np.append(new[1:], True)
-        slots = slots[~single]
+        ended = (pair & low) == 0  # each ends at its own place, so no two are equal
+        new = np.concatenate([[True], (pair[1:] != pair[:-1]) | ended[1:]])
+        start = np.flatnonzero(new)
+        rank[pos] = np.repeat(slots[start], np.diff(np.append(start, len(pos))))
+        slots = slots[~(new & np.append(new[1:], True))]
         h *= 2
     return sa, rank
 
 
-def common_prefixes(text: np.ndarray, ends: np.ndarray, sa: np.ndarray, span: int) -> np.ndarray:
-    """For each position, the bytes it has in common with the suffix before it in the array, up to ``span``.
+def common_prefixes(text: np.ndarray, ends: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """For each position, the bytes it has in common with the suffix before it in the array.
 
-    Kasai's rule in text order: where the bytes before both suffixes agree, the
-    value is the one at the position before, less one.  All other values are
-    found together by binary search on their length with range hashes.
+    Kasai's rule in text order: where the bytes before both suffixes belong
+    together in the same way, the value is the one at the position before, less
+    one.  Only the others are compared, eight bytes at a time.
     """
     n = len(text)
     if n == 0:
@@ -88,192 +97,93 @@ def common_prefixes(text: np.ndarray, ends: np.ndarray, sa: np.ndarray, span: in
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     first = np.zeros(n, bool)
-    first[np.concatenate([[0], ends[:-1]])] = True
-    p = np.maximum(before, 1)
-    derived = (before > 0) & ~first & ~first[np.maximum(before, 0)]
-    derived[1:] &= (text[:-1] == text[p[1:] - 1]) & (before[:-1] == before[1:] - 1)
-    derived[0] = False
+    first[np.concatenate([[0], ends[:-1]])[np.diff(np.concatenate([[0], ends])) > 0]] = True
+    derived = np.zeros(n, bool)
+    derived[1:] = (before[1:] > 0) & (before[:-1] == before[1:] - 1) & (text[:-1] == text[before[1:] - 1])
+    derived &= ~first & ~first[np.maximum(before, 0)]
     ask = np.flatnonzero(~derived & (before >= 0))
-    hashes = range_hash(_BYTE_CODE[text], 0x8CB92BA72F3D8DD7)
-    lo, other = np.zeros(len(ask), np.int64), before[ask]
-    hi = np.minimum(np.minimum(left[ask], left[other]), span + n)  # longer than span, for the rule to hold further on
-    while (lo < hi).any():
-        mid = (lo + hi + 1) // 2
-        same = hashes(ask, ask + mid) == hashes(other, other + mid)
-        lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+    other = before[ask]
+    most = np.minimum(left[ask], left[other])
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(8, np.uint8)]), 8)
+    have = np.zeros(len(ask), np.int64)
+    alive = np.flatnonzero(most > 0)
+    while len(alive):
+        at = have[alive]
+        same = eight[ask[alive] + at] == eight[other[alive] + at]
+        step = np.where(same.all(axis=1), 8, same.argmin(axis=1))
+        have[alive] = at + step
+        alive = alive[(step == 8) & (at + 8 < most[alive])]
     value = np.zeros(n, np.int64)
-    value[ask] = lo + ask
-    fresh = np.where(derived, -1, np.arange(n))
-    value = value[np.maximum.accumulate(fresh)] - np.arange(n)
+    value[ask] = np.minimum(have, most) + ask
+    value = value[np.maximum.accumulate(np.where(derived, -1, np.arange(n)))] - np.arange(n)
     return np.where(before < 0, 0, np.maximum(value, 0))
 
 
-def repeated_starts(parts: list[bytes], span: int) -> list[np.ndarray]:
-    """For each byte string, whether the window at each of its starts occurs at another place in any of them."""
+def repeated_starts(parts: list[bytes], span: int, counts: list[int] | None = None) -> list[np.ndarray]:
+    """For each byte string, whether the window at each of its starts occurs at another place in any of them.
+
+    ``counts``: places of each string; one with several has copies beside it.
+    """
     sizes = np.array([len(p) for p in parts], np.int64)
     text = np.frombuffer(b"".join(parts), np.uint8)
     ends = np.cumsum(sizes)
-    sa, _ = suffix_array(text, ends, 2 * span)
-    lcp = common_prefixes(text, ends, sa, span)
-    hit = lcp >= span
+    sa, _ = suffix_array(text, ends, span)
+    hit = common_prefixes(text, ends, sa) >= span
     back = np.flatnonzero(hit[sa])  # and the suffix before it in the array
     hit[sa[back - 1]] = True
+    if counts is not None:
+        hit |= np.repeat(np.array(counts) > 1, sizes)
     return [hit[e - s : max(e - s, e - span + 1)] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
-def segment_texts(docs: DataFrame, found: Found, what: Windows) -> DataFrame:
-    """One copy of each open segment: anchor, content, k, n, shard count of its anchor, bytes."""
-    items = F.struct("content", "anchor", F.least("n", F.lit(2)).cast("long").alias("n"), F.ceil(F.col("rivals") / SHARD_SEGMENTS).cast("long").alias("shards"))
-    joined = with_lists(docs, found.open.select("k", items.alias("item")), "inner")
-    flat = joined.select("text", "k", "items.content", "items.n", "items.shards")
-    names = ["anchor", "content", "k", "n", "shards", "data"]
-
-    def run(batches):
-        for batch in slices(batches, "text", 1 << 20):
-            raw, _ = text_bytes(batch.column(0))
-            sym, offsets = symbols(batch.column(0), what)
-            s = segments(sym, offsets, what)
-            lo, hi = np.searchsorted(s.row, np.arange(batch.num_rows)), np.searchsorted(s.row, np.arange(batch.num_rows), "right")
-            out: list[tuple] = []
-            for r, (k, *lists) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True)):
-                want = {c: (n, q) for c, n, q in zip(*lists, strict=True)}
-                for i in range(lo[r], hi[r]):
-                    m = want.pop(int(s.content[i]), None)
-                    if m is not None:
-                        out.append((int(s.anchor[i]), int(s.content[i]), k, *m, raw[s.first[i] : s.last[i] + what.span].tobytes()))
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:5]], pa.array(columns[5], pa.binary())], names)
+def search(held: list[Piece], span: int) -> list[tuple[np.ndarray, np.ndarray | None]]:
+    """Repeated windows of a shard's pieces, and hashes of the windows of those whose anchor has several shards."""
+    hits = repeated_starts([p.data for p in held], span, [p.n for p in held])
+    return [(hit, range_hash(_BYTE_CODE[np.frombuffer(p.data, np.uint8)], 0x9E6D62D06F6A9A9B)(at := np.arange(len(hit)), at + span).view(np.int64) if p.shards > 1 else None) for p, hit in zip(held, hits, strict=True)]
 
-    return stage_table(flat.mapInArrow(run, "anchor long, content long, k long, n long, shards long, data binary"), "pieces")
 
-
-HITS = "k long, content long, lo int, hi int, h long, anchor long, times long"
-
-
-def search_shards(pieces: DataFrame, span: int) -> DataFrame:
-    """Ranges of repeated windows of the pieces, and window hashes of anchors that have several shards.
-
-    Rows with ``hi``: windows lo to hi (exclusive) of the segment are repeated.
-    Rows with ``h``: a window that is new to its shard (times 1, with its document),
-    or one that the shard has settled, once (times 2).
-    """
-    n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shard = F.xxhash64("anchor", F.pmod("content", "shards"))
-    dealt = pieces.withColumn("shard", shard).repartition(n, "shard").sortWithinPartitions("shard")
-    names = [x.split()[0] for x in HITS.split(", ")]
-
-    def search(rows: list[tuple]) -> pa.RecordBatch:
-        out: list[tuple] = []
-        told: set[tuple[int, int]] = set()
-        for (anchor, content, k, count, shards, data), hit in zip(rows, repeated_starts([r[5] for r in rows], span), strict=True):
-            if count == 1:
-                out += [(k, content, a, b, None, None, None) for a, b in spans_of(hit)]
-            if shards > 1:
-                starts = np.arange(len(hit))
-                h = range_hash(_BYTE_CODE[np.frombuffer(data, np.uint8)], 0x9E6D62D06F6A9A9B)(starts, starts + span).view(np.int64)
-                for i, (x, again) in enumerate(zip(h.tolist(), hit.tolist(), strict=True)):
-                    if count == 1 and not again:  # new to this shard: ask the others
-                        out.append((k, content, i, None, x, anchor, 1))
-                    elif (anchor, x) not in told:  # settled here: tell the others once
-                        told.add((anchor, x))
-                        out.append((None, content, i, None, x, anchor, 2))
-        columns = list(zip(*out, strict=True)) or [[]] * 7
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-    def run(batches):
-        held: list[tuple] = []
-        size, last = 0, None
-        for batch in batches:
-            for *row, shard_ in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if shard_ != last and size >= SHARD_BYTES:
-                    yield search(held)
-                    held, size = [], 0
-                held.append(tuple(row))
-                size, last = size + len(row[5]), shard_
-        if held:
-            yield search(held)
-
-    return stage_table(dealt.select("anchor", "content", "k", "n", "shards", "data", "shard").mapInArrow(run, HITS), "hits")
-
-
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>"
+OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, kept binary, spans array<struct<start:long,end:long>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def remove_repeats(docs: DataFrame, *, span: int = 400, gram: int = 48, id_column: str = "doc_id", text_column: str = "text", with_bytes: bool = True) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_bytes`` the kept bytes and removed spans.
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, text, and with ``with_bytes`` the kept bytes and removed spans.
 
     A byte is removed if any string of ``span`` bytes over it also starts
-    anywhere else, in the input as it is.  Null and empty texts have no bytes;
-    equal rows are different places, so all their windows are repeated; null
-    ids are kept.  An empty table gives no rows.
+    anywhere else, in the input as it is.  ``text`` has the kept bytes as a
+    string (characters of which bytes went are replaced by U+FFFD).  Null and
+    empty texts have no bytes; equal rows are different places, so all their
+    windows are repeated; null and equal ids are kept and do no harm; other
+    columns are ignored.  An empty table gives no rows.
     """
     what = Windows(span, min(gram, span), False)
-    found = find(docs, what, id_column=id_column, text_column=text_column)
-    keyed = _keyed(docs, id_column, text_column)
-    hits = search_shards(segment_texts(keyed.select("text", "k"), found, what), span)
-    across = hits.where("h IS NOT NULL")
-    pair = ["h", "anchor"]
-    merged = across.groupBy(*pair).agg(F.sum("times").alias("total")).where("total > 1")
-    merged = skew_join(across.where("k IS NOT NULL AND times = 1").select("k", *pair), merged.select(*pair), pair, heavy_keys(merged, "total", pair))
-    entry = lambda content, lo, hi, h: F.struct(content.alias("content"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), h.cast("long").alias("h"))
-    none, c = F.lit(None), F.col
-    lists = (
-        found.whole.distinct().select("k", entry(c("content"), none, none, none).alias("item"))
-        .unionByName(hits.where("hi IS NOT NULL").select("k", entry(c("content"), c("lo"), c("hi"), none).alias("item")))
-        .unionByName(merged.select("k", entry(none.cast("long"), none, none, c("h")).alias("item")))
-    )
-    joined = with_lists(keyed, lists, "left").select("doc_id", "text", "items.content", "items.lo", "items.hi", "items.h")
+    rows = keyed(docs, id_column, text_column)
+    found = find(rows, what)
+    hits = search_shards(pieces(rows, found, what), lambda held: search(held, span), ENOUGH)
+    rows = with_ranges(rows, found, hits).select("doc_id", "text", "items")
+    schema = OUT if with_bytes else ", ".join(OUT.split(", ")[:6])
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def cut(batch: pa.RecordBatch, touched: bool) -> pa.RecordBatch:
+        raw, offsets = text_bytes(batch.column(1))
+        gone = removed(batch.column(1), batch.column(2), what)[0] if touched else None
+        out = []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            spans = spans_of(gone[a:b]) if touched else []
+            kept = raw[a:b][~gone[a:b]].tobytes() if spans else raw[a:b].tobytes()
+            out.append((b - a, b - a - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode(errors="replace"), kept, [{"start": x, "end": y} for x, y in spans]))
+        n, lost, count, digest, text, kept, spans = zip(*out, strict=True)
+        columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(count, pa.int64()), pa.array(digest), pa.array(text, pa.string())]
+        if with_bytes:
+            columns += [pa.array(kept, pa.binary()), pa.array(spans, _SPANS)]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches):
-        for batch in slices(batches, "text", 1 << 20):
-            raw, offsets = text_bytes(batch.column(1))
-            touched = np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False))
-            gone = np.zeros(len(raw), bool)
-            if len(touched):
-                s = segments(_BYTE_CODE[raw], offsets, what)
-                window = range_hash(_BYTE_CODE[raw], 0x9E6D62D06F6A9A9B)
-                for r in touched.tolist():
-                    part = slice(*np.searchsorted(s.row, [r, r + 1]))
-                    first, last, content = s.first[part], s.last[part], s.content[part]
-                    order = np.argsort(content, kind="stable")
-                    cs, lo, hi, h = (batch.column(i)[r].as_py() for i in (2, 3, 4, 5))
-                    whole = np.array([x for x, a, y in zip(cs, hi, h, strict=True) if a is None and y is None], np.int64)
-                    all_ = np.isin(content, whole)
-                    starts, ends = [first[all_]], [last[all_] + span]
-                    ranges = [(x, a, b) for x, a, b in zip(cs, lo, hi, strict=True) if b is not None]
-                    if ranges:
-                        x, a, b = (np.array(v, np.int64) for v in zip(*ranges, strict=True))
-                        # rows with an equal key share a list: of its ranges only those of the row's own segments apply
-                        sorted_ = content[order]
-                        place = np.searchsorted(sorted_, x)
-                        own = np.flatnonzero(place < len(sorted_))
-                        own = own[sorted_[place[own]] == x[own]]
-                        at = first[order[place[own]]]
-                        starts.append(at + a[own])
-                        ends.append(at + b[own] - 1 + span)
-                    merged_ = np.sort(np.array([y for y in h if y is not None], np.int64))
-                    if len(merged_) and not all_.all():
-                        rest = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[~all_], last[~all_], strict=True)])
-                        hash_ = window(rest, rest + span).view(np.int64)
-                        place = np.minimum(np.searchsorted(merged_, hash_), len(merged_) - 1)
-                        hit = rest[merged_[place] == hash_]
-                        starts.append(hit)
-                        ends.append(hit + span)
-                    base = offsets[r]
-                    gone[base : offsets[r + 1]] = covered(int(offsets[r + 1] - base), np.concatenate(starts) - base, np.concatenate(ends) - base)
-            rows = []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                mask = gone[a:b]
-                spans = spans_of(mask) if mask.any() else []
-                kept = raw[a:b][~mask].tobytes() if spans else raw[a:b].tobytes()
-                rows.append((b - a, b - a - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept, [{"start": x, "end": y} for x, y in spans]))
-            n, removed, count, digest, kept, spans = zip(*rows, strict=True)
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest)]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            if with_bytes:
-                columns += [pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-                names += ["kept", "spans"]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return joined.mapInArrow(run, OUT if with_bytes else ", ".join(OUT.split(", ")[:5]))
+        for batch in slices(batches, "text", SLICE):
+            some = batch.column(2).is_valid()
+            for touched, mask in ((True, some), (False, pc.invert(some))):
+                part = batch.filter(mask)
+                if part.num_rows:
+                    yield cut(part, touched)
+
+    return rows.mapInArrow(run, schema)

@@ -93,7 +93,7 @@ def test_suffix(spark, frame, corpus):
 
 def test_many_shards_for_one_anchor(spark, frame, monkeypatch):
     """Segments of one anchor dealt to several shards give the same result."""
-    monkeypatch.setattr(suffix, "SHARD_SEGMENTS", 3)
+    monkeypatch.setattr(repeats, "SHARD_PIECES", 3)
     rng = random.Random(1)
     shared = "".join(rng.choice("abcdef") for _ in range(90))
     rows = [(i, "".join(rng.choice("uvwxyz") for _ in range(80)) + shared + "".join(rng.choice("uvwxyz") for _ in range(80))) for i in range(40)]
@@ -109,10 +109,10 @@ def test_suffix_array_and_prefixes():
     key = lambda p: bytes(text[p : end_of[p]])
     assert sorted(sa.tolist()) == list(range(len(text)))
     assert all(key(a) <= key(b) for a, b in itertools.pairwise(sa.tolist()))
-    lcp = suffix.common_prefixes(text, ends, sa, 20)
+    lcp = suffix.common_prefixes(text, ends, sa)
     for a, b in itertools.pairwise(sa.tolist()):
         want = next((k for k, (x, y) in enumerate(zip(key(a), key(b), strict=False)) if x != y), min(len(key(a)), len(key(b))))
-        assert min(lcp[b], 20) == min(want, 20)
+        assert lcp[b] == want
 
 
 def brute_components(rows, words, percent):
@@ -253,3 +253,32 @@ def test_deduplicate_keeps_columns_of_any_name(spark, frame):
     clash = frame(rows).selectExpr("*", "1 AS k", "2 AS c0", "3 AS component", "4 AS `a.b`", "5 AS n")
     kept = minhash.deduplicate(clash, words=2)
     assert kept.columns == clash.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1]
+
+
+@pytest.mark.parametrize("heavy", [1, 200])
+def test_words_of_rows_that_share_an_id(spark, frame, monkeypatch, heavy):
+    """Rows with equal or null ids, whole repeated rows and clashing column names."""
+    monkeypatch.setattr("chronofold.llm.common.LEAST_HEAVY", heavy)
+    monkeypatch.setattr(repeats, "SHARD_PIECES", 2)
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice("abcdefghij") + str(rng.randrange(30)) for _ in range(n))
+    passage = text(45)
+    rows = [(None, text(20) + " " + passage), (None, passage + " " + text(9)), (3, text(80)), (3, text(50) + " " + passage), (5, text(60)), (5, None), (None, "")]
+    rows += [rows[4], rows[4], rows[0]]
+    want = sorted(brute_words(list(enumerate(t for _, t in rows)), 35).values())
+    got = sorted((r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(frame(rows), span=35).collect())
+    assert got == want
+    clash = frame(rows).selectExpr("*", "1 AS k", "'x' AS _text", "3 AS items", "4 AS c0", "5 AS `a.b`", "6 AS content")
+    stage = substring.remove_repeats(clash, span=35, keep_columns=True)
+    assert stage.columns == clash.columns and stage.count() == len(rows)
+    assert {(r._text, r.k, r.c0) for r in stage.collect()} == {("x", 1, 4)}
+
+
+def test_bytes_at_the_full_span(spark, frame):
+    """The query's own setting on texts with copies and passages around 400 bytes."""
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    passage = text(420)
+    rows = [text(600), text(30) + passage + text(500), passage + text(50), text(10) + passage[:380], "ab" * 500, "ab" * 260, "z" * 401, None, ""]
+    rows += [rows[0], rows[0][:450], text(3000) + rows[1] + text(800)]
+    check_bytes(frame, list(enumerate(rows)), 400, 48)
