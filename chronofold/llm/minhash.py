@@ -179,7 +179,7 @@ def sketch(docs: DataFrame, words: int, *, id_column: str, text_column: str) ->
 
 
 def set_blobs(texts: DataFrame, words: int) -> DataFrame:
-    """cid, the class's full set as ascending 64-bit hashes, and its registers of each kind that its size has.
+    """cid, size, the class's full set as ascending 64-bit hashes, and its registers of each kind that its size has.
 
     ``texts`` has text, cid and the class's identity (n_shingles, h1, h2).  A
     text that does not have that set, which shares a row key by chance, gives
@@ -197,10 +197,10 @@ def set_blobs(texts: DataFrame, words: int) -> DataFrame:
                     for r, x in zip(rows.tolist(), make(*_taken(code, bounds, size, rows)), strict=True):
                         registers[kind][r] = x.tobytes()
             blobs = [data[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            made = pa.RecordBatch.from_arrays([batch.column(1), pa.array(blobs, pa.binary()), *[pa.array(x, pa.binary()) for x in registers]], ["cid", "blob", "own", "shared"])
+            made = pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(blobs, pa.binary()), *[pa.array(x, pa.binary()) for x in registers]], ["cid", "n_shingles", "blob", "own", "shared"])
             yield made.filter(pa.array(own.all(axis=0)))
 
-    return texts.select("text", "cid", "n_shingles", "h1", "h2").mapInArrow(run, "cid long, blob binary, own binary, shared binary")
+    return texts.select("text", "cid", "n_shingles", "h1", "h2").mapInArrow(run, "cid long, n_shingles long, blob binary, own binary, shared binary")
 
 
 def _kinds(size: np.ndarray):
@@ -212,33 +212,44 @@ def _taken(code: np.ndarray, bounds: np.ndarray, size: np.ndarray, rows: np.ndar
     return np.concatenate([code[bounds[r] : bounds[r + 1]] for r in rows]), np.concatenate([[0], np.cumsum(size[rows])])
 
 
-def verify(pairs: DataFrame, blobs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    named = lambda x: blobs.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("blob", "own", "shared")])
+def _beside(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs (a, b) with columns of both their sets, as name_a and name_b."""
+    named = lambda x: sets.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
     heavy = heavy_keys(pairs.groupBy("a").count(), "count", ["a"], 100)
-    both = skew_join(pairs.join(named("b"), "b"), named("a"), ["a"], heavy)
-    # far below the threshold: more than five standard errors
+    return skew_join(skew_join(pairs.select("a", "b"), named("b"), ["b"], []), named("a"), ["a"], heavy)
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+
+    Registers are compared first: a pair whose estimate is more than five
+    standard errors below the threshold does not fetch its full sets.
+    """
     floor = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
 
-    def run(batches):
-        for batch in slices(batches, "blob_b", 4 << 20):
+    def likely(batches):
+        for batch in batches:
             a, b, *rest = (batch.column(i).to_pylist() for i in range(8))
             keep = []
-            for i, (x, y, x0, y0, x1, y1) in enumerate(zip(*rest, strict=True)):
-                n, m = len(x) // 8, len(y) // 8
-                if 100 * min(n, m) < percent * max(n, m):
-                    continue
-                r, q = (x1, y1) if max(n, m) > LARGE else (x0, y0)
-                if estimate(np.frombuffer(r, np.uint16), np.frombuffer(q, np.uint16), n, m) < floor:
-                    continue
-                both_ = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-                both_.sort(kind="stable")
-                common = int((both_[1:] == both_[:-1]).sum())
-                if 100 * common >= percent * (n + m - common):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
-
-    return both.select("a", "b", "blob_a", "blob_b", "own_a", "own_b", "shared_a", "shared_b").mapInArrow(run, "a long, b long")
+            for n, m, x0, y0, x1, y1 in zip(*rest, strict=True):
+                x, y = (x1, y1) if max(n, m) > LARGE else (x0, y0)
+                keep.append(100 * min(n, m) >= percent * max(n, m) and estimate(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), n, m) >= floor)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def exact(batches):
+        for batch in slices(batches, "blob_b", 4 << 20):
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+                both.sort(kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
+                keep.append(100 * common >= percent * (len(both) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    names = ["n_shingles", "own", "shared"]
+    near = _beside(pairs, sets, names).select("a", "b", *[f"{c}_{x}" for c in names for x in "ab"]).mapInArrow(likely, "a long, b long")
+    near = stage_table(near, "likely")
+    return _beside(near, sets, ["blob"]).select("a", "b", "blob_a", "blob_b").mapInArrow(exact, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -354,11 +365,12 @@ def _linked(docs: DataFrame, classes: DataFrame, words: int, percent: int, id_co
     asked = involved.count()
     if not asked:
         return None
-    texts = docs.select(row_key(id_column, text_column).alias("k"), F.col(text_column).alias("text")).join(involved, "k")
+    texts = docs.select(row_key(id_column, text_column).alias("k"), F.col(text_column).alias("text")).join(involved.hint("merge"), "k")
     blobs = stage_table(set_blobs(texts, words), "sets")
     if blobs.count() > asked:  # rows that are repeated whole give their set once; copies meet in their own partitions first
         blobs = stage_table(blobs.dropDuplicates(["cid"]), "sets")
     links, labels, linked = None, None, 1.0
+    tested: DataFrame | None = None
     for turn in range(ROUNDS + 1):
         members = grouped
         if labels is not None:
@@ -375,7 +387,8 @@ def _linked(docs: DataFrame, classes: DataFrame, words: int, percent: int, id_co
             members = stage_table(skew_join(members.drop("size"), spread.select("key", "size"), ["key"], heavy_keys(spread, "size", ["key"])), "open")
             grouped = members.drop("component")
             if pairs_left <= 2 * rows_left or (turn > 1 and linked < WORTH) or turn == ROUNDS:
-                pairs = stage_table(prefix_pairs(members.select("cid", "component").distinct(), blobs, percent), "pairs")
+                pairs = prefix_pairs(members.select("cid", "component").distinct(), blobs, percent).join(tested, ["a", "b"], "left_anti")
+                pairs = stage_table(pairs, "pairs")
                 links = links.unionByName(stage_table(verify(pairs, blobs, percent), "links"))
                 labels = components(links)
                 break
@@ -387,7 +400,11 @@ def _linked(docs: DataFrame, classes: DataFrame, words: int, percent: int, id_co
         leader = stage_table(leader, "leaders")
         pairs = skew_join(members.drop("size"), leader.select("key", "_l"), ["key"], heavy_keys(leader, "size", ["key"]))
         pairs = pairs.where((F.col("component") != F.col("_l.ca")) & (100 * F.least("n_shingles", "_l.n") >= percent * F.greatest("n_shingles", "_l.n")))
-        pairs = stage_table(pairs.select(F.col("_l.a").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
+        pairs = pairs.select(F.least("_l.a", "cid").alias("a"), F.greatest("_l.a", "cid").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = stage_table(pairs, "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
         found = stage_table(verify(pairs, blobs, percent), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
