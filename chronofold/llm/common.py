@@ -26,7 +26,7 @@ HEAVY_SHARE = 1000
 LEAST_HEAVY = 200
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,18 +59,28 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
-    _written.append((spark, path))
+    _written[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(path: str) -> None:
+    spark = _written.pop(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_table(table: DataFrame) -> None:
+    """Remove a table that ``stage_table`` has written; others are left alone."""
+    folders = {f.rpartition("/")[0].rpartition("/")[2] for f in table.inputFiles()[:1]}
+    for path in [p for p in _written if p.rpartition("/")[2] in folders]:
+        _remove(path)
+
+
 def drop_staged() -> None:
     """Remove every table that ``stage_table`` has written in this process."""
-    while _written:
-        spark, path = _written.pop()
+    for path in list(_written):
         try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(path)
         except Exception:  # noqa: BLE001  the session has ended; the folder's owner clears it
             return
 

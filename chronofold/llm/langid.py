@@ -111,7 +111,11 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: list[str], settings: Settings = Settings()) -> Model:
-    """Train on (text, label) pairs, in the order given; the same pairs give the same model."""
+    """Train on (text, label) pairs, in the order given; the same pairs give the same model.
+
+    No pairs give a model without languages; texts without any run of bytes
+    are pairs like others.
+    """
     s = settings
     languages = sorted(set(labels))
     n, c = len(texts), len(languages)
@@ -153,12 +157,17 @@ def fit(texts: list[str], labels: list[str], settings: Settings = Settings()) ->
             g[np.arange(len(part)), target[part]] -= 1
             g /= len(part)
             rate = s.rate * (1 - steps / total)
-            back = np.repeat(g @ out.T, np.diff(bounds), axis=0) * share[:, None]
-            out -= rate * (x.T @ g)
-            bias -= 0.01 * rate * g.sum(axis=0)
+            # a step is never longer than what the curvature of the loss bears: short texts have long vectors
+            own = _sums((share * share)[:, None], bounds)[:, 0]
+            scale = np.minimum(1.0, 1.0 / np.maximum(rate * own * (out * out).sum(), 1e-30))
+            back = np.repeat((g * scale[:, None]) @ out.T, np.diff(bounds), axis=0) * share[:, None]
+            out -= min(rate, 1.0 / max(float((x * x).sum(axis=1).max()), 1e-30)) * (x.T @ g)
+            bias -= min(0.01 * rate, 1.0) * g.sum(axis=0)
             for d in range(s.width):
                 table[:, d] -= rate * np.bincount(idx, back[:, d], s.buckets)
             steps += 1
+    if not (np.isfinite(table).all() and np.isfinite(out).all() and np.isfinite(bias).all()):
+        raise FloatingPointError("training has diverged")
     temperature, least = 1.0, 0.0
     if held:
         z = np.concatenate([forward(tune[i : i + 64])[4] for i in range(0, held, 64)])

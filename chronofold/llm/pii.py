@@ -33,7 +33,8 @@ _RANK = {k: i for i, k in enumerate(LABELS[1:])}
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# runs of digits are only looked at from their start and are never given back, which changes no match but keeps long runs linear
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ASSIGNED = re.compile(r"""(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b\s*[=:]\s*["']?([A-Za-z0-9_+/=-]{16,})""")
@@ -53,6 +54,12 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _octet(part: str) -> bool:
+    """Whether a run of digits is at most 255, however many zeros lead it."""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the fixed patterns, by start and kind.
 
@@ -72,7 +79,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
             free = m.end()
         at = text.find("@", max(at + 1, free))
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(map(_octet, m[0].split("."))):
             found.append((m.start(), m.end(), "ip"))
     for m in _CARD.finditer(text):
         d = _digits(m[0])
@@ -141,8 +148,8 @@ def features(node: Node) -> list[str]:
         f"plus={t[:1] == '+'}",
         f"marks={''.join(sorted({c for c in t if not c.isalnum()}))[:6]}",
     ]
-    if len(parts) == 4 and all(p.isdigit() for p in parts):
-        out.append(f"quad={all(len(p) <= 3 and int(p) <= 255 for p in parts)}")
+    if len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts):
+        out.append(f"quad={all(map(_octet, parts))}")
     if "@" in t:
         out.append(f"address={bool(_EMAIL.fullmatch(t))}")
     if 14 <= len(d) <= 19 and not letters:
@@ -214,12 +221,15 @@ def weak_labels(text: str, nodes: list[Node]) -> np.ndarray:
 
 #: Features seen on fewer nodes than this are not used.
 LEAST_SEEN = 3
+#: Skip links of each label with itself that count as seen before training.
+SAME = 5.0
 
 
 def fit(texts: list[str], steps: int = 300, rate: float = 2.0, decay: float = 1e-3) -> Field:
     """Train on the texts given, in their order; no texts give a field that adds nothing."""
     m = len(LABELS)
-    rows, labels, pairs = [], [], {"chain": np.ones((m, m)), "skip": np.ones((m, m)) * 0.1}
+    # before any link is seen: neighbours say nothing, and nodes of the same content have the same label more often than not
+    rows, labels, pairs = [], [], {"chain": np.ones((m, m)), "skip": 0.1 + SAME * np.eye(m)}
     for text in texts:
         nodes = nodes_of(text, base_spans(text))
         y = weak_labels(text, nodes)
@@ -256,10 +266,7 @@ def fit(texts: list[str], steps: int = 300, rate: float = 2.0, decay: float = 1e
         joint = pairs[kind] / pairs[kind].sum()
         tables.append(np.log(joint / (joint.sum(axis=1, keepdims=True) * joint.sum(axis=0, keepdims=True))).clip(-3, 3))
     chain, skip = tables
-    skip = (skip + skip.T) / 2
-    # nodes with the same content have the same label; the counts only say how surely
-    skip = np.where(np.eye(m, dtype=bool), np.maximum(skip, 1.0), np.minimum(skip, -1.0))
-    return Field(index, weights, chain * 0.5, skip)
+    return Field(index, weights, chain * 0.5, (skip + skip.T) / 2)
 
 
 def marginals(field: Field, nodes: list[Node], rounds: int = 12, damping: float = 0.3) -> np.ndarray:
@@ -338,7 +345,8 @@ def find_spans(docs: DataFrame, field: Field, *, id_column: str = "doc_id", text
     """Counts and spans of each document, in code points.
 
     Null and empty texts have none; ids may be null or repeat, each row gives
-    one row.  Overlapping pattern matches of different kinds all stay.
+    one row; other columns are ignored; an empty table gives no rows.
+    Overlapping pattern matches of different kinds all stay.
     """
     sent = docs.sparkSession.sparkContext.broadcast(field)
     names = [x.split()[0] for x in DIGEST.split(", ")]
@@ -373,13 +381,15 @@ def masked(text: str, found: list[tuple[int, int, str]]) -> str:
 
 
 def mask_documents(docs: DataFrame, field: Field, *, text_column: str = "text", length_column: str | None = "n_chars") -> DataFrame:
-    """Replace spans in the texts, keeping all columns; the length column follows the text."""
+    """Replace spans in the texts, keeping all columns, whatever their names; the length column follows the text."""
     sent = docs.sparkSession.sparkContext.broadcast(field)
+    names = [f"c{i}" for i in range(len(docs.columns))]
     place = docs.columns.index(text_column)
+    rows = docs.toDF(*names)
 
     def run(batches):
         f = sent.value
-        for batch in slices(batches, text_column):
+        for batch in slices(batches, names[place]):
             hits = np.flatnonzero(_candidates(batch.column(place)))
             if len(hits):
                 texts = batch.column(place).to_pylist()
@@ -388,8 +398,8 @@ def mask_documents(docs: DataFrame, field: Field, *, text_column: str = "text",
                 batch = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
             yield batch
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = rows.mapInArrow(run, rows.schema)
     if length_column in docs.columns:
-        kind = docs.schema[length_column].dataType
-        out = out.withColumn(length_column, F.length(text_column).cast(kind))
-    return out
+        length = names[docs.columns.index(length_column)]
+        out = out.withColumn(length, F.length(names[place]).cast(docs.schema[length_column].dataType))
+    return out.toDF(*docs.columns)

@@ -7,13 +7,11 @@ of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm import langid, minhash, packing, pii, substring
-from chronofold.llm.common import shared_dir
+from chronofold.llm.common import drop_table, stage_table
 
 
 #: Any character that is not ASCII white space.
@@ -28,10 +26,17 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is not recognised go; the others keep their columns."""
+    """Documents whose language is not recognised go; the others keep their columns, whatever their names.
+
+    Where no row has a language nothing can be learned, and all rows stay.
+    """
     rows = langid.training_rows(docs)
+    if not rows:
+        return docs
     model = langid.fit([t for t, _ in rows], [x for _, x in rows])
-    return langid.predict(docs, model).where(~F.col("lang_rejected")).select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    known = langid.predict(docs.toDF(*names), model, text_column=names[docs.columns.index("text")])
+    return known.where(~F.col("lang_rejected")).select(*names).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,12 +73,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents table; each result is written to the shared folder and read again."""
+    """All stages on the documents table; each result is written to the shared folder and read again.
+
+    A stage's table goes once the next one is written; the last goes when Python exits.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (name, stage) in enumerate(STAGES):
-        made = stage(spark, docs, sf_dir)
-        path = f"{folder}/{number}_{name}"
-        made.write.parquet(path)
-        docs = spark.read.schema(made.schema).parquet(path)
+        made = stage_table(stage(spark, docs, sf_dir), f"pipeline-{number}-{name}")
+        drop_table(docs)
+        docs = made
     return docs

@@ -4,6 +4,8 @@ import hashlib
 import itertools
 import math
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -14,6 +16,10 @@ from chronofold.llm import langid, pii, quality, unigram
 from tests.llm.test_dedup import words_of
 
 
+#: Arithmetic that overflows or divides by zero is a fault, not a note.
+pytestmark = pytest.mark.filterwarnings("error::RuntimeWarning")
+
+
 def brute_stats(t):
     t = t or ""
     w = words_of(t)
@@ -56,11 +62,48 @@ def test_certified_cutoffs(spark, frame):
 
 
 def brute_emails(text):
-    import re
-
     return [m.span() for m in re.finditer(pii._EMAIL.pattern, text)]
 
 
+def brute_spans(text):
+    """The four base patterns as plain regular expressions."""
+    out = [(*m.span(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(*m.span(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c in "0123456789"]
+        doubled = [x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(reversed(d))]
+        if 14 <= len(d) <= 19 and sum(doubled) % 10 == 0:
+            out.append((*m.span(), "card"))
+    out += [(*m.span(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= sum(c in "0123456789" for c in m[0]) <= 15]
+    return sorted(out, key=lambda s: (s[0], ["email", "ip", "card", "phone"].index(s[2])))
+
+
+def test_base_spans_equal_plain_patterns():
+    rng = random.Random(17)
+    alphabets = ["0123456789.", "01 -", "+0123456789() .-", "ab1@.-_%+", "0123456789.+-@ ()aZ_%\u00b2\u0661 \u00e9"]
+    texts = ["".join(rng.choice(a) for _ in range(rng.randrange(70))) for a in alphabets for _ in range(1500)]
+    cards = ["4111 1111 1111 1111", "5500-0000-0000-0004", "378282246310005", "0" * 14, "0" * 20]
+    texts += [rng.choice(cards) + rng.choice(["", " ", "-", "1", ".1.1.1", "@x.y"]) + rng.choice(cards) for _ in range(300)]
+    texts += ["0" * 4000 + ".1.1.1", "1.2.3." + "0" * 4000 + "7", "1.1.1.1" * 40]
+    for t in texts:
+        assert pii.base_spans(t) == brute_spans(t), t
+
+
+def test_long_and_odd_digit_runs(spark, frame):
+    """Neither crash nor take time that grows with the square of a run."""
+    field = pii.fit([])
+    texts = ["9" * 5000 + ".1.1.1", "0" * 5000 + ".1.1.1", "1.2.3.\u00b2", "\u0661.\u0662.\u0663.\u0664", "7" * 2_000_000, "1." * 300_000, "+1" * 200_000, "a@" * 200_000, "@" * 300_000]
+    began = time.perf_counter()
+    for t in texts[:7]:
+        pii.spans(t, field)
+    for t in texts[7:]:
+        assert pii.base_spans(t) == []
+    assert time.perf_counter() - began < 60
+    rows = [(i, t) for i, t in enumerate(texts[:4])]
+    out = {r.doc_id: r for r in pii.find_spans(frame(rows).selectExpr("*", "1 AS spans", "2 AS n_ip", "3 AS field"), field).collect()}
+    assert [out[i].n_ip for i in range(4)] == [0, 1, 0, 0]
+
+
 def test_base_patterns():
     texts = ["a@b.c", "x@@y.z @a.b a.b@c", "a@b a@b.c@d.e", "über.x@mail.example.com.", "..@-.-", "a@b.c,d@e.f", "@", "w" * 50 + "@x.y", "p@q.r@s.t"]
     for t in texts:
@@ -121,6 +164,16 @@ def test_language(spark, frame):
     assert langid.training_rows(frame([])) == []
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_training_stays_finite(seed):
+    """Few rows, odd texts and labels without a pattern do not make it diverge."""
+    rng = random.Random(seed)
+    pairs = [("".join(rng.choice("abcdefgh ") for _ in range(rng.choice([1, 3, 9, 80]))), rng.choice(["x", "y", "z"])) for _ in range(rng.choice([5, 84, 300]))]
+    pairs += [("", "x"), ("zz", "y"), ("zzz", "only")]
+    model = langid.fit([t for t, _ in pairs], [l for _, l in pairs])
+    assert np.isfinite(model.table).all() and np.isfinite(model.bias).all() and np.isfinite(model.least) and model.temperature > 0
+
+
 def brute_best(u, segment):
     """The best score over all ways to cut a short segment."""
     text, best = segment, {0: 0.0}
@@ -203,3 +256,39 @@ def test_pipeline_keeps_one_row_of_repeated_and_null_ids(spark, frame, tmp_path)
     assert sorted([(r.doc_id, r.text) for r in near.collect()], key=str) == sorted([*whole, (None, None), (2, " ")], key=str)
     left = corpus_pipeline.drop_repeated_passages(spark, near, str(tmp_path))
     assert sorted([(r.doc_id, r.text) for r in left.collect()], key=str) == whole
+
+
+def test_pipeline_without_labels_and_with_other_columns(spark, frame, tmp_path):
+    """Without any language nothing is rejected; users' columns of any name survive every stage; an empty table stays empty."""
+    text = "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [(1, text), (2, "some other words that are here for the second row"), (None, None), (4, "")]
+    extra = ["'mine' AS score", "'own' AS lang_pred", "1 AS lang_rejected", "2 AS _text", "3 AS _k", "4 AS _whole", "5 AS _some", "6 AS k", "7 AS items", "8 AS c1", "9 AS cid", "10 AS `a.b`"]
+    for lang in (None, "en"):
+        docs = frame(rows).withColumn("lang", F.lit(lang).cast("string")).selectExpr("*", *extra)
+        columns = docs.columns
+        for number, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            made = stage(spark, docs, str(tmp_path))
+            path = f"file://{tmp_path}/{lang}{number}"
+            made.write.parquet(path)
+            docs = spark.read.schema(made.schema).parquet(path)
+            assert docs.columns == columns, name
+            assert {(r.score, r.lang_pred, r._text, r._k, r._whole, r._some) for r in docs.collect()} == {("mine", "own", 2, 3, 4, 5)}, name
+            if name == "language_id":
+                assert docs.count() == (4 if lang is None else 2)
+        assert sorted(r.doc_id for r in docs.collect()) == [1, 2]
+        assert {r.doc_id for r in corpus_pipeline.pack_sequences(spark, docs, str(tmp_path)).collect()} == {1, 2}
+    docs = frame([])
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+    assert docs.count() == 0
+
+
+def test_pipeline_runs_from_files(spark, frame, tmp_path):
+    """``run`` gives the rows of its stages one after another."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["house", "with", "and", "water", "green", "light", "stone"]) + str(rng.randrange(40)) for _ in range(60))) for i in range(30)]
+    rows += [(50, rows[3][1]), (51, "12 34"), (52, None)]
+    frame(rows).withColumn("lang", F.lit("en")).write.parquet(f"file://{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    assert sorted({r.doc_id for r in out}) == list(range(30))
+    assert sum(r.length for r in out) == sum({r.doc_id: r.doc_tokens for r in out}.values())
