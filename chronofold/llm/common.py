@@ -26,6 +26,9 @@ HEAVY_SHARE = 1000
 LEAST_HEAVY = 200
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
+#: Bytes of rows that go to Python at a time.
+BATCH_BYTES = 4 << 20
 _written: dict[str, SparkSession] = {}
 
 
@@ -50,8 +53,12 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
 
     The shuffle files behind the write are released once it has ended, since
     the written table replaces them.  Tables are removed when Python exits.
+    Unless the session has its own limit, batches of rows that go to Python
+    are limited in bytes from then on: texts may be long.
     """
     spark = df.sparkSession
+    if spark.conf.get(_BATCH, None) in (None, _DEFAULT):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
