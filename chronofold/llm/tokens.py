@@ -18,11 +18,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_PAIRS = ("  ", "\n\n", " \n", "\n ")
+from chronofold.llm.common import text_bytes
+
 #: White space other than the space and the line feed.
 _OTHER = re.compile("[" + "".join(map(chr, [9, 11, 12, 13, *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
+#: First bytes of such characters beyond U+007F.
+_WIDE = (0xC2, 0xE1, 0xE2, 0xE3)
 #: Distinct pieces that a worker keeps; beyond it the memo starts anew.
-MEMO = 800_000
+MEMO = 1_600_000
 #: New pieces that go to the library as one text.
 _JOIN = 400
 
@@ -53,7 +56,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.memo: dict[str, int] = {}
+        self.memo = pa.array([], pa.large_string())
         self.pool, self.used = np.zeros(1 << 20, np.uint16), 0
         self.at, self.size, self.known = np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int32), 0
 
@@ -76,16 +79,40 @@ class Encoder:
         self.pool[self.used : self.used + n] = ids
         self.at[self.known : self.known + m] = starts + self.used
         self.size[self.known : self.known + m] = np.diff(np.append(starts, n))
-        self.memo.update(zip(pieces, range(self.known, self.known + m), strict=True))
+        self.memo = pa.concat_arrays([self.memo, pa.array(pieces, pa.large_string())])
         self.used, self.known = self.used + n, self.known + m
 
+    def _odd(self, texts: list[str]) -> np.ndarray:
+        """Which texts have to go to the library whole."""
+        raw, offsets = text_bytes(pa.array(texts, pa.large_string()))
+        odd = np.zeros(len(texts), bool)
+        if not len(raw):
+            return odd
+        row = lambda hit: np.searchsorted(offsets, np.flatnonzero(hit), "right") - 1
+        white = (raw == 32) | (raw == 10)
+        pair = white.copy()
+        pair[:-1] &= white[1:]
+        last = offsets[1:][np.diff(offsets) > 0] - 1
+        pair[last] = white[last]  # at the end of a text one is enough, and so at its start
+        odd[row(pair)] = True
+        odd[row((raw < 32) & (raw != 10))] = True
+        starts = np.flatnonzero(np.diff(offsets) > 0)
+        odd[starts[white[offsets[:-1][starts]]]] = True
+        wide = np.zeros(len(raw), bool)
+        for byte in _WIDE:
+            wide |= raw == byte
+        for i in np.unique(row(wide)).tolist():
+            odd[i] = odd[i] or bool(_OTHER.search(texts[i]))
+        for token in self.added:
+            for i in np.unique(row(raw == token.encode()[0])).tolist():
+                odd[i] = odd[i] or token in texts[i]
+        return odd
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(texts)
-        clean, odd = [], []
-        for i, text in enumerate(texts):
-            if text:
-                bad = text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _PAIRS) or _OTHER.search(text) or any(x in text for x in self.added)
-                (odd if bad else clean).append(i)
+        odd_ = self._odd([t or "" for t in texts])
+        odd = np.flatnonzero(odd_).tolist()
+        clean = [i for i in np.flatnonzero(~odd_).tolist() if texts[i]]
         if odd:
             for i, ids in zip(odd, self._library([texts[i] for i in odd]), strict=True):
                 out[i] = np.array(ids, np.uint16)
@@ -98,12 +125,17 @@ class Encoder:
         if isinstance(lists, pa.ChunkedArray):
             lists = lists.combine_chunks()
         coded = lists.values.dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
-        memo = self.memo
-        new = [p for p in pieces if p not in memo]
-        if new:
+        place = pc.index_in(coded.dictionary, value_set=self.memo)
+        if place.null_count:
+            new = coded.dictionary.filter(place.is_null()).to_pylist()
+            known = self.known
             self._learn(new)
-        index = np.fromiter(map(memo.__getitem__, pieces), np.int64, len(pieces))[coded.indices.to_numpy()]
+            place = place.to_numpy(zero_copy_only=False)
+            place[np.isnan(place)] = np.arange(known, known + len(new))
+            place = place.astype(np.int64)
+        else:
+            place = place.to_numpy()
+        index = place[coded.indices.to_numpy()]
         size = self.size[index]
         ends = np.cumsum(size, dtype=np.int64)
         source = np.arange(ends[-1]) + np.repeat(self.at[index] - (ends - size), size)

@@ -42,9 +42,9 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, sizes: np.ndarray, start: int =
     v = np.asarray(ids, np.uint16)
     n_blocks = -(-len(v) // BLOCK)
     for b in range(BITS - 1, -1, -1):
-        ones = (v >> np.uint16(b) & np.uint16(1)).astype(bool)
+        ones = (v & np.uint16(1 << b)) != 0
         packed = np.packbits(ones, bitorder="little").tobytes()
-        counts = np.add.reduceat(ones, np.arange(0, len(v), BLOCK), dtype=np.int64) if len(v) else np.zeros(0, np.int64)
+        counts = np.array([np.count_nonzero(ones[k : k + BLOCK]) for k in range(0, len(v), BLOCK)], np.int64)
         before = np.concatenate([[0], np.cumsum(counts)])
         blocks = []
         for k in range(n_blocks):
@@ -54,7 +54,7 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, sizes: np.ndarray, start: int =
             blocks.append(small if len(small) < len(raw) else raw)
         lengths = np.array([len(x) for x in blocks], "<u4")
         out += [before.astype("<u4").tobytes(), lengths.tobytes(), *blocks]
-        v = np.concatenate([v[~ones], v[ones]])
+        v = np.concatenate([v[np.flatnonzero(~ones)], v[np.flatnonzero(ones)]])
     body = b"".join(out)
     return body + struct.pack("<I", zlib.crc32(body))
 
@@ -156,8 +156,8 @@ class Shard:
             ones = np.concatenate([self._bits(p, k) for k in range(-(-self.n // BLOCK))]).astype(bool) if self.n else np.zeros(0, bool)
             zeros = self.planes[p][2]
             up = np.empty_like(v)
-            up[~ones] = v[:zeros]
-            up[ones] = v[zeros:] | np.uint16(1 << (BITS - 1 - p))
+            up[np.flatnonzero(~ones)] = v[:zeros]
+            up[np.flatnonzero(ones)] = v[zeros:] | np.uint16(1 << (BITS - 1 - p))
             v = up
         return v
 
