@@ -25,7 +25,7 @@ what rows with equal or null ids share is never more than rows that are equal.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -51,10 +51,10 @@ class Windows:
 
 
 def symbols(column: pa.Array, what: Windows) -> tuple[np.ndarray, np.ndarray]:
-    """Mixed 64-bit symbols of all rows, and offsets of rows."""
+    """Symbols of all rows, bytes or hashes of words, and offsets of rows."""
     raw, offsets = text_bytes(column)
     if not what.words:
-        return _BYTE_CODE[raw], offsets
+        return raw, offsets
     starts, ends, first = word_bounds(raw, offsets)
     return mix64(word_hashes(raw, starts, ends)), first
 
@@ -84,12 +84,26 @@ def _sliding_least(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(sym: np.ndarray, offsets: np.ndarray, what: Windows) -> Segments:
+    """Segments of all rows, made block by block, so that arrays stay small however long a text is.
+
+    A segment that crosses a block is two; its windows are the same, and only
+    they are compared in the end.
+    """
+    made = []
+    for at in range(0, max(1, len(sym) - what.span + 1), SLICE):
+        part = sym[at : at + SLICE + what.span - 1]
+        s = _segments(part if what.words else _BYTE_CODE[part], np.clip(offsets - at, 0, len(part)), what)
+        made.append(Segments(s.row, s.first + at, s.last + at, s.at + at, s.anchor, s.content))
+    if len(made) == 1:
+        return made[0]
+    return Segments(*(np.concatenate([getattr(s, f.name) for s in made]) for f in fields(Segments)))
+
+
+def _segments(sym: np.ndarray, offsets: np.ndarray, what: Windows) -> Segments:
     none = np.zeros(0, np.int64)
     n = len(sym)
     if n < what.span:
         return Segments(none, none, none, none, none, none)
-    if n > 1 << 28:
-        raise ValueError("a single text has more than 2**28 symbols")
     hashes = range_hash(sym, 0x9FB21C651E98DF25)
     grams = hashes.fixed(what.gram)
     ranked = (grams & ~_INDEX) | np.arange(len(grams), dtype=np.uint64)
@@ -171,10 +185,9 @@ def pieces(rows: DataFrame, found: Found, what: Windows) -> DataFrame:
         for batch in slices(batches, "text", SLICE):
             sym, offsets = symbols(batch.column(0), what)
             s = segments(sym, offsets, what)
-            source = sym if what.words else text_bytes(batch.column(0))[0]
             seg, item = _own(s, batch.column(1).flatten(), np.diff(batch.column(1).offsets), once=True)
             flat_n, shards = (batch.column(i).flatten().to_numpy()[item] for i in (2, 3))
-            data = [source[a:b].tobytes() for a, b in zip(s.first[seg].tolist(), (s.last[seg] + what.span).tolist(), strict=True)]
+            data = [sym[a:b].tobytes() for a, b in zip(s.first[seg].tolist(), (s.last[seg] + what.span).tolist(), strict=True)]
             columns = [s.anchor[seg], s.content[seg], flat_n, shards, s.at[seg] - s.first[seg]]
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array(data, pa.binary())], names)
 
@@ -200,7 +213,7 @@ def _own(s: Segments, content: pa.Array, sizes: np.ndarray, once: bool = False)
     return seg, order[place[seg]]
 
 
-HITS = "anchor long, content long, lo int, hi int, h long, times long"
+HITS = "anchor long, content long, lo int, hi int, core long, times long, places array<int>, hashes array<long>"
 
 
 @dataclass
@@ -215,34 +228,55 @@ class Piece:
 
 #: For the pieces of a shard: which of each one's windows are repeated among them, and a hash of each window.
 Search = Callable[[list[Piece]], list[tuple[np.ndarray, np.ndarray]]]
+#: Stretches into which the windows of a piece are cut, by how far they reach to the left of the anchor.
+STRETCHES = 8
+
 
+def _cores(p: Piece, what: Windows, windows: np.ndarray) -> np.ndarray:
+    """For each window of a piece a hash of what all windows of its stretch have in common.
 
-def search_shards(made: DataFrame, search: Search, enough: int) -> DataFrame:
+    It takes in the anchor, as much to the left as the shortest and as much to
+    the right as the longest reach of the stretch leaves: equal windows have
+    equal cores.
+    """
+    room = what.span - what.gram
+    width = -(-(room + 1) // STRETCHES)
+    stretch = (p.seed - windows) // width
+    symbols_ = np.frombuffer(p.data, np.uint64) if what.words else _BYTE_CODE[np.frombuffer(p.data, np.uint8)]
+    starts, ends = p.seed - stretch * width, p.seed + what.gram + room + 1 - np.minimum((stretch + 1) * width, room + 1)
+    code = range_hash(symbols_, 0xB5297A4D3F84D5B5)(starts, ends)
+    return mix64(code ^ mix64(np.int64(p.anchor).view(np.uint64) + stretch.astype(np.uint64))).view(np.int64)
+
+
+def search_shards(made: DataFrame, what: Windows, search: Search, enough: int) -> DataFrame:
     """Step 2, on the shards: ranges of repeated windows, and windows of anchors that have several shards.
 
     Rows with ``hi``: windows lo to hi (exclusive) of the piece are repeated.
-    Rows with ``h``: a window that is new to its shard (times 1, with its place),
-    or one that the shard has settled, once (times 2).  Whole shards are searched
-    together until they have ``enough`` bytes.
+    Rows with ``core``: windows of one stretch, by place and hash, that are new
+    to their shard (times 1, with their piece), or that the shard has settled,
+    each told once (times 2).  Whole shards are searched together until they have
+    ``enough`` bytes.
     """
     n = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shard = F.xxhash64("anchor", F.pmod("content", "shards"))
     dealt = made.withColumn("shard", shard).repartition(n, "shard").sortWithinPartitions("shard")
     names = [x.split()[0] for x in HITS.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
     def settle(held: list[Piece]) -> pa.RecordBatch:
         out: list[tuple] = []
-        told: set[tuple[int, int]] = set()
+        told: dict[int, dict[int, int]] = {}  # core -> the windows that this shard has settled
         for p, (hit, h) in zip(held, search(held), strict=True):
-            out += [(p.anchor, p.content, a, b, None, None) for a, b in spans_of(hit)]
+            out += [(p.anchor, p.content, a, b, None, None, None, None) for a, b in spans_of(hit)]
             if p.shards > 1:
-                for i, (x, again) in enumerate(zip(h.tolist(), hit.tolist(), strict=True)):
-                    if not again:  # new to this shard: ask the others
-                        out.append((p.anchor, p.content, i, None, x, 1))
-                    elif (p.anchor, x) not in told:  # settled here: tell the others once
-                        told.add((p.anchor, x))
-                        out.append((p.anchor, None, None, None, x, 2))
+                core = _cores(p, what, np.arange(len(hit)))
+                for a, b in _runs(core):
+                    new = np.flatnonzero(~hit[a:b]) + a
+                    if len(new):  # new to this shard: ask the others
+                        out.append((p.anchor, p.content, None, None, int(core[a]), 1, new.astype(np.int32), h[new]))
+                    if len(new) < b - a:  # settled here: tell the others once
+                        told.setdefault(int(core[a]), {}).update(dict.fromkeys(h[a:b][hit[a:b]].tolist(), p.anchor))
+        out += [(next(iter(w.values())), None, None, None, core, 2, [0] * len(w), list(w)) for core, w in told.items()]
         columns = list(zip(*out, strict=True)) or [[]] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
@@ -262,6 +296,12 @@ def search_shards(made: DataFrame, search: Search, enough: int) -> DataFrame:
     return stage_table(dealt.select("anchor", "content", "n", "shards", "seed", "data", "shard").mapInArrow(run, HITS), "hits")
 
 
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal neighbours."""
+    new = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return list(zip(new.tolist(), [*new[1:].tolist(), len(values)], strict=True))
+
+
 #: Windows of several shards that one task of the merge looks through, about.
 MERGED = 1 << 19
 
@@ -269,10 +309,15 @@ MERGED = 1 << 19
 def merge_shards(hits: DataFrame) -> DataFrame:
     """Step 3: (anchor, content, lo, hi) of windows that are new to their own shard and stand in another.
 
-    Windows are dealt by their hash; a task sorts the windows of all shards and
-    finds each one that asks by binary search.
+    Stretches whose core is nowhere else have nothing to find and go at once.
+    Windows of the others are dealt by their hash; a task sorts the windows of
+    all shards and finds each one that asks by binary search.
     """
-    across = hits.where("h IS NOT NULL").select(*PAIR, "lo", "times", F.xxhash64("anchor", "h").alias("key"))
+    asked = hits.where("core IS NOT NULL")
+    cores = stage_table(asked.groupBy("core").agg(F.sum("times").alias("n"), F.min("times").alias("least")).where("n > 1 AND least = 1").select("core", "n"), "cores")
+    open_ = skew_join(asked, cores.select("core"), ["core"], heavy_keys(cores, "n", ["core"]))
+    windows = open_.select(*PAIR, "times", F.inline(F.arrays_zip(F.col("places").alias("lo"), F.col("hashes").alias("h"))))
+    across = stage_table(windows.select(*PAIR, "lo", "times", F.xxhash64("anchor", "h").alias("key")), "across")
     n = max(int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-across.count() // MERGED))
 
     def run(batches):

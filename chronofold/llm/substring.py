@@ -75,7 +75,7 @@ def remove_repeats(docs: DataFrame, *, span: int = 50, gram: int = 8, id_column:
     what = Windows(span, min(gram, span), True)
     rows = keyed(docs, id_column, text_column)
     found = find(rows, what)
-    hits = search_shards(pieces(rows, found, what), lambda held: extend(held, what), ENOUGH)
+    hits = search_shards(pieces(rows, found, what), what, lambda held: extend(held, what), ENOUGH)
     if keep_columns:
         kept = [f"c{i}" for i in range(len(docs.columns))]
         of = dict(zip(docs.columns, kept, strict=True))

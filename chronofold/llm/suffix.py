@@ -159,7 +159,7 @@ def remove_repeats(docs: DataFrame, *, span: int = 400, gram: int = 48, id_colum
     what = Windows(span, min(gram, span), False)
     rows = keyed(docs, id_column, text_column)
     found = find(rows, what)
-    hits = search_shards(pieces(rows, found, what), lambda held: search(held, span), ENOUGH)
+    hits = search_shards(pieces(rows, found, what), what, lambda held: search(held, span), ENOUGH)
     rows = with_ranges(rows, found, hits).select("doc_id", "text", "items")
     schema = OUT if with_bytes else ", ".join(OUT.split(", ")[:6])
     names = [x.split()[0] for x in schema.split(", ")]
