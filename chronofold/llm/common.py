@@ -48,6 +48,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The name of a new folder in the shared one; what is written there is removed when Python exits."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
+def partitions_for(table: DataFrame, each: int = 16 << 20) -> int:
+    """How many partitions to deal a table's rows to: by its size on disk as Spark estimates it, and at least the session's number."""
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-size // each)) if size < 1 << 55 else least
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back, cutting its lineage.
 
@@ -120,6 +134,20 @@ def heavy_keys(counted: DataFrame, count: str, keys: list[str], share: int = HEA
     return [r[0] for r in counted.where(F.col(count) > limit).select(F.xxhash64(*keys)).collect()]
 
 
+#: Rows of a table of numbers that may be broadcast, at most (some megabytes).
+SMALL = 100_000
+
+
+def small(table: DataFrame) -> bool:
+    """Whether a staged table of numbers has few enough rows to be broadcast; where not, a join shuffles."""
+    return table.count() <= SMALL
+
+
+def join_small(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join with a staged table of numbers, by broadcast if it is ``small``, else by a shuffle of both sides."""
+    return left.join(F.broadcast(right) if small(right) else right.hint("merge"), keys, how)
+
+
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], heavy: list[int], how: str = "inner") -> DataFrame:
     """Join on ``keys`` where single keys may hold a large share of ``left``.
 
@@ -180,6 +208,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Powers that are kept for the next time, for each base.
+POWERS = 1 << 19
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +223,9 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.ones(size, np.uint64)
             p[1:] = np.uint64(b & (2**64 - 1))
             out.append(np.multiply.accumulate(p))
-        _powers[base] = have = (out[0], out[1])
+        have = (out[0], out[1])
+        if size <= POWERS:
+            _powers[base] = have
     return have[0][:n], have[1][:n]
 
 
@@ -241,11 +273,20 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: Bytes of text that are hashed at a time.
+BLOCK = 1 << 18
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0x9E3779B97F4A7C15 | 1) -> np.ndarray:
-    """64-bit hashes of words given by byte ranges."""
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
-    return range_hash(_BYTE_CODE[raw], base)(starts, ends)
+    """64-bit hashes of words given by byte ranges in ascending order, block by block."""
+    out = np.zeros(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + BLOCK, "right")))
+        at = starts[lo]
+        out[lo:hi] = range_hash(_BYTE_CODE[raw[at : ends[hi - 1]]], base)(starts[lo:hi] - at, ends[lo:hi] - at)
+        lo = hi
+    return out
 
 
 _BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import heavy_keys, mix64, row_key, skew_join, slices, stage_table, text_bytes, word_bounds, word_hashes
+from chronofold.llm.common import heavy_keys, join_small, mix64, row_key, skew_join, slices, small, stage_table, text_bytes, word_bounds, word_hashes
 
 REGISTERS, BAND = 128, 4
 MANTISSA = 10
@@ -213,8 +213,10 @@ def _taken(code: np.ndarray, bounds: np.ndarray, size: np.ndarray, rows: np.ndar
 
 
 def _beside(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairs (a, b) with columns of both their sets, as name_a and name_b."""
+    """Staged pairs (a, b) with columns of both their sets, as name_a and name_b."""
     named = lambda x: sets.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+    if small(pairs):  # the sets stay where they are
+        return skew_join(named("b").join(F.broadcast(pairs.select("a", "b")), "b"), named("a"), ["a"], [])
     heavy = heavy_keys(pairs.groupBy("a").count(), "count", ["a"], 100)
     return skew_join(skew_join(pairs.select("a", "b"), named("b"), ["b"], []), named("a"), ["a"], heavy)
 
@@ -261,13 +263,18 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = stage_table(both, "edges")
     labels = stage_table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
-    busy = heavy_keys(both.groupBy("a").count(), "count", ["a"])
+    few = small(labels)  # of so few there is a copy for each task; of more, each step is a shuffle
+    busy = [] if few else heavy_keys(both.groupBy("a").count(), "count", ["a"])
     while True:
-        near = skew_join(both, labels.select(F.col("id").alias("a"), "component"), ["a"], busy).groupBy("b").agg(F.min("component").alias("near"))
-        popular = heavy_keys(labels.groupBy("component").count(), "count", ["component"])
-        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        step = skew_join(labels, jump, ["component"], popular, "left")
-        step = step.join(near.withColumnRenamed("b", "id"), "id", "left")
+        known, jump = labels.select(F.col("id").alias("a"), "component"), labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
+        if few:
+            near = both.join(F.broadcast(known), "a")
+            step = labels.join(F.broadcast(jump), "component", "left")
+        else:
+            near = skew_join(both, known, ["a"], busy)
+            step = skew_join(labels, jump, ["component"], heavy_keys(labels.groupBy("component").count(), "count", ["component"]), "left")
+        near = near.groupBy("b").agg(F.min("component").alias("near")).withColumnRenamed("b", "id")
+        step = step.join(F.broadcast(near) if few else near, "id", "left")
         new = stage_table(step.select("id", F.col("component").alias("old"), F.least("component", "further", "near").alias("component")), "labels")
         labels = new.select("id", "component")
         if not new.where("component <> old").limit(1).count():
@@ -288,7 +295,7 @@ def prefix_pairs(members: DataFrame, blobs: DataFrame, percent: int) -> DataFram
     shared shingle also bounds how many can follow it.
     """
     spark = members.sparkSession
-    rows = stage_table(members.join(blobs.select("cid", "blob"), "cid"), "open-sets")
+    rows = stage_table(join_small(blobs.select("cid", "blob"), members, ["cid"]).select("cid", "component", "blob"), "open-sets")
 
     def count(batches):
         total = np.zeros(CELLS, np.int64)
@@ -319,7 +326,8 @@ def prefix_pairs(members: DataFrame, blobs: DataFrame, percent: int) -> DataFram
     held = keyed.groupBy("key", "component").agg(F.count("*").alias("c"))
     shared = held.groupBy("key").agg(F.sum("c").alias("size"), F.max_by("component", F.struct("c", "component")).alias("major"), F.count("*").alias("parts")).where("parts > 1")
     shared = stage_table(shared.select("key", "size", "major"), "shared-keys")
-    keyed = stage_table(skew_join(keyed, shared.select("key", "major"), ["key"], heavy_keys(shared, "size", ["key"])), "shared-prefixes")
+    major = shared.select("key", "major")
+    keyed = stage_table(join_small(keyed, major, ["key"]) if small(major) else skew_join(keyed, major, ["key"], heavy_keys(shared, "size", ["key"])), "shared-prefixes")
     x, y = (keyed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("place", "n", "id", "component", "major")]) for side in "ab")
     n, m = F.col("n_a"), F.col("n_b")
     most = 1 + F.least(n - 1 - F.col("place_a"), m - 1 - F.col("place_b"))
@@ -331,6 +339,8 @@ def prefix_pairs(members: DataFrame, blobs: DataFrame, percent: int) -> DataFram
 
 #: Star rounds at most; each only saves comparisons that the last step would make, and none follows one that linked little.
 ROUNDS, WORTH = 4, 0.02
+#: With so few pairs of different components left for each row, they are paired by the filter at once.
+SPARSE = 16
 
 
 def classes_of(docs: DataFrame, words: int, percent: int, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
@@ -349,7 +359,7 @@ def classes_of(docs: DataFrame, words: int, percent: int, id_column: str, text_c
     classes = classes.drop("keys")
     if labels is None:
         return sketches, classes.withColumn("component", F.col("cid"))
-    classes = classes.join(labels.select(F.col("id").alias("cid"), "component"), "cid", "left")
+    classes = join_small(classes, labels.select(F.col("id").alias("cid"), "component"), ["cid"], "left")
     return sketches, stage_table(classes.withColumn("component", F.coalesce("component", "cid")), "components")
 
 
@@ -361,11 +371,11 @@ def _linked(docs: DataFrame, classes: DataFrame, words: int, percent: int, id_co
     keyed = classes.select("cid", "rep", "n_shingles", F.explode("keys").alias("key"))
     shared = stage_table(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     grouped = stage_table(skew_join(keyed, shared, ["key"], heavy_keys(shared, "size", ["key"])), "groups")
-    involved = stage_table(grouped.select("cid").distinct().join(classes.select("cid", F.col("first.k").alias("k"), *IDENTITY), "cid"), "involved")
+    involved = stage_table(join_small(classes.select("cid", F.col("first.k").alias("k"), *IDENTITY), stage_table(grouped.select("cid").distinct(), "members"), ["cid"]), "involved")
     asked = involved.count()
     if not asked:
         return None
-    texts = docs.select(row_key(id_column, text_column).alias("k"), F.col(text_column).alias("text")).join(involved.hint("merge"), "k")
+    texts = join_small(docs.select(row_key(id_column, text_column).alias("k"), F.col(text_column).alias("text")), involved, ["k"])
     blobs = stage_table(set_blobs(texts, words), "sets")
     if blobs.count() > asked:  # rows that are repeated whole give their set once; copies meet in their own partitions first
         blobs = stage_table(blobs.dropDuplicates(["cid"]), "sets")
@@ -375,7 +385,7 @@ def _linked(docs: DataFrame, classes: DataFrame, words: int, percent: int, id_co
         members = grouped
         if labels is not None:
             label = labels.select(F.col("id").alias("cid"), "component")
-            members = grouped.join(label, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+            members = join_small(grouped, label, ["cid"], "left").withColumn("component", F.coalesce("component", "cid"))
             spread = members.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(
                 F.sum("c").alias("size"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")
             ).where("pairs > 0")
@@ -384,11 +394,13 @@ def _linked(docs: DataFrame, classes: DataFrame, words: int, percent: int, id_co
             if not pairs_left:
                 break
             # groups that have become one component are not looked at again
-            members = stage_table(skew_join(members.drop("size"), spread.select("key", "size"), ["key"], heavy_keys(spread, "size", ["key"])), "open")
+            open_ = spread.select("key", "size")
+            members = join_small(members.drop("size"), open_, ["key"]) if small(open_) else skew_join(members.drop("size"), open_, ["key"], heavy_keys(spread, "size", ["key"]))
+            members = stage_table(members, "open")
             grouped = members.drop("component")
-            if pairs_left <= 2 * rows_left or (turn > 1 and linked < WORTH) or turn == ROUNDS:
-                pairs = prefix_pairs(members.select("cid", "component").distinct(), blobs, percent).join(tested, ["a", "b"], "left_anti")
-                pairs = stage_table(pairs, "pairs")
+            if pairs_left <= SPARSE * rows_left or (turn > 1 and linked < WORTH) or turn == ROUNDS:
+                pairs = prefix_pairs(stage_table(members.select("cid", "component").distinct(), "open"), blobs, percent)
+                pairs = stage_table(join_small(pairs, tested, ["a", "b"], "left_anti"), "pairs")
                 links = links.unionByName(stage_table(verify(pairs, blobs, percent), "links"))
                 labels = components(links)
                 break
@@ -398,11 +410,12 @@ def _linked(docs: DataFrame, classes: DataFrame, words: int, percent: int, id_co
         rank = F.struct(F.col("rep").isNull(), "rep", "cid") if turn == 0 else F.xxhash64("cid", "key", F.lit(turn))
         leader = members.groupBy("key", "size").agg(F.min_by(F.struct(F.col("cid").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("n")), rank).alias("_l"))
         leader = stage_table(leader, "leaders")
-        pairs = skew_join(members.drop("size"), leader.select("key", "_l"), ["key"], heavy_keys(leader, "size", ["key"]))
+        led = leader.select("key", "_l")
+        pairs = join_small(members.drop("size"), led, ["key"]) if small(leader) else skew_join(members.drop("size"), led, ["key"], heavy_keys(leader, "size", ["key"]))
         pairs = pairs.where((F.col("component") != F.col("_l.ca")) & (100 * F.least("n_shingles", "_l.n") >= percent * F.greatest("n_shingles", "_l.n")))
         pairs = pairs.select(F.least("_l.a", "cid").alias("a"), F.greatest("_l.a", "cid").alias("b")).distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = join_small(pairs, tested, ["a", "b"], "left_anti")
         pairs = stage_table(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = stage_table(verify(pairs, blobs, percent), "links")
