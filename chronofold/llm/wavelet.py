@@ -8,22 +8,27 @@ for each plane, and read only the blocks that they touch.
 
 Bytes of a shard: header, document table, for each plane its directory and its
 blocks.  Blocks are deflated where that makes them smaller.  ``encode_shards``
-writes one row for each shard with the shard's bytes, by Spark's own writer, so
-commits are atomic and any store will do; ``Shard`` works on these bytes alone.
+writes a file for each shard into the shared folder, under a name of its own
+that is renamed once it is whole, so a lost task leaves nothing that counts and
+its next try writes the same again.  ``Shard`` opens such a file and reads only
+the ranges that it needs.  Where the folder is in a store that only Spark can
+write, the shards' bytes are rows of a table instead.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import slices, stage_table
+from chronofold.llm.common import partitions_for, shared_folder, slices, stage_table
 from chronofold.llm.tokens import encoder, vocabulary_path
 
 MAGIC = b"WMTX0001"
@@ -59,26 +64,40 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, sizes: np.ndarray, start: int =
     return body + struct.pack("<I", zlib.crc32(body))
 
 
-class Shard:
-    """Queries on the bytes of one shard."""
+class _Held:
+    """Bytes at hand, read like a file."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def read_at(self, n: int, at: int) -> bytes:
+        return self.data[at : at + n]
+
+    def size(self) -> int:
+        return len(self.data)
 
-    def __init__(self, data: bytes, check: bool = True):
-        if check and zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
-            raise ValueError("the shard's checksum does not match")
-        magic, bits, block, self.n, docs = struct.unpack_from("<8sIIQQ", data)
+
+class Shard:
+    """Queries on one shard: its bytes, or an open file (``read_at`` and ``size``), of which only the ranges in question are read."""
+
+    def __init__(self, source, check: bool = True):
+        self.source = source = _Held(bytes(source)) if isinstance(source, bytes | bytearray | memoryview) else source
+        if check:
+            data = source.read_at(source.size(), 0)
+            if zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
+                raise ValueError("the shard's checksum does not match")
+        at = struct.calcsize("<8sIIQQ")
+        magic, bits, block, self.n, docs = struct.unpack("<8sIIQQ", source.read_at(at, 0))
         if (magic, bits, block) != (MAGIC, BITS, BLOCK):
             raise ValueError("not a shard of this format")
-        at = struct.calcsize("<8sIIQQ")
-        self.doc_ids = np.frombuffer(data, "<i8", docs, at)
-        self.sizes = np.frombuffer(data, "<i8", docs, at + 8 * docs)
+        self.doc_ids, self.sizes = np.frombuffer(source.read_at(16 * docs, at), "<i8").reshape(2, docs)
         at += 16 * docs
         n_blocks = -(-self.n // BLOCK)
-        self.data, self.planes, self._blocks = data, [], {}
+        self.planes, self._blocks = [], {}
         for _ in range(BITS):
-            before = np.frombuffer(data, "<u4", n_blocks + 1, at).astype(np.int64)
-            at += 4 * (n_blocks + 1)
-            lengths = np.frombuffer(data, "<u4", n_blocks, at).astype(np.int64)
-            at += 4 * n_blocks
+            head = np.frombuffer(source.read_at(4 * (2 * n_blocks + 1), at), "<u4").astype(np.int64)
+            before, lengths = head[: n_blocks + 1], head[n_blocks + 1 :]
+            at += 4 * (2 * n_blocks + 1)
             places = at + np.concatenate([[0], np.cumsum(lengths)])
             self.planes.append((before, places, self.n - int(before[-1])))
             at = int(places[-1])
@@ -89,7 +108,7 @@ class Shard:
             if len(self._blocks) > 256:
                 self._blocks.clear()
             places = self.planes[plane][1]
-            raw = self.data[int(places[k]) : int(places[k + 1])]
+            raw = self.source.read_at(int(places[k + 1] - places[k]), int(places[k]))
             length = min(BLOCK, self.n - k * BLOCK)
             if len(raw) < -(-length // 8):
                 raw = zlib.decompress(raw)
@@ -168,32 +187,59 @@ class Shard:
             yield doc, ids[end - size : end]
 
 
-SHARDS = "part int, shard int, n_docs long, n_tokens long, data binary"
+SHARDS = "part int, shard int, n_docs long, n_tokens long, path string, data binary"
+
+
+def _store(folder: str) -> str | None:
+    """The folder, made, if files can be written there directly; None for stores that only Spark reaches."""
+    try:
+        store, root = pafs.FileSystem.from_uri(folder)
+        store.create_dir(root)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, ValueError, OSError):
+        return None
+    return folder
+
+
+def _opened(path: str | None, data: bytes | None) -> Shard:
+    """A shard by its file, or by its bytes."""
+    if path is None:
+        return Shard(data)
+    store, place = pafs.FileSystem.from_uri(path)
+    return Shard(store.open_input_file(place), check=False)
 
 
 def encode_shards(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", end_id: int = 2, vocabulary: str | None = None, partitions: int | None = None) -> DataFrame:
-    """Encode documents in ascending id order and write their shards; returns the written table.
+    """Encode documents in ascending id order and write their shards; returns the table of shards.
 
-    Columns part and shard give the order.  A null text is empty, so its
-    document has its end id only; documents with a null id come first, under
-    the least long; rows with equal ids are all kept, next to each other.
+    Columns part and shard give the order, and path the file (or data the
+    bytes).  A null text is empty, so its document has its end id only;
+    documents with a null id come first, under the least long; rows with equal
+    ids are all kept, next to each other; other columns are ignored.
     """
     path = vocabulary or vocabulary_path()
     rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text_column).alias("text"))
-    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    ordered = rows.repartitionByRange(partitions or partitions_for(docs), "doc_id").sortWithinPartitions("doc_id")
+    folder = _store(shared_folder(rows.sparkSession, "shards"))
 
     def run(batches):
         encode, part, shard = encoder(path).encode, TaskContext.get().partitionId(), 0
         docs_, parts, tokens = [], [], 0
+        store, root = pafs.FileSystem.from_uri(folder) if folder else (None, None)
 
         def close():
             nonlocal shard
             ids = np.concatenate(parts)
             data = build(ids, np.array(docs_, np.int64), np.array([len(x) for x in parts], np.int64))
-            row = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(docs_)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())]
+            name = None
+            if folder:
+                name = f"{part:06d}-{shard:06d}.wmtx"
+                unfinished = f"{root}/{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(unfinished) as f:
+                    f.write(data)
+                store.move(unfinished, f"{root}/{name}")
+            row = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(docs_)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([name and f"{folder}/{name}"], pa.string()), pa.array([None if name else data], pa.binary())]
             shard += 1
-            return pa.RecordBatch.from_arrays(row, ["part", "shard", "n_docs", "n_tokens", "data"])
+            return pa.RecordBatch.from_arrays(row, ["part", "shard", "n_docs", "n_tokens", "path", "data"])
 
         for batch in slices(batches, limit=4 << 20):
             d = batch.to_pydict()
@@ -225,13 +271,13 @@ def with_starts(shards: DataFrame) -> DataFrame:
 
 
 def read_digest(shards: DataFrame) -> DataFrame:
-    """Decode shards that have ``start``; per document its place, length and crc32 of its ids."""
+    """Read shards back that have ``start``; per document its place, length and crc32 of its ids."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 docs_, starts, sizes, crcs, at = [], [], [], [], row["start"]
-                for doc, ids in Shard(row["data"]).documents():
+                for doc, ids in _opened(row["path"], row["data"]).documents():
                     docs_.append(None if doc == -(2**63) else doc)
                     starts.append(at)
                     sizes.append(len(ids))
@@ -239,16 +285,24 @@ def read_digest(shards: DataFrame) -> DataFrame:
                     at += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs_, starts, sizes, crcs)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.select("start", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _dealt(shards, "start", "path", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _dealt(shards: DataFrame, *columns: str) -> DataFrame:
+    """Shards dealt out evenly: the table of shards is small, and what it names is large."""
+    return shards.select(*columns).repartition(int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def token_counts(shards: DataFrame, tokens: list[int]) -> DataFrame:
-    """Occurrences of each given id in each shard, with the place of its first one there (null: none)."""
+    """Occurrences of each given id in each shard, with the place of its first one there (null: none).
+
+    Of each shard's file only the blocks are read that the counting touches.
+    """
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                s = Shard(row["data"])
+                s = _opened(row["path"], row["data"])
                 counts = [s.count(t) for t in tokens]
                 first = [s.select(t, 0) if c else None for t, c in zip(tokens, counts, strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -256,4 +310,4 @@ def token_counts(shards: DataFrame, tokens: list[int]) -> DataFrame:
                     ["part", "shard", "token", "n", "first"],
                 )
 
-    return shards.select("part", "shard", "data").mapInArrow(run, "part int, shard int, token int, n long, first long")
+    return _dealt(shards, "part", "shard", "path", "data").mapInArrow(run, "part int, shard int, token int, n long, first long")

@@ -81,6 +81,7 @@ def test_documents(spark, frame):
     padding, total = check_pieces(spark, frame, rows)
     assert padding < 0.02 * total
     assert pack_documents(frame([])).count() == 0
+    assert pack_documents(frame(rows[:5]).selectExpr("*", "1 AS start", "2 AS length", "3 AS loss", "4 AS ids")).select("doc_id").distinct().count() == 5
     null_id = pack_documents(frame([(None, "a b"), (None, "a b")])).toPandas()
     assert null_id["doc_id"].isna().all() and null_id["length"].sum() == 6
     # instruction data: the last tokens bear loss
@@ -113,7 +114,7 @@ def test_shard_queries():
     assert len(empty.decode()) == 0
 
 
-def test_wavelet_round_trip(spark, frame):
+def test_wavelet_round_trip(spark, frame, monkeypatch):
     e = Encoder(vocabulary_path())
     rows = [(i * 3, t) for i, t in enumerate(ODD)] + [(500, None), (7, "same"), (7, "same")]
     shards = with_starts(encode_shards(frame(rows)))
@@ -126,3 +127,35 @@ def test_wavelet_round_trip(spark, frame):
     n = sum(r.n for r in token_counts(shards, [2, 77]).where("token = 2").collect())
     assert n == len(rows)
     assert read_digest(with_starts(encode_shards(frame([])))).count() == 0
+    assert all(r.path.endswith(".wmtx") and r.data is None for r in shards.collect())
+    # without a store for files the bytes are rows of the table, and give the same
+    monkeypatch.setattr("chronofold.llm.wavelet._store", lambda folder: None)
+    held = with_starts(encode_shards(frame(rows)))
+    assert all(r.path is None for r in held.collect())
+    assert read_digest(held).orderBy("start").collect() == got
+    clash = frame(rows).selectExpr("*", "1 AS path", "2 AS data", "3 AS part", "4 AS start")
+    assert read_digest(with_starts(encode_shards(clash))).count() == len(rows)
+
+
+def test_shard_reads_only_what_it_needs(tmp_path):
+    """Access, counting and lookup read directories and a block of each plane, not the file."""
+    from pyarrow import fs
+
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 50000, 1 << 19).astype(np.uint16)
+    (tmp_path / "s").write_bytes(build(ids, np.array([1]), np.array([len(ids)])))
+    file = fs.LocalFileSystem().open_input_file(str(tmp_path / "s"))
+
+    class Counted:
+        read = 0
+
+        def read_at(self, n, at):
+            Counted.read += n
+            return file.read_at(n, at)
+
+        def size(self):
+            return file.size()
+
+    s = Shard(Counted(), check=False)
+    assert s.access(123456) == ids[123456] and s.count(int(ids[7])) == (ids == ids[7]).sum()
+    assert Counted.read < file.size() / 3
