@@ -1,13 +1,17 @@
 """Quality rules whose cutoffs are certified on labelled documents.
 
-Each rule measures one thing about a document and has a fixed ladder of
-cutoffs, from strict to lenient.  A rule's cutoff in a stratum is the strictest
-one for which the labelled good documents of that stratum prove, by an exact
-binomial test, that it rejects no more than the rule's share of the allowed
-rate of good documents.  The tests of all strata, rules and cutoffs are
-corrected together (Bonferroni), so with probability 1 - ``error`` no stratum
-loses more than ``rate`` of its good documents to the certified cutoffs.  A
-rule without proof in a stratum rejects nothing there.
+Each rule measures one thing about a document and has a fixed ladder of cutoffs.
+Together the ladders make one path, the same for all data: it starts with no
+cutoff at all and takes up, one at a time, the most lenient cutoff of each rule,
+then the next of each, and so on to the strictest.  A stratum walks the path as
+long as the labelled good documents of it prove, by an exact binomial test, that
+all cutoffs so far together reject no more than the allowed rate of good ones.
+Tests along the path come in a fixed order and end with the first that fails, so
+they share one error; the error is divided among the strata (Bonferroni).  So
+with probability 1 - ``error`` no stratum that is tested loses more than ``rate``
+of its good documents.  Strata with few labels are tested as one pool, and only
+the pool is certified then, not each of them.  Where nothing is proved nothing is
+rejected.
 
 Only DataFrame and SQL expressions are used.
 """
@@ -49,8 +53,8 @@ RULES = (
 @dataclass(frozen=True)
 class Risk:
     #: Share of a stratum's good documents that the rules together may reject.
-    rate: float = 0.02
-    #: Probability that any stratum's promise is broken.
+    rate: float = 0.05
+    #: Probability that the promise is broken in any stratum that is tested.
     error: float = 0.05
 
 
@@ -148,8 +152,25 @@ def _step(rule: Rule) -> Column:
     return out
 
 
+def first_step(rules: tuple[Rule, ...] = RULES) -> Column:
+    """The first step of the path whose cutoffs a document is beyond; null if it is beyond none.
+
+    Step t takes up cutoff (L - 1 - t // R) of rule t % R, where R rules have L
+    cutoffs each, strict first.
+    """
+    return F.least(*_rule_steps(rules)) if len(rules) > 1 else _rule_steps(rules)[0]
+
+
+def _rule_steps(rules: tuple[Rule, ...]) -> list[Column]:
+    # ladders are strict first: a document beyond s of them is beyond the s strictest, of which the last is the most lenient
+    length = len(rules[0].ladder)
+    if any(len(r.ladder) != length for r in rules):
+        raise ValueError("all ladders have the same length")
+    return [F.when(_step(r) > 0, (length - _step(r)) * len(rules) + i) for i, r in enumerate(rules)]
+
+
 def certify(labelled: DataFrame, risk: Risk = Risk(), rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Cutoffs of each stratum and rule: the ladder step (null: none is proved), and the test's n, k and p.
+    """How far each tested stratum may go: the last step that is proved (null: none), and the test's n, k and p.
 
     ``labelled`` has a stratum (null is a stratum of its own), the statistics
     and ``good`` (boolean; rows where it is not true play no part).
@@ -157,44 +178,37 @@ def certify(labelled: DataFrame, risk: Risk = Risk(), rules: tuple[Rule, ...] =
     good = labelled.where("good").withColumn("stratum", F.coalesce("stratum", F.lit("(null)")))
     counts = good.groupBy("stratum").count()
     total = counts.agg(F.sum("count")).first()[0] or 0
-    large = [r[0] for r in counts.where(F.col("count") * STRATA >= total).select("stratum").collect()]
+    large = [r[0] for r in counts.where(F.col("count") * STRATA >= total).select("stratum").collect()]  # at most STRATA
     good = good.withColumn("stratum", F.when(F.col("stratum").isin(large), F.col("stratum")).otherwise(F.lit(POOLED)))
-    steps = F.array(*[F.struct(F.lit(r.name).alias("rule"), _step(r).alias("step")) for r in rules])
-    counted = good.select("stratum", F.inline(steps)).groupBy("stratum", "rule", "step").count()
-    ladders = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(i).alias("cut")) for r in rules for i in range(len(r.ladder))])
-    sizes = good.groupBy("stratum").agg(F.count("*").alias("n"))
-    tests = sizes.select("stratum", "n", F.inline(ladders))
-    # ladders are strict first: a document beyond the i-th cutoff is beyond all before it, i + 1 in all
-    beyond = tests.join(counted, ["stratum", "rule"], "left").groupBy("stratum", "n", "rule", "cut").agg(
-        F.coalesce(F.sum(F.when(F.col("step") > F.col("cut"), F.col("count"))), F.lit(0)).alias("k")
-    )
-    strata = len(large) + 1
-    number = strata * sum(len(r.ladder) for r in rules)
-    p = binomial_tail(F.col("k"), F.col("n"), risk.rate / len(rules))
-    passed = beyond.withColumn("p", p).where(F.col("p") <= risk.error / number)
-    best = passed.groupBy("stratum", "rule").agg(F.min_by(F.struct("cut", "n", "k", "p"), "cut").alias("_b"))
-    return tests.select("stratum", "rule").distinct().join(best, ["stratum", "rule"], "left").select("stratum", "rule", "_b.*")
-
-
-def apply_rules(stats: DataFrame, cutoffs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    counted = good.groupBy("stratum", first_step(rules).alias("step")).count()
+    sizes = counted.groupBy("stratum").agg(F.sum("count").alias("n"))
+    path = sizes.select("stratum", "n", F.explode(F.sequence(F.lit(0), F.lit(len(rules) * len(rules[0].ladder) - 1))).alias("at"))
+    hit = counted.where("step IS NOT NULL").withColumnRenamed("stratum", "_s")
+    beyond = path.join(hit, (F.col("stratum") == F.col("_s")) & (F.col("step") <= F.col("at")), "left").groupBy("stratum", "n", "at").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("k"))
+    strata = sizes.agg(F.count("*").alias("strata"))
+    tested = beyond.join(F.broadcast(strata)).withColumn("p", binomial_tail(F.col("k"), F.col("n"), risk.rate))
+    # more documents are rejected at each step, so the tests that pass are the first ones
+    passed = tested.where(F.col("p") <= risk.error / F.col("strata"))
+    best = passed.groupBy("stratum").agg(F.max_by(F.struct(F.col("at").alias("step"), "k", "p"), "at").alias("_b"))
+    return sizes.join(best, "stratum", "left").select("stratum", "n", "_b.*")
+
+
+def apply_rules(stats: DataFrame, proved: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Add base_failed, failed_rules and kept to rows with a stratum and the statistics.
 
-    ``cutoffs`` has a row for each stratum and rule at most, and there are at
-    most STRATA + 1 strata, so it goes to all tasks whole.
+    ``proved`` has a row for each tested stratum, and there are at most
+    STRATA + 1 of them, so it goes to all tasks whole.  A stratum that is not
+    tested by itself goes by the pool, if there is one.
     """
-    wide = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cut"))).alias("_cuts"))
-    known = F.broadcast(wide.withColumnRenamed("stratum", "_stratum"))
-    pooled = F.broadcast(wide.where(F.col("stratum") == POOLED).select(F.col("_cuts").alias("_pooled")))
-    one = F.broadcast(cutoffs.sparkSession.range(1).join(pooled, F.lit(True), "left").select("_pooled"))
+    known = F.broadcast(proved.select(F.col("stratum").alias("_stratum"), F.col("step").alias("_own"), F.lit(True).alias("_tested")))
+    pooled = proved.where(F.col("stratum") == POOLED).select(F.col("step").alias("_pooled"))
+    one = F.broadcast(proved.sparkSession.range(1).join(F.broadcast(pooled), F.lit(True), "left").select("_pooled"))
     rows = stats.join(known, F.coalesce(F.col("stratum"), F.lit("(null)")) == F.col("_stratum"), "left").join(one, F.lit(True), "left")
-    cuts = F.coalesce("_cuts", "_pooled")
-    fails = [
-        F.when(F.coalesce(_step(r) > F.element_at(cuts, F.lit(r.name)), F.lit(False)), F.lit(r.name))
-        for r in rules
-    ]
+    upto = F.when(F.col("_tested"), F.col("_own")).otherwise(F.col("_pooled"))
+    fails = [F.when(step <= upto, F.lit(r.name)) for r, step in zip(rules, _rule_steps(rules), strict=True)]
     rows = rows.withColumn("base_failed", base_failed()).withColumn("failed_rules", F.array_compact(F.array(*fails)))
     kept = ~F.col("base_failed") & (F.size("failed_rules") == 0)
-    return rows.withColumn("kept", kept).drop("_cuts", "_stratum", "_pooled")
+    return rows.withColumn("kept", kept).drop("_own", "_tested", "_stratum", "_pooled")
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), *, id_column: str = "doc_id", text_column: str = "text", stratum_column: str = "lang") -> DataFrame:
@@ -208,5 +222,5 @@ def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), *, id_column:
     stats = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(stratum_column).cast("string").alias("stratum"), F.col(text_column).alias("_text"))
     stats = stage_table(statistics(stats, text_column="_text").drop("_text"), "quality")
     marks = labels.where(f"`{id_column}` IS NOT NULL AND quality IS NOT NULL").groupBy(F.col(id_column).cast("long").alias("doc_id")).agg((F.min("quality") == 1).alias("good"))
-    cutoffs = stage_table(certify(stats.join(marks, "doc_id"), risk), "cutoffs")
-    return apply_rules(stats, cutoffs)
+    proved = stage_table(certify(stats.join(marks, "doc_id"), risk), "proved")
+    return apply_rules(stats, proved)

@@ -6,44 +6,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm import langid, minhash, packing, pii, quality, simhash, substring, suffix, unigram, wavelet
-from chronofold.llm.common import documents
+from chronofold.llm.common import documents, stage_table
 
 
 def op1_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in packed sequences.  A null text is its end id; null and repeated ids are kept, each row for itself; an empty table gives no rows."""
     return packing.pack_documents(documents(spark, sf_dir))
 
 
 def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of each document's ids, read back from the shard files.  A null text is its end id; rows with equal ids are all kept; null ids come first; an empty table gives no rows."""
     return wavelet.read_digest(wavelet.with_starts(wavelet.encode_shards(documents(spark, sf_dir))))
 
 
 def op3_certified_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of each document.  A null text has no words; without labels only the base test rejects; an empty table gives no rows."""
     out = quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op4_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of personal data.  A null text has none; null and repeated ids give a row each; an empty table gives no rows."""
     docs = documents(spark, sf_dir)
     return pii.find_spans(docs, pii.fit(pii.training_texts(docs)))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints beside those of the edited text and of the next document.  Null texts are empty and null ids come first; an empty table gives no rows."""
     return simhash.neighbours_digest(documents(spark, sf_dir))
 
 
 def op6_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of each document without repeats of 35 words.  Null texts have no words; equal rows repeat each other; null and repeated ids do no harm; an empty table gives no rows."""
     return substring.remove_repeats(documents(spark, sf_dir), span=35, with_text=False)
 
 
 def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of each document at a similarity of 0.8 on pairs of words.  Null texts link with nothing; rows with equal or null ids link by their own texts; an empty table gives no rows."""
     return minhash.near_duplicates(documents(spark, sf_dir), words=2)
 
 
 def op8_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left of each document without repeats of 400 bytes.  Null texts have no bytes; equal rows repeat each other; null and repeated ids do no harm; an empty table gives no rows."""
     return suffix.remove_repeats(documents(spark, sf_dir), with_bytes=False)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document.  A null text, or one without a letter, is und with score 0; without labels all are; a null id is not held out; an empty table gives no rows."""
     docs = documents(spark, sf_dir)
     rows = langid.training_rows(docs.where(~langid.held_out()))
     model = langid.fit([t for t, _ in rows], [x for _, x in rows])
@@ -52,19 +61,38 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of each document and whether they decode to its text.  A null text has none; null and repeated ids give a row each; an empty table gives no rows."""
     return unigram.encode_documents(documents(spark, sf_dir))
 
 
+def simhash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose id is divisible by 100, and how many others have a fingerprint within RADIUS bits of theirs.
+
+    The search goes through the block tables, between distinct fingerprints;
+    copies are counted, not paired.  A null id is no query.
+    """
+    prints = stage_table(simhash.add_fingerprints(documents(spark, sf_dir)), "fingerprints")
+    wanted = prints.where("doc_id % 100 = 0")
+    near = simhash.within_radius(wanted, prints, radius=simhash.RADIUS, blocks=simhash.BLOCKS)
+    members = prints.groupBy(F.col("hi").alias("hi2"), F.col("lo").alias("lo2")).agg(F.count("*").alias("n"))
+    found = near.join(members, ["hi2", "lo2"]).groupBy("hi", "lo").agg((F.sum("n") - 1).alias("n_near"), F.min("bits").alias("least"), F.max("bits").alias("most"))
+    return wanted.join(found, ["hi", "lo"]).select("doc_id", "n_near", "least", "most")
+
+
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"simhash_search": simhash_search}
 
 
 def _op3_sql() -> str:
     risk, rules = quality.Risk(), quality.RULES
-    ladder = ", ".join(f"('{r.name}', {i}, CAST({c} AS DOUBLE), {r.high})" for r in rules for i, c in enumerate(r.ladder))
-    value = "CASE rule " + " ".join(f"WHEN '{r.name}' THEN ({r.measure.split(' / ')[0]}) / nullif({r.measure.split(' / ')[1]}, 0)" for r in rules) + " END"
-    beyond = f"coalesce(CASE WHEN high THEN {value} > cutoff ELSE {value} < cutoff END, false)"
-    rate = risk.rate / len(rules)
+    length = len(rules[0].ladder)
+
+    def step(i: int, r: quality.Rule) -> str:
+        top, low = r.measure.split(" / ")
+        beyond = " + ".join(f"CAST(({top}) / nullif({low}, 0) {'>' if r.high else '<'} CAST({c} AS DOUBLE) AS INTEGER)" for c in r.ladder)
+        return f"CASE WHEN {low} <> 0 AND {beyond} > 0 THEN ({length} - ({beyond})) * {len(rules)} + {i} END"
+
+    rate = risk.rate
     term = f"exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({rate!r}) + (n - j) * ln(1 - {rate!r}))"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(lang, '(null)') AS stratum, coalesce(text, '') AS t FROM documents),
@@ -78,21 +106,17 @@ s AS (SELECT w.doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words,
              CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
              CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
              CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN p USING (doc_id)),
+m AS (SELECT *, least({', '.join(step(i, r) for i, r in enumerate(rules))}) AS step FROM s),
 l AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-good AS (SELECT s.* FROM s JOIN l USING (doc_id)),
+good AS (SELECT m.* FROM m JOIN l USING (doc_id)),
 sizes AS (SELECT stratum, count(*) AS c, count(*) * {quality.STRATA} >= (SELECT count(*) FROM good) AS large FROM good GROUP BY stratum),
-ladder(rule, cut, cutoff, high) AS (VALUES {ladder}),
-named AS (SELECT good.*, CASE WHEN large THEN stratum ELSE '{quality.POOLED}' END AS stratum2 FROM good JOIN sizes USING (stratum)),
-tests AS (SELECT stratum2, rule, cut, count(*) AS n, count(*) FILTER ({beyond}) AS k FROM named, ladder GROUP BY ALL),
+named AS (SELECT CASE WHEN large THEN stratum ELSE '{quality.POOLED}' END AS stratum, step FROM good JOIN sizes USING (stratum)),
+tests AS (SELECT stratum, place, count(*) AS n, count(*) FILTER (step <= place) AS k FROM named, range({length * len(rules)}) v(place) GROUP BY ALL),
 proved AS (SELECT *, CASE WHEN k < n * {rate!r} THEN list_sum(list_transform(range(0, k + 1), lambda j: {term})) ELSE 1.0 END AS p FROM tests),
-best AS (SELECT stratum2, rule, min(cut) AS cut FROM proved
-         WHERE p <= {risk.error!r} / ((SELECT count(*) FILTER (large) + 1 FROM sizes) * {sum(len(r.ladder) for r in rules)}) GROUP BY ALL),
-failed AS (SELECT DISTINCT s.doc_id FROM s LEFT JOIN sizes z ON z.stratum = s.stratum
-           JOIN best b ON b.stratum2 = CASE WHEN z.large THEN s.stratum ELSE '{quality.POOLED}' END JOIN ladder USING (rule, cut) WHERE {beyond}),
-v AS (SELECT s.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s)
-SELECT v.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND f.doc_id IS NULL AS kept
-FROM v LEFT JOIN failed f USING (doc_id)"""
+best AS (SELECT stratum, max(place) FILTER (p <= {risk.error!r} / (SELECT count(DISTINCT stratum) FROM tests)) AS upto FROM proved GROUP BY stratum),
+v AS (SELECT m.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce(step <= upto, false) AS failed
+      FROM m LEFT JOIN sizes z USING (stratum) LEFT JOIN best b ON b.stratum = CASE WHEN z.large THEN m.stratum ELSE '{quality.POOLED}' END)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT failed AS kept FROM v"""
 
 
 _OP7_SQL = """

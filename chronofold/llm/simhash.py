@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from chronofold.llm.common import mix64, range_hash, slices, stage_table, text_bytes, word_bounds, word_hashes, _BYTE_CODE
 
 BITS = 128
+#: The radius of the registered search, and the blocks of its tables.
+RADIUS, BLOCKS = 3, 5
 _RUN = 8
 
 

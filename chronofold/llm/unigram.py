@@ -1,7 +1,9 @@
 """SentencePiece unigram coding: Viterbi over a double-array trie of pieces.
 
 Pieces and their log scores come from a model file, which is read here without
-the library; nothing is trained.  White space becomes a marker, and a marker is
+the library; nothing is trained.  A model that was made by merging has the order
+of its merges in place of log scores; its pieces get the log probabilities of
+Zipf's law over that order, which sum to one.  White space becomes a marker, and a marker is
 put before the text.  The best segmentation has the highest sum of scores; of
 equal ones, the one whose last piece is longest wins (so for each prefix).  A
 character that no piece starts at is written by its bytes.
@@ -15,6 +17,7 @@ text, so each distinct segment is solved once for each worker and remembered.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import struct
 import zlib
@@ -30,6 +33,8 @@ from chronofold.llm.common import slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+#: The kind of model that is made by merging.
+MERGES = 2
 #: Segments that a worker remembers; beyond it the memo starts anew.
 MEMO = 600_000
 
@@ -144,7 +149,7 @@ class Pieces:
     def load(path: str) -> Pieces:
         with open(path, "rb") as f:
             data = f.read()
-        texts, scores, kinds, spec = [], [], [], {}
+        texts, scores, kinds, spec, merged = [], [], [], {}, False
         for number, value in _fields(data):
             if number == 1:
                 x = dict(_fields(value))
@@ -153,11 +158,28 @@ class Pieces:
                 kinds.append(x.get(3, NORMAL))
             elif number == 3:
                 spec = dict(_fields(value))
+            elif number == 2:
+                merged = dict(_fields(value)).get(3, 1) == MERGES
         if spec.get(2):
             raise ValueError("only models with the identity normaliser are supported")
+        if merged:
+            scores = zipf(scores, [k in (NORMAL, USER) for k in kinds])
         return Pieces(texts, scores, kinds, bool(spec.get(3, 1)), bool(spec.get(4, 1)))
 
 
+def zipf(order: list[float], ranked: list[bool]) -> list[float]:
+    """Log probabilities by rank: of the pieces that are ranked, the r-th from the top has a share of 1 / r; others have 0.
+
+    Equal values are ranked by place.
+    """
+    places = sorted((i for i, r in enumerate(ranked) if r), key=lambda i: (-order[i], i))
+    total = math.log(sum(1 / r for r in range(1, len(places) + 1))) if places else 0.0
+    out = [0.0] * len(order)
+    for r, i in enumerate(places, 1):
+        out[i] = -math.log(r) - total
+    return out
+
+
 class Unigram:
     """encode(texts) and decode(ids)."""
 

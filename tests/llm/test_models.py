@@ -56,7 +56,7 @@ def test_certified_cutoffs(spark, frame):
     labels = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
     kept = {r.doc_id: r.kept for r in quality.judge(df, labels).collect()}
     assert not any(kept[10_000 + i] for i in range(20)) and sum(not kept[i] for i in range(6000)) == sum(not kept[0] for _ in range(6000))
-    few = {r.doc_id: r.kept for r in quality.judge(df, labels.where("doc_id < 100")).collect()}
+    few = {r.doc_id: r.kept for r in quality.judge(df, labels.where("doc_id < 100"), quality.Risk(rate=0.02)).collect()}
     assert all(few[10_000 + i] == (len(docs[-1][1].split()) >= 10) for i in range(20))
     assert quality.judge(frame([]), labels).count() == 0 and quality.judge(frame([(None, None), (1, "a")]), labels.limit(0)).count() == 2
 
@@ -292,3 +292,84 @@ def test_pipeline_runs_from_files(spark, frame, tmp_path):
     out = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
     assert sorted({r.doc_id for r in out}) == list(range(30))
     assert sum(r.length for r in out) == sum({r.doc_id: r.doc_tokens for r in out}.values())
+
+
+def test_path_of_cutoffs(spark, frame):
+    """The first step at which a document falls, and the last step that the labels prove, against plain counting."""
+    rules = quality.RULES
+    rng = random.Random(6)
+    text = lambda i: " ".join(rng.choice(["word", "ab", "##", "longerwordthanmost", "x"]) for _ in range(rng.choice([12, 30]))) + ("\nsame line here\nsame line here" if i % 9 == 0 else "")
+    rows = [(i, text(i)) for i in range(600)]
+    stats = quality.statistics(frame(rows)).withColumn("step", quality.first_step()).collect()
+    value = {"symbols": lambda r: (r.n_symbols, r.word_chars), "dup_lines": lambda r: (10 * r.n_dup_lines, r.n_words), "repeats": lambda r: (r.n_repeat_words, r.n_words), "long_words": lambda r: (r.word_chars, r.n_words), "short_words": lambda r: (r.word_chars, r.n_words)}
+    path = [(rule, rule.ladder[len(rule.ladder) - 1 - level]) for level in range(len(rules[0].ladder)) for rule in rules]
+
+    def falls(r):
+        for t, (rule, cut) in enumerate(path):
+            top, low = value[rule.name](r)
+            if low and (top / low > cut if rule.high else top / low < cut):
+                return t
+        return None
+
+    assert [r.step for r in stats] == [falls(r) for r in stats]
+    labels = spark.range(600).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    risk = quality.Risk(rate=0.1)
+    got = quality.certify(quality.statistics(frame(rows)).withColumn("stratum", F.lit("one")).withColumn("good", F.lit(True)), risk).first()
+    tail = lambda k: sum(math.comb(600, j) * 0.1**j * 0.9 ** (600 - j) for j in range(k + 1))
+    want = None
+    for t in range(len(path)):
+        k = sum(r.step is not None and r.step <= t for r in stats)
+        if tail(k) > risk.error:
+            break
+        want = t, k
+    assert (got.step, got.k) == want and got.p == pytest.approx(tail(got.k), rel=1e-6)
+    kept = {r.doc_id: (r.base_failed, r.kept) for r in quality.judge(frame(rows).withColumn("lang", F.lit("one")), labels, risk).collect()}
+    assert {r.doc_id: not kept[r.doc_id][0] and not (r.step is not None and r.step <= want[0]) for r in stats} == {i: k for i, (_, k) in kept.items()}
+
+
+def test_zipf_scores():
+    """Log scores of a model that was made by merging are log probabilities in the order of its merges."""
+    pieces = unigram.Pieces.load(unigram.model_path())
+    usable = [i for i, k in enumerate(pieces.kinds) if k in (unigram.NORMAL, unigram.USER)]
+    assert sum(math.exp(pieces.scores[i]) for i in usable) == pytest.approx(1.0)
+    assert unigram.zipf([0.0, -1.0, 5.0, -1.0], [True, True, False, True]) == pytest.approx([-math.log(11 / 6), -math.log(11 / 3), 0.0, -math.log(11 / 2)])
+
+
+def test_registered_search_against_brute_force(spark, frame, tmp_path):
+    from chronofold.llm import queries, simhash
+
+    rng = random.Random(31)
+    base = " ".join(f"w{rng.randrange(500)}" for _ in range(400))
+    rows = [(i * 50, base if i % 3 else base + f" tail{i}") for i in range(24)] + [(7 + i, " ".join(f"v{rng.randrange(900)}" for _ in range(50))) for i in range(20)] + [(None, base), (5000, None), (5001, "")]
+    frame(rows).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.n_near, r.least, r.most) for r in queries.simhash_search(spark, f"file://{tmp_path}").collect()}
+    import pyarrow as pa
+
+    prints = [int.from_bytes(x.tobytes(), "little") for x in simhash.fingerprints(pa.array([t for _, t in rows], pa.large_string()))]
+    want = set()
+    for (i, _), a in zip(rows, prints, strict=True):
+        if i is not None and i % 100 == 0:
+            bits = [d for d in ((a ^ b).bit_count() for b in prints) if d <= simhash.RADIUS]
+            want.add((i, len(bits) - 1, min(bits), max(bits)))
+    assert got == want and len(want) > 10
+
+
+def test_votes_of_fingerprints():
+    """Each bit is the sign of the weighted votes of all occurrences of terms, counted plainly."""
+    import pyarrow as pa
+
+    from chronofold.llm import simhash
+    from chronofold.llm.common import text_bytes
+
+    texts = ["one two three four two three " * 3, "alpha beta gamma delta epsilon", "nospaceatallinthistext" * 4, "", "short"]
+    raw, offsets = text_bytes(pa.array(texts, pa.large_string()))
+    row, h, w = simhash._terms(raw, offsets)
+    for i, got in enumerate(simhash.fingerprints(pa.array(texts, pa.large_string()))):
+        votes = [0.0] * simhash.BITS
+        for r, code, weight in zip(row.tolist(), h.tolist(), w.tolist(), strict=True):
+            if r == i:
+                second = int(simhash.mix64(np.array([code ^ 0x94D049BB133111EB], np.uint64))[0])
+                for b in range(64):
+                    votes[b] += weight if code >> b & 1 else -weight
+                    votes[64 + b] += weight if second >> b & 1 else -weight
+        assert int.from_bytes(got.tobytes(), "little") == sum(1 << b for b, v in enumerate(votes) if v > 0)
