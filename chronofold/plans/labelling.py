@@ -10,6 +10,9 @@ from chronofold.operators import asof, labels
 from chronofold.plans.base import ORDERS, day, orders, register, table
 from chronofold.plans.time import ANCHORS, _anchors
 
+from chronofold.plans.retrieval import _BM25
+from chronofold.plans.texts import _IN
+
 QUERIES: list = []
 query = register(QUERIES)
 
@@ -50,13 +53,13 @@ def label_amend(spark, sf_dir):
     return labels.amend(marks, fixes, key="doc_id")[1]
 
 
-@query("""WITH r AS (SELECT user_id, event_id % 4 AS reviewer, CASE event_type WHEN 'signup' THEN 'correct' WHEN 'error' THEN 'unsure' ELSE 'approve' END AS verdict FROM events WHERE event_id % 40 = 0),
+@query("""WITH r AS (SELECT user_id, event_id % 4 AS reviewer, CASE event_type WHEN 'signup' THEN 'correct' WHEN 'error' THEN 'unsure' ELSE 'approve' END AS verdict FROM events),
 g AS (SELECT user_id, count(DISTINCT CASE WHEN verdict = 'approve' THEN reviewer END) AS n_reviewers, bool_or(verdict = 'correct') AS c, bool_or(verdict = 'unsure') AS u FROM r GROUP BY 1)
 SELECT user_id, n_reviewers, CASE WHEN c THEN 'correction' WHEN u THEN 'uncertain' WHEN n_reviewers >= 2 THEN 'approved' ELSE 'pending' END AS state FROM g""")
 def label_reviews(spark, sf_dir):
     kind = F.col("event_type")
     verdict = F.when(kind == "signup", "correct").when(kind == "error", "unsure").otherwise("approve")
-    r = table(spark, sf_dir, "events").where("event_id % 40 = 0").select("user_id", (F.col("event_id") % 4).alias("reviewer"), verdict.alias("verdict"))
+    r = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 4).alias("reviewer"), verdict.alias("verdict"))
     return labels.assess_reviews(r, unit="user_id", reviewer="reviewer", verdict="verdict")
 
 
@@ -130,16 +133,8 @@ def chronology_guard(spark, sf_dir):
     return orders(spark, sf_dir).agg((F.max(F.when(cut, F.col("filed"))) < F.min(F.when(~cut, F.col("filed")))).alias("in_order"))
 
 
-@query()
-def fn_corrected_liquidity(spark, sf_dir):
-    """A second count of one feature under a narrower rule of negation."""
-    from chronofold.functions import text
-
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.select("doc_id", text.context_rate(r"\bthat\b")("text")["plain"].alias("n_plain"))
-
-
-@query()
+@query(f"""WITH {_BM25}, l AS (SELECT doc_id AS key, coalesce(len(list_filter(w, lambda x: x IN ({_IN}))) / nullif(len(w), 0), 0) AS density FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents))
+SELECT query, round(coalesce(avg(density), 0), 8) AS density FROM q LEFT JOIN (SELECT query, density FROM b JOIN l USING (key) WHERE rank <= 5) USING (query) GROUP BY query""")
 def feat_rag_sentiment(spark, sf_dir):
     """Lexicon density over the passages that are found for each question; 0 without any."""
     from chronofold.functions import text
@@ -150,4 +145,4 @@ def feat_rag_sentiment(spark, sf_dir):
     q = _queries(spark, sf_dir)
     top = r.bm25(q, _index(spark, sf_dir), k=5)
     rows = top.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), text.lexicon_density(F.col("text"), NEGATIVE).alias("density")), "key")
-    return q.select("query").join(rows.groupBy("query").agg(F.avg("density").alias("d")), "query", "left").select("query", F.coalesce("d", F.lit(0.0)).alias("density"))
+    return q.select("query").join(rows.groupBy("query").agg(F.avg("density").alias("d")), "query", "left").select("query", F.round(F.coalesce("d", F.lit(0.0)), 8).alias("density"))

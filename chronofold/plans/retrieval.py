@@ -20,7 +20,7 @@ def _queries(spark, sf_dir):
 
 
 def _index(spark, sf_dir):
-    return r.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"), key="doc_id", text="text")
+    return r.question_index(table(spark, sf_dir, "documents").select("doc_id", "text"), _queries(spark, sf_dir), key="doc_id", text="text")
 
 
 @query(f"WITH {_Q} SELECT query, terms FROM q")
@@ -28,11 +28,18 @@ def ret_terms(spark, sf_dir):
     return _queries(spark, sf_dir).where("size(terms) > 0")
 
 
-@query("SELECT k, CASE k WHEN 0 THEN ['cash', 'flow', 'funds', 'liquidity'] WHEN 1 THEN ['legal', 'risk', 'lawsuit', 'litigation', 'risks', 'uncertainty'] ELSE ['weather'] END AS terms FROM range(3) t(k)")
+_GROUPS = ", ".join(f"[{', '.join(repr(w) for w in sorted(g))}]" for g in r.TOPICS.values())
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, i, w FROM (SELECT conv_id, turn, w, min(i) AS i FROM (SELECT conv_id, turn, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM
+ (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM conversations)) WHERE w NOT IN ({_STOP}) GROUP BY ALL)),
+o AS (SELECT conv_id, turn, list(w ORDER BY i)[1:64] AS own FROM t GROUP BY ALL),
+g AS (SELECT conv_id, turn, own, list_reduce([own] || list_filter([{_GROUPS}], lambda x: list_has_any(own, x)), lambda a, b: a || list_filter(b, lambda y: NOT list_contains(a, y))) AS terms FROM o)
+SELECT conv_id, turn, terms FROM g""")
 def ret_expand(spark, sf_dir):
-    q = spark.range(3).select(F.col("id").alias("k"), F.element_at(F.array(F.lit("What is the cash flow"), F.lit("legal risk"), F.lit("the weather")), (F.col("id") + 1).cast("int")).alias("t"))
-    e = q.select("k", r.expanded(r.terms(F.col("t"))).alias("e"), r.terms(F.col("t")).alias("own"))
-    return e.select("k", F.concat(F.col("own"), F.array_sort(F.array_except("e", "own"))).alias("terms"))
+    """All turns of all conversations as questions: their terms, and the words of each topic they touch."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", r.terms(F.col("text")).alias("own")).where("size(own) > 0")
+    return c.select("conv_id", "turn", r.expanded(F.col("own")).alias("terms"))
 
 
 _BM25 = f"""{_Q}, d AS (SELECT doc_id AS key, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents), t AS (SELECT count(*) AS nd, avg(len(ws)) AS av FROM d),
@@ -75,16 +82,22 @@ def topk_cosine_lsa(spark, sf_dir):
     return r.nearest(q, e, query="vec_id", key="vec_id", vector="embedding", k=20, least=0.2).select("query", "key", F.col("rank").cast("long").alias("rank"))
 
 
-_RRF = f"""{_BM25}, m AS (SELECT query, key, rank FROM b WHERE rank <= 20 UNION ALL SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY key) AS rank FROM (SELECT query, key FROM b WHERE rank <= 40 AND key % 2 = 0)),
-u AS (SELECT query, key, sum(1.0 / (60 + rank)) AS score FROM m GROUP BY ALL)"""
+_TFIDF = f"""{_BM25}, w AS (SELECT key, unnest(list_transform(range(1, len(ws)), lambda i: concat(ws[i], ' ', ws[i + 1]))) AS g FROM d WHERE len(ws) > 1),
+gq AS (SELECT DISTINCT query, unnest(list_transform(range(1, len(ws)), lambda i: concat(ws[i], ' ', ws[i + 1]))) AS g FROM (SELECT item_id AS query, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM benchmark) WHERE len(ws) > 1),
+gt AS (SELECT key, g, 1 + ln(count(*)) AS tf FROM w WHERE g IN (SELECT g FROM gq) GROUP BY ALL),
+gi AS (SELECT g, ln((1 + (SELECT count(*) FROM d)) / (1 + count(*))) + 1 AS idf FROM gt GROUP BY g),
+gs AS (SELECT query, key, sum(tf * idf * idf) AS score FROM gq JOIN gt USING (g) JOIN gi USING (g) GROUP BY ALL),
+gr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, key) AS rank FROM gs),
+m AS (SELECT query, key, rank FROM b WHERE rank <= 20 UNION ALL SELECT query, key, rank FROM gr WHERE rank <= 20), u AS (SELECT query, key, sum(1.0 / (60 + rank)) AS score FROM m GROUP BY ALL)"""
 
 
-@query(f"WITH {_RRF} SELECT query, key, round(score, 8) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, key) AS rank FROM u QUALIFY rank <= 10")
+@query(f"WITH {_TFIDF} SELECT query, key, round(score, 8) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, key) AS rank FROM u QUALIFY rank <= 10")
 def ret_hybrid_rrf(spark, sf_dir):
-    """Fusion of the lexical list with a second list, here even ids among the lexical top 40."""
-    top = r.bm25(_queries(spark, sf_dir), _index(spark, sf_dir), k=40)
-    second = r.ranked(top.where("key % 2 = 0").drop("rank"), by="query", order=[F.col("key")], k=40)
-    return r.fuse([top.where("rank <= 20"), second], k=10).select("query", "key", F.round("score", 8).alias("score"), F.col("rank").cast("long").alias("rank"))
+    """Fusion of the lexical list with a second one over two-word terms, sublinear and weighted by rarity."""
+    top = r.bm25(_queries(spark, sf_dir), _index(spark, sf_dir), k=20)
+    words = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
+    second = r.phrase_list(words, table(spark, sf_dir, "documents").select("doc_id", "text"), query="query", key="doc_id", text="text", k=20)
+    return r.fuse([top, second], k=10).select("query", "key", F.round("score", 8).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {_BM25}, j AS (SELECT b.query, key, b.rank, len(list_intersect(terms, ws)) / len(terms) AS share FROM b JOIN q USING (query) JOIN d USING (key) WHERE b.rank <= 20)
@@ -100,7 +113,11 @@ def _reranked(spark, sf_dir):
     return r.rerank(rows, query_terms="terms", text="text", order="before", by="query", k=5)
 
 
-@query()
+_RERANK = f"""{_BM25}, j AS (SELECT b.query, b.key, b.rank AS before, len(list_intersect(terms, ws)) / len(terms) AS share, lang, source, n_chars FROM b JOIN q USING (query) JOIN d USING (key) JOIN documents x ON x.doc_id = b.key WHERE b.rank <= 20),
+top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY share DESC, before) AS place FROM j QUALIFY place <= 5)"""
+
+
+@query(f"WITH {_RERANK} SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY share DESC, before) AS INTEGER) AS citation, key, source FROM top WHERE lang = 'en' AND source IS NOT NULL QUALIFY citation <= 3")
 def ret_qa(spark, sf_dir):
     """Expanded question, retrieval, ranking, guards (language here), and numbered citations; no row is an abstention."""
     rows = _reranked(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "lang", "source"), "key")
@@ -108,9 +125,11 @@ def ret_qa(spark, sf_dir):
     return r.ranked(cited.drop("rank"), by="query", order=[F.desc("share"), F.col("before")], k=3).select("query", F.col("rank").alias("citation"), "key", "source")
 
 
-@query()
+@query(f"WITH {_RERANK} SELECT query, key, source FROM top WHERE source IS NOT NULL AND n_chars >= 200 AND key % 4 <> query % 4")
 def ret_evidence(spark, sf_dir):
-    return ret_qa(spark, sf_dir).where("key IS NOT NULL")
+    """Reranked passages that are cited, of the entity asked for, and not dated after the question; here by source, id and length."""
+    rows = _reranked(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "source", "n_chars"), "key")
+    return r.guarded(rows, cited=F.col("source").isNotNull(), entity=F.col("key") % 4 != F.col("query") % 4, dated=F.col("n_chars") >= 200).select("query", "key", "source")
 
 
 @query(f"""WITH {_BM25}, x AS (SELECT query, key, rank FROM b WHERE rank <= 10), v AS (SELECT b.item_id AS query, d.doc_id AS key FROM benchmark b JOIN documents d ON contains(d.text, b.text)),

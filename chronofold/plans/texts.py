@@ -62,14 +62,21 @@ def fn_visible_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.visible_text("html").alias("text"))
 
 
-@query()
+@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[.!?;][ \t\n\x0B\f\r]+[A-Z0-9"'']')) + 1 AS INTEGER) AS n_sentences FROM documents""")
 def fn_sentences(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.size(text.sentences(F.col("text"))).alias("n_sentences"))
 
 
-@query()
+@query(r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS ws FROM documents),
+b AS (SELECT doc_id, ws, len(ws) AS n, list_filter(range(1, len(ws) + 1), lambda i: regexp_matches(ws[i], '[.!?]["'')]*$')) AS ends FROM w WHERE len(ws) > 0),
+c(doc_id, i, s, e) AS (
+ SELECT doc_id, 0, 0, CASE WHEN n <= 500 THEN n ELSE coalesce(list_max(list_filter(ends, lambda x: x > 50 AND x <= 500)), 500) END FROM b
+ UNION ALL
+ SELECT doc_id, i + 1, t, CASE WHEN n <= t + 500 THEN n ELSE coalesce(list_max(list_filter(ends, lambda x: x > t + 50 AND x <= t + 500)), t + 500) END
+ FROM (SELECT c.doc_id, i, greatest(s + 1, e - 50) AS t, n, ends FROM c JOIN b USING (doc_id) WHERE e < n))
+SELECT doc_id, CAST(i AS BIGINT) AS chunk_index, array_to_string(ws[s + 1:e], ' ') AS chunk FROM c JOIN b USING (doc_id)""")
 def fn_chunk(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(text.chunk_text("text")).alias("chunk_index", "chunk"))
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(text.chunk_text(F.col("text"))).alias("i", "chunk")).select("doc_id", F.col("i").cast("long").alias("chunk_index"), "chunk")
 
 
 @query("SELECT doc_id, i AS chunk_index, array_to_string(w[i * 450 + 1:i * 450 + 500], ' ') AS chunk FROM (SELECT doc_id, w, unnest(range(0, greatest(1, CAST(ceil((len(w) - 50) / 450) AS BIGINT)))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents) WHERE len(w) > 0)")
@@ -80,30 +87,67 @@ def win_chunk_index(spark, sf_dir):
     return w.select("doc_id", "w", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk_index")).select("doc_id", "chunk_index", F.array_join(F.slice("w", (F.col("chunk_index") * 450 + 1).cast("int"), F.lit(500)), " ").alias("chunk"))
 
 
-@query()
+_T = "coalesce(text, '')"
+
+
+@query(f"""SELECT doc_id, section, body FROM (SELECT doc_id, unnest(['business', 'risk_factors']) AS section, unnest([trim({_T}, ' \t\n\x0B\f\r'), trim(concat('{{', doc_id, '}} ', {_T}), ' \t\n\x0B\f\r')]) AS body FROM documents)
+WHERE len(regexp_extract_all(body, '[^ \t\n\x0B\f\r]+')) >= 12""".replace("\\t\\n\\x0B\\f\\r]", "\t\n\x0B\f\r]"))
 def fn_extract_sections(spark, sf_dir):
-    filing = F.concat(F.lit("Item 1. Business\n"), "text", F.lit("\nItem 1A. Risk Factors\n"), "text", F.lit("\nItem 2. Properties\nnone"))
+    """Each document as two sections of a filing, after a table of contents whose bodies are shorter."""
+    t = F.coalesce("text", F.lit(""))
+    toc = F.lit("Item 1. Business\nItem 1A. Risk Factors\nItem 2. Properties\n")
+    filing = F.concat(toc, F.lit("Item 1. Business\n"), t, F.lit("\nItem 1A. Risk Factors\n"), F.lit("{"), F.col("doc_id").cast("string"), F.lit("} "), t, F.lit("\nItem 2. Properties\nnone"))
     return _docs(spark, sf_dir).select("doc_id", F.explode(text.extract_sections(filing)).alias("section", "body"))
 
 
-fn_split_sections = fn_extract_sections
+_SQUARE = "' \t\n\x0B\f\r'"
 
 
-@query()
+@query(f"""WITH d AS (SELECT doc_id, doc_id % 2 = 0 AS annual, trim(concat('[', doc_id, '] ', {_T}), {_SQUARE}) AS b FROM documents)
+SELECT doc_id, CASE WHEN annual THEN '10-K' ELSE '10-Q' END AS form, 'Item 1A Risk Factors' AS section, b AS body FROM d WHERE length(b) > 100
+UNION ALL SELECT doc_id, '10-K', 'Item 7 Management''s Discussion and Analysis', trim(left(concat('. ', b), 250000), {_SQUARE}) FROM d WHERE annual AND length(b) + 2 > 100""")
+def fn_split_sections(spark, sf_dir):
+    """Filings of two forms: risk factors up to the next item, and in annual ones a discussion without an end."""
+    d = _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("] "), F.coalesce("text", F.lit(""))).alias("b"))
+    annual = d.where("doc_id % 2 = 0").select("doc_id", F.lit("10-K").alias("form"), F.explode(text.anchored_sections(F.concat(F.lit("\n PART I Item 1A. Risk&nbsp;Factors "), "b", F.lit("\nItem 1B. Staff\nItem 7. Management's Discussion and Analysis. "), "b"), "10-K")).alias("s"))
+    quarter = d.where("doc_id % 2 = 1").select("doc_id", F.lit("10-Q").alias("form"), F.explode(text.anchored_sections(F.concat(F.lit("\nItem 1A Risk Factors "), "b", F.lit("\n PART II Item 2. Unregistered")), "10-Q")).alias("s"))
+    return annual.unionByName(quarter).select("doc_id", "form", "s.section", F.col("s.text").alias("body"))
+
+
+#: What is said at the end of each document, by its id: denied, plain, an auditor's phrase, or nothing of the kind.
+SAID = ["We do not have sufficient cash.", "There is insufficient liquidity.", "Our responsibility covers insufficient capital.", "All is well."]
+
+
+def _said():
+    pick = F.element_at(F.array(*[F.lit(x) for x in SAID]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return F.concat(F.coalesce("text", F.lit("")), F.lit(". "), pick)
+
+
+@query("SELECT doc_id, CAST(doc_id % 4 = 1 AS INTEGER) AS n_plain, CAST(doc_id % 4 = 0 AS INTEGER) AS n_negated, CAST(doc_id % 4 = 2 AS INTEGER) AS n_boilerplate FROM documents")
 def fn_context_rate(spark, sf_dir):
-    c = text.context_rate(r"\bloss|\bon\b")("text")
-    return _docs(spark, sf_dir).select("doc_id", c.alias("c")).select("doc_id", F.col("c")["plain"].alias("n_plain"), F.col("c")["negated"].alias("n_negated"))
+    c = _docs(spark, sf_dir).select("doc_id", _said().alias("t")).select("doc_id", text.context_rate(text.SHORTFALL)("t").alias("c"))
+    return c.select("doc_id", *[F.col("c")[n].alias(f"n_{n}") for n in ("plain", "negated", "boilerplate")])
 
 
-@query()
+@query("SELECT doc_id, CAST(doc_id % 4 IN (0, 1) AS INTEGER) AS included, CAST(CASE WHEN doc_id % 4 = 0 THEN -1 ELSE 0 END AS INTEGER) AS delta FROM documents")
+def fn_corrected_liquidity(spark, sf_dir):
+    """Under the narrower denial the first of the four is a shortfall."""
+    return _docs(spark, sf_dir).select("doc_id", _said().alias("t")).select("doc_id", text.corrected_liquidity("t").alias("c")).select("doc_id", "c.*")
+
+
+@query("""WITH p AS (SELECT doc_id, text, string_split_regex(text, '(?i)that') AS parts FROM documents),
+m AS (SELECT doc_id, text, k, list_sum(list_transform(parts[1:k], lambda x: length(x))) + 4 * (k - 1) AS start FROM (SELECT *, unnest(range(1, least(len(parts), 4))) AS k FROM p))
+SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(start + 4 AS INTEGER) AS "end", sha256(substring(text, CAST(greatest(start - 100, 0) AS BIGINT) + 1, CAST(start + 104 - greatest(start - 100, 0) AS BIGINT))) AS sha256 FROM m""")
 def fn_match_proofs(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.inline(text.proofs(r"\bthat\b")("text")))
+    return _docs(spark, sf_dir).select("doc_id", F.inline(text.proofs("that")("text")))
 
 
-@query()
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'May 5, 2020' ELSE 'June 17, 2021' END AS petition FROM documents WHERE doc_id % 3 < 2")
 def fn_petition_extract(spark, sf_dir):
-    said = F.concat("text", F.lit(" On May 5, 2020 the company filed a petition under chapter 11."))
-    return _docs(spark, sf_dir).select("doc_id", F.explode(text.petition_dates(said)).alias("petition"))
+    """Voluntary petitions under two chapters, and an involuntary one that is left out."""
+    said = ["On May 5, 2020 the company filed a voluntary petition under chapter 11.", "Acme on June 17, 2021 filed under chapter 7.", "On July 1, 2022 an involuntary case was filed under chapter 7."]
+    pick = F.element_at(F.array(*[F.lit(x) for x in said]), (F.col("doc_id") % 3 + 1).cast("int"))
+    return _docs(spark, sf_dir).select("doc_id", F.explode(text.petition_dates(F.concat(F.coalesce("text", F.lit("")), F.lit(". "), pick))).alias("petition"))
 
 
 @query("SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: x IN ('the', 'on', 'la', 'der'))) AS n_hits FROM documents")
