@@ -10,10 +10,7 @@ MODULES = ["time", "relational", "evaluation", "texts", "retrieval", "inputs", "
 #: Operators that share a query with another one: the same rows show both.
 SHARED = {
     "sink_jsonl": "sink_json",
-    "guard_required": "schema_project_ordered",
     "guard_domain": "audit_rules",
-    "scan_csv_in_zip_checked": "scan_tsv_zip",
-    "fn_split_sections": "fn_extract_sections",
     "fn_canonical": "fn_legal_name",
     "fn_last_completed_quarter": "fn_quarter_label",
     "fn_md5_id": "fn_sha_id",
@@ -23,9 +20,6 @@ SHARED = {
     "topk_vector": "ret_vector",
     "ml_scale_robust": "ml_scale",
     "ml_scale_standard": "ml_scale",
-    "str_poll": "str_dedupe_state",
-    "str_late": "str_dedupe_state",
-    "str_checkpoint": "str_dedupe_state",
 }
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the cluster's shared place; a local session without one gets a temporary folder of this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def register(into: list) -> Callable:
     """A decorator that lists a query under its function's name with its SQL."""
 

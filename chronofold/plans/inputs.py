@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from chronofold.plans.base import ORDERS, day, orders, register, table
-from chronofold.sources import readers, sinks
+from chronofold.plans.base import ORDERS, day, fresh_folder, orders, register, table
+from chronofold.sources import filings, origin, readers, sinks
 
 QUERIES: list = []
 query = register(QUERIES)
 
 
 def _folder(spark) -> str:
-    """A fresh folder in the cluster's shared place, or a local one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/io-{uuid.uuid4().hex}"
+    return fresh_folder(spark, "io")
 
 
 @query("SELECT r_regionkey, r_name FROM region")
@@ -46,38 +42,68 @@ def scan_json_soa(spark, sf_dir):
     return rows.where(F.col("form").isin("1-URGENT", "2-HIGH") & F.col("filed").between("1996-01-01", "1998-12-31"))
 
 
-@query("SELECT k, 'Assets' AS tag, DATE '2020-12-31' AS \"end\", CAST(k * 10 AS DOUBLE) AS val, '10-K' AS form, DATE '2021-02-01' AS filed, concat('a', k) AS accn FROM range(20) t(k)")
+@query(f"WITH {ORDERS} SELECT cik, CASE accession % 2 WHEN 0 THEN 'Assets' ELSE 'Cash' END AS tag, filed AS \"end\", CAST(cents AS DOUBLE) AS val, CASE status WHEN 'F' THEN '10-K' ELSE '10-Q' END AS form, filed + 30 AS filed, concat('a', accession) AS accn FROM o WHERE status <> 'P'")
 def scan_facts_json(spark, sf_dir):
-    fact = '{"end":"2020-12-31","val":%d,"form":"%s","filed":"2021-02-01","accn":"a%d"}'
-    text = F.format_string('{"Assets":{"units":{"USD":[' + fact + "," + fact.replace("%s", "8-K") + ']}}}', F.col("id") * 10, F.lit("10-K"), F.col("id"), F.col("id") * 20, F.col("id"))
-    return readers.fact_rows(spark.range(20).select(F.col("id").alias("k"), text.alias("j")), "j", ["k"], ["10-K", "10-Q"])
+    """A document for each company and tag with all its facts, in dollars and another unit."""
+    form = F.when(F.col("status") == "F", "10-K").when(F.col("status") == "O", "10-Q").otherwise("8-K")
+    fact = F.struct(F.col("filed").cast("string").alias("end"), F.col("cents").cast("double").alias("val"), form.alias("form"), F.date_add("filed", 30).cast("string").alias("filed"), F.concat(F.lit("a"), "accession").alias("accn"))
+    tag = F.when(F.col("accession") % 2 == 0, "Assets").otherwise("Cash")
+    facts = orders(spark, sf_dir).groupBy("cik", tag.alias("tag")).agg(F.collect_list(fact).alias("usd"))
+    text = F.concat(F.lit('{"'), "tag", F.lit('":{"units":{"EUR":[{"end":"2020-12-31","val":1.0,"form":"10-K"}],"USD":'), F.to_json("usd"), F.lit("}}}"))
+    return readers.fact_rows(facts.select("cik", text.alias("j")), "j", ["cik"], ["10-K", "10-Q"])
 
 
-@query(f"WITH {ORDERS} SELECT CAST(cik AS VARCHAR) AS cik, form, filed FROM o WHERE accession % 50 = 0")
+@query(f"WITH {ORDERS} SELECT CAST(cik AS VARCHAR) AS cik, form, filed FROM o")
 def scan_pipe_index(spark, sf_dir):
-    lines = orders(spark, sf_dir).where("accession % 50 = 0").select(F.concat_ws("|", "cik", F.lit("name"), "form", "filed", F.lit("f.txt")).alias("value"))
+    lines = orders(spark, sf_dir).select(F.concat_ws("|", "cik", F.lit("name"), "form", "filed", F.lit("f.txt")).alias("value"))
     lines = lines.unionByName(spark.range(1).select(F.lit("CIK|Company|Form|Date|File").alias("value")))
     return readers.pipe_index(lines).select("cik", "form", "filed")
 
 
-@query("SELECT doc_id, p AS position, concat('EX-', p) AS type, concat('f', p, '.htm') AS filename, lang AS text FROM documents, (VALUES (0), (1)) v(p) WHERE doc_id < 50")
+_BLOCK = """concat(chr(10), '<TYPE>', kind, chr(10), '<FILENAME>', name, chr(10), '<TEXT>', body, '</TEXT>', chr(10))"""
+_DOCS = """d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS (SELECT doc_id, position, kind, name, body, said FROM (SELECT doc_id, t, replace(replace(t, '&', '&amp;'), '<', '&lt;') AS e FROM d),
+ LATERAL (VALUES (0, '10-K', 'main.htm', concat('<p>', e, '</p>'), t), (1, 'EX-99.1', 'note.txt', concat('x <b>loss</b> ', CAST(doc_id AS VARCHAR)), 'x loss'), (2, 'EX-101', 'logo.jpg', 'zz', NULL), (3, 'EX-13', 'a.pdf', 'no', NULL)) v(position, kind, name, body, said))"""
+
+
+@query(f"""WITH {_DOCS} SELECT CAST(doc_id AS VARCHAR) AS key, CAST(position AS INTEGER) AS position, kind AS type, name AS filename, sha256({_BLOCK}) AS content_sha256,
+ CASE WHEN position = 0 THEN 'primary_report' ELSE 'exhibit' END AS scope, CASE position WHEN 2 THEN 'unsupported_format_requires_review' WHEN 3 THEN 'unreadable_text_requires_review' ELSE 'screened' END AS status,
+ CAST(len(regexp_extract_all(said, '(?i)loss|th[ae]')) AS INTEGER) AS keyword_matches FROM b""")
 def scan_sgml(spark, sf_dir):
-    block = lambda p: F.concat(F.lit(f"<DOCUMENT>\n<TYPE>EX-{p}\n<FILENAME>f{p}.htm\n<TEXT>"), "lang", F.lit("</TEXT>\n</DOCUMENT>\n"))
-    d = table(spark, sf_dir, "documents").where("doc_id < 50").select("doc_id", F.concat(block(0), block(1)).alias("raw"))
-    return readers.sgml_documents(d, "raw", ["doc_id"])
+    """A submission for each document: a report, a text exhibit, a picture, a PDF that cannot be read, and a cover that is left out."""
+    e = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    block = lambda kind, name, body: F.concat(F.lit(f"<DOCUMENT>\n<TYPE>{kind}\n<FILENAME>{name}\n<TEXT>"), body, F.lit("</TEXT>\n</DOCUMENT>\n"))
+    parts = [block("10-K", "main.htm", F.concat(F.lit("<p>"), e, F.lit("</p>"))), block("EX-99.1", "note.txt", F.concat(F.lit("x <b>loss</b> "), F.col("doc_id").cast("string"))), block("EX-101", "logo.jpg", F.lit("zz")), block("EX-13", "a.pdf", F.lit("no")), block("COVER", "c.htm", F.lit("loss"))]
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(*parts).alias("raw"))
+    return filings.screen_submissions(d, key="doc_id", raw="raw", forms=["10-K", "10-Q"], terms="loss|th[ae]").drop("excerpts")
+
 
+_TX = f"""WITH {ORDERS}, t AS (SELECT lpad(CAST(cik AS VARCHAR), 10, '0') AS cik, CAST(row_number() OVER (PARTITION BY cik ORDER BY accession) - 1 AS INTEGER) AS transaction_index, CAST(filed AS VARCHAR) AS transaction_date,
+ CASE status WHEN 'F' THEN 'P' WHEN 'O' THEN 'S' ELSE 'A' END AS transaction_code, CASE WHEN accession % 5 > 0 THEN CAST(accession AS DOUBLE) END AS shares, CASE WHEN accession % 3 > 0 THEN CAST(cents AS DOUBLE) END AS price_per_share, 'D' AS acquired_disposed FROM o)"""
 
-@query("SELECT k, n, CASE n WHEN 1 THEN 'P' ELSE 'S' END AS code, CAST(k + n AS DOUBLE) AS shares, CASE n WHEN 1 THEN 2.5::DOUBLE END AS price FROM range(10) t(k), (VALUES (1), (2)) v(n)")
+
+def _ownership(spark, sf_dir):
+    """A document for each company, a transaction for each of its orders; some lack the price, some the shares."""
+    x = lambda tag, value: F.concat(F.lit(f"<x:{tag}>"), value, F.lit(f"</x:{tag}>"))
+    given = lambda tag, value, when: F.when(when, x(tag, x("value", value))).otherwise("")
+    code = F.when(F.col("status") == "F", "P").when(F.col("status") == "O", "S").otherwise("A")
+    amounts = F.concat(given("transactionShares", F.col("accession").cast("string"), F.col("accession") % 5 > 0), given("transactionPricePerShare", F.col("cents").cast("string"), F.col("accession") % 3 > 0), x("transactionAcquiredDisposedCode", x("value", F.lit("D"))))
+    tx = x("nonDerivativeTransaction", F.concat(x("transactionDate", x("value", F.concat(F.lit(" "), F.col("filed").cast("string")))), x("transactionCoding", x("transactionCode", code)), x("transactionAmounts", amounts)))
+    docs = orders(spark, sf_dir).groupBy("cik").agg(F.transform(F.array_sort(F.collect_list(F.struct("accession", tx.alias("x")))), lambda r: r["x"]).alias("all"))
+    owner = F.concat(x("reportingOwnerId", F.concat(x("rptOwnerCik", F.lit("77")), x("rptOwnerName", F.lit("Ann Example")))), x("reportingOwnerRelationship", F.concat(x("isDirector", (F.col("cik") % 2).cast("string")), x("officerTitle", F.lit("Clerk")))))
+    body = F.concat(x("issuer", x("issuerCik", F.col("cik").cast("string"))), x("reportingOwner", owner), F.array_join("all", ""))
+    return docs.select(F.lpad(F.col("cik").cast("string"), 10, "0").alias("cik"), F.concat(F.lit('<x:ownershipDocument xmlns:x="urn:y">'), body, F.lit("</x:ownershipDocument>")).alias("xml"))
+
+
+@query(f"{_TX} SELECT *, CASE transaction_code WHEN 'P' THEN 'purchase' WHEN 'S' THEN 'sale' ELSE 'other' END AS purchase_sale_signal FROM t")
 def scan_xml_tx(spark, sf_dir):
-    tx = lambda code, n, price: F.concat(F.lit(f"<nonDerivativeTransaction><transactionCoding><transactionCode>{code}</transactionCode></transactionCoding><transactionAmounts><transactionShares><value>"), (F.col("id") + n).cast("string"), F.lit(f"</value></transactionShares><transactionPricePerShare><value>{price}</value></transactionPricePerShare></transactionAmounts></nonDerivativeTransaction>"))
-    x = spark.range(10).select(F.col("id").alias("k"), F.concat(F.lit('<ownershipDocument xmlns="u">'), tx("P", 1, "2.5"), tx("S", 2, "n/a"), F.lit("</ownershipDocument>")).alias("x"))
-    return readers.xml_transactions(x, "x", ["k"])
+    return filings.ownership_transactions(_ownership(spark, sf_dir), "xml", ["cik"], issuer="cik").drop("security_title")
 
 
-@query("SELECT k, n, CASE n WHEN 1 THEN 'P' ELSE 'S' END AS code, CAST(k + n AS DOUBLE) AS shares, CASE n WHEN 1 THEN 2.5::DOUBLE ELSE 0.0::DOUBLE END AS price FROM range(10) t(k), (VALUES (1), (2)) v(n)")
+@query(f"{_TX} SELECT cik, '77' AS owner_cik, 'Ann Example' AS owner_name, CAST(cik AS BIGINT) % 2 = 1 AS is_director, false AS is_officer, 'Clerk' AS officer_title, false AS is_ten_percent_owner, transaction_index, transaction_date, transaction_code, coalesce(shares, 0) AS shares, coalesce(price_per_share, 0) AS price_per_share, acquired_disposed FROM t")
 def scan_xml_form4(spark, sf_dir):
-    """The variant in which missing numbers are zero."""
-    return scan_xml_tx(spark, sf_dir).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("shares", "price")})
+    """With the owner, and with missing numbers as zero."""
+    return filings.ownership_documents(_ownership(spark, sf_dir), "xml", ["cik"]).drop("security_title")
 
 
 @query("SELECT CAST(n_nationkey AS DOUBLE) AS k, CAST(n_regionkey AS DOUBLE) AS r FROM nation")
@@ -87,50 +113,104 @@ def scan_arff(spark, sf_dir):
     return readers.arff_rows(head.unionByName(data), ["k", "r"])
 
 
-@query("SELECT CAST(n_nationkey AS VARCHAR) AS k, n_name AS name FROM nation")
-def scan_tsv_zip(spark, sf_dir):
-    """An archive with one table, written and read back; only the columns asked for come out."""
-    import io
-    import zipfile
+def _archives(rows, members):
+    """(path, content): a ZIP for each value of ``path``; members: file name, which may have {path} in it -> (column of its lines, head line)."""
 
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()  # a fixed table of 25 rows
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w") as z:
-        z.writestr("num.txt", "k\tname\tother\n" + "".join(f"{r[0]}\t{r[1]}\tx\n" for r in rows))
-    return _zip_rows(spark, data.getvalue())
+    def pack(pdf):
+        import io
+        import zipfile
 
+        import pandas as pd
 
-def _zip_rows(spark, content: bytes):
-    """Rows of an archive that is at hand as bytes, through the same reader as files."""
-    path = _folder(spark)
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/a.zip")
-    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
-    out.write(bytearray(content))
-    out.close()
-    return readers.read_zip_tables(spark, path, "num.txt", ["k", "name"])
-
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            for name, (column, head) in members.items():
+                lines = [head, *sorted(x for part in pdf[column] if part is not None for x in part)]
+                z.writestr(name.format(path=pdf["path"].iloc[0]), "\n".join(lines).encode("cp1252") + b"\n")
+        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "content": [data.getvalue()]})
 
-scan_csv_in_zip_checked = scan_tsv_zip
+    return rows.groupBy("path").applyInPandas(pack, "path string, content binary")
 
 
-@query()
+@query(f"""WITH {ORDERS}, f AS (SELECT *, 1 + accession % 4 AS q FROM o WHERE status <> 'P')
+SELECT lpad(CAST(cik AS VARCHAR), 10, '0') AS cik, concat('a', accession) AS adsh, tag, CAST(CASE tag WHEN 'Assets' THEN cents ELSE cents - 5 END AS DOUBLE) AS value, filed + 40 AS filing_date, filed AS fiscal_period_end, '2020' AS fy,
+ CASE WHEN q = 4 THEN 'FY' ELSE concat('Q', q) END AS fp, concat(year(filed), 'Q', quarter(filed)) AS fiscal_quarter FROM f, (VALUES ('Assets'), ('Cash')) t(tag)""")
+def scan_tsv_zip(spark, sf_dir):
+    """An archive for each five thousand accessions, with both tables; of six facts for each filing two are left."""
+    o = orders(spark, sf_dir)
+    text = lambda d: F.date_format(d, "yyyyMMdd")
+    a, end, cents, q = F.concat(F.lit("a"), F.col("accession").cast("string")), text("filed"), F.col("cents"), 1 + F.col("accession") % 4
+    fp, form = F.when(q == 4, "FY").otherwise(F.concat(F.lit("Q"), q.cast("string"))), F.when(F.col("status") == "P", "8-K").otherwise("10-Q")
+    line = lambda *c: F.concat_ws("\t", *[x.cast("string") if not isinstance(x, str) else F.lit(x) for x in c])
+    sub = F.array(line(a, F.col("cik"), "a name", text(F.date_add("filed", 40)), end, "2020", fp, form))
+    num = F.array(
+        line(a, "Assets", "us-gaap/2020", cents, end, "0", "USD", "", ""), line(a, "Cash", "us-gaap/2020", cents - 5, end, q, "USD", "", ""), line(a, "Assets", "us-gaap/2020", cents, end, "0", "EUR", "", ""),
+        line(a, "Assets", "custom/1", cents, end, "0", "USD", "", ""), line(a, "Cash", "us-gaap/2020", cents, text(F.date_sub("filed", 90)), "0", "USD", "", ""), line(a, "Other", "us-gaap/2020", cents, end, "0", "USD", "", ""),
+    )
+    rows = o.select(F.concat(F.lit("z"), F.floor(F.col("accession") / 5000).cast("string")).alias("path"), sub.alias("sub"), num.alias("num"))
+    files = _archives(rows, {"sub.txt": ("sub", "adsh\tcik\tname\tfiled\tperiod\tfy\tfp\tform"), "num.txt": ("num", "adsh\ttag\tversion\tvalue\tddate\tqtrs\tuom\tcoreg\tsegments")})
+    return filings.archive_facts(files, tags=["Assets", "Cash"])
+
+
+@query(f"WITH {ORDERS} SELECT concat('Caf', chr(233), ' ', cik) AS \"NameCorp\", CAST(accession AS VARCHAR) AS \"PrimaryKey\", filed AS \"DateFiled\", concat('set_1-12-2023_', accession // 5000, '.csv') AS member FROM o")
+def scan_csv_in_zip_checked(spark, sf_dir):
+    """Releases in cp1252 with exactly one CSV each; keys are unique over all of them."""
+    o = orders(spark, sf_dir)
+    bucket = F.floor(F.col("accession") / 5000).cast("string")
+    line = F.concat_ws(",", F.concat(F.lit("Café "), F.col("cik").cast("string")), F.col("accession").cast("string"), F.date_format("filed", "MM/dd/yyyy"))
+    files = _archives(o.select(bucket.alias("path"), F.array(line).alias("lines")), {"set_1-12-2023_{path}.csv": ("lines", "NameCorp,PrimaryKey,DateFiled"), "readme.txt": ("lines", "")})
+    return filings.checked_release(files, release="1-12-2023", columns=["NameCorp"], key="PrimaryKey", day="DateFiled", until="2023-12-01").drop("member_sha256")
+
+
+@query(f"""WITH {ORDERS}, p AS (SELECT CAST(cik AS VARCHAR) AS key, concat('T', accession) AS t, filed, accession % 3 AS m FROM o)
+SELECT key, t AS ticker, filed AS added_date, NULL::DATE AS removed_date, NULL::VARCHAR AS removal_reason FROM p WHERE m <> 1
+UNION ALL SELECT key, concat('X', t), NULL, filed, CASE m WHEN 0 THEN 'merged' ELSE 'unknown' END FROM p WHERE m <> 2""")
 def scan_html_table(spark, sf_dir):
-    return readers.table_rows(table(spark, sf_dir, "pages"), key="page_id", html="html", number=0)
+    """A page for each company: a table of no interest, and one of changes with two head rows."""
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    t, m = F.concat(F.lit("t"), F.col("accession").cast("string")), F.col("accession") % 3
+    row = F.concat(F.lit("<tr>"), cell(F.date_format("filed", "MMMM d, yyyy")), cell(F.when(m != 1, t).otherwise("")), cell(F.lit("A &amp; B")), cell(F.when(m != 2, F.concat(F.lit("x"), t)).otherwise("")), cell(F.lit("")), cell(F.when(m == 0, "merged").otherwise("")), F.lit("</tr>"))
+    head = '<table><tr><td>1</td></tr></table><table><tr><th rowspan="2">Date</th><th colspan="2">Added</th><th colspan="2">Removed</th><th rowspan="2">Reason</th></tr><tr><th>Ticker</th><th>Security</th><th>Ticker</th><th>Security</th></tr>'
+    pages = orders(spark, sf_dir).groupBy("cik").agg(F.concat(F.lit(head), F.array_join(F.collect_list(row), ""), F.lit("</table>")).alias("html"))
+    return filings.membership_table(pages, key="cik", html="html")
 
 
-@query("SELECT k, 'a:Cash' AS name, 'c1' AS context, CAST(-k * 1000 AS DOUBLE) AS value FROM range(10) t(k)")
+@query(f"""WITH {ORDERS} SELECT CAST(cik AS VARCHAR) AS key, concat('a:F', accession % 3) AS name, concat('c', accession) AS context, CASE accession % 2 WHEN 1 THEN -1 ELSE 1 END * CAST(accession * 1234 * 1000 AS DOUBLE) AS value, 'usd' AS unit,
+ accession % 5 = 0 AS dimensional, CASE WHEN accession % 3 = 0 THEN CAST(filed AS VARCHAR) END AS instant, CASE WHEN accession % 3 > 0 THEN CAST(filed - 90 AS VARCHAR) END AS start, CASE WHEN accession % 3 > 0 THEN CAST(filed AS VARCHAR) END AS "end" FROM o WHERE accession % 7 > 0 AND accession % 11 > 0""")
 def scan_inline_facts(spark, sf_dir):
-    html = F.concat(F.lit('<ix:nonFraction name="a:Cash" contextRef="c1" scale="3" sign="-">'), F.col("id").cast("string"), F.lit("</ix:nonFraction>"))
-    parse = F.udf(readers.inline_facts, readers.INLINE)
-    return spark.range(10).select(F.col("id").alias("k"), F.inline(parse(html)))
-
-
-@query("SELECT true AS stable, true AS no_duplicates, true AS complete")
+    """A page for each company: contexts, some with dimensions, and numbers, some in other formats or continued."""
+    a = F.col("accession")
+    day_ = lambda tag, d: F.concat(F.lit(f"<xbrli:{tag}>"), d.cast("string"), F.lit(f"</xbrli:{tag}>"))
+    dates = F.when(a % 3 == 0, day_("instant", F.col("filed"))).otherwise(F.concat(day_("startDate", F.date_sub("filed", 90)), day_("endDate", F.col("filed"))))
+    context = F.concat(F.lit('<xbrli:context id="c'), a.cast("string"), F.lit('">'), F.when(a % 5 == 0, '<xbrldi:explicitMember dimension="d">m</xbrldi:explicitMember>').otherwise(""), dates, F.lit("</xbrli:context>"))
+    extra = F.when(a % 2 == 1, ' sign="-"').otherwise("")
+    extra = F.concat(extra, F.when(a % 7 == 0, ' format="ixt:num-comma-decimal"').when(a % 11 == 0, ' continuedAt="x"').otherwise(' format="ixt:num-dot-decimal"'))
+    number = F.format_number(a * 1234, 0)
+    fact = F.concat(F.lit('<ix:nonFraction unitRef="usd" scale="3" name="a:F'), (a % 3).cast("string"), F.lit('" contextRef="c'), a.cast("string"), F.lit('"'), extra, F.lit("><span>"), number, F.lit("</span></ix:nonFraction>"))
+    pages = orders(spark, sf_dir).groupBy("cik").agg(F.concat(F.array_join(F.collect_list(fact), " "), F.array_join(F.collect_list(context), "")).alias("html"))
+    return filings.inline_facts(pages, key="cik", html="html")
+
+
+@query("""WITH p AS (SELECT CAST(o_orderkey // 100 AS INTEGER) AS page, count(*) AS n, bool_or(o_orderkey % 997 = 0) AS stray FROM orders GROUP BY 1), t AS (SELECT count(*) AS total, max(o_orderkey // 100) + 1 AS pages FROM orders), z AS (SELECT count(*) AS n_pages FROM p)
+SELECT page, CAST(n + CASE WHEN stray THEN 1 ELSE 0 END AS INTEGER) AS n, CASE WHEN page = 3 THEN false ELSE true END AND (SELECT count(*) = 0 FROM p WHERE page = 4) AS stable, NOT stray AS no_duplicates,
+ n + CASE WHEN stray THEN 1 ELSE 0 END = least(100, greatest(total, total + CASE WHEN EXISTS (FROM p WHERE page = 4) THEN 1 ELSE 0 END) - page * 100) AS "full", n_pages = ceil((total + CASE WHEN EXISTS (FROM p WHERE page = 4) THEN 1 ELSE 0 END) / 100) AS complete FROM p, t, z""")
 def scan_search_pages(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    """Pages of a hundred orders, with faults: an estimated total, another total, and ids that stand on a page twice."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.floor(F.col("o_orderkey") / 100).cast("int").alias("page"))
     total = o.agg(F.count("*").alias("total"))
-    pages = o.groupBy(F.floor(F.col("o_orderkey") / 100).alias("page")).agg(F.collect_list("o_orderkey").alias("ids")).join(total)
-    return readers.pages_complete(pages)
+    again = o.where("o_orderkey % 997 = 0").groupBy("page").agg(F.min("o_orderkey").alias("o_orderkey"))
+    pages = o.unionByName(again).groupBy("page").agg(F.collect_list("o_orderkey").alias("ids")).join(F.broadcast(total))
+    pages = pages.withColumn("total", F.col("total") + (F.col("page") == 4).cast("int")).withColumn("relation", F.when(F.col("page") == 3, "gte").otherwise("eq"))
+    return readers.page_checks(pages, page="page", size=100)
+
+
+@query(f"""WITH {ORDERS} SELECT accession, CASE WHEN accession % 2 = 0 THEN 'local' WHEN accession % 3 = 0 THEN 'shared' WHEN status <> 'P' THEN 'origin' END AS layer,
+ CASE WHEN accession % 2 = 0 THEN cents WHEN accession % 3 = 0 THEN cents + 1 WHEN status <> 'P' THEN cents + 2 END AS cents FROM o""")
+def src_cache(spark, sf_dir):
+    """What each of three layers holds, asked in order; a key that none has stays without a layer."""
+    o = orders(spark, sf_dir).select("accession", "cents", "status")
+    layers = {"local": o.where("accession % 2 = 0"), "shared": o.where("accession % 3 = 0").withColumn("cents", F.col("cents") + 1), "origin": o.where("status <> 'P'").withColumn("cents", F.col("cents") + 2)}
+    return origin.restored(o, layers, key="accession", value="cents")
 
 
 @query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 2000")
@@ -206,7 +286,7 @@ def backup_compare(spark, sf_dir):
     return spark.range(1).select(F.lit(sinks.same_rows(n, copy)).alias("equal"), F.lit(sinks.same_rows(n, copy.where("n_nationkey > 3"))).alias("other_equal"))
 
 
-@query()
+@query("SELECT concat('| r_regionkey | r_name |', chr(10), '|---|---|', chr(10), string_agg(concat('| ', r_regionkey, ' | ', r_name, ' |'), chr(10) ORDER BY r_regionkey)) AS report FROM region")
 def sink_markdown(spark, sf_dir):
     rows = table(spark, sf_dir, "region").orderBy("r_regionkey").collect()
     return spark.createDataFrame([(sinks.markdown(rows, ["r_regionkey", "r_name"]),)], "report string")

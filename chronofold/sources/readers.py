@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,39 +22,6 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return clean_doubles(spark.read.parquet(path))
 
 
-def read_zip_tables(spark: SparkSession, path: str, member: str, columns: list[str], *, sep: str = "\t", encoding: str = "utf-8", most_bytes: int = 4 << 30) -> DataFrame:
-    """Rows of one delimited member of each archive, all text, with only the columns asked for.
-
-    An archive is read in one task line by line, so memory does not grow with
-    it; an archive without the member, or with a larger one, is refused.
-    """
-
-    def run(batches):
-        import csv
-
-        import pandas as pd
-
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    if member not in z.namelist():
-                        raise ValueError(f"{name} has no {member}")
-                    if z.getinfo(member).file_size > most_bytes:
-                        raise ValueError(f"{member} of {name} is too large")
-                    with z.open(member) as f:
-                        rows: list[dict] = []
-                        for row in csv.DictReader(io.TextIOWrapper(f, encoding, newline=""), delimiter=sep):
-                            rows.append({c: row.get(c) or None for c in columns})
-                            if len(rows) == 20_000:
-                                yield pd.DataFrame(rows, columns=columns)
-                                rows = []
-                        if rows:
-                            yield pd.DataFrame(rows, columns=columns)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, ", ".join(f"`{c}` string" for c in columns))
-
-
 def soa_rows(df: DataFrame, block: str, fields: list[str], keep: list[str]) -> DataFrame:
     """Rows of a struct of parallel arrays; arrays of different lengths are an error."""
     sizes = [F.size(f"{block}.{f}") for f in fields]
@@ -92,28 +54,6 @@ def pipe_index(lines: DataFrame, column: str = "value") -> DataFrame:
     return rows.withColumn("filed", F.expr("try_cast(filed AS date)"))
 
 
-def sgml_documents(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
-    """One row for each document block: type, file name and text."""
-    blocks = F.regexp_extract_all(column, F.lit(r"(?s)<DOCUMENT>(.*?)</DOCUMENT>"), F.lit(1))
-    b = df.select(*keep, F.posexplode(blocks).alias("position", "_b"))
-    get = lambda p: F.nullif(F.trim(F.regexp_extract("_b", p, 1)), F.lit(""))
-    return b.select(*keep, "position", get(r"<TYPE>([^\n<]*)").alias("type"), get(r"<FILENAME>([^\n<]*)").alias("filename"), F.regexp_extract("_b", r"(?s)<TEXT>(.*?)</TEXT>", 1).alias("text"))
-
-
-def xml_transactions(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
-    """One row for each non-derivative transaction: code, shares, price; missing numbers are null."""
-    plain = F.regexp_replace(column, r"\sxmlns(:\w+)?=\"[^\"]*\"", "")
-    base = "//nonDerivativeTransaction"
-    n = F.size(F.xpath(plain, F.lit(f"{base}/transactionCoding/transactionCode/text()")))
-    rows = df.withColumn("_x", plain).withColumn("n", F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1))))).where(n >= F.col("n"))
-    at = lambda path: F.get(F.xpath("_x", F.lit(f"{base}/{path}/text()")), F.col("n") - 1)
-    return rows.select(
-        *keep, "n", at("transactionCoding/transactionCode").alias("code"),
-        F.expr("try_cast(get(xpath(_x, '//nonDerivativeTransaction/transactionAmounts/transactionShares/value/text()'), n - 1) AS double)").alias("shares"),
-        F.expr("try_cast(get(xpath(_x, '//nonDerivativeTransaction/transactionAmounts/transactionPricePerShare/value/text()'), n - 1) AS double)").alias("price"),
-    )
-
-
 def arff_rows(lines: DataFrame, names: list[str], column: str = "value") -> DataFrame:
     """Numeric data lines; ``?`` is null."""
     data = lines.where(~F.col(column).rlike(r"^\s*(@|%|$)"))
@@ -121,75 +61,20 @@ def arff_rows(lines: DataFrame, names: list[str], column: str = "value") -> Data
     return data.select(*[F.expr(f"try_cast(trim(get(split({column}, ','), {i})) AS double)").alias(n) for i, n in enumerate(names)], F.size(parts).alias("n_fields")).where(F.col("n_fields") == len(names)).drop("n_fields")
 
 
-def html_tables(html: str | None) -> list[list[list[str]]]:
-    """Cells of each table, in order."""
-    from html.parser import HTMLParser
-
-    class Parser(HTMLParser):
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            self.tables, self.cell = [], None
-
-        def handle_starttag(self, tag, attrs):
-            if tag == "table":
-                self.tables.append([])
-            elif tag == "tr" and self.tables:
-                self.tables[-1].append([])
-            elif tag in ("td", "th") and self.tables and self.tables[-1]:
-                self.cell = []
-
-        def handle_endtag(self, tag):
-            if tag in ("td", "th") and self.cell is not None:
-                self.tables[-1][-1].append(re.sub(r"\s+", " ", "".join(self.cell)).strip())
-                self.cell = None
+def page_checks(pages: DataFrame, *, page: str, size: int) -> DataFrame:
+    """Checks of a paginated search, a row for each page (page, total, relation, ids).
 
-        def handle_data(self, data):
-            if self.cell is not None:
-                self.cell.append(data)
-
-    p = Parser()
-    p.feed(html or "")
-    return p.tables
-
-
-def table_rows(df: DataFrame, *, key: str, html: str, number: int) -> DataFrame:
-    """(key, row, cells) of each page's table of that number; pages without it have no rows."""
-
-    def run(batches: Iterator):
-        import pandas as pd
-
-        for pdf in batches:
-            out = [(k, i, cells) for k, h in zip(pdf["key"], pdf["html"], strict=True) for t in html_tables(h)[number : number + 1] for i, cells in enumerate(t)]
-            yield pd.DataFrame(out, columns=["key", "row", "cells"])
-
-    return df.select(F.col(key).cast("string").alias("key"), F.col(html).alias("html")).mapInPandas(run, "key string, row int, cells array<string>")
-
-
-_INLINE = re.compile(r"(?is)<ix:nonfraction\b([^>]*)>(.*?)</ix:nonfraction>")
-
-
-def inline_facts(html: str | None) -> list[dict]:
-    """Tagged numbers with their scale and sign applied; values that do not parse are null."""
-    from decimal import Decimal, InvalidOperation
-
-    out = []
-    for m in _INLINE.finditer(html or ""):
-        a = dict(re.findall(r'(\w+)="([^"]*)"', m[1]))
-        text = re.sub(r"<[^>]*>|[,\s]", "", m[2])
-        try:
-            value = Decimal(text).scaleb(int(a.get("scale", 0) or 0)) * (-1 if a.get("sign") == "-" else 1)
-        except (InvalidOperation, ValueError):
-            value = None
-        out.append({"name": a.get("name"), "context": a.get("contextRef") or a.get("contextref"), "value": None if value is None else float(value)})
-    return out
-
-
-INLINE = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("context", T.StringType()), T.StructField("value", T.DoubleType())]))
-
-
-def pages_complete(pages: DataFrame) -> DataFrame:
-    """Checks of a paginated search: one total on all pages, and as many distinct ids as it says."""
-    ids = pages.select("total", F.explode("ids").alias("id"))
-    return pages.agg(F.min("total").alias("lo"), F.max("total").alias("hi")).join(ids.agg(F.count("id").alias("n"), F.count_distinct("id").alias("n_ids"))).select(
-        (F.col("lo") == F.col("hi")).alias("stable"), (F.col("n") == F.col("n_ids")).alias("no_duplicates"), (F.col("n_ids") == F.col("hi")).alias("complete")
-    )
+    A page is right if its total is exact and the same as on all pages, it is
+    one of the pages that such a total has, it is full unless it is the last,
+    and none of its ids stands on another page or twice.
+    """
+    ids = pages.select(page, F.explode("ids").alias("id"))
+    again = ids.groupBy("id").agg(F.min(page).alias(page), F.count("*").alias("n")).where("n > 1")
+    bad = ids.join(again.select("id"), "id", "left_semi").groupBy(page).agg(F.count("*").alias("repeated"))
+    span = pages.agg(F.min("total").alias("lo"), F.max("total").alias("hi"), F.count("*").alias("n_pages"))
+    rows = pages.join(bad, page, "left").join(F.broadcast(span))
+    whole = F.least(F.lit(size), F.col("hi") - F.col(page) * size)
+    return rows.select(
+        page, F.size("ids").alias("n"), ((F.col("lo") == F.col("hi")) & (F.col("relation") == "eq")).alias("stable"), F.col("repeated").isNull().alias("no_duplicates"),
+        ((F.size("ids") == whole) & (F.col(page) >= 0)).alias("full"), (F.col("n_pages") == F.ceil(F.col("hi") / size)).alias("complete"),
+    )
