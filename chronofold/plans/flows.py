@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from chronofold.plans.base import ORDERS, day, orders, register, table
+from chronofold.plans.base import ORDERS, day, fresh_folder, orders, register, table
 from chronofold.streaming import monitor
 
 QUERIES: list = []
@@ -24,25 +22,84 @@ def str_admission(spark, sf_dir):
     return monitor.admitted(e, time="at", key="user_id", seconds=86400, limit=2, tie="event_id").select("event_id", "admitted")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_type, epoch(ts)::BIGINT AS t FROM (SELECT event_type, date_trunc('second', ts) AS ts FROM events)),
+n AS (SELECT event_type, t, (SELECT min(b.t) FROM e b WHERE b.event_type = a.event_type AND b.t >= a.t + 3600) AS following FROM (SELECT DISTINCT event_type, t FROM e) a),
+r AS (SELECT event_type, min(t) AS t FROM e GROUP BY 1 UNION ALL SELECT n.event_type, following FROM r JOIN n USING (event_type, t) WHERE following IS NOT NULL)
+SELECT event_type, t AS sent_at FROM r""")
 def str_cooldown(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("at"))
     return monitor.cooldown(e, key="event_type", time="at", seconds=3600)
 
 
-@query("SELECT user_id, event_type FROM events GROUP BY ALL")
+@query("""WITH n AS (SELECT event_id, user_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events)
+SELECT event_id, round(max(t - n * 3600.0) OVER (PARTITION BY user_id ORDER BY n) + n * 3600.0, 3) AS goes_at FROM n""")
+def str_rate_limit(spark, sf_dir):
+    """When each user's requests go out if they have to be an hour apart."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return monitor.spaced(e, key="user_id", time="ts", seconds=3600.0, tie="event_id").select("event_id", F.round("goes_at", 3).alias("goes_at"))
+
+
+def _polled(spark, parts, schema, query_of, *, fails=False):
+    """The rows of a stream that is polled once after each part has arrived, with the number of the poll.
+
+    Each poll takes all that is there and ends; the next one starts anew from
+    the checkpoint.  Output is written by batch, replacing what a failed try of
+    the same batch has left, so each row comes out once.  With ``fails`` the
+    first try of every poll breaks after it has written.
+    """
+    base = fresh_folder(spark, "stream")
+    for number, part in enumerate(parts, 1):
+        part.write.mode("append").parquet(f"{base}/in")
+        for attempt in range(1 + fails):
+
+            def write(batch, ident, broken=fails and attempt == 0, number=number):
+                batch.withColumn("poll", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/batch={ident}")
+                if broken:
+                    raise RuntimeError("the process ended after its output was written")
+
+            stream = spark.readStream.schema(schema).parquet(f"{base}/in")
+            run = monitor.write_once(query_of(stream), write, f"{base}/state")
+            try:
+                run.awaitTermination()
+            except Exception:  # noqa: BLE001  the failure that was asked for; any other repeats on the next try
+                if not fails or attempt:
+                    raise
+    return spark.read.parquet(f"{base}/out").drop("batch")
+
+
+def _halves(spark, sf_dir, *columns):
+    e = table(spark, sf_dir, "events").select("event_id", *columns)
+    return [e.where("event_id % 2 = 1").drop("event_id"), e.where("event_id % 2 = 0").drop("event_id")]
+
+
+_ITEMS = "user_id long, event_type string"
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
 def str_dedupe_state(spark, sf_dir):
-    """Each (user, type) once, from a file stream that runs until it has read all."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    table(spark, sf_dir, "events").select("user_id", "event_type").repartition(2).write.parquet(f"{out}/in")
-    stream = spark.readStream.schema("user_id long, event_type string").parquet(f"{out}/in")
-    q = monitor.new_items(stream, keys=["user_id", "event_type"]).writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(path=f"{out}/out", format="parquet")
-    q.awaitTermination()
-    return spark.read.schema("user_id long, event_type string").parquet(f"{out}/out")
+    """Each (user, type) once, over two polls."""
+    return _polled(spark, _halves(spark, sf_dir, "user_id", "event_type"), _ITEMS, lambda s: monitor.new_items(s, keys=["user_id", "event_type"])).drop("poll")
+
+
+@query("SELECT user_id, event_type, CAST(min(CASE event_id % 2 WHEN 1 THEN 1 ELSE 2 END) AS INTEGER) AS poll FROM events GROUP BY ALL")
+def str_poll(spark, sf_dir):
+    """At which poll each item is first seen."""
+    return _polled(spark, _halves(spark, sf_dir, "user_id", "event_type"), _ITEMS, lambda s: monitor.new_items(s, keys=["user_id", "event_type"]))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 10 = 3 THEN DATE '2999-01-01' ELSE CAST(ts AS DATE) END AS d FROM events)
+SELECT user_id, d, CAST(CASE WHEN bool_or(event_id % 2 = 1) THEN 1 ELSE 2 END AS INTEGER) AS poll FROM e WHERE d <= current_date GROUP BY user_id, d""")
+def str_late(spark, sf_dir):
+    """Days of a user however late they come, in the second poll older than all of the first; days to come are left out."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 10 == 3, F.lit("2999-01-01").cast("date")).otherwise(day("ts")).alias("d"))
+    parts = [e.where("event_id % 2 = 1").drop("event_id"), e.where("event_id % 2 = 0").drop("event_id")]
+    return _polled(spark, parts, "user_id long, d date", lambda s: monitor.new_items(s, keys=["user_id", "d"], date="d"))
 
 
-str_poll = str_checkpoint = str_late = str_dedupe_state
+@query("SELECT user_id, event_type, CAST(min(CASE event_id % 2 WHEN 1 THEN 1 ELSE 2 END) AS INTEGER) AS poll FROM events GROUP BY ALL")
+def str_checkpoint(spark, sf_dir):
+    """Every poll breaks once after it has written; what it wrote is replaced by the try that ends well, and nothing is lost or doubled."""
+    return _polled(spark, _halves(spark, sf_dir, "user_id", "event_type"), _ITEMS, lambda s: monitor.new_items(s, keys=["user_id", "event_type"]), fails=True)
 
 
 @query(f"WITH {ORDERS}, d AS (SELECT DISTINCT cik, form, filed FROM o) SELECT a.cik, a.form, a.filed, max(b.filed) AS previous FROM d a LEFT JOIN d b ON a.cik = b.cik AND a.form = b.form AND b.filed < a.filed WHERE a.filed >= DATE '2000-01-01' GROUP BY ALL")
@@ -52,10 +109,15 @@ def str_prev_compare(spark, sf_dir):
     return monitor.previous_same(new, full, key="cik", group="form", date="filed", item="item").select("cik", "form", "filed", "previous")
 
 
-@query(f"WITH {ORDERS} SELECT cik, form, max(filed) AS filed FROM o GROUP BY ALL")
+@query(f"""WITH {ORDERS}, x AS (SELECT CAST(cik AS VARCHAR) AS cik, CAST(accession AS VARCHAR) AS accession, form, filed, filed <= DATE '2000-12-31' AS old FROM o)
+SELECT cik, accession, form, 'first' AS kind, CAST(1 AS INTEGER) AS poll FROM (SELECT *, row_number() OVER (PARTITION BY cik, form ORDER BY filed DESC, accession DESC) AS n FROM x WHERE old) WHERE n = 1
+UNION ALL SELECT cik, accession, form, CASE WHEN EXISTS (FROM x y WHERE y.cik = x.cik AND y.old) THEN 'new' ELSE 'first' END AS kind, 2 FROM x
+ WHERE NOT old AND (EXISTS (FROM x y WHERE y.cik = x.cik AND y.old) OR accession = (SELECT arg_max(z.accession, (z.filed, z.accession)) FROM x z WHERE z.cik = x.cik AND z.form = x.form))""")
 def str_baseline(spark, sf_dir):
-    """What a first observation reports: the newest item of each form."""
-    return orders(spark, sf_dir).groupBy("cik", "form").agg(F.max("filed").alias("filed"))
+    """A company's first observation reports the newest item of each form; later ones report every item not seen."""
+    o = orders(spark, sf_dir).select(F.col("cik").cast("string").alias("cik"), F.col("accession").cast("string").alias("accession"), "form", "filed")
+    parts = [o.where("filed <= DATE'2000-12-31'"), o.where("filed > DATE'2000-12-31'")]
+    return _polled(spark, parts, "cik string, accession string, form string, filed date", lambda s: monitor.baseline_then_new(s, key="cik", item="accession", group="form", order="filed"))
 
 
 @query("SELECT DISTINCT o_orderkey, s_suppkey FROM orders JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_nationkey = c_nationkey WHERE o_orderdate >= TIMESTAMP '2001-07-01' AND s_suppkey % 2 = 0")
@@ -66,10 +128,13 @@ def str_fanout_notify(spark, sf_dir):
     return monitor.fan_out(o, s, None, key="nation", event="o_orderkey", user="s_suppkey")
 
 
-@query("SELECT max(ts) >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 30 HOUR AND max(ts) <= TIMESTAMP '2024-01-31 00:00:00' AS healthy FROM events")
+@query("""WITH l AS (SELECT user_id, arg_max(event_type, ts) AS kind, max(ts) AS t FROM events GROUP BY 1)
+SELECT user_id, kind <> 'error' AND t <= TIMESTAMP '2024-01-30 18:00:00' AND t >= TIMESTAMP '2024-01-30 18:00:00' - INTERVAL 30 HOUR AS healthy FROM l""")
 def str_health(spark, sf_dir):
-    s = table(spark, sf_dir, "events").select(F.lit("success").alias("state"), F.col("ts").cast("timestamp").alias("at"))
-    return monitor.health(s, state="state", at="at", now="2024-01-31 00:00:00", hours=54)
+    """Users as monitors: some failed last, some are stale, and some report from after the time of asking."""
+    s = table(spark, sf_dir, "events").select("user_id", F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("state"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("at"), F.col("ts").cast("timestamp").alias("t"))
+    last = s.groupBy("user_id").agg(F.max_by("state", "t").alias("state"), F.max("at").alias("at"))
+    return monitor.health(last, state="state", at="at", now="2024-01-30 18:00:00", hours=30, by="user_id")
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")

@@ -56,24 +56,49 @@ def admitted(df: DataFrame, *, time: str, key: str, seconds: int, limit: int, ti
 def cooldown(df: DataFrame, *, key: str, time: str, seconds: int) -> DataFrame:
     """Alerts that are sent: the first, then the first at least ``seconds`` after the last one sent.
 
-    What is sent depends on what was sent before, so each key's times are
-    folded in order; the fold keeps one number.
+    What is sent depends on what was sent before.  Each key's times pass in
+    order, in batches, beside the one number that is remembered of them; a key
+    may have any number of alerts.
     """
-    times = F.array_sort(F.collect_list(F.unix_timestamp(time)))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("sent"))
-    fold = F.aggregate(
-        times, start,
-        lambda a, t: F.when(a["last"].isNull() | (t - a["last"] >= seconds), F.struct(t.alias("last"), F.concat(a["sent"], F.array(t)).alias("sent"))).otherwise(a),
-        lambda a: a["sent"],
-    )
-    return df.groupBy(key).agg(fold.alias("sent")).select(key, F.explode("sent").alias("sent_at"))
+    rows = df.select(F.col(key).cast("string").alias("key"), F.unix_timestamp(time).alias("at")).where("at IS NOT NULL")
+
+    def run(batches):
+        open_, last = None, None
+        for pdf in batches:
+            sent = []
+            for k, t in zip(pdf["key"], pdf["at"], strict=True):
+                if k != open_:
+                    open_, last = k, None
+                if last is None or t - last >= seconds:
+                    last = t
+                    sent.append((k, t))
+            yield pd.DataFrame(sent, columns=["key", "sent_at"])
+
+    ordered = rows.repartition("key").sortWithinPartitions("key", "at")
+    return ordered.mapInPandas(run, "key string, sent_at long").select(F.col("key").cast(df.schema[key].dataType).alias(key), "sent_at")
+
+
+def spaced(df: DataFrame, *, key: str, time: str, seconds: float, tie: str) -> DataFrame:
+    """When each request of a key may go out if requests are ``seconds`` apart: in order, none before it came.
+
+    The n-th request waits for all before it, so its time is the greatest of
+    (time of the j-th + (n - j) * seconds) over all j up to n: a running maximum.
+    """
+    w = Window.partitionBy(key).orderBy(time, tie)
+    n = F.row_number().over(w) - 1
+    at = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
+    return df.withColumn("_n", n).withColumn("_free", at - F.col("_n") * seconds).withColumn("goes_at", F.max("_free").over(w) + F.col("_n") * seconds).drop("_n", "_free")
 
 
 def previous_same(new: DataFrame, full: DataFrame, *, key: str, group: str, date: str, item: str) -> DataFrame:
-    """Each new item with the latest strictly earlier one of its key and group in the full list."""
-    old = full.select(F.col(key), F.col(group), F.col(date).alias("_d"), F.col(item).alias("_i"))
-    pairs = new.join(old, [key, group], "left").where(F.col("_d").isNull() | (F.col("_d") < F.col(date)))
-    best = pairs.groupBy(key, group, date, item).agg(F.max_by("_i", F.struct("_d", "_i")).alias("previous"))
+    """Each new item with the latest strictly earlier one of its key and group in the full list.
+
+    One union and one ordered window: both lists pass once, whatever a key holds.
+    """
+    old = full.groupBy(key, group, date).agg(F.max(item).alias("_i"))
+    rows = new.select(key, group, date, item, F.lit(None).cast(full.schema[item].dataType).alias("_i")).unionByName(old.withColumn(item, F.lit(None).cast(new.schema[item].dataType)), allowMissingColumns=True)
+    w = Window.partitionBy(key, group).orderBy(F.unix_date(date)).rangeBetween(Window.unboundedPreceding, -1)
+    best = rows.withColumn("previous", F.last("_i", ignorenulls=True).over(w)).where(F.col("_i").isNull()).select(key, group, date, item, "previous").distinct()
     return new.join(best, [key, group, date, item], "left")
 
 
@@ -88,11 +113,15 @@ def sessions(stream: DataFrame, *, time: str, key: str, gap: str) -> DataFrame:
     return stream.groupBy(F.session_window(time, gap), key).agg(F.count("*").alias("n"))
 
 
-def health(status: DataFrame, *, state: str, at: str, now, hours: int = 30) -> DataFrame:
-    """Healthy if the last run succeeded and is not older than ``hours``."""
-    age = (F.unix_timestamp(F.lit(now)) - F.unix_timestamp(at)) / 3600
-    last = status.orderBy(F.desc(at)).limit(1)
-    return last.select(((F.col(state) == "success") & age.between(0, hours)).alias("healthy"))
+def health(status: DataFrame, *, state: str, at: str, now, hours: int = 30, by: str | None = None) -> DataFrame:
+    """Healthy if the last run succeeded and is neither older than ``hours`` nor in the future; for each ``by`` if given.
+
+    A run without a state or a time is not healthy; without any run there is no
+    row for a ``by``, and overall the answer is no.
+    """
+    last = status.groupBy(*([by] if by else [])).agg(F.max_by(F.struct(F.col(state).alias("s"), F.col(at).alias("t")), F.col(at)).alias("_l"))
+    age = (F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("_l.t")) / 3600
+    return last.select(*([by] if by else []), F.coalesce((F.col("_l.s") == "success") & age.between(0, hours), F.lit(False)).alias("healthy"))
 
 
 def write_once(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
