@@ -49,10 +49,9 @@ def asof_backward(
 
 def latest_must_be_unique(left: DataFrame, right: DataFrame, *, by: str, left_time: str, right_time: str) -> DataFrame:
     """Latest right rows at or before each left row, with how many tie there; a tie is for the caller to refuse."""
-    pairs = left.join(right, by).where(F.col(right_time) <= F.col(left_time))
-    latest = pairs.groupBy(by, left_time).agg(F.max(right_time).alias("latest"))
-    ties = right.groupBy(F.col(by), F.col(right_time).alias("latest")).agg(F.count("*").alias("n_ties"))
-    return latest.join(ties, [by, "latest"])
+    ties = right.groupBy(by, right_time).agg(F.count("*").alias("n_ties"))
+    out = asof_backward(left.select(by, left_time).distinct(), ties, by=by, left_time=left_time, right_time=right_time, values=["n_ties"], strict=False)
+    return out.where("matched_time IS NOT NULL").select(by, F.col("matched_time").alias("latest"), left_time, "n_ties")
 
 
 def prior_band(df: DataFrame, *, by: str, period: str, filed: str, values: Sequence[str], days: tuple[int, int], latest_filed: bool = False) -> DataFrame:
@@ -60,10 +59,16 @@ def prior_band(df: DataFrame, *, by: str, period: str, filed: str, values: Seque
 
     Of rows for that period the earliest filed counts, or the latest with
     ``latest_filed``.  Columns come back with the prefix ``prior_``.
+
+    Rows meet by key and stretch of time, each stretch as long as the band
+    reaches back, so a row is compared with two stretches of its key only.
     """
-    old = df.select(F.col(by), F.col(period).alias("_p"), F.col(filed).alias("_f"), F.struct(F.col(period).alias("period"), *values).alias("_v"))
+    width = max(1, days[1])
+    old = df.select(F.col(by), F.floor(F.unix_date(period) / width).alias("_s"), F.col(period).alias("_p"), F.col(filed).alias("_f"), F.struct(F.col(period).alias("period"), *values).alias("_v"))
+    stretch = lambda back: F.floor((F.unix_date(F.col(period)) - back) / width)
+    asked = df.select(by, period, filed).distinct().withColumn("_s", F.explode(F.array_distinct(F.array(stretch(days[1]), stretch(days[0])))))
     gap = F.datediff(F.col(period), F.col("_p"))
-    joined = df.join(old, by, "left").where((F.col("_p").isNull()) | ((gap >= days[0]) & (gap <= days[1]) & (F.col("_f") <= F.col(filed))))
+    joined = asked.join(old, [by, "_s"]).where((gap >= days[0]) & (gap <= days[1]) & (F.col("_f") <= F.col(filed)))
     rank = F.struct("_p", F.col("_f") if latest_filed else -F.unix_date("_f"))
     best = joined.groupBy(by, period, filed).agg(F.max_by("_v", rank).alias("_b"))
     return df.join(best, [by, period, filed], "left").select(*df.columns, F.col("_b.period").alias("prior_period"), *[F.col(f"_b.{v}").alias(f"prior_{v}") for v in values])
@@ -75,14 +80,17 @@ def window_counts(anchors: DataFrame, events: DataFrame, *, by: str, anchor: str
     Where ``complete`` is false for any event of the window, counts not named
     in ``exact`` are unknown (null).  Anchors without events count zero.
     """
-    e = events.withColumnsRenamed({by: "_by"}).withColumn("_t", F.col(time))
-    inside = (F.col("_by") == F.col(by)) & (F.col("_t") < F.col(anchor)) & (F.col("_t") >= F.date_sub(anchor, days))
-    known = F.lit(True) if complete is None else F.coalesce(F.bool_and(F.col("_t").isNull() | complete), F.lit(True))
+    bad = F.lit(0) if complete is None else F.sum((~F.coalesce(complete, F.lit(False))).cast("long"))
+    per_day = events.groupBy(F.col(by), F.unix_date(F.to_date(time)).alias("_u")).agg(bad.cast("long").alias("_bad"), *[F.count_if(c).alias(f"_n_{name}") for name, c in counts.items()])
+    rows = anchors.distinct().withColumns({"_u": F.unix_date(anchor), "_asks": F.lit(True)}).unionByName(per_day.withColumn("_asks", F.lit(False)), allowMissingColumns=True)
+    # one ordered pass over the days of a key, whatever the length of the window
+    w = Window.partitionBy(by).orderBy("_u").rangeBetween(-days, -1)
+    known = F.coalesce(F.sum("_bad").over(w), F.lit(0)) == 0
     made = []
-    for name, condition in counts.items():
-        n = F.count_if(F.col("_t").isNotNull() & condition)
+    for name in counts:
+        n = F.coalesce(F.sum(f"_n_{name}").over(w), F.lit(0))
         made.append((n if name in exact else F.when(known, n)).alias(name))
-    return anchors.join(e, inside, "left").groupBy(*anchors.columns).agg(*made)
+    return rows.select("_asks", *anchors.columns, *made).where("_asks").drop("_asks")
 
 
 def interval_stab(intervals: DataFrame, at: Column, *, start: str, end: str) -> DataFrame:

@@ -66,3 +66,25 @@ def beneish(indices: dict[str, Column]) -> Column:
     for name, value in indices.items():
         out = out + BENEISH[name] * value
     return out
+
+
+def beneish_indices(now: dict[str, Column], before: dict[str, Column]) -> dict[str, Column]:
+    """The eight indices of a period against the one before, from statement values by name.
+
+    sales, receivables, cogs, current_assets, ppe, assets, depreciation, sga,
+    current_liabilities, debt, income, cash_flow.  What is missing, or has a zero
+    to divide by, makes its indices null.
+    """
+
+    def ratios(v: dict[str, Column]) -> dict[str, Column]:
+        over = F.try_divide
+        return {
+            "receivables": over(v["receivables"], v["sales"]), "margin": over(v["sales"] - v["cogs"], v["sales"]), "soft": 1 - over(v["current_assets"] + v["ppe"], v["assets"]), "sales": v["sales"],
+            "wear": over(v["depreciation"], v["depreciation"] + v["ppe"]), "sga": over(v["sga"], v["sales"]), "leverage": over(v["current_liabilities"] + v["debt"], v["assets"]), "accruals": over(v["income"] - v["cash_flow"], v["assets"]),
+        }
+
+    a, b = ratios(now), ratios(before)
+    grows = {"dsri": "receivables", "aqi": "soft", "sgi": "sales", "sgai": "sga", "lvgi": "leverage"}
+    falls = {"gmi": "margin", "depi": "wear"}
+    out = {k: F.try_divide(a[r], b[r]) for k, r in grows.items()} | {k: F.try_divide(b[r], a[r]) for k, r in falls.items()} | {"tata": a["accruals"]}
+    return {k: out[k] for k in BENEISH if k != "const"}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window, Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -74,3 +74,23 @@ def assess_reviews(responses: DataFrame, *, unit: str, reviewer: str, verdict: s
     g = responses.groupBy(unit).agg(F.count_distinct(F.when(F.col(verdict) == "approve", F.col(reviewer))).alias("n"), F.collect_set(verdict).alias("v"))
     state = F.when(F.array_contains("v", "correct"), "correction").when(F.array_contains("v", "unsure"), "uncertain").when(F.col("n") >= 2, "approved").otherwise("pending")
     return g.select(unit, F.col("n").alias("n_reviewers"), state.alias("state"))
+
+
+def followup_complete(history: DataFrame, anchors: DataFrame, *, by: str, filed: str, period: str, days: int = 180, least: int = 4) -> DataFrame:
+    """Whether reporting after each anchor goes on without a gap until it covers the anchor's horizon.
+
+    ``anchors``: by, baseline, anchor, horizon, cutoff.  Counted are reports
+    filed after the anchor and up to the cutoff; they must cover at least
+    ``least`` periods and reach the horizon.  From the baseline to the first
+    report that covers the horizon no two filing days may be more than ``days``
+    apart; reports after that one no longer matter.  A company without any
+    report is not complete.
+    """
+    one = [by, "anchor"]
+    rows = anchors.join(history.select(by, F.col(filed).alias("_f"), F.col(period).alias("_p")), by).where((F.col("_f") > F.col("anchor")) & (F.col("_f") <= F.col("cutoff")))
+    reach = rows.groupBy(*one).agg(F.count_distinct("_p").alias("periods"), F.min(F.when(F.col("_p") >= F.col("horizon"), F.col("_f"))).alias("_end"))
+    seen = rows.select(*one, "_f").unionByName(anchors.select(*one, F.col("baseline").alias("_f"))).distinct().join(reach, one).where(F.col("_f") <= F.col("_end"))
+    gap = F.datediff("_f", F.lag("_f").over(Window.partitionBy(*one).orderBy("_f")))
+    gaps = seen.withColumn("_g", gap).groupBy(*one).agg(F.max("_g").alias("longest"))
+    out = anchors.select(*one).join(reach.select(*one, "periods"), one, "left").join(gaps, one, "left")
+    return out.select(*one, F.coalesce("periods", F.lit(0)).alias("periods"), F.coalesce((F.col("periods") >= least) & (F.col("longest") <= days), F.lit(False)).alias("complete"))

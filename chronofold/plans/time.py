@@ -155,16 +155,24 @@ SELECT event_id, user_id, round(equity, 6) AS equity, round(equity / max(equity)
 def win_cumprod(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", (1 + (F.col("value") - 50) / 1000).alias("g"))
-    e = e.withColumn("equity", F.exp(F.sum(F.ln("g")).over(w)))
+    # a product of any signs: of a factor of zero nothing is left, and each negative one turns the sign
+    size = F.exp(F.sum(F.when(F.col("g") != 0, F.ln(F.abs("g")))).over(w))
+    sign = F.when(F.max((F.col("g") == 0).cast("int")).over(w) == 1, 0).when(F.sum((F.col("g") < 0).cast("int")).over(w) % 2 == 1, -1).otherwise(1)
+    e = e.withColumn("equity", F.coalesce(size, F.lit(1.0)) * sign)
     return e.select("event_id", "user_id", F.round("equity", 6).alias("equity"), F.round(F.col("equity") / F.max("equity").over(w) - 1, 6).alias("drawdown"))
 
 
-@query(f"""WITH {ORDERS}, g AS (SELECT cik, filed, filed - lag(filed) OVER (PARTITION BY cik ORDER BY filed) AS gap FROM (SELECT DISTINCT cik, filed FROM o WHERE filed <= DATE '2000-12-31'))
-SELECT cik, count(*) AS n_periods, count(*) >= 4 AND coalesce(bool_and(gap <= 180), true) AS complete FROM g GROUP BY cik""")
+@query(f"""WITH {ORDERS}, h AS (SELECT cik, filed, filed - 30 AS period FROM o), a AS (SELECT cik, min(filed) AS anchor, min(filed) + 700 AS horizon FROM h GROUP BY cik),
+f AS (SELECT a.*, filed, period FROM a JOIN h USING (cik) WHERE filed > anchor AND filed <= DATE '2001-06-30'),
+e AS (SELECT cik, count(DISTINCT period) AS periods, min(CASE WHEN period >= horizon THEN filed END) AS last FROM f GROUP BY cik),
+g AS (SELECT cik, filed - lag(filed) OVER (PARTITION BY cik ORDER BY filed) AS gap FROM (SELECT cik, filed FROM f UNION SELECT cik, anchor FROM a) JOIN e USING (cik) WHERE filed <= last)
+SELECT a.cik, a.anchor, coalesce(periods, 0) AS periods, coalesce(periods >= 4 AND (SELECT max(gap) FROM g WHERE g.cik = a.cik) <= 180, false) AS complete FROM a LEFT JOIN e ON e.cik = a.cik""")
 def win_gap_check(spark, sf_dir):
-    d = orders(spark, sf_dir).where("filed <= DATE'2000-12-31'").select("cik", "filed").distinct()
-    gap = F.datediff("filed", F.lag("filed").over(Window.partitionBy("cik").orderBy("filed")))
-    return d.withColumn("gap", gap).groupBy("cik").agg(F.count("*").alias("n_periods"), ((F.count("*") >= 4) & F.coalesce(F.bool_and(F.col("gap") <= 180), F.lit(True))).alias("complete"))
+    """Reports from each company's first filing until one covers a horizon of 700 days."""
+    h = orders(spark, sf_dir).select("cik", "filed", F.date_sub("filed", 30).alias("period"))
+    first = h.groupBy("cik").agg(F.min("filed").alias("anchor"))
+    anchors = first.select("cik", "anchor", F.col("anchor").alias("baseline"), F.date_add("anchor", 700).alias("horizon"), F.lit("2001-06-30").cast("date").alias("cutoff"))
+    return labels.followup_complete(h, anchors, by="cik", filed="filed", period="period")
 
 
 @query(f"""WITH {ORDERS} SELECT cik, accession, filed FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filed DESC, accession DESC) AS n FROM o) WHERE n <= 2""")

@@ -47,17 +47,40 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
 
 
 def publish(spark: SparkSession, df: DataFrame, root: str) -> str:
-    """Write a new version below ``root`` and then point ``current`` at it; readers never see half of one."""
+    """Write a new version below ``root``, and then one small pointer file to it that is renamed into place.
+
+    Pointers are numbered and never changed, so a reader finds the last whole
+    one: before the rename the old version, after it the new.  An empty version
+    is not published.  Two publishers at once get different numbers; the later
+    rename of the same number fails.
+    """
     version = uuid.uuid4().hex
     df.write.parquet(f"{root}/{version}")
     if spark.read.schema(df.schema).parquet(f"{root}/{version}").limit(1).count() == 0:
         raise ValueError("an empty version is not published")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    made, number = f"{root}/{version}.pointer", len(_pointers(spark, root))
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.json(made)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    pointers, place = hadoop(f"{root}/pointers"), hadoop(f"{root}/pointers/{number:012d}")
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(pointers)
+    if fs.exists(place) or not fs.rename(hadoop(made), place):
+        raise ValueError("another version was published meanwhile")
     return version
 
 
+def _pointers(spark: SparkSession, root: str) -> list[str]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/pointers")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().toString() for f in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
 def current(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.schema("version string").json(f"{root}/current").first()[0]
+    """The version that was published last."""
+    found = _pointers(spark, root)
+    if not found:
+        raise ValueError("nothing is published there")
+    version = spark.read.schema("version string").json(found[-1]).first()[0]
     return spark.read.parquet(f"{root}/{version}")
 
 
