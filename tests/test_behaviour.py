@@ -1,13 +1,16 @@
 """Small hand-made cases: arithmetic, ties, leakage guards, invariances, streams."""
 
 import datetime as dt
+import io
+import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from chronofold.functions import scalar, text
 from chronofold.operators import asof, backtest, guards, history, labels, metrics, prepare, sampling
-from chronofold.sources import readers, sinks
+from chronofold.sources import filings, origin, readers, sinks
 from chronofold.streaming import monitor
 
 D = dt.date
@@ -168,11 +171,8 @@ def test_ragged_arrays_are_refused(spark):
 def test_text(spark):
     page = "<html><head><title>t</title></head><body>a<script>x</script><p style='display: none'>h</p><div hidden>g</div><b>b</b></body></html>"
     assert text.visible(page) == "a b" and text.visible(None) is None
-    words = " ".join(["w"] * 1200)
-    parts = text.chunks(words)
-    assert len(parts) < 10 and all(len(p.split()) <= 500 for p in parts) and text.chunks("") == []
     assert text.sections("Item 1A. Risk\n" + "word " * 20 + "\nItem 2. X\nshort")["risk_factors"].startswith("word")
-    assert text.context_counts("We saw no loss. A loss came.", r"\bloss\b") == {"plain": 1, "negated": 1}
+    assert text.context_counts("There is no default here. A default came. As part of an audit, a default.", "a default|no default") == {"plain": 1, "negated": 1, "boilerplate": 1}
     assert text.petitions("On May 5, 2020 Acme filed for chapter 11. On May 6, 2020 an involuntary case was filed under chapter 7.") == ["May 5, 2020"]
     df = spark.createDataFrame([("The cat is on the mat the",)], "t string")
     assert df.select(text.phrase_count(F.col("t"), "the")).first()[0] == 3
@@ -250,3 +250,144 @@ def test_latent_vectors_see_whole_texts(spark, tmp_path):
     spark.createDataFrame([(i, t, "de") for i, t in rows], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r["query"], r["key"]) for r in retrieval.ret_lsa(spark, str(tmp_path)).collect()}
     assert {(0, 0), (0, 1), (100, 100)} <= got and (100, 0) not in got
+
+
+def chunk_plain(words, size, overlap):
+    """The rule read off word by word: at most ``size``, up to the last sentence end past the overlap, the rest again."""
+    start, out = 0, []
+    while start < len(words):
+        stop = start + size
+        if stop < len(words):
+            ends = [k for k in range(start + overlap + 1, stop + 1) if words[k - 1].rstrip("\"')")[-1:] in (".", "!", "?")]
+            stop = max(ends, default=stop)
+        out.append(" ".join(words[start:stop]))
+        if stop >= len(words):
+            return out
+        start = max(start + 1, stop - overlap)
+    return out
+
+
+def test_chunks(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["a", "b.", "c!\"", "d')", "e?'", "f;"]) for _ in range(n)) for n in (0, 1, 5, 9, 10, 11, 30, 77, 140)] + [" ".join(["w"] * 60), "x. " * 50, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for size, overlap in ((10, 3), (10, 0), (4, 3), (500, 50)):
+        got = {r.i: r.c for r in df.select("i", text.chunk_text(F.col("t"), size, overlap).alias("c")).collect()}
+        assert got == {i: chunk_plain((t or "").split(), size, overlap) for i, t in enumerate(texts)}
+    for bad in ((0, 0), (5, 5), (5, -1)):
+        with pytest.raises(ValueError, match="overlap"):
+            text.chunk_text(F.col("t"), *bad)
+
+
+def test_transactions_keep_their_own_values(spark):
+    tx = "<nonDerivativeTransaction><transactionCoding><transactionCode>{}</transactionCode></transactionCoding><transactionAmounts>{}</transactionAmounts></nonDerivativeTransaction>"
+    price = "<transactionPricePerShare><value>9.5</value></transactionPricePerShare>"
+    xml = '<o xmlns="u"><issuer><issuerCik>12</issuerCik></issuer>' + tx.format("P", "") + tx.format("S", price) + "</o>"
+    df = spark.createDataFrame([("0000000012", xml), ("12", "<o><issuer><issuerCik>12</issuerCik></issuer></o>")], "cik string, x string")
+    got = filings.ownership_transactions(df, "x", ["cik"], issuer="cik").collect()
+    assert [(r.transaction_index, r.transaction_code, r.price_per_share, r.shares, r.purchase_sale_signal) for r in got] == [(0, "P", None, None, "purchase"), (1, "S", 9.5, None, "sale")]
+    with pytest.raises(Exception, match="issuer does not match"):
+        filings.ownership_transactions(df.withColumn("cik", F.lit("13")), "x", ["cik"], issuer="cik").collect()
+    assert [r.price_per_share for r in filings.ownership_documents(df, "x", ["cik"]).collect()] == [0.0, 9.5]
+
+
+def packed(members):
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for name, content in members.items():
+            z.writestr(name, content)
+    return data.getvalue()
+
+
+def test_releases_are_checked(spark):
+    head = "Name,Key,Day\r\n"
+    good = {"r_1-2.csv": (head + "Caf\u00e9,1,01/31/2020\r\n").encode("cp1252"), "x.txt": "y"}
+    read = lambda *zips: filings.checked_release(spark.createDataFrame([(f"z{i}", bytearray(packed(z))) for i, z in enumerate(zips)], "path string, content binary"), release="1-2", columns=["Name"], key="Key", day="Day", until="2021-01-01").collect()
+    row = read(good)[0]
+    assert (row.Name, row.Key, row.Day, row.member) == ("Caf\u00e9", "1", D(2020, 1, 31), "r_1-2.csv") and len(row.member_sha256) == 64
+    for bad, said in (
+        ({**good, "other.csv": "a"}, "one CSV"), ({"r_9.csv": head}, "one CSV"), ({"r_1-2.csv": "Name,Key\r\na,1\r\n"}, "lacks the columns"), ({"r_1-2.csv": head + "a,,01/31/2020\r\n"}, "without Key"),
+        ({"r_1-2.csv": head + "a,1,01/31/2022\r\n"}, "after 2021"), ({"r_1-2.csv": head + "a,1,nonsense\r\n"}, "does not match format"), ({"r_1-2.csv": head + "a,1,01/31/2020\r\nb,1,01/31/2020\r\n"}, "repeats"),
+    ):
+        with pytest.raises(Exception, match=said):
+            read(bad)
+    with pytest.raises(Exception, match="repeats"):
+        read(good, good)
+
+
+def test_tagged_facts():
+    page = '<xbrli:context id="c"><xbrli:startDate>2020-01-01</xbrli:startDate><xbrli:endDate>2020-12-31</xbrli:endDate></xbrli:context><xbrli:context id="d"><xbrldi:typedMember>x</xbrldi:typedMember><xbrli:instant>2020-06-30</xbrli:instant></xbrli:context>'
+    fact = lambda attrs, said: f'<ix:nonFraction name="n" contextRef="c" {attrs}>{said}</ix:nonFraction>'
+    page += fact('scale="6" sign="-"', "1,2<b>34</b>.5") + fact('format="ixt:num-comma-decimal"', "1") + fact('continuedAt="x"', "1") + fact("", "none") + '<ix:nonFraction name="m" contextRef="d">7</ix:nonFraction>'
+    got = filings.tagged_facts(page)
+    assert got == [("n", "c", -1234500000.0, None, False, None, "2020-01-01", "2020-12-31"), ("m", "d", 7.0, None, True, "2020-06-30", None, None)]
+    assert filings.tagged_facts(None) == []
+
+
+def test_submissions_and_encoded_lines():
+    import binascii
+
+    raw = "<DOCUMENT>\n<TYPE>10-K\n<FILENAME>a.htm\n<TEXT><p>a loss &amp; b</p><p hidden>loss</p></TEXT>\n</DOCUMENT><DOCUMENT><TYPE>EX-1\n<FILENAME>b.gif\n<TEXT>x</TEXT></DOCUMENT><DOCUMENT><TYPE>OTHER\n<FILENAME>c.txt\n<TEXT>loss</TEXT></DOCUMENT><DOCUMENT><TYPE>EX-2\n<FILENAME>d.pdf\n<TEXT>no code</TEXT></DOCUMENT>"
+    got = filings.screened(raw, ["10-K"], "loss")
+    assert [(r[0], r[1], r[4], r[5], r[6]) for r in got] == [(0, "10-K", "primary_report", "screened", 1), (1, "EX-1", "exhibit", "unsupported_format_requires_review", None), (3, "EX-2", "exhibit", "unreadable_text_requires_review", None)]
+    with pytest.raises(ValueError, match="no documents"):
+        filings.screened("", ["10-K"], "loss")
+    data = bytes(range(40))
+    line = binascii.b2a_uu(data).rstrip(b"\n")
+    assert filings.uu_line(line) == data and filings.uu_line(line[:-1] + b"_") == data[:-1] + filings.uu_line(line[:-1] + b"_")[-1:]
+    with pytest.raises(ValueError, match="cut off"):
+        filings.uu_line(b"M" + b"!" * 10 + b"~")
+
+
+def test_layers_and_spacing():
+    local: dict = {}
+
+    def get(k):
+        if k == "secret":
+            raise PermissionError(k)
+        return {"a": b"1"}[k]
+
+    layers = origin.Layers((local.__getitem__, local.__setitem__), (get, None))
+    assert layers.get("a") == b"1" and local == {"a": b"1"}
+    with pytest.raises(KeyError):
+        layers.get("b")
+    with pytest.raises(PermissionError):
+        layers.get("secret")
+    now = [0.0]
+    s = origin.Spacing(2.0, clock=lambda: now[0], sleep=lambda x: now.__setitem__(0, now[0] + x))
+    assert [s.wait(), s.wait(), s.wait()] == [0.0, 2.0, 4.0] and now[0] == 4.0
+
+
+def test_paged_search(spark):
+    import http.server
+    import json
+    import threading
+
+    class Search(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            start = int(self.path.rpartition("=")[2])
+            body = json.dumps({"total": 23, "ids": list(range(start, min(start + 10, 23)))}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Search)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        spark.dataSource.register(origin.PagedSearch)
+        pages = spark.read.format("paged_search").option("url", f"http://127.0.0.1:{server.server_port}/?start={{start}}").option("size", 10).load()
+        got = readers.page_checks(pages, page="page", size=10).orderBy("page").collect()
+        assert [tuple(r) for r in got] == [(0, 10, True, True, True, True), (1, 10, True, True, True, True), (2, 3, True, True, True, True)]
+    finally:
+        server.shutdown()
+
+
+def test_followup(spark):
+    h = spark.createDataFrame([("a", D(2020, 5, 1), D(2020, 3, 31)), ("a", D(2020, 8, 1), D(2020, 6, 30)), ("a", D(2020, 11, 1), D(2020, 9, 30)), ("a", D(2021, 3, 1), D(2020, 12, 31)), ("a", D(2022, 3, 1), D(2021, 12, 31)), ("b", D(2020, 5, 1), D(2020, 3, 31))], "k string, f date, p date")
+    a = spark.createDataFrame([(k, D(2020, 2, 1), D(2020, 2, 1), D(2020, 12, 31), D(2022, 12, 31)) for k in "abc"], "k string, baseline date, anchor date, horizon date, cutoff date")
+    out = {r.k: (r.periods, r.complete) for r in labels.followup_complete(h, a, by="k", filed="f", period="p").collect()}
+    assert out == {"a": (5, True), "b": (1, False), "c": (0, False)}
+    assert labels.followup_complete(h, a, by="k", filed="f", period="p", days=90).where("k = 'a'").first().complete is False

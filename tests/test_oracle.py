@@ -47,4 +47,7 @@ def test_same_rows(spark, duck, name):
 
 @pytest.mark.parametrize("name", [n for n in RUNS if n not in SQL and n not in catalog.SHARED])
 def test_runs(spark, name):
-    assert RUNS[name](spark, SF).count() >= 0
+    """Queries without SQL give rows, none of them empty throughout; their values are tested elsewhere."""
+    df = RUNS[name](spark, SF)
+    rows = df.collect()
+    assert rows and all(any(v is not None for v in r) for r in rows)
