@@ -96,7 +96,8 @@ def bootstrap_clusters(df: DataFrame, *, entity: str, value: str, w: str, replic
     """
     per = df.groupBy(entity).agg(F.sum(F.col(w) * F.col(value)).alias("_s"), F.sum(w).alias("_w"))
     rows = per.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = F.pmod(F.xxhash64(F.col(entity), F.col("replicate"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    key = F.concat_ws(":", F.col(entity).cast("string"), F.col("replicate").cast("string"), F.lit(str(seed)))
+    u = F.conv(F.substring(F.md5(key), 1, 10), 16, 10).cast("double") / float(1 << 40)
     import math
 
     draws, total = F.lit(0), 0.0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -241,31 +243,47 @@ def ml_hard_negative(spark, sf_dir):
     return s.join(F.broadcast(r)).select("unit", F.round(F.when(F.col("y") == 1, F.col("v") * F.col("r")).otherwise(F.col("v")), 6).alias("w"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SCORED}, c AS (SELECT round(p, 6) AS p, count(*) AS n, sum(y) AS s FROM s WHERE p IS NOT NULL GROUP BY 1),
+l AS (SELECT list(ln(least(greatest(p, 1e-7), 1 - 1e-7) / (1 - least(greatest(p, 1e-7), 1 - 1e-7))) ORDER BY p) AS zs, list(n ORDER BY p) AS ns, sum(n) AS total, (sum(s) + 0.5) / (sum(n) + 1) AS target FROM c),
+b(i, lo, hi) AS (SELECT 0, CAST(-20 AS DOUBLE), CAST(20 AS DOUBLE) UNION ALL
+ SELECT i + 1, CASE WHEN m <= target THEN mid ELSE lo END, CASE WHEN m <= target THEN hi ELSE mid END FROM
+ (SELECT i, lo, hi, (lo + hi) / 2 AS mid, target, list_sum(list_transform(range(1, len(zs) + 1), lambda k: ns[k] / (1 + exp(-(zs[k] + (lo + hi) / 2))))) / total AS m FROM b, l WHERE i < 60))
+SELECT unit, round(1 / (1 + exp(-(ln(least(greatest(p, 1e-7), 1 - 1e-7) / (1 - least(greatest(p, 1e-7), 1 - 1e-7))) + (SELECT arg_max(lo, i) FROM b)))), 4) AS calibrated FROM s""")
 def ml_calibrate_intercept(spark, sf_dir):
     s = scored(spark, sf_dir)
     offset = prepare.calibrate_intercept(s, p="p", y="y")
     from chronofold.functions.scalar import expit, logit_clip
 
-    return s.select("unit", expit(logit_clip(F.col("p")) + offset).alias("calibrated"))
+    return s.select("unit", F.round(expit(logit_clip(F.col("p")) + offset), 4).alias("calibrated"))
 
 
-@query()
+_POISSON = ", ".join(repr(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(9))
+
+
+@query(f"""WITH {SCORED}, e AS (SELECT unit % 50 AS cik, sum(w * y) AS s, sum(w) AS w FROM s GROUP BY 1),
+d AS (SELECT replicate, s, w, CAST(concat('0x', substr(md5(concat(cik, ':', replicate, ':7')), 1, 10)) AS BIGINT) / 1099511627776.0 AS u FROM e, range(200) r(replicate)),
+m AS (SELECT replicate, sum(k * s) / nullif(sum(k * w), 0) AS mean FROM (SELECT *, list_sum(list_transform([{_POISSON}], lambda x: CASE WHEN u >= CAST(x AS DOUBLE) THEN 1 ELSE 0 END)) AS k FROM d) GROUP BY 1)
+SELECT round(quantile_cont(mean, 0.025), 8) AS low, round(quantile_cont(mean, 0.975), 8) AS high FROM m""")
 def sample_bootstrap_cluster(spark, sf_dir):
     s = scored(spark, sf_dir).withColumn("cik", F.col("unit") % 50)
     b = prepare.bootstrap_clusters(s, entity="cik", value="y", w="w", replicates=200)
-    return b.agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    return b.agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(F.round(F.col("q")[0], 8).alias("low"), F.round(F.col("q")[1], 8).alias("high"))
 
 
-@query()
+@query(f"""WITH {SCORED}, x AS (SELECT replicate, p, quality, w * (CAST(concat('0x', substr(md5(concat(unit, ':', replicate)), 1, 8)) AS BIGINT) % 3) AS w FROM s, range(20) r(replicate)),
+g AS (SELECT replicate, p, sum(CASE WHEN quality = 1 THEN w ELSE 0 END) AS pos, sum(CASE WHEN quality = 0 THEN w ELSE 0 END) AS neg FROM x WHERE w > 0 GROUP BY ALL),
+c AS (SELECT replicate, p AS score, sum(pos) OVER z AS tp, sum(neg) OVER z AS fp, sum(pos) OVER (PARTITION BY replicate) AS ap FROM g WINDOW z AS (PARTITION BY replicate ORDER BY p DESC)),
+t AS (SELECT replicate, arg_max(score, (tp / ap, tp / (tp + fp), score)) FILTER (tp / (tp + fp) >= 0.5 AND tp / ap >= 0.5) AS threshold FROM c GROUP BY replicate)
+SELECT round(quantile_cont(threshold, 0.5), 8) AS threshold, avg(CASE WHEN threshold IS NULL THEN 0.0 ELSE 1.0 END) AS feasible FROM t""")
 def pol_bootstrap_consensus(spark, sf_dir):
     """Share of bootstrap replicates in which the balanced policy is feasible."""
     from chronofold.operators import metrics as m
 
     s = scored(spark, sf_dir).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    s = s.withColumn("w", F.col("w") * F.pmod(F.xxhash64("unit", "replicate"), F.lit(3))).where("w > 0")
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("unit").cast("string"), F.col("replicate").cast("string"))), 1, 8), 16, 10).cast("long") % 3
+    s = s.withColumn("w", F.col("w") * drawn).where("w > 0")
     t = m.balanced_threshold(m.curve(s, p="p", y="quality", w="w", by=["replicate"]), by=["replicate"])
-    return t.agg(F.percentile("threshold", 0.5).alias("threshold"), F.avg(F.col("threshold").isNotNull().cast("double")).alias("feasible"))
+    return t.agg(F.round(F.percentile("threshold", 0.5), 8).alias("threshold"), F.avg(F.col("threshold").isNotNull().cast("double")).alias("feasible"))
 
 
 def _model_frame(spark, sf_dir):
@@ -277,14 +295,14 @@ def _model_frame(spark, sf_dir):
 
 @query()
 def ml_classifiers(spark, sf_dir):
-    """Held-out scores of a weighted logistic regression, trees and boosting; fold 0 is held out."""
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+    """Held-out scores of a weighted logistic regression, trees, boosting and layers (unweighted); fold 0 is held out."""
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
     from pyspark.ml.functions import vector_to_array
 
     rows = _model_frame(spark, sf_dir)
     train, test = rows.where("fold <> 0"), rows.where("fold = 0")
     out = None
-    for name, model in (("logistic", LogisticRegression(weightCol="w", labelCol="quality", maxIter=20)), ("forest", RandomForestClassifier(weightCol="w", labelCol="quality", numTrees=10, seed=7)), ("boosted", GBTClassifier(weightCol="w", labelCol="quality", maxIter=5, seed=7))):
+    for name, model in (("logistic", LogisticRegression(weightCol="w", labelCol="quality", maxIter=20)), ("forest", RandomForestClassifier(weightCol="w", labelCol="quality", numTrees=10, seed=7)), ("boosted", GBTClassifier(weightCol="w", labelCol="quality", maxIter=5, seed=7)), ("layers", MultilayerPerceptronClassifier(labelCol="quality", layers=[2, 8, 2], maxIter=30, seed=7))):
         one = model.fit(train).transform(test).select("unit", F.lit(name).alias("model"), vector_to_array("probability")[1].alias("score"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -350,21 +368,24 @@ def ml_nested_calibration(spark, sf_dir):
     return out
 
 
-_CAND = """c AS (SELECT * FROM (VALUES ('a', 0.07, 0.02, true), ('b', 0.05, 0.02, false), ('c', 0.06, 0.01, true), ('d', 0.06, 0.01, true)) AS v(name, loss, brier, feasible))"""
+_CAND = f"""{SCORED}, q AS (SELECT *, least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16) AS e FROM s),
+c AS (SELECT lang AS name, round(-sum(w * (y * ln(e) + (1 - y) * ln(1 - e))) / sum(w), 4) AS loss, round(sum(w * (p - y) * (p - y)) / sum(w), 4) AS brier, count(*) % 2 = 0 AS feasible FROM q GROUP BY lang)"""
 
 
-def _candidates(spark):
-    return spark.createDataFrame([("a", 0.07, 0.02, True), ("b", 0.05, 0.02, False), ("c", 0.06, 0.01, True), ("d", 0.06, 0.01, True)], "name string, loss double, brier double, feasible boolean")
+def _candidates(spark, sf_dir):
+    """Scores of each language as those of a model of its own."""
+    p, y, w = (F.col(c) for c in ("p", "y", "w"))
+    return scored(spark, sf_dir).groupBy(F.col("lang").alias("name")).agg(F.round(metrics.log_loss(p, y, w), 4).alias("loss"), F.round(metrics.brier(p, y, w), 4).alias("brier"), (F.count("*") % 2 == 0).alias("feasible"))
 
 
 @query(f"WITH {_CAND} SELECT arg_min(name, (loss, brier, name)) AS name FROM c")
 def pol_select_model(spark, sf_dir):
-    return _candidates(spark).agg(F.min_by("name", F.struct("loss", "brier", "name")).alias("name"))
+    return _candidates(spark, sf_dir).agg(F.min_by("name", F.struct("loss", "brier", "name")).alias("name"))
 
 
 @query(f"WITH {_CAND} SELECT arg_min(name, (NOT feasible, loss, brier, name)) AS name FROM c")
 def pol_select_feasible(spark, sf_dir):
-    return _candidates(spark).agg(F.min_by("name", F.struct(~F.col("feasible"), F.col("loss"), F.col("brier"), F.col("name"))).alias("name"))
+    return _candidates(spark, sf_dir).agg(F.min_by("name", F.struct(~F.col("feasible"), F.col("loss"), F.col("brier"), F.col("name"))).alias("name"))
 
 
 @query(f"WITH {SCORED} SELECT list_filter([CASE WHEN count(*) < 100000 THEN 'few_rows' END, CASE WHEN avg(y) < 0.01 THEN 'few_positives' END], lambda x: x IS NOT NULL) AS failed FROM s")

@@ -176,7 +176,10 @@ def fn_set_diff(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", F.size(F.array_except(b, a)).cast("long").alias("added"), F.size(F.array_except(a, b)).cast("long").alias("removed"))
 
 
-@query()
+@query("SELECT c_name AS name, c_name AS suggestion FROM customer WHERE c_custkey % 100 = 0 UNION ALL SELECT concat('Zz ', c_custkey, ' !!') , NULL FROM customer WHERE c_custkey % 100 = 1")
 def join_fuzzy_name(spark, sf_dir):
-    names = table(spark, sf_dir, "nation").select(F.regexp_replace("n_name", "A", "E").alias("name"))
-    return text.fuzzy_names(names, table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), name="name")
+    """A stated set of names against the whole registry: names in other case or with marks, and some that are like none."""
+    c = table(spark, sf_dir, "customer")
+    known = c.select(F.col("c_name").alias("name"))
+    names = c.where("c_custkey % 100 = 0").select(F.col("c_name").alias("name")).unionByName(c.where("c_custkey % 100 = 1").select(F.concat(F.lit("Zz "), "c_custkey", F.lit(" !!")).alias("name")))
+    return text.fuzzy_names(names, known, name="name")
