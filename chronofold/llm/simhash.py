@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import mix64, range_hash, slices, stage_table, text_bytes, word_bounds, word_hashes, _BYTE_CODE
+from chronofold.llm.common import mix64, partitions_for, range_hash, slices, stage_table, text_bytes, word_bounds, word_hashes, _BYTE_CODE
 
 BITS = 128
 #: The radius of the registered search, and the blocks of its tables.
@@ -159,7 +159,7 @@ def _compare(ids: list, texts: list[str], following: list[str]) -> list[pa.Array
 def neighbours_digest(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Each document beside its edited form and the next document by id.
 
-    Order: id (nulls first), then text; the last document is followed by the
+    Order: id (nulls first), then the text's hash and the text; the last document is followed by the
     first.  Null texts are empty; rows with equal ids are all kept.  An empty
     table gives no rows.  Documents are dealt by ranges of ids; a task knows
     all followers but that of its last row, so the first and last text of each
@@ -167,8 +167,8 @@ def neighbours_digest(docs: DataFrame, *, id_column: str = "doc_id", text_column
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # of many rows with one id, or none, the texts' hashes decide, so they spread like others
+    ordered = rows.withColumn("order", F.xxhash64("text")).repartitionByRange(partitions_for(docs), "doc_id", "order").sortWithinPartitions("doc_id", "order", "text").drop("order")
     schema = f"{_ROW}, part int, first_text string, last_id long, last_text string"
 
     def run(batches):

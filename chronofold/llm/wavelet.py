@@ -214,11 +214,13 @@ def encode_shards(docs: DataFrame, *, id_column: str = "doc_id", text_column: st
     Columns part and shard give the order, and path the file (or data the
     bytes).  A null text is empty, so its document has its end id only;
     documents with a null id come first, under the least long; rows with equal
-    ids are all kept, next to each other; other columns are ignored.
+    ids are all kept, next to each other in the order of their texts' hashes;
+    other columns are ignored.
     """
     path = vocabulary or vocabulary_path()
-    rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text_column).alias("text"))
-    ordered = rows.repartitionByRange(partitions or partitions_for(docs), "doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("order"))
+    # of many rows with one id, or none, the texts' hashes decide, so they spread like others
+    ordered = rows.repartitionByRange(partitions or partitions_for(docs), "doc_id", "order").sortWithinPartitions("doc_id", "order").drop("order")
     folder = _store(shared_folder(rows.sparkSession, "shards"))
 
     def run(batches):
