@@ -137,10 +137,15 @@ def str_health(spark, sf_dir):
     return monitor.health(last, state="state", at="at", now="2024-01-30 18:00:00", hours=30, by="user_id")
 
 
-@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
+@query("""SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS slowest,
+ round(count(*) / (epoch(max(ts)) - epoch(min(ts))) * 86400, 4) AS per_day, round(count(*) FILTER (value < 100) / count(*), 6) AS succeeded FROM events GROUP BY 1""")
 def str_load_stats(spark, sf_dir):
-    g = table(spark, sf_dir, "events").groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.5), F.lit(0.95))).alias("q"))
-    return g.select("event_type", F.round(F.col("q")[0], 6).alias("median"), F.round(F.col("q")[1], 6).alias("p95"))
+    """A load run in a line for each kind: requests, median and high latency, rate, and the share that was answered in time."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    g = table(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.count("*").alias("n"), F.percentile("value", F.array(F.lit(0.5), F.lit(0.95))).alias("q"), F.max("value").alias("slowest"), (F.max(at) - F.min(at)).alias("span"), F.count_if(F.col("value") < 100).alias("ok")
+    )
+    return g.select("event_type", "n", F.round(F.col("q")[0], 6).alias("median"), F.round(F.col("q")[1], 6).alias("p95"), "slowest", F.round(F.col("n") / F.col("span") * 86400, 4).alias("per_day"), F.round(F.col("ok") / F.col("n"), 6).alias("succeeded"))
 
 
 @query("SELECT event_id, epoch(ts) + 3600 > epoch(TIMESTAMP '2024-01-15') AS alive FROM events")

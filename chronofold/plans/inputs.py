@@ -17,7 +17,11 @@ def _folder(spark) -> str:
 
 @query("SELECT r_regionkey, r_name FROM region")
 def scan_parquet(spark, sf_dir):
-    return readers.read_parquet(spark, f"{sf_dir}/region.parquet")
+    """A table that is read only if its files are the pinned ones; the pins are those of a copy made here."""
+    copy = _folder(spark)
+    table(spark, sf_dir, "region").write.parquet(copy)
+    pins = {r.path.rpartition("/")[2]: r.sha256 for r in sinks.manifest(spark, copy).where("path LIKE '%.parquet'").collect()}
+    return readers.read_parquet(spark, copy, pinned=pins)
 
 
 @query("SELECT n_nationkey, n_name FROM nation")
@@ -106,13 +110,6 @@ def scan_xml_form4(spark, sf_dir):
     return filings.ownership_documents(_ownership(spark, sf_dir), "xml", ["cik"]).drop("security_title")
 
 
-@query("SELECT CAST(n_nationkey AS DOUBLE) AS k, CAST(n_regionkey AS DOUBLE) AS r FROM nation")
-def scan_arff(spark, sf_dir):
-    head = spark.createDataFrame([("@relation x",), ("@data",), ("",)], "value string")
-    data = table(spark, sf_dir, "nation").select(F.concat_ws(",", "n_nationkey", "n_regionkey").alias("value"))
-    return readers.arff_rows(head.unionByName(data), ["k", "r"])
-
-
 def _archives(rows, members):
     """(path, content): a ZIP for each value of ``path``; members: file name, which may have {path} in it -> (column of its lines, head line)."""
 
@@ -132,6 +129,15 @@ def _archives(rows, members):
     return rows.groupBy("path").applyInPandas(pack, "path string, content binary")
 
 
+@query("SELECT CAST(c_custkey AS DOUBLE) AS k, CASE WHEN c_custkey % 5 > 0 THEN c_acctbal END AS r FROM customer")
+def scan_arff(spark, sf_dir):
+    """Archives of five thousand customers with one data file each; a missing number is a question mark."""
+    c = table(spark, sf_dir, "customer")
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 5 > 0, F.col("c_acctbal").cast("string")).otherwise("?"))
+    files = _archives(c.select(F.floor(F.col("c_custkey") / 5000).cast("string").alias("path"), F.array(line).alias("lines")), {"year{path}.arff": ("lines", "@relation x\n@attribute k numeric\n@data"), "note.txt": ("lines", "")})
+    return readers.arff_rows(filings.archive_lines(files, ".arff"), ["k", "r"])
+
+
 @query(f"""WITH {ORDERS}, f AS (SELECT *, 1 + accession % 4 AS q FROM o WHERE status <> 'P')
 SELECT lpad(CAST(cik AS VARCHAR), 10, '0') AS cik, concat('a', accession) AS adsh, tag, CAST(CASE tag WHEN 'Assets' THEN cents ELSE cents - 5 END AS DOUBLE) AS value, filed + 40 AS filing_date, filed AS fiscal_period_end, '2020' AS fy,
  CASE WHEN q = 4 THEN 'FY' ELSE concat('Q', q) END AS fp, concat(year(filed), 'Q', quarter(filed)) AS fiscal_quarter FROM f, (VALUES ('Assets'), ('Cash')) t(tag)""")
@@ -213,10 +219,27 @@ def src_cache(spark, sf_dir):
     return origin.restored(o, layers, key="accession", value="cents")
 
 
-@query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 2000")
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE lang <> 'en' ORDER BY doc_id LIMIT 2000")
 def scan_sqlite(spark, sf_dir):
-    """The bounded scan of a passage store: the first 2,000 in order, as a feature."""
-    return table(spark, sf_dir, "documents").select("doc_id", "lang").orderBy("doc_id").limit(2000)
+    """The bounded scan of passage stores: filtered in each store, then the first 2,000 in order, as a feature."""
+
+    def pack(pdf):
+        import sqlite3
+
+        import pandas as pd
+
+        con = sqlite3.connect(":memory:")
+        con.execute("CREATE TABLE passages (doc_id INTEGER PRIMARY KEY, lang TEXT, n_chars INTEGER)")
+        con.executemany("INSERT INTO passages VALUES (?, ?, ?)", zip(pdf["doc_id"].tolist(), pdf["lang"].tolist(), pdf["n_chars"].tolist(), strict=True))
+        con.commit()
+        data = con.serialize()
+        con.close()
+        return pd.DataFrame({"path": [str(pdf["path"].iloc[0])], "content": [data]})
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", F.floor(F.col("doc_id") / 500).cast("string").alias("path"))
+    files = d.groupBy("path").applyInPandas(pack, "path string, content binary")
+    rows = filings.sqlite_rows(files, "SELECT doc_id, lang, n_chars FROM passages WHERE lang <> 'en'", "doc_id long, lang string, n_chars long")
+    return rows.orderBy("doc_id").limit(2000)
 
 
 @query("SELECT s_suppkey, s_name FROM supplier")

@@ -18,7 +18,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return clean_doubles(spark.read.schema(schema).json(path))
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+def read_parquet(spark: SparkSession, path: str, *, pinned: dict[str, str] | None = None) -> DataFrame:
+    """A Parquet table; with ``pinned`` (file name -> SHA-256) only if its files are these, byte for byte."""
+    if pinned is not None:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+        found = {r[0].rpartition("/")[2]: r[1] for r in files.select("path", F.sha2("content", 256)).collect()}
+        if found != pinned:
+            raise ValueError(f"the files of {path} are not the pinned ones")
     return clean_doubles(spark.read.parquet(path))
 
 

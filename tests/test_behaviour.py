@@ -391,3 +391,15 @@ def test_followup(spark):
     out = {r.k: (r.periods, r.complete) for r in labels.followup_complete(h, a, by="k", filed="f", period="p").collect()}
     assert out == {"a": (5, True), "b": (1, False), "c": (0, False)}
     assert labels.followup_complete(h, a, by="k", filed="f", period="p", days=90).where("k = 'a'").first().complete is False
+
+
+def test_pinned_tables_and_stores(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    spark.range(5).write.parquet(path)
+    pins = {r.path.rpartition("/")[2]: r.sha256 for r in sinks.manifest(spark, path).where("path LIKE '%.parquet'").collect()}
+    assert readers.read_parquet(spark, path, pinned=pins).count() == 5
+    with pytest.raises(ValueError, match="pinned"):
+        readers.read_parquet(spark, path, pinned={k: "0" * 64 for k in pins})
+    two = spark.createDataFrame([("z", bytearray(packed({"a.arff": "@data\n1,?\n", "b.arff": ""})))], "path string, content binary")
+    with pytest.raises(Exception, match="one member"):
+        filings.archive_lines(two, ".arff").collect()
