@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of ``chronofold.plans`` with a QUERIES list of (name, query, SQL or None).
-MODULES = ["time", "relational", "evaluation", "texts", "retrieval", "inputs", "flows", "labelling"]
+MODULES = ["time", "relational", "evaluation", "texts", "retrieval", "inputs", "flows", "labelling", "plugged"]
 
 #: Operators that share a query with another one: the same rows show both.
 SHARED = {
