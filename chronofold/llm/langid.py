@@ -224,7 +224,7 @@ def predict(docs: DataFrame, model: Model, *, text_column: str = "text") -> Data
 
     def run(batches):
         m = sent.value
-        for batch in slices(batches, text_column, 1 << 20):
+        for batch in slices(batches, text_column, 1 << 18):
             text = batch.column(kept.index(text_column))
             raw, offsets = text_bytes(text)
             if m.languages:

@@ -161,7 +161,7 @@ def sketch(docs: DataFrame, words: int, *, id_column: str, text_column: str) ->
     """Row key, size, identity and band keys of each document's set."""
 
     def run(batches):
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             code, bounds = shingles(batch.column(1), words)
             size = np.diff(bounds)
             h = identity_hashes(code, bounds)
@@ -187,7 +187,7 @@ def set_blobs(texts: DataFrame, words: int) -> DataFrame:
     """
 
     def run(batches):
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             code, bounds = shingles(batch.column(0), words)
             data, size, h = code.tobytes(), np.diff(bounds), identity_hashes(code, bounds)
             own = np.array([batch.column(i).to_numpy() for i in (2, 3, 4)]) == np.array([size, *h])

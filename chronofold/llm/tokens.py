@@ -25,7 +25,7 @@ _OTHER = re.compile("[" + "".join(map(chr, [9, 11, 12, 13, *range(28, 32), 0x85,
 #: First bytes of such characters beyond U+007F.
 _WIDE = (0xC2, 0xE1, 0xE2, 0xE3)
 #: Distinct pieces that a worker keeps; beyond it the memo starts anew.
-MEMO = 1_600_000
+MEMO = 800_000
 #: New pieces that go to the library as one text.
 _JOIN = 400
 
@@ -144,6 +144,7 @@ class Encoder:
         bounds = np.where(bounds > 0, ends[np.maximum(bounds, 1) - 1], 0)
         for k, i in enumerate(clean):
             out[i] = ids[bounds[k] + 1 : bounds[k + 1]]
+        pa.default_memory_pool().release_unused()  # the table of the memo's pieces is made anew each time
         return out
 
 
