@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import langid, minhash, packing, pii, quality, simhash, substring, suffix, unigram, wavelet
+from chronofold.llm import langid, minhash, packing, pii, prefixes, quality, simhash, substring, suffix, unigram, urls, variants, wavelet
 from chronofold.llm.common import documents, stage_table
 
 
@@ -65,6 +67,22 @@ def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encode_documents(documents(spark, sf_dir))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and verdict of each page.  A null URL, or one without ``://``, has neither and is judged by the patterns; null and repeated ids give a row each; an empty table gives no rows."""
+    out = urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return out.select("page_id", "host", "path", "rule", "verdict", "pattern")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of rebuilt conversations.  Null turns come first, null roles and texts are empty, rows without a conv_id are left out; an empty table gives no rows."""
+    return prefixes.shared_beginnings(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with their forms and roots.  A null text has no words, a null id is an empty one, repeated rows count again; an empty table gives no rows."""
+    return variants.group_variants(documents(spark, sf_dir))
+
+
 def simhash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose id is divisible by 100, and how many others have a fingerprint within RADIUS bits of theirs.
 
@@ -149,5 +167,74 @@ SELECT k.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ps) AS BIGINT) AS
 FROM k LEFT JOIN g USING (doc_id)"""
 
 
+#: zlib's checksum of the bytes ``b`` (a list of numbers), by a table of 256 entries made from its polynomial.
+_CRC_TABLE = f"""crc_table AS (SELECT list(list_reduce(list_prepend(v, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, {0xEDB88320}) ELSE c // 2 END) ORDER BY v) AS tab FROM range(256) t(v))"""
+
+
+def _crc(b: str) -> str:
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {b}), lambda c, x: xor(c // 256, tab[xor(c % 256, x) + 1])), 4294967295)"
+
+
+def _op11_sql() -> str:
+    def quoted(s: str) -> str:
+        return "'" + s.replace("'", "''") + "'"
+
+    def fits(r: urls.Rule) -> str:
+        if r.on_host:
+            host, _, path = r.name.partition("/")
+            return f"(host = {quoted(host)} OR ends_with(host, {quoted('.' + host)})) AND starts_with(path, {quoted('/' + path)})"
+        told = {"*": ".*", "+": "[^/?#]*", "^": "\\b"}
+        return f"regexp_matches(low, {quoted(''.join(told.get(c) or re.escape(c) for c in r.pattern))}, 's')"
+
+    def longest(rules) -> str:
+        placed = sorted(enumerate(rules), key=lambda x: (-len(x[1].name), not x[1].block, x[0]))
+        return "CASE " + " ".join(f"WHEN {fits(r)} THEN {quoted(r.name)}" for _, r in placed) + " END"
+
+    blocked = ", ".join(quoted(r.name) for r in (*urls.BASE, *urls.PATTERNS) if r.block)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH u AS (SELECT page_id, coalesce(CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) END, '') AS after,
+             translate(coalesce(url, ''), '{upper}_', '{lower}-') AS low FROM pages),
+h AS (SELECT page_id, low, translate(regexp_extract(after, '^[^/?#]*', 0, 's'), '{upper}', '{lower}') AS host, regexp_extract(after, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM u),
+r AS (SELECT page_id, host, path, {longest(urls.BASE)} AS rule, {longest(urls.PATTERNS)} AS pattern FROM h)
+SELECT page_id, host, path, rule, pattern, CASE WHEN coalesce(rule, pattern) IN ({blocked}) THEN 'block' ELSE 'allow' END AS verdict FROM r"""
+
+
+_OP12_SQL = f"""
+WITH {_CRC_TABLE},
+t AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+      FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, turns, {_crc("list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ord(ch) AS BIGINT))")} % 6 AS h FROM t, crc_table),
+c AS (SELECT h.conv_id, list_concat(coalesce(b.turns, [])[1:h], h.turns[h + 1:]) AS turns FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, len(turns) AS d, unnest(range(len(turns) + 1)) AS depth, turns FROM c),
+m AS (SELECT conv_id, d, depth, turns[1:depth] AS k, CASE WHEN depth > 0 THEN turns[1:depth - 1] END AS up, CASE WHEN depth > 0 THEN length(turns[depth].text) ELSE 0 END AS size FROM p),
+n AS (SELECT k, up, depth, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = depth), '')) AS ends_sha256 FROM m GROUP BY k, up, depth),
+q AS (SELECT up, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY up),
+o AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN q ON q.up = n.k),
+s AS (SELECT a.k, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.size) AS saved_tokens
+      FROM (SELECT *, unnest(range(depth + 1)) AS cut FROM o) b JOIN o a ON a.depth = b.cut AND a.k = b.k[1:b.cut] GROUP BY a.k)
+SELECT o.conv_id, CAST(o.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(o.n_convs AS BIGINT) AS n_convs, CAST(o.n_children AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, o.ends_sha256
+FROM o JOIN s ON s.k = o.k LEFT JOIN n u ON u.k = o.up"""
+
+
+_OP13_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+h AS (SELECT run, {_crc("flatten(list_transform(string_split(id || ':' || run, ''), lambda ch: CASE WHEN ord(ch) > 127 THEN [CAST(195 AS BIGINT), ord(ch) - 64] ELSE [CAST(ord(ch) AS BIGINT)] END))")} AS h FROM r, crc_table),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substring(run, 1, CAST(h % length(run) AS INTEGER)) || substring(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word FROM h),
+v AS (SELECT word, count(*) AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING count(*) >= 3),
+x AS (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM x a JOIN x b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+         UNION SELECT x.word, x.n, v.word, v.n FROM x JOIN v ON v.word = less UNION SELECT v.word, v.n, x.word, x.n FROM x JOIN v ON v.word = less),
+best AS (SELECT word, any_value(n) AS n, count(*) AS n_near, arg_min(other, struct_pack(m := -other_n, w := encode(other))) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+f AS (SELECT word, other AS form, other_n AS form_n FROM best WHERE other_n >= 2 * n),
+steps AS (SELECT word, form AS root FROM f UNION SELECT s.word, f.form FROM steps s JOIN f ON f.word = s.root),
+ends AS (SELECT word, root FROM steps WHERE root NOT IN (SELECT word FROM f))
+SELECT v.word, f.form, coalesce(e.root, v.word) AS root, CAST(v.n AS BIGINT) AS n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM v LEFT JOIN best USING (word) LEFT JOIN f USING (word) LEFT JOIN ends e USING (word)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_seed_extend": _OP6_SQL, "op3_certified_quality": _op3_sql(), "op7_hyperminhash": _OP7_SQL}
+    return {"op11_url_filters": _op11_sql(), "op12_prefix_trie": _OP12_SQL, "op13_spelling_variants": _OP13_SQL, "op6_seed_extend": _OP6_SQL, "op3_certified_quality": _op3_sql(), "op7_hyperminhash": _OP7_SQL}
