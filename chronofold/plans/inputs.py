@@ -65,21 +65,37 @@ def scan_pipe_index(spark, sf_dir):
 
 
 _BLOCK = """concat(chr(10), '<TYPE>', kind, chr(10), '<FILENAME>', name, chr(10), '<TEXT>', body, '</TEXT>', chr(10))"""
+#: A PDF of one page in its encoded form: what its text objects show.
+_SHOWN = "A printed loss than (never) seen"
 _DOCS = """d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 b AS (SELECT doc_id, position, kind, name, body, said FROM (SELECT doc_id, t, replace(replace(t, '&', '&amp;'), '<', '&lt;') AS e FROM d),
- LATERAL (VALUES (0, '10-K', 'main.htm', concat('<p>', e, '</p>'), t), (1, 'EX-99.1', 'note.txt', concat('x <b>loss</b> ', CAST(doc_id AS VARCHAR)), 'x loss'), (2, 'EX-101', 'logo.jpg', 'zz', NULL), (3, 'EX-13', 'a.pdf', 'no', NULL)) v(position, kind, name, body, said))"""
+ LATERAL (VALUES (0, '10-K', 'main.htm', concat('<p>', e, '</p>'), t), (1, 'EX-99.1', 'note.txt', concat('x <b>loss</b> ', CAST(doc_id AS VARCHAR)), concat('x loss ', doc_id)), (2, 'EX-101', 'logo.jpg', 'zz', NULL), (3, 'EX-13', 'a.pdf', 'no', NULL), (5, 'EX-14', 'b.pdf', '{pdf}', '{shown}')) v(position, kind, name, body, said)),
+s AS (SELECT *, trim(regexp_replace(said, '\\s+', ' ', 'g')) AS plain FROM b)"""
 
 
-@query(f"""WITH {_DOCS} SELECT CAST(doc_id AS VARCHAR) AS key, CAST(position AS INTEGER) AS position, kind AS type, name AS filename, sha256({_BLOCK}) AS content_sha256,
+def _encoded_pdf() -> str:
+    """A small PDF file, uuencoded."""
+    import binascii
+    import zlib
+
+    page = zlib.compress(b"BT /F1 12 Tf 72 712 Td [(A printed ) -20 (lo) 3 (ss)] TJ (than \\(never\\)) Tj <7365656E> Tj ET")
+    data = b"%PDF-1.4\n4 0 obj\n<< /Filter /FlateDecode /Length " + str(len(page)).encode() + b" >>\nstream\n" + page + b"\nendstream\nendobj\n%%EOF\n"
+    lines = [binascii.b2a_uu(data[i : i + 45]).decode().rstrip("\n") for i in range(0, len(data), 45)]
+    return "\n".join(["", "<PDF>", "begin 644 b.pdf", *lines, "`", "end", "</PDF>", ""])
+
+
+@query(f"""WITH {_DOCS.replace("{pdf}", _encoded_pdf().replace("'", "''")).replace("{shown}", _SHOWN)} SELECT CAST(doc_id AS VARCHAR) AS key, CAST(position AS INTEGER) AS position, kind AS type, name AS filename, sha256({_BLOCK}) AS content_sha256,
  CASE WHEN position = 0 THEN 'primary_report' ELSE 'exhibit' END AS scope, CASE position WHEN 2 THEN 'unsupported_format_requires_review' WHEN 3 THEN 'unreadable_text_requires_review' ELSE 'screened' END AS status,
- CAST(len(regexp_extract_all(said, '(?i)loss|th[ae]')) AS INTEGER) AS keyword_matches FROM b""")
+ CAST(len(regexp_extract_all(said, '(?i)loss|th[ae]')) AS INTEGER) AS keyword_matches,
+ CASE WHEN regexp_matches(plain, '(?i)loss|th[ae]') THEN substring(plain, greatest(length(regexp_extract(plain, '(?is)^(.*?)(loss|th[ae])', 1)) - 250, 0) + 1, least(length(regexp_extract(plain, '(?is)^(.*?)(loss|th[ae])', 1)), 250) + length(regexp_extract(plain, '(?i)loss|th[ae]')) + 450) END AS first_excerpt FROM s""")
 def scan_sgml(spark, sf_dir):
-    """A submission for each document: a report, a text exhibit, a picture, a PDF that cannot be read, and a cover that is left out."""
+    """A submission for each document: a report, a text exhibit, a picture, a PDF that cannot be read, a cover that is left out, and a PDF."""
     e = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     block = lambda kind, name, body: F.concat(F.lit(f"<DOCUMENT>\n<TYPE>{kind}\n<FILENAME>{name}\n<TEXT>"), body, F.lit("</TEXT>\n</DOCUMENT>\n"))
-    parts = [block("10-K", "main.htm", F.concat(F.lit("<p>"), e, F.lit("</p>"))), block("EX-99.1", "note.txt", F.concat(F.lit("x <b>loss</b> "), F.col("doc_id").cast("string"))), block("EX-101", "logo.jpg", F.lit("zz")), block("EX-13", "a.pdf", F.lit("no")), block("COVER", "c.htm", F.lit("loss"))]
+    parts = [block("10-K", "main.htm", F.concat(F.lit("<p>"), e, F.lit("</p>"))), block("EX-99.1", "note.txt", F.concat(F.lit("x <b>loss</b> "), F.col("doc_id").cast("string"))), block("EX-101", "logo.jpg", F.lit("zz")), block("EX-13", "a.pdf", F.lit("no")), block("COVER", "c.htm", F.lit("loss")), block("EX-14", "b.pdf", F.lit(_encoded_pdf()))]
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat(*parts).alias("raw"))
-    return filings.screen_submissions(d, key="doc_id", raw="raw", forms=["10-K", "10-Q"], terms="loss|th[ae]").drop("excerpts")
+    told = filings.screen_submissions(d, key="doc_id", raw="raw", forms=["10-K", "10-Q"], terms="loss|th[ae]")
+    return told.select("*", F.get("excerpts", F.lit(0)).alias("first_excerpt")).drop("excerpts")
 
 
 _TX = f"""WITH {ORDERS}, t AS (SELECT lpad(CAST(cik AS VARCHAR), 10, '0') AS cik, CAST(row_number() OVER (PARTITION BY cik ORDER BY accession) - 1 AS INTEGER) AS transaction_index, CAST(filed AS VARCHAR) AS transaction_date,

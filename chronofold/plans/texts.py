@@ -57,7 +57,13 @@ def fn_plain_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.plain_html(F.col("html")).alias("text"))
 
 
-@query()
+_BLOCK_TAGS = "|".join(sorted(text.BLOCKS, key=lambda t: (-len(t), t)))
+
+
+@query(rf"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<!--.*?-->', ' ', 'g'), '\s+', ' ', 'g') AS h FROM pages),
+t AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)</?({_BLOCK_TAGS})(\s[^>]*)?/?>', chr(10), 'g'), '<[^>]*>', ' ', 'g') AS t FROM b),
+e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&copy;', chr(169)), '&middot;', chr(183)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS t FROM t)
+SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM e""")
 def fn_visible_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.visible_text("html").alias("text"))
 
@@ -90,14 +96,28 @@ def win_chunk_index(spark, sf_dir):
 _T = "coalesce(text, '')"
 
 
-@query(f"""SELECT doc_id, section, body FROM (SELECT doc_id, unnest(['business', 'risk_factors']) AS section, unnest([trim({_T}, ' \t\n\x0B\f\r'), trim(concat('{{', doc_id, '}} ', {_T}), ' \t\n\x0B\f\r')]) AS body FROM documents)
-WHERE len(regexp_extract_all(body, '[^ \t\n\x0B\f\r]+')) >= 12""".replace("\\t\\n\\x0B\\f\\r]", "\t\n\x0B\f\r]"))
+_NONE = r"""'^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$'"""
+
+
+@query(rf"""WITH d AS (SELECT doc_id, doc_id % 2 = 0 AS annual, {_T} AS t FROM documents),
+b AS (SELECT doc_id, 'risk_factors' AS section, concat('Item 1A.', chr(10), 'Risk Factors', chr(10), '{{', doc_id, '}} ', t) AS body FROM d
+ UNION ALL SELECT doc_id, 'management_discussion', concat(CASE WHEN annual THEN 'Item 7. ' ELSE 'PART I Item 2. ' END, 'Management''s Discussion and Analysis', chr(10), t) FROM d WHERE doc_id % 3 > 0)
+SELECT doc_id, section, regexp_replace(body, {_NONE}, '', 'g') AS body FROM b WHERE len(regexp_extract_all(body, '[^ \t\n\x0B\f\r]+')) >= 12""")
 def fn_extract_sections(spark, sf_dir):
-    """Each document as two sections of a filing, after a table of contents whose bodies are shorter."""
-    t = F.coalesce("text", F.lit(""))
-    toc = F.lit("Item 1. Business\nItem 1A. Risk Factors\nItem 2. Properties\n")
-    filing = F.concat(toc, F.lit("Item 1. Business\n"), t, F.lit("\nItem 1A. Risk Factors\n"), F.lit("{"), F.col("doc_id").cast("string"), F.lit("} "), t, F.lit("\nItem 2. Properties\nnone"))
-    return _docs(spark, sf_dir).select("doc_id", F.explode(text.extract_sections(filing)).alias("section", "body"))
+    """Annual and quarterly filings after a table of contents.
+
+    The title of the risk factors stands on a line of its own; an item of the
+    same number without that title is no section; of every third filing the
+    discussion has no end, so it is not told.
+    """
+    t, annual, line = F.coalesce("text", F.lit("")), F.col("doc_id") % 2 == 0, F.lit("\n")
+    toc = F.lit("Item 1A. Risk Factors\nItem 2. Properties\nItem 7. Management's Discussion\nItem 8. Statements\n")
+    other = F.concat(F.lit("Item 1A. Nothing of the kind\n"), F.repeat(F.lit("word "), F.lit(300)), line)
+    risk = F.concat(F.lit("Item 1A.\nRisk Factors\n{"), F.col("doc_id").cast("string"), F.lit("} "), t, F.lit("\nItem 3. Staff\n"))
+    discussion = F.concat(F.when(annual, "Item 7. ").otherwise("PART I Item 2. "), F.lit("Management's Discussion and Analysis\n"), t, line)
+    filing = F.concat(toc, other, risk, discussion, F.when(F.col("doc_id") % 3 > 0, "Item 9. Controls\nnone").otherwise(""))
+    found = text.section_bodies(filing, F.when(annual, "10-K").otherwise("10-Q"))
+    return _docs(spark, sf_dir).select("doc_id", F.explode(found).alias("section", "body"))
 
 
 _SQUARE = "' \t\n\x0B\f\r'"
@@ -142,12 +162,35 @@ def fn_match_proofs(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.inline(text.proofs("that")("text")))
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'May 5, 2020' ELSE 'June 17, 2021' END AS petition FROM documents WHERE doc_id % 3 < 2")
+#: What filings say, with the day they were filed on, and what is told of it: day, chapter, whether the company is named; None if it is no petition.
+PETITIONS = [
+    ("On March 1, 2020, Acme Inc. filed a voluntary petition under chapter 11.", "2020-03-15", ("2020-03-01", "11", True)),
+    ("As said, on May 5, 2020 (the \"Petition Date\"), the Company and its parent commenced cases under chapter 7 of the code.", "2020-05-05", ("2020-05-05", "7", True)),
+    ("On July 1, 2022 its creditors filed an involuntary petition under chapter 7.", "2022-07-02", None),
+    ("On July 1, 2022 our landlord, Stone Ltd, filed a petition under chapter 11.", "2022-07-02", ("2022-07-01", "11", False)),
+    ("On July 1, 2022 the Company agreed that its parent filed a petition under chapter 11.", "2022-07-02", None),
+    ("On July 1, 2022 the Company filed a petition under chapter 15.", "2022-07-02", None),
+    ("On January 1, 2022 the Company filed a petition under chapter 11.", "2022-07-02", None),
+    ("On July 9, 2022 the Company filed a petition under chapter 11.", "2022-07-02", None),
+    ("On June 3, 2022 the Company filed a petition under chapter 11. On June 9, 2022, Acme Incorporated commenced a case; on June 10, 2022, Acme Corp and others filed their joint petitions under chapter 7.", "2022-06-20", ("2022-06-03", "11", True)),
+]
+
+
+def _petition_sql() -> str:
+    told = ", ".join(f"({i}, '{day}', '{chapter}', {str(named).lower()})" for i, (_, _, x) in enumerate(PETITIONS) if x for day, chapter, named in [x])
+    told += ", (8, '2022-06-10', '7', false)"
+    return f"SELECT doc_id, CAST(d AS DATE) AS petition_date, c AS chapter, n AS issuer_included FROM documents JOIN (VALUES {told}) v(i, d, c, n) ON doc_id % {len(PETITIONS)} = i"
+
+
+@query(_petition_sql())
 def fn_petition_extract(spark, sf_dir):
-    """Voluntary petitions under two chapters, and an involuntary one that is left out."""
-    said = ["On May 5, 2020 the company filed a voluntary petition under chapter 11.", "Acme on June 17, 2021 filed under chapter 7.", "On July 1, 2022 an involuntary case was filed under chapter 7."]
-    pick = F.element_at(F.array(*[F.lit(x) for x in said]), (F.col("doc_id") % 3 + 1).cast("int"))
-    return _docs(spark, sf_dir).select("doc_id", F.explode(text.petition_dates(F.concat(F.coalesce("text", F.lit("")), F.lit(". "), pick))).alias("petition"))
+    """A statement in the middle of each document: petitions in several words, one of another party, and what is no petition of the kind."""
+    pick = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in PETITIONS]), (F.col("doc_id") % len(PETITIONS) + 1).cast("int"))
+    t = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(t) / 2).cast("int")
+    said = F.concat(F.left(t, half), F.lit(". "), pick(0), F.lit(" "), F.substr(t, half + 1))
+    filings = _docs(spark, sf_dir).select("doc_id", said.alias("said"), pick(1).cast("date").alias("filed"), F.array(F.lit("Acme, Incorporated")).alias("names"))
+    return text.petitions(filings, text="said", filed="filed", names="names").select("doc_id", "petition_date", "chapter", "issuer_included")
 
 
 @query("SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: x IN ('the', 'on', 'la', 'der'))) AS n_hits FROM documents")

@@ -168,12 +168,64 @@ def test_ragged_arrays_are_refused(spark):
         readers.soa_rows(df, "recent", ["a", "b"], ["cik"]).collect()
 
 
-def test_text(spark):
+def test_visible_text():
     page = "<html><head><title>t</title></head><body>a<script>x</script><p style='display: none'>h</p><div hidden>g</div><b>b</b></body></html>"
-    assert text.visible(page) == "a b" and text.visible(None) is None
-    assert text.sections("Item 1A. Risk\n" + "word " * 20 + "\nItem 2. X\nshort")["risk_factors"].startswith("word")
+    assert text.visible(page) == "a\nb" and text.visible(None) is None and text.visible("") == ""
+    assert text.visible("<p>one\n two</p>three<br>four <i>five</i><table><tr><td>6</td></tr></table>") == "one two\nthree\nfour five\n6"
+    # hidden elements end at their own end tag, or at that of an element around them, whatever is left open inside
+    assert text.visible("<div><div hidden>x<div>y</div>z</div>seen</div>") == "seen"
+    assert text.visible("<div><p hidden>x<b>y</div>seen") == "seen"
+    assert text.visible("<p hidden>x<br>y</i></p>seen</p> on") == "seen\non"
+    assert text.visible("<span style='visibility : HIDDEN'>x</span>a<ix:hidden>1<p>2</p></ix:hidden>b &amp; c") == "a b & c"
+
+
+def test_sections(spark):
+    words = "word " * 20
+    cases = {
+        "both": ("10-K", f"Item 1A. Risk Factors\nItem 2. X\nPART I Item 1A - Risk Factors\n{words}\nItem 2. X\nItem 7. Management's Discussion\n{words}more\nItem 8. Y", {"risk_factors", "management_discussion"}),
+        "no end": ("10-K", f"Item 1A. Risk Factors\n{words}", set()),
+        "other title": ("10-K", f"Item 1A. Nothing of the kind\n{words * 20}\nItem 2. X", set()),
+        "title on the next line": ("10-q", f"Item 1A\n\nRISK FACTORS\n{words}\nItem 2. X", {"risk_factors"}),
+        "item of the other form": ("10-Q", f"Item 7. Management's Discussion\n{words}\nItem 8. Y", set()),
+        "short": ("10-K", "Item 1A. Risk Factors\nfew words\nItem 2. X", set()),
+        "none": ("10-K", None, set()),
+        "other form": ("8-K", f"Item 1A. Risk Factors\n{words}\nItem 2. X", set()),
+    }
+    df = spark.createDataFrame([(k, form, t) for k, (form, t, _) in cases.items()], "k string, form string, t string")
+    got = {r.k: r.m for r in df.select("k", text.section_bodies(F.col("t"), F.col("form")).alias("m")).collect()}
+    assert {k: set(m or {}) for k, m in got.items()} == {k: want for k, (_, _, want) in cases.items()}
+    assert got["both"]["risk_factors"].startswith("PART I Item 1A - Risk Factors\nword") and got["both"]["risk_factors"].endswith("word")
+
+
+def test_petitions(spark):
+    from chronofold.plans.texts import PETITIONS
+
+    rows = [(i, said, filed, ["Acme, Incorporated"]) for i, (said, filed, _) in enumerate(PETITIONS)]
+    rows += [(20, "On March 1, 2020, Acme Inc. filed a voluntary petition under chapter 11.", "2020-03-15", None), (21, None, "2020-03-15", []), (22, "on march 2 2020 the registrant, with others, " + "x " * 200 + "filed petitions" + " y" * 20 + " chapter 7", "2020-03-15", [])]
+    df = spark.createDataFrame(rows, "i long, t string, filed string, names array<string>").withColumn("filed", F.to_date("filed"))
+    got = {}
+    for r in text.petitions(df, text="t", filed="filed", names="names").orderBy("start").collect():
+        got.setdefault(r.i, []).append((str(r.petition_date), r.chapter, r.issuer_included))
+    want = {i: [x] for i, (_, _, x) in enumerate(PETITIONS) if x} | {20: [("2020-03-01", "11", False)], 22: [("2020-03-02", "7", True)]}
+    want[8] = [*want[8], ("2022-06-10", "7", False)]
+    assert got == want
+
+
+def test_chunks_are_linear(spark):
+    """Twice the words take about twice the time; each chunk used to split the whole text again."""
+    import time
+
+    df = spark.createDataFrame([(1,)], "i int")
+    took = []
+    for n in (2_000, 100_000, 200_000):
+        began = time.perf_counter()
+        assert df.select(F.size(text.chunk_text(F.repeat(F.lit("word "), F.lit(n) + F.col("i") - 1))).alias("n")).first().n == -(-(n - 50) // 450)
+        took.append(time.perf_counter() - began)
+    assert took[2] < 3.5 * took[1] + 0.5
+
+
+def test_text(spark):
     assert text.context_counts("There is no default here. A default came. As part of an audit, a default.", "a default|no default") == {"plain": 1, "negated": 1, "boilerplate": 1}
-    assert text.petitions("On May 5, 2020 Acme filed for chapter 11. On May 6, 2020 an involuntary case was filed under chapter 7.") == ["May 5, 2020"]
     df = spark.createDataFrame([("The cat is on the mat the",)], "t string")
     assert df.select(text.phrase_count(F.col("t"), "the")).first()[0] == 3
     assert spark.range(1).select(scalar.normalize_cik(F.lit("320193.0")), scalar.normalize_cik(F.lit("0")), scalar.normalize_cik(F.lit("x"))).first()[:] == ("0000320193", None, None)
@@ -324,19 +376,39 @@ def test_tagged_facts():
     assert filings.tagged_facts(None) == []
 
 
-def test_submissions_and_encoded_lines():
+def test_submissions(spark):
+    raw = "<DOCUMENT>\n<TYPE>10-K\n<FILENAME>a.htm\n<TEXT><p>a loss &amp; b</p><p hidden>loss</p> Loss</TEXT>\n</DOCUMENT><DOCUMENT><TYPE>EX-1\n<FILENAME>b.gif\n<TEXT>x</TEXT></DOCUMENT><DOCUMENT><TYPE>OTHER\n<FILENAME>c.txt\n<TEXT>loss</TEXT></DOCUMENT><DOCUMENT><TYPE>EX-2\n<FILENAME>d.pdf\n<TEXT>no code</TEXT></DOCUMENT><document><type>ex-3\n<filename>E.TXT\n</document><DOCUMENT><TYPE>EX-4\n<FILENAME>f.txt\n<TEXT>none</TEXT></DOCUMENT>"
+    screen = lambda *texts: filings.screen_submissions(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, raw string"), key="k", raw="raw", forms=["10-K"], terms="loss|x{9}")
+    got = screen(raw).orderBy("position").collect()
+    want = [(0, "10-K", "primary_report", "screened", 2), (1, "EX-1", "exhibit", "unsupported_format_requires_review", None), (3, "EX-2", "exhibit", "unreadable_text_requires_review", None), (4, "ex-3", "exhibit", "unsupported_format_requires_review", None), (5, "EX-4", "exhibit", "screened", 0)]
+    assert [(r.position, r.type, r.scope, r.status, r.keyword_matches) for r in got] == want
+    assert got[0].excerpts == ["a loss & b Loss"] * 2 and got[1].excerpts is None and got[4].excerpts == []
+    long = "<DOCUMENT><TYPE>10-K\n<FILENAME>a.txt\n<TEXT>" + "é" * 400 + " loss " + "b" * 600 + "</TEXT></DOCUMENT>"
+    assert screen(long).first().excerpts == ["é" * 249 + " loss " + "b" * 449]
+    for bad in ("", None):
+        with pytest.raises(Exception, match="no documents"):
+            screen(bad).collect()
+
+
+def test_encoded_files():
     import binascii
+    import zlib
+
+    data = bytes(range(256)) * 3 + b"end"
+    lines = [binascii.b2a_uu(data[i : i + 45]).decode().rstrip("\n") for i in range(0, len(data), 45)]
+    assert filings.uudecode("\n".join(["head", "begin 644 a.pdf", *lines, "`", "end", "tail"])) == data
+    odd = lines[-1][:-1] + "~"  # bits beyond the number of bytes
+    assert filings.uudecode("\n".join(["begin 644 a.pdf", *lines[:-1], odd, "end"]))[: len(data) - 3] == data[:-3]
+    for bad, said in ((["no"], "begins"), (["begin 644 a", "M!!!!"], "cut off"), (["begin 644 a", lines[0]], "no end")):
+        with pytest.raises(ValueError, match=said):
+            filings.uudecode("\n".join(bad))
+    stream = lambda body, head=b"": b"<< " + head + b"/Length 9 >>\nstream\n" + body + b"\nendstream\n"
+    page = b"BT /F1 9 Tf [(two \\(2\\)) -3 ( pie) (ces)] TJ (caf\\351) Tj <3120> ' ET q (not shown) Q"
+    assert filings.pdf_text(b"%PDF\n" + stream(b"BT (one) Tj ET") + stream(zlib.compress(page), b"/Filter /FlateDecode ")) == "one two (2) pieces café 1"
+    for empty in (b"", b"%PDF\n" + stream(b"BT ET"), stream(b"garbage", b"/FlateDecode ")):
+        with pytest.raises(ValueError, match="no text"):
+            filings.pdf_text(empty)
 
-    raw = "<DOCUMENT>\n<TYPE>10-K\n<FILENAME>a.htm\n<TEXT><p>a loss &amp; b</p><p hidden>loss</p></TEXT>\n</DOCUMENT><DOCUMENT><TYPE>EX-1\n<FILENAME>b.gif\n<TEXT>x</TEXT></DOCUMENT><DOCUMENT><TYPE>OTHER\n<FILENAME>c.txt\n<TEXT>loss</TEXT></DOCUMENT><DOCUMENT><TYPE>EX-2\n<FILENAME>d.pdf\n<TEXT>no code</TEXT></DOCUMENT>"
-    got = filings.screened(raw, ["10-K"], "loss")
-    assert [(r[0], r[1], r[4], r[5], r[6]) for r in got] == [(0, "10-K", "primary_report", "screened", 1), (1, "EX-1", "exhibit", "unsupported_format_requires_review", None), (3, "EX-2", "exhibit", "unreadable_text_requires_review", None)]
-    with pytest.raises(ValueError, match="no documents"):
-        filings.screened("", ["10-K"], "loss")
-    data = bytes(range(40))
-    line = binascii.b2a_uu(data).rstrip(b"\n")
-    assert filings.uu_line(line) == data and filings.uu_line(line[:-1] + b"_") == data[:-1] + filings.uu_line(line[:-1] + b"_")[-1:]
-    with pytest.raises(ValueError, match="cut off"):
-        filings.uu_line(b"M" + b"!" * 10 + b"~")
 
 
 def test_layers_and_spacing():
