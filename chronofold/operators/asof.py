@@ -7,7 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofold.operators import scan
 from chronofold.operators.guards import require_columns
+from chronofold.staging import estimated_bytes
+
+#: Bytes, as Spark expects them, from which on keys are looked at for their sizes.
+SPREAD_BYTES = 1 << 30
 
 
 def asof_backward(
@@ -21,11 +26,17 @@ def asof_backward(
     tiebreak: str | None = None,
     strict: bool = True,
     tolerance_days: int | None = None,
+    spread: bool | None = None,
+    large: int = scan.LARGE_ROWS,
 ) -> DataFrame:
     """Each left row with the latest right row before it (or at it, unless ``strict``) of the same key.
 
     Both sides go through one shuffle on the key and one ordered window, so cost
-    is linear in the rows of a key.  Of right rows at the same time the largest
+    is linear in the rows of a key.  With ``spread`` keys of more than ``large``
+    rows are cut into stretches of time, each a task's, and the last fact of a
+    stretch is carried into those after it; None decides by the size that Spark
+    expects: where both sides together may hold no large key, it is left out.
+    The rows are the same.  Of right rows at the same time the largest
     ``tiebreak`` wins.  With a tolerance, older matches give nulls; the freshest
     match is the only one that can pass, so it is checked after the fact.
     Matched columns keep their names; the match's time is ``matched_time``.
@@ -39,8 +50,13 @@ def asof_backward(
     facts = right.select(F.col(by), F.lit(1 if strict else 0).alias("_side"), F.col(right_time).alias("_t"), tie.alias("_tie"), found.alias("_found"))
     order = Window.partitionBy(by).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = rows.withColumn("_left", F.lit(True)).unionByName(facts.withColumn("_left", F.lit(False)), allowMissingColumns=True)
-    last = F.last("_found", ignorenulls=True).over(order)
-    out = both.withColumn("_match", last).where("_left")
+    if spread is None:
+        spread = estimated_bytes(both) > SPREAD_BYTES
+    if spread:
+        cut = scan.in_stretches(both, by=by, order=scan.as_number(F.col("_t"), dict(both.dtypes)["_t"]), into="_stretch", more_than=large)
+        out = scan.last_before(cut, by=by, stretch="_stretch", order=["_t", "_side", "_tie"], value="_found", into="_match").where("_left")
+    else:
+        out = both.withColumn("_match", F.last("_found", ignorenulls=True).over(order)).where("_left")
     if tolerance_days is not None:
         out = out.withColumn("_match", F.when(F.datediff(left_time, F.col("_match._at")) <= tolerance_days, F.col("_match")))
     keep = [c for c in left.columns if c not in values]

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofold.operators import scan
+
 EPSILON = 2.220446049250313e-16
 
 
@@ -33,16 +35,20 @@ def log_loss(p: Column, y: Column, w: Column) -> Column:
 def curve(df: DataFrame, *, p: str, y: str, w: str, by: Sequence[str] = ()) -> DataFrame:
     """One row for each distinct score with weights of alerts at it: tp, fp, precision, recall.
 
-    Equal scores are summed before the window, so ties count as one step and
-    the ordered part sees each score once.  Without ``by`` that order is one
-    task over distinct scores; round scores to bound it.
+    Equal scores are summed first, so ties count as one step and the ordered
+    part sees each score once.  That part is ``scan.running_sums``: without
+    ``by`` the scores are cut into stretches, so no task holds all of them.
     """
     steps = df.groupBy(*by, F.col(p).alias("score")).agg(
         F.sum(F.when(F.col(y) == 1, F.col(w)).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col(y) == 0, F.col(w)).otherwise(0.0)).alias("neg")
     )
-    order = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    out = steps.select(*by, "score", "pos", "neg", F.sum("pos").over(order).alias("tp"), F.sum("neg").over(order).alias("fp"), F.sum("pos").over(whole).alias("all_pos"), F.sum("neg").over(whole).alias("all_neg"))
+    if by:
+        order = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        whole = Window.partitionBy(*by)
+        out = steps.select(*by, "score", "pos", "neg", F.sum("pos").over(order).alias("tp"), F.sum("neg").over(order).alias("fp"), F.sum("pos").over(whole).alias("all_pos"), F.sum("neg").over(whole).alias("all_neg"))
+    else:
+        totals = steps.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+        out = scan.running_sums(steps, by=(), order="score", sums={"tp": "pos", "fp": "neg"}).join(F.broadcast(totals))
     return out.withColumns({"precision": F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", "all_pos")})
 
 

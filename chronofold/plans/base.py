@@ -2,47 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronofold.staging import fresh_folder  # noqa: F401  for the plans
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared place; a local session without one gets a temporary folder of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        base = f"file://{tempfile.gettempdir()}/checkpoints"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-def drop_folders() -> None:
-    """Remove the folders that ``fresh_folder`` has named in this process."""
-    while _made:
-        spark, path = _made.pop()
-        try:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-        except Exception:  # noqa: BLE001  the session has ended; the folder's owner clears it
-            return
-
-
-_made: list[tuple[SparkSession, str]] = []
-atexit.register(drop_folders)
-
-
 def register(into: list) -> Callable:
     """A decorator that lists a query under its function's name with its SQL."""
 

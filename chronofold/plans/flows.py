@@ -22,15 +22,26 @@ def str_admission(spark, sf_dir):
     return monitor.admitted(e, time="at", key="user_id", seconds=86400, limit=2, tie="event_id").select("event_id", "admitted")
 
 
-@query("""WITH RECURSIVE e AS (SELECT event_type, epoch(ts)::BIGINT AS t FROM (SELECT event_type, date_trunc('second', ts) AS ts FROM events)),
-n AS (SELECT event_type, t, (SELECT min(b.t) FROM e b WHERE b.event_type = a.event_type AND b.t >= a.t + 3600) AS following FROM (SELECT DISTINCT event_type, t FROM e) a),
-r AS (SELECT event_type, min(t) AS t FROM e GROUP BY 1 UNION ALL SELECT n.event_type, following FROM r JOIN n USING (event_type, t) WHERE following IS NOT NULL)
-SELECT event_type, t AS sent_at FROM r""")
+def _chain(key: str, seconds: int, of: str) -> str:
+    """Greedy spacing: the successor of each time by a window, and what is reached from the first one."""
+    return f"""WITH RECURSIVE e AS (SELECT DISTINCT {key}, {of} AS t FROM events),
+n AS (SELECT {key}, t, min(t) OVER (PARTITION BY {key} ORDER BY t RANGE BETWEEN {seconds} FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM e),
+r AS (SELECT {key}, min(t) AS t FROM e GROUP BY ALL UNION ALL SELECT {', '.join(f'n.{k.strip()}' for k in key.split(','))}, following FROM r JOIN n USING ({key}, t) WHERE following IS NOT NULL)"""
+
+
+@query(_chain("event_type", 3600, "epoch(date_trunc('second', ts))::BIGINT") + " SELECT event_type, t AS sent_at FROM r")
 def str_cooldown(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("at"))
     return monitor.cooldown(e, key="event_type", time="at", seconds=3600)
 
 
+@query(_chain("event_type", 3600, "epoch(date_trunc('second', ts))::BIGINT") + " SELECT event_type, t AS sent_at FROM r")
+def str_cooldown_hot(spark, sf_dir):
+    """The same by pointer doubling: no task holds a key."""
+    e = table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("at"))
+    return monitor.cooldown_in_steps(e, key="event_type", time="at", seconds=3600)
+
+
 @query("""WITH n AS (SELECT event_id, user_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events)
 SELECT event_id, round(max(t - n * 3600.0) OVER (PARTITION BY user_id ORDER BY n) + n * 3600.0, 3) AS goes_at FROM n""")
 def str_rate_limit(spark, sf_dir):
@@ -148,7 +159,46 @@ def str_load_stats(spark, sf_dir):
     return g.select("event_type", "n", F.round(F.col("q")[0], 6).alias("median"), F.round(F.col("q")[1], 6).alias("p95"), "slowest", F.round(F.col("n") / F.col("span") * 86400, 4).alias("per_day"), F.round(F.col("ok") / F.col("n"), 6).alias("succeeded"))
 
 
-@query("SELECT event_id, epoch(ts) + 3600 > epoch(TIMESTAMP '2024-01-15') AS alive FROM events")
+#: Seconds after which an item is told again.
+EXPIRY = 5 * 86400
+
+
+@query(_chain("user_id, event_type", EXPIRY * 1000, "epoch_us(ts) // 1000") + " SELECT CAST(user_id AS VARCHAR) AS user_id, event_type, make_timestamp(t * 1000) AS told_at FROM r")
 def str_ttl(spark, sf_dir):
+    """Items of a user when they first come and when they come after they have expired, over three polls in order of time."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user_id"), "event_type", F.date_trunc("millisecond", "ts").cast("timestamp").alias("at"))
+    cuts = ["2024-01-11", "2024-01-21"]
+    parts = [e.where(F.col("at") < cuts[0]), e.where((F.col("at") >= cuts[0]) & (F.col("at") < cuts[1])), e.where(F.col("at") >= cuts[1])]
+    with monitor.state_in_rocks(spark):
+        told = _polled(spark, parts, "user_id string, event_type string, at timestamp", lambda s: monitor.told_until_expiry(s, key="user_id", item="event_type", time="at", seconds=EXPIRY))
+    return told.select(F.col("key").alias("user_id"), F.col("item").alias("event_type"), F.col("told_at").cast("timestamp_ntz").alias("told_at"))
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_id % 2 = 1 AS early, value > 300 AS bad FROM events),
+u AS (SELECT user_id, coalesce(bool_or(bad AND early), false) AS bad_early, coalesce(bool_or(bad), false) AS bad FROM e GROUP BY 1)
+SELECT event_id, CASE WHEN CASE WHEN early THEN u.bad_early ELSE u.bad END THEN 'failed' ELSE 'written' END AS status FROM e JOIN u USING (user_id)""")
+def str_isolation(spark, sf_dir):
+    """Two polls; users with a value above a limit fail and wait with all their new events, the others are written."""
+    base = fresh_folder(spark, "isolated")
+
+    def work(pdf):
+        if (pdf["value"] > 300).any():
+            raise ValueError("a value above the limit")
+        return pdf.assign(status="written")
+
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    for part in (e.where("event_id % 2 = 1"), e.where("event_id % 2 = 0")):
+        part.write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(e.schema).parquet(f"{base}/in")
+        try:
+            last = monitor.run_isolated(stream, by="user_id", work=work, schema="event_id long, status string", folder=base)
+        except monitor.EntitiesFailed:
+            last = max(int(p.rpartition("batch=")[2].split("/")[0]) for p in spark.read.parquet(f"{base}/out").inputFiles())
+    failed = spark.read.parquet(f"{base}/failed/batch={last}").select(F.inline("items")).select("event_id", F.lit("failed").alias("status"))
+    return spark.read.parquet(f"{base}/out").select("event_id", "status").unionByName(failed)
+
+
+@query("SELECT event_id, epoch(ts) + 3600 > epoch(TIMESTAMP '2024-01-15') AS alive FROM events")
+def str_alive(spark, sf_dir):
     """Sessions that have not expired at a given time."""
     return table(spark, sf_dir, "events").select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) + 3600_000_000 > F.unix_micros(F.lit("2024-01-15").cast("timestamp"))).alias("alive"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronofold.plans.base import ORDERS, day, fresh_folder, orders, register, table
-from chronofold.sources import filings, origin, readers, sinks
+from chronofold.sources import filings, generators, origin, readers, sinks
+from chronofold.sources.members import ZipLines
+from chronofold.sources.origin import PagedSearch
 
 QUERIES: list = []
 query = register(QUERIES)
@@ -329,3 +331,106 @@ def backup_compare(spark, sf_dir):
 def sink_markdown(spark, sf_dir):
     rows = table(spark, sf_dir, "region").orderBy("r_regionkey").collect()
     return spark.createDataFrame([(sinks.markdown(rows, ["r_regionkey", "r_name"]),)], "report string")
+
+
+def _written_by_tasks(spark, rows, by: str, name: str, pack):
+    """A folder of files, one for each value of ``by``, written by tasks: ``pack`` gives a file's name and bytes."""
+    folder = fresh_folder(spark, name)
+
+    def put(key, pdf):
+        import pandas as pd
+
+        from chronofold.staging import arrow_file
+
+        store, path = arrow_file(folder)
+        store.create_dir(path, recursive=True)
+        file, data = pack(key[0], pdf)
+        with store.open_output_stream(f"{path}/{file}") as out:
+            out.write(data)
+        return pd.DataFrame({"file": [file]})
+
+    rows.groupBy(by).applyInPandas(put, "file string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query("SELECT CAST(o_orderkey // 100 AS INTEGER) AS page, (SELECT count(*) FROM orders) AS total, count(*) AS n, CAST(min(o_orderkey) AS VARCHAR) AS first_id, count(*) = least(100, (SELECT count(*) FROM orders) - o_orderkey // 100 * 100) AS \"full\" FROM orders GROUP BY o_orderkey // 100")
+def scan_paged_search(spark, sf_dir):
+    """Pages of a hundred orders, read page by page through the data source from a folder in which each page is a file."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.floor(F.col("o_orderkey") / 100).cast("int").alias("page"))
+    total = o.agg(F.count("*").alias("total"))
+
+    def pack(page, pdf):
+        import json
+
+        return f"{page}.json", json.dumps({"total": int(pdf["total"].iloc[0]), "ids": sorted(pdf["o_orderkey"].tolist())}).encode()
+
+    folder = _written_by_tasks(spark, o.join(F.broadcast(total)), "page", "search", pack)
+    spark.dataSource.register(PagedSearch)
+    pages = spark.read.format("paged_search").option("url", folder + "/{page}.json").option("size", 100).load()
+    return pages.select("page", "total", F.size("ids").cast("long").alias("n"), F.col("ids")[0].alias("first_id"), (F.size("ids") == F.least(F.lit(100), F.col("total") - F.col("page") * 100)).alias("full"))
+
+
+@query(f"WITH {ORDERS} SELECT concat('year', accession // 5000, '.zip') AS archive, concat(form, '.txt') AS member, CAST(row_number() OVER (PARTITION BY accession // 5000, form ORDER BY accession) - 1 AS BIGINT) AS number, concat(accession, '|', cents) AS line FROM o")
+def scan_zip_members(spark, sf_dir):
+    """Archives of five thousand filings with a member for each form: each member is read by a task of its own."""
+    rows = orders(spark, sf_dir).select(F.floor(F.col("accession") / 5000).alias("year"), "accession", "form", F.concat_ws("|", "accession", "cents").alias("line"))
+
+    def pack(year, pdf):
+        import io
+        import zipfile
+
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+            for form, part in pdf.sort_values("accession").groupby("form"):
+                z.writestr(f"{form}.txt", "\n".join(part["line"]) + "\n")
+        return f"year{year}.zip", data.getvalue()
+
+    folder = _written_by_tasks(spark, rows, "year", "archives", pack)
+    spark.dataSource.register(ZipLines)
+    lines = spark.read.format("zip_lines").option("path", folder).option("members", "*.txt").load()
+    return lines.select(F.element_at(F.split("archive", "/"), -1).alias("archive"), "member", "number", "line")
+
+
+def _with_functions(spark, df, name):
+    generators.register_all(spark)
+    df.createOrReplaceTempView(name)
+
+
+@query(f"WITH {ORDERS} SELECT CAST(cik AS VARCHAR) AS file, CAST(cik AS VARCHAR) AS cik, concat('Company ', cik) AS company, form, CAST(filed AS VARCHAR) AS filed, concat('a/', accession, '.txt') AS path FROM o")
+def gen_index_lines(spark, sf_dir):
+    """An index for each company, as lines: a head, a rule of dashes, entries, and a line that is none; read by a table function."""
+    o = orders(spark, sf_dir)
+    entry = F.concat_ws("|", "cik", F.concat(F.lit("Company "), "cik"), "form", "filed", F.concat(F.lit("a/"), "accession", F.lit(".txt")))
+    lines = o.select(F.col("cik").cast("string").alias("file_id"), F.col("accession").alias("number"), entry.alias("line"))
+    extra = F.explode(F.array(F.struct(F.lit(-3).alias("n"), F.lit("0|x|10-K|2020-01-01|head").alias("l")), F.struct(F.lit(-2).alias("n"), F.lit("-----").alias("l")), F.struct(F.lit(-1).alias("n"), F.lit("no entry").alias("l"))))
+    heads = o.select("cik").distinct().select(F.col("cik").cast("string").alias("file_id"), extra.alias("e")).select("file_id", F.col("e.n").cast("long").alias("number"), F.col("e.l").alias("line"))
+    _with_functions(spark, lines.unionByName(heads), "index_input")
+    return spark.sql("SELECT cik AS file, cik, company, form, filed, file AS path FROM index_lines(TABLE(index_input) PARTITION BY file_id ORDER BY number)")
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS accession, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS place, role AS type, concat(turn, '.txt') AS filename,
+ CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_lines, sha256(concat(text, chr(10))) AS sha256 FROM conversations""")
+def gen_submissions(spark, sf_dir):
+    """Conversations as submissions, line by line, a document for each turn; its name ends in the turn and begins with the accession."""
+    c = table(spark, sf_dir, "conversations")
+    head = F.array(F.lit("<DOCUMENT>"), F.concat(F.lit("<TYPE>"), "role"), F.concat(F.lit("<FILENAME>"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit(".txt")), F.lit("<TEXT>"))
+    lines = c.select("conv_id", "turn", F.posexplode(F.concat(head, F.split("text", "\n", -1), F.array(F.lit("</TEXT>"), F.lit("</DOCUMENT>")))).alias("i", "line"))
+    _with_functions(spark, lines.select("conv_id", F.struct("turn", "i").alias("number"), "line"), "submission_input")
+    told = spark.sql("SELECT * FROM submission_parts(TABLE(submission_input) PARTITION BY conv_id ORDER BY number)")
+    return told.select(F.split("filename", "/")[0].alias("accession"), "place", "type", F.split("filename", "/")[1].alias("filename"), "n_lines", "sha256")
+
+
+@query(r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+w AS (SELECT doc_id, i, line, len(regexp_extract_all(line, '[^ 	
+
+]+')) AS n FROM l),
+d AS (SELECT doc_id, list(i ORDER BY i) AS ids, list(line ORDER BY i) AS ls, list(c ORDER BY i) AS cum FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM w WHERE n > 0) GROUP BY doc_id),
+r(doc_id, k, s, e) AS (
+ SELECT doc_id, 0, 1, coalesce(list_max(list_filter(range(1, len(ids) + 1), lambda i: cum[i] <= 500)), 1) FROM d
+ UNION ALL SELECT d.doc_id, k + 1, e + 1, coalesce(list_max(list_filter(range(e + 1, len(ids) + 1), lambda i: cum[i] - cum[e] <= 500)), e + 1) FROM r JOIN d USING (doc_id) WHERE e < len(ids))
+SELECT CAST(k AS INTEGER) AS chunk, ids[s] AS "first", ids[e] AS "last", CAST(cum[e] - CASE WHEN s > 1 THEN cum[s - 1] ELSE 0 END AS INTEGER) AS n_words, array_to_string(ls[s:e], ' ') AS text FROM r JOIN d USING (doc_id)""")
+def gen_chunks(spark, sf_dir):
+    """Lines of documents packed into chunks of at most 500 words by a table function."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "sentence"))
+    _with_functions(spark, d.select("doc_id", F.col("i").cast("long").alias("number"), "sentence"), "chunk_input")
+    return spark.sql("SELECT chunk, first, last, n_words, text FROM sentence_chunks(TABLE(chunk_input) PARTITION BY doc_id ORDER BY (number), 500)")

@@ -280,3 +280,12 @@ def label_decide(spark, sf_dir):
     )
     label, reason = labels.decide(*[F.col(c) for c in ("prior", "inside", "unresolved", "followed")])
     return g.select("cik", "anchor", label.alias("label"), reason.alias("reason"))
+
+
+@query("""SELECT event_id, event_type, ts, m.f AS matched_time, m.k AS latest_large FROM (SELECT a.event_id, a.event_type, a.ts,
+ max(CASE WHEN value > 100 THEN struct_pack(f := ts, k := event_id) END) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP) AS m FROM events a)""")
+def join_asof_hot_key(spark, sf_dir):
+    """The latest large value of its type strictly before each event: five keys, each of which is cut into stretches of time."""
+    e = table(spark, sf_dir, "events")
+    large = e.where("value > 100").select("event_type", "ts", F.col("event_id").alias("latest_large"))
+    return asof.asof_backward(e.select("event_id", "event_type", "ts"), large, by="event_type", left_time="ts", right_time="ts", values=["latest_large"], tiebreak="latest_large", spread=True, large=1)

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from chronofold.operators.asof import asof_backward
+from chronofold.staging import written
 
 
 def new_items(stream: DataFrame, *, keys: list[str], date: str | None = None) -> DataFrame:
@@ -40,6 +45,121 @@ def baseline_then_new(stream: DataFrame, *, key: str, item: str, group: str, ord
     return stream.groupBy(key).applyInPandasWithState(step, schema, "seen array<string>", "append", "NoTimeout")
 
 
+#: The store that keeps state outside the heap, and has lists, maps and timers.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def state_in_rocks(spark: SparkSession):
+    """Streams that are started within use ``ROCKS``; the session's setting comes back."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before) if before is not None else spark.conf.unset(_PROVIDER)
+
+
+class _Expiring(StatefulProcessor):
+    """For each key the items that were told, and when; timers remove what has expired."""
+
+    def __init__(self, item: str, time: str, seconds: int):
+        self.item, self.time, self.seconds = item, time, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.told = handle.getMapState("told", "item string", "at long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat(list(rows), ignore_index=True)
+        pdf["_at"] = (pdf[self.time] - pd.Timestamp(0)) // pd.Timedelta(milliseconds=1)
+        out = []
+        for item, at in pdf.sort_values(["_at", self.item])[[self.item, "_at"]].itertuples(index=False):
+            if self.told.containsKey((item,)) and at < self.told.getValue((item,))[0] + 1000 * self.seconds:
+                continue
+            self.told.updateValue((item,), (int(at),))
+            self.handle.registerTimer(int(at) + 1000 * self.seconds)
+            out.append((key[0], item, pd.Timestamp(int(at), unit="ms")))
+        yield pd.DataFrame(out, columns=["key", "item", "told_at"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for (item,) in [k for k, (at,) in self.told.iterator() if at + 1000 * self.seconds <= now]:
+            self.told.removeKey((item,))
+        yield pd.DataFrame([], columns=["key", "item", "told_at"])
+
+    def close(self) -> None:
+        pass
+
+
+def told_until_expiry(stream: DataFrame, *, key: str, item: str, time: str, seconds: int, late: str = "0 seconds") -> DataFrame:
+    """Each item of a key when it first comes, and again when it comes ``seconds`` or more after it was last told.
+
+    ``key`` and ``item`` are strings, ``time`` a timestamp in the session's zone
+    (UTC): key, item, told_at.  State is one entry for each item told within
+    ``seconds`` of the watermark; timers of event time remove older ones, which
+    changes no row.  Rows that are later than ``late`` are dropped.  Start the
+    stream within ``state_in_rocks``.
+    """
+    rows = stream.select(F.col(key).alias("key"), F.col(item).alias("item"), F.col(time).alias("time")).withWatermark("time", late)
+    return rows.groupBy("key").transformWithStateInPandas(_Expiring("item", "time", seconds), "key string, item string, told_at timestamp", "Append", "EventTime")
+
+
+def isolated(df: DataFrame, *, by: str, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``work`` on the rows of each entity; an entity on which it fails gives its own rows back with what went wrong.
+
+    Columns: ``by``, ``error`` (null if all is well), ``made`` (array of the
+    rows of ``schema``) and ``items`` (array of the entity's rows, where it
+    failed).  An entity's new rows go to one call together.
+    """
+    names = [f.name for f in df.schema.fields]
+    made = [f.name for f in df.sparkSession.createDataFrame([], schema).schema.fields]
+    kind = f"{by} {df.schema[by].dataType.simpleString()}, error string, made array<struct<{', '.join(f'{f.name}:{f.dataType.simpleString()}' for f in df.sparkSession.createDataFrame([], schema).schema.fields)}>>, items array<struct<{', '.join(f'{f.name}:{f.dataType.simpleString()}' for f in df.schema.fields)}>>"
+
+    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            row = (key[0], None, work(pdf)[made].to_dict("records"), None)
+        except Exception as e:  # noqa: BLE001  whatever it is, it is this entity's
+            row = (key[0], f"{type(e).__name__}: {e}", None, pdf[names].to_dict("records"))
+        return pd.DataFrame([row], columns=[by, "error", "made", "items"])
+
+    return df.groupBy(by).applyInPandas(one, kind)
+
+
+class EntitiesFailed(RuntimeError):
+    """Some entities failed; the others are written."""
+
+
+def run_isolated(stream: DataFrame, *, by: str, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, folder: str) -> int:
+    """All that is available, entity by entity: good ones are written to ``folder``/out, bad ones wait in ``folder``/failed.
+
+    Each batch takes the rows that the batch before it has left in ``failed``
+    along, so an entity is tried again with every batch, together with what is
+    new of it, until it succeeds; then its rows come out once.  Tables are
+    replaced by batch number, so a batch that breaks off starts again.  At the
+    end the run fails with ``EntitiesFailed`` if any entity is still bad.
+    Returns the number of the last batch.
+    """
+    spark = stream.sparkSession
+    last = []
+
+    def write(batch: DataFrame, ident: int) -> None:
+        rows = batch if ident == 0 else batch.unionByName(spark.read.parquet(f"{folder}/failed/batch={ident - 1}").select(F.inline("items")))
+        done = written(isolated(rows, by=by, work=work, schema=schema), "isolated")
+        done.where("error IS NULL").select(F.inline("made")).write.mode("overwrite").parquet(f"{folder}/out/batch={ident}")
+        done.where("error IS NOT NULL").select(by, "error", "items").write.mode("overwrite").parquet(f"{folder}/failed/batch={ident}")
+        last.append(ident)
+
+    write_once(stream, write, f"{folder}/state").awaitTermination()
+    if not last:
+        return -1
+    bad = spark.read.parquet(f"{folder}/failed/batch={last[-1]}")
+    if not bad.isEmpty():
+        raise EntitiesFailed(f"{bad.count()} entities failed, such as {bad.orderBy(by).first()[:2]}")
+    return last[-1]
+
+
 def tumbling_quota(stream: DataFrame, *, time: str, key: str, width: str, late: str | None = None) -> DataFrame:
     """Requests of each key in each window."""
     rows = stream if late is None else stream.withWatermark(time, late)
@@ -78,6 +198,33 @@ def cooldown(df: DataFrame, *, key: str, time: str, seconds: int) -> DataFrame:
     return ordered.mapInPandas(run, "key string, sent_at long").select(F.col("key").cast(df.schema[key].dataType).alias(key), "sent_at")
 
 
+def cooldown_in_steps(df: DataFrame, *, key: str, time: str, seconds: int, spread: bool | None = None) -> DataFrame:
+    """The same rows as ``cooldown`` without an ordered pass: keys may be as large as they like.
+
+    Each time's successor is the first time at least ``seconds`` later, an as-of
+    join.  What is sent is what following successors from a key's first time
+    reaches.  Each round follows twice as many at once: from the 2**i times that
+    are reached so far it jumps 2**i successors on, so a chain of n alerts takes
+    log n rounds, each of them joins on (key, time).
+    """
+    rows = df.select(F.col(key).cast("string").alias("key"), F.unix_timestamp(time).alias("at")).where("at IS NOT NULL").distinct()
+    rows = written(rows.select(F.coalesce("key", F.lit("")).alias("key"), F.col("key").isNull().alias("none"), "at"), "times")
+    ahead = rows.withColumn("_k", F.struct("key", "none")).withColumn("_t", -(F.col("at") + seconds))
+    there = rows.select(F.struct("key", "none").alias("_k"), (-F.col("at")).alias("_t"), F.col("at").alias("next"))
+    jump = asof_backward(ahead, there, by="_k", left_time="_t", right_time="_t", values=["next"], strict=False, spread=spread).select("key", "none", "at", "next")
+    jump = written(jump.where("next IS NOT NULL"), "successors")
+    keys = ["key", "none"]
+    reached = rows.groupBy(*keys).agg(F.min("at").alias("at"))
+    while True:
+        more = written(reached.join(jump, [*keys, "at"]).select(*keys, F.col("next").alias("at")), "reached")
+        if more.isEmpty():
+            break
+        reached = reached.unionByName(more)
+        twice = jump.select(*keys, F.col("at").alias("next"), F.col("next").alias("after"))
+        jump = written(jump.join(twice, [*keys, "next"]).select(*keys, "at", F.col("after").alias("next")), "successors")
+    return reached.select(F.when(~F.col("none"), F.col("key")).cast(df.schema[key].dataType).alias(key), F.col("at").alias("sent_at"))
+
+
 def spaced(df: DataFrame, *, key: str, time: str, seconds: float, tie: str) -> DataFrame:
     """When each request of a key may go out if requests are ``seconds`` apart: in order, none before it came.
 
