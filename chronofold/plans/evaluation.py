@@ -308,6 +308,24 @@ def ml_classifiers(spark, sf_dir):
     return out
 
 
+@query()
+def ml_tree_families(spark, sf_dir):
+    """Held-out scores of extra trees, of second-order boosting by levels, and of one by leaves; a feature is missing in places, and fold 0 is held out."""
+    from chronofold.operators import trees
+
+    rows = scored(spark, sf_dir).where("quality IS NOT NULL").select("unit", "fold", "w", F.col("quality").cast("int").alias("quality"), "p", F.log1p(F.col("unit") % 97).cast("double").alias("x"), F.when(F.col("unit") % 3 > 0, (F.col("unit") % 11).cast("double")).alias("z"))
+    train, test = rows.where("fold <> 0"), rows.where("fold = 0")
+    fill = {"z": 5.0}
+    extra = trees.extra_trees(train.fillna(fill), ["p", "x", "z"], label="quality", weight="w", trees=10, depth=4, seed=7)
+    models = {"extra_trees": trees.average(extra)}
+    for name, how in (("levels", trees.Boosting(rounds=4, depth=2, l2=10, l1=1, least_curvature=5)), ("leaves", trees.Boosting(rounds=2, leaves=5, l2=10, least_rows=15))):
+        models[name] = trees.boost(train, ["p", "x", "z"], label="quality", weight="w", how=how).score()
+    one = test.fillna(fill).select("unit", F.lit("extra_trees").alias("model"), models["extra_trees"].alias("score"))
+    for name in ("levels", "leaves"):
+        one = one.unionByName(test.select("unit", F.lit(name).alias("model"), models[name].alias("score")))
+    return one
+
+
 @query()
 def ml_crossfit(spark, sf_dir):
     """Each row scored by a model that has not seen its fold."""
