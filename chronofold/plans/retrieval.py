@@ -113,16 +113,73 @@ def _reranked(spark, sf_dir):
     return r.rerank(rows, query_terms="terms", text="text", order="before", by="query", k=5)
 
 
+_RISK = ", ".join(f"'{w}'" for w in sorted(r.TOPICS["risk"]))
+_TOPIC = "CASE " + " ".join(f"WHEN w IN ({', '.join(repr(x) for x in sorted(g))}) THEN [{', '.join(repr(x) for x in sorted(g))}]" for g in r.TOPICS.values()) + " ELSE [w] END"
+#: Passages: documents with an entity, a date and a section of their own, and a chunk id that pairs of them share; questions with an entity and a date, every third about risks.
+_PASSAGES = """x AS (SELECT doc_id AS key, text, lang AS entity, DATE '2020-01-01' + CAST(doc_id % 400 AS INTEGER) AS filed, CASE WHEN doc_id % 5 = 0 THEN 'Risk_Factors' WHEN doc_id % 5 = 1 THEN 'business' END AS section, doc_id // 2 AS chunk, source FROM documents)"""
+_ASKED = f"""k AS (SELECT item_id AS query, CASE item_id % 3 WHEN 0 THEN 'Risks and uncertainty?' WHEN 1 THEN concat('What risk ', text) ELSE text END AS question, CASE item_id % 4 WHEN 3 THEN 'xx' ELSE 'en' END AS entity, DATE '2020-06-01' + CAST(item_id % 90 AS INTEGER) AS as_of FROM benchmark),
+kq AS (SELECT query, question, entity, as_of, list_distinct(list_filter(regexp_extract_all(lower(question), '[a-z0-9]+'), lambda w: w NOT IN ({_STOP}))) AS words FROM k)"""
+
+
+def _passages(spark, sf_dir):
+    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    section = F.when(i % 5 == 0, "Risk_Factors").when(i % 5 == 1, "business")
+    return d.select(i.alias("key"), "text", F.col("lang").alias("entity"), F.date_add(F.lit("2020-01-01").cast("date"), (i % 400).cast("int")).alias("filed"), section.alias("section"), F.floor(i / 2).alias("chunk"), "source")
+
+
+def _asked(spark, sf_dir):
+    """Questions about risks alone, about risks and more, and about other things; of an entity that is not there, too."""
+    b, i = table(spark, sf_dir, "benchmark"), F.col("item_id")
+    question = F.when(i % 3 == 0, "Risks and uncertainty?").when(i % 3 == 1, F.concat(F.lit("What risk "), "text")).otherwise(F.col("text"))
+    q = b.select(i.alias("query"), question.alias("question"), F.when(i % 4 == 3, "xx").otherwise("en").alias("asked_entity"), F.date_add(F.lit("2020-06-01").cast("date"), (i % 90).cast("int")).alias("as_of"))
+    return q.withColumn("words", r.terms(F.col("question"))).withColumn("terms", r.expanded(F.col("words")))
+
+
+#: The expanded question's best twenty of its entity by its date, ranked by the rule, in SQL.
+_EVIDENCE = f"""{_PASSAGES}, {_ASKED},
+ke AS (SELECT query, list_reduce([words[1:64]] || list_filter([{_GROUPS}], lambda g: list_has_any(words[1:64], g)), lambda a, b: a || list_filter(b, lambda y: NOT list_contains(a, y))) AS terms FROM kq),
+d AS (SELECT key, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM x), t AS (SELECT count(*) AS nd, avg(len(ws)) AS av FROM d),
+p AS (SELECT key, term, count(*) AS tf FROM (SELECT key, unnest(ws) AS term FROM d) GROUP BY ALL), f AS (SELECT term, count(*) AS n FROM p GROUP BY term),
+s AS (SELECT query, key, -sum(greatest(ln((nd - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / av))) AS score FROM (SELECT query, unnest(terms) AS term FROM ke) JOIN p USING (term) JOIN f USING (term) JOIN d USING (key), t GROUP BY query, key),
+c AS (SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY round(score, 9), key) AS before FROM s JOIN kq USING (query) JOIN x USING (key) WHERE x.entity = kq.entity AND x.filed <= kq.as_of QUALIFY before <= 20),
+j AS (SELECT query, key, before, chunk, section, source, words[1:64] AS words, list_distinct(list_filter(ws, lambda w: w NOT IN ({_STOP}))) AS tokens, coalesce(lower(section) IN ('risk_factors', 'risk factors', 'item_1a'), false) AS there FROM c JOIN kq USING (query) JOIN x USING (key) JOIN d USING (key)),
+m AS (SELECT *, len(list_filter(words, lambda w: list_has_any({_TOPIC}, tokens))) AS matched, list_has_any(words, [{_RISK}]) AS asks, list_has_any(words, [{_RISK}]) AND len(list_filter(words, lambda w: w NOT IN ({_RISK}))) <= 1 AS alone FROM j),
+z AS (SELECT *, matched / greatest(len(words), 1) + CASE WHEN asks AND there THEN 2 ELSE 0 END AS score FROM m WHERE (NOT alone OR there) AND (len(words) = 0 OR matched > 0 OR (alone AND there)) QUALIFY row_number() OVER (PARTITION BY query, chunk ORDER BY before) = 1),
+top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, before) AS rank FROM z QUALIFY rank <= 5)"""
+
+
+def _evidence(spark, sf_dir):
+    """The best five passages of each question, which may only come from its entity and from before its date."""
+    asked, passages = _asked(spark, sf_dir), _passages(spark, sf_dir)
+    about = passages.select("key", "entity", "filed")
+    wanted = asked.select("query", "asked_entity", "as_of")
+
+    def known(scored):
+        rows = scored.join(about, "key").join(F.broadcast(wanted), "query")
+        return r.guarded(rows, cited=F.lit(True), entity=F.col("entity") == F.col("asked_entity"), dated=F.col("filed") <= F.col("as_of")).select("query", "key", "score")
+
+    index = r.question_index(passages.select("key", "text"), asked, key="key", text="text")
+    top = r.bm25(asked.select("query", "terms"), index, k=20, keep=known).select("query", "key", F.col("rank").alias("before"))
+    rows = top.join(F.broadcast(asked.select("query", "words")), "query").join(passages, "key")
+    return r.rank_evidence(rows, by="query", question_terms="words", text="text", section="section", chunk="chunk", order="before", k=5)
+
+
+@query(f"WITH {_EVIDENCE} SELECT query, key, round(score, 8) AS score, rank FROM top")
+def ret_rank_evidence(spark, sf_dir):
+    return _evidence(spark, sf_dir).select("query", "key", F.round("score", 8).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 _RERANK = f"""{_BM25}, j AS (SELECT b.query, b.key, b.rank AS before, len(list_intersect(terms, ws)) / len(terms) AS share, lang, source, n_chars FROM b JOIN q USING (query) JOIN d USING (key) JOIN documents x ON x.doc_id = b.key WHERE b.rank <= 20),
 top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY share DESC, before) AS place FROM j QUALIFY place <= 5)"""
 
 
-@query(f"WITH {_RERANK} SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY share DESC, before) AS INTEGER) AS citation, key, source FROM top WHERE lang = 'en' AND source IS NOT NULL QUALIFY citation <= 3")
+@query(f"WITH {_EVIDENCE} SELECT kq.query, CAST(row_number() OVER (PARTITION BY kq.query ORDER BY rank) AS INTEGER) AS citation, key, source, CASE WHEN key IS NULL THEN 'unavailable' ELSE 'evidence_found' END AS status FROM kq LEFT JOIN (FROM top WHERE source IS NOT NULL) USING (query) QUALIFY citation <= 3".replace("kq.query, CAST(row_number() OVER (PARTITION BY kq.query ORDER BY rank) AS INTEGER)", "kq.query AS query, CASE WHEN key IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY kq.query ORDER BY rank) AS INTEGER) END").replace("QUALIFY citation <= 3", "QUALIFY row_number() OVER (PARTITION BY kq.query ORDER BY rank) <= 3"))
 def ret_qa(spark, sf_dir):
-    """Expanded question, retrieval, ranking, guards (language here), and numbered citations; no row is an abstention."""
-    rows = _reranked(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "lang", "source"), "key")
-    cited = rows.where("lang = 'en' AND source IS NOT NULL")
-    return r.ranked(cited.drop("rank"), by="query", order=[F.desc("share"), F.col("before")], k=3).select("query", F.col("rank").alias("citation"), "key", "source")
+    """Expanded question, retrieval by entity and date, ranking, and numbered citations of passages with a source; without any the answer is unavailable."""
+    cited = _evidence(spark, sf_dir).where("source IS NOT NULL").withColumnRenamed("rank", "place")
+    found = r.ranked(cited, by="query", order=[F.col("place")], k=3).select("query", F.col("rank").alias("citation"), "key", "source")
+    out = _asked(spark, sf_dir).select("query").join(found, "query", "left")
+    return out.select("query", "citation", "key", "source", F.when(F.col("key").isNull(), "unavailable").otherwise("evidence_found").alias("status"))
 
 
 @query(f"WITH {_RERANK} SELECT query, key, source FROM top WHERE source IS NOT NULL AND n_chars >= 200 AND key % 4 <> query % 4")
@@ -152,12 +209,25 @@ def ret_memo_dedupe(spark, sf_dir):
     return d.groupBy(F.sha2("text", 256).alias("evidence")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
 
 
-@query("SELECT theme, count(*) AS n_sources FROM documents JOIN (VALUES ('heat', 'heat'), ('order', 'order'), ('que', 'que')) v(theme, word) ON contains(text, word) GROUP BY theme")
+@query("""WITH c AS (SELECT source AS kase, doc_id AS id, concat(text, CASE WHEN doc_id % 7 = 0 THEN ' Working Capital and a covenant.' WHEN doc_id % 7 = 1 THEN ' Debts, salesman.' ELSE '' END) AS t FROM documents WHERE source IS NOT NULL AND doc_id % 3 > 0),
+k AS (SELECT source AS kase, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1 UNION ALL SELECT 'no passages', 2),
+v AS (SELECT * FROM (VALUES (0, 'Liquidity and cash runway', ['current_ratio', 'cash_to_assets', 'cashflow_to_assets', 'operating_cash_burn_to_cash'], '\\b(liquidity|cash|funding|working capital)\\b'),
+ (1, 'Debt and repayment', ['liabilities_to_assets', 'net_debt_proxy_to_assets', 'interest_coverage'], '\\b(debt|borrowings|maturities|maturity|covenant|interest)\\b'),
+ (2, 'Profitability and operating performance', ['operating_margin', 'ebit_to_ta', 'cashflow_margin'], '\\b(profit|profitability|operating income|operating loss|margin)\\b'),
+ (3, 'Growth and business outlook', ['revenue_growth_yoy', 'sales_to_ta'], '\\b(revenue|sales|growth|competition|demand)\\b')) v(i, theme, names, p)),
+s AS (SELECT kase, theme, count(DISTINCT id) AS n_sources, min(id) AS first_source FROM c, v WHERE regexp_matches(t, p, 'i') GROUP BY ALL)
+SELECT kase AS company, theme, coalesce(n_sources, 0) AS n_sources, first_source, len(names) AS n_inputs, CASE WHEN i = 0 THEN CAST(n AS DOUBLE) END AS first_value, CASE WHEN i IN (0, 3) AND n_sources > 0 AND (i = 0 OR n % 2 = 0) THEN 'inputs_and_evidence' ELSE 'partial_coverage' END AS status
+FROM k CROSS JOIN v LEFT JOIN s USING (kase, theme)""")
 def ret_theme_link(spark, sf_dir):
-    themes = {"heat": "heat", "order": "order", "que": "que"}
-    d = table(spark, sf_dir, "documents")
-    found = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(w)), F.lit(t)) for t, w in themes.items()]))
-    return d.select(F.explode(found).alias("theme")).groupBy("theme").agg(F.count("*").alias("n_sources"))
+    """Sources as companies: passages, some of which tell of a theme, and inputs, some of which are missing; one company has no passages."""
+    d, i = table(spark, sf_dir, "documents").where("source IS NOT NULL"), F.col("doc_id")
+    said = F.concat("text", F.when(i % 7 == 0, " Working Capital and a covenant.").when(i % 7 == 1, " Debts, salesman.").otherwise(""))
+    citations = d.where(i % 3 > 0).select(F.col("source").alias("company"), i.alias("id"), said.alias("text"))
+    n = F.col("n").cast("double")
+    inputs = F.map_from_arrays(F.array(F.lit("current_ratio"), F.lit("other"), F.lit("sales_to_ta")), F.array(n, n, F.when(F.col("n") % 2 == 0, n)))
+    counts = d.groupBy(F.col("source").alias("company")).agg(F.count("*").alias("n")).unionByName(spark.range(1).select(F.lit("no passages").alias("company"), F.lit(2).cast("long").alias("n")))
+    out = r.link_themes(counts.select("company", inputs.alias("inputs")), citations, case="company", citation="id", text="text", inputs="inputs")
+    return out.select("company", "theme", F.size("source_ids").cast("long").alias("n_sources"), F.get("source_ids", F.lit(0)).alias("first_source"), F.size("inputs").cast("long").alias("n_inputs"), F.col("inputs")[0]["value"].alias("first_value"), "status")
 
 
 #: The reference's bounds of the term table and of the vectors.
