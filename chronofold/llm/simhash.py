@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import mix64, partitions_for, range_hash, slices, stage_table, text_bytes, word_bounds, word_hashes, _BYTE_CODE
+from chronofold.llm.common import join_small, mix64, partitions_for, range_hash, slices, stage_table, text_bytes, word_bounds, word_hashes, _BYTE_CODE
 
 BITS = 128
 #: The radius of the registered search, and the blocks of its tables.
@@ -163,7 +163,7 @@ def neighbours_digest(docs: DataFrame, *, id_column: str = "doc_id", text_column
     first.  Null texts are empty; rows with equal ids are all kept.  An empty
     table gives no rows.  Documents are dealt by ranges of ids; a task knows
     all followers but that of its last row, so the first and last text of each
-    range (two rows a task) are joined up afterwards.
+    range meet afterwards, range by range.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
@@ -189,11 +189,13 @@ def neighbours_digest(docs: DataFrame, *, id_column: str = "doc_id", text_column
             yield pa.RecordBatch.from_arrays([*empty, pa.array([part], pa.int32()), pa.array([first]), pa.array([held[0]], pa.int64()), pa.array([held[1]])], [*_NAMES, "part", "first_text", "last_id", "last_text"])
 
     made = stage_table(ordered.mapInArrow(run, schema), "simhash")
-    edges = made.where("part IS NOT NULL")
-    order = Window.orderBy("part")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    follows = F.coalesce(F.lead("first_text").over(order), F.first("first_text").over(whole))
-    edges = edges.select(F.col("last_id").alias("doc_id"), F.col("last_text").alias("text"), follows.alias("following"))
+    edges = made.where("part IS NOT NULL").select("part", "first_text", "last_id", "last_text")
+    # only the numbers of the ranges that have rows are put in order in one place; the texts meet by number
+    numbers = stage_table(edges.select("part", F.row_number().over(Window.orderBy("part")).alias("number")), "ranges")
+    numbered = join_small(edges, numbers, ["part"])
+    before = F.when(F.col("number") > 1, F.col("number") - 1).otherwise(numbers.count())
+    ahead = numbered.select(before.cast("int").alias("number"), F.col("first_text").alias("following"))
+    edges = numbered.join(ahead.hint("merge"), "number").select(F.col("last_id").alias("doc_id"), F.col("last_text").alias("text"), "following")
 
     def finish(batches):
         for batch in slices(batches, "text", 1 << 20):
