@@ -29,6 +29,9 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
 #: Bytes of rows that go to Python at a time.
 BATCH_BYTES = 4 << 20
+#: Tables of one job's own need no checksum files beside them: on a file system of this kind each file that a task writes
+#: starts a process to set its mode, and while that starts it counts the executor's memory a second time.  Other stores take no notice.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 _written: dict[str, SparkSession] = {}
 
 
@@ -77,7 +80,7 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**PLAIN_FILES).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     _written[path] = spark
