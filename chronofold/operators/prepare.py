@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofold.staging import written
+
 
 def _fitted(train: DataFrame, columns: Sequence[str], points: Sequence[float]) -> DataFrame:
     return train.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in points])).alias(f"_{c}") for c in columns])
@@ -72,7 +74,7 @@ def calibrate_intercept(df: DataFrame, *, p: str, y: str, prior: float = 0.5, ro
     Scores are first counted by value rounded to six places, so each step of
     the bisection reads a table of bounded size instead of the rows.
     """
-    counted = df.groupBy(F.round(p, 6).alias("p")).agg(F.count("*").alias("n"), F.sum(y).alias("s")).where("p IS NOT NULL").cache()
+    counted = written(df.groupBy(F.round(p, 6).alias("p")).agg(F.count("*").alias("n"), F.sum(y).alias("s")).where("p IS NOT NULL"), "scores")
     total = counted.agg(F.sum("n"), F.sum("s")).first()
     target = (total[1] + prior) / (total[0] + 2 * prior)
     q = F.least(F.greatest(F.col("p"), F.lit(1e-7)), F.lit(1 - 1e-7))
@@ -84,7 +86,6 @@ def calibrate_intercept(df: DataFrame, *, p: str, y: str, prior: float = 0.5, ro
         means = logits.agg(*[(F.sum(F.col("n") / (1 + F.exp(-(F.col("z") + g)))) / total[0]).alias(f"g{i}") for i, g in enumerate(grid)]).first()
         k = max(i for i in range(101) if i == 0 or means[i] <= target)
         low, high = grid[min(k, 99)], grid[min(k, 99) + 1]
-    counted.unpersist()
     return (low + high) / 2
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronofold.operators import backtest, metrics, prepare
 from chronofold.plans.base import SCORED, day, register, scored, table
+from chronofold.staging import written
 
 QUERIES: list = []
 query = register(QUERIES)
@@ -364,7 +365,7 @@ def ml_nested_calibration(spark, sf_dir):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import vector_to_array
 
-    rows, out = _model_frame(spark, sf_dir).cache(), None
+    rows, out = written(_model_frame(spark, sf_dir), "model-frame"), None
     seen = {tuple(r) for r in rows.select("fold", "quality").distinct().collect()}
     folds = sorted({f for f, _ in seen})
     both = lambda *without: len({y for f, y in seen if f not in without}) == 2

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chronofold.operators import latent
 from chronofold.operators import retrieval as r
 from chronofold.plans.base import register, table
+from chronofold.staging import written
 
 QUERIES: list = []
 query = register(QUERIES)
@@ -230,44 +232,25 @@ def ret_theme_link(spark, sf_dir):
     return out.select("company", "theme", F.size("source_ids").cast("long").alias("n_sources"), F.get("source_ids", F.lit(0)).alias("first_source"), F.size("inputs").cast("long").alias("n_inputs"), F.col("inputs")[0]["value"].alias("first_value"), "status")
 
 
-#: The reference's bounds of the term table and of the vectors.
-FEATURES, DIMENSIONS = 12_000, 64
-
-
-def latent(rows, *, key: str, text: str, features: int = FEATURES, dimensions: int = DIMENSIONS):
-    """(key, u): unit vectors of whole texts: one- and two-word terms, 1 + ln tf, smoothed idf, L2, truncated SVD, L2."""
-    import numpy as np
-    from pyspark.ml.feature import IDF, CountVectorizer, NGram, StopWordsRemover
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-    from pyspark.mllib.linalg.distributed import IndexedRowMatrix
-    from pyspark.mllib.util import MLUtils
-
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
-    said = StopWordsRemover(inputCol="all", outputCol="one").transform(rows.select(F.col(key).cast("long").alias("index"), words.alias("all")))
-    terms = NGram(n=2, inputCol="one", outputCol="two").transform(said).select("index", F.concat("one", "two").alias("terms")).where("size(terms) > 0")
-    counted = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=features).fit(terms).transform(terms).select("index", "tf").cache()
-    idf = counted.sparkSession.sparkContext.broadcast(IDF(inputCol="tf", outputCol="v").fit(counted).idf.toArray() + 1)
-
-    @F.udf(VectorUDT())
-    def weighted(v):
-        x = (1 + np.log(v.values)) * idf.value[v.indices]
-        return SparseVector(v.size, v.indices, x / (np.linalg.norm(x) or 1.0))
-
-    matrix = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(counted.select("index", weighted("tf").alias("vector")), "vector").cache())
-    most = min(dimensions, counted.count() - 1, len(idf.value) - 1)
-    low = matrix.multiply(matrix.computeSVD(most).V) if most >= 2 else None
-    if low is None:
-        return counted.sparkSession.createDataFrame([], f"{key} long, u array<double>")
-
-    def unit(row):
-        x = row.vector.toArray()
-        return row.index, (x / (np.linalg.norm(x) or 1.0)).tolist()
-
-    return low.rows.map(unit).toDF(f"{key} long, u array<double>")
+def latent_vectors(rows, *, key: str, text: str):
+    """(key, u): unit vectors of whole texts in the space of their own corpus; no rows if there are too few for one."""
+    terms = latent.with_terms(rows, key=key, text=text).where("size(terms) > 0")
+    space = latent.fit_space(terms)
+    if space is None:
+        return rows.sparkSession.createDataFrame([], f"{key} {rows.schema[key].dataType.simpleString()}, u array<double>")
+    return latent.vectors(terms, space).withColumnRenamed("key", key)
 
 
 @query()
 def ret_lsa(spark, sf_dir):
     """Latent semantic vectors of whole documents; every row whose id is divisible by 100 is a query."""
-    u = latent(table(spark, sf_dir, "documents"), key="doc_id", text="text").cache()
+    u = written(latent_vectors(table(spark, sf_dir, "documents"), key="doc_id", text="text"), "latent")
     return r.nearest(u.where("doc_id % 100 = 0"), u, query="doc_id", key="doc_id", vector="u", k=5, least=0.2)
+
+
+@query()
+def ret_hybrid_latent(spark, sf_dir):
+    """The lexical list and the semantic one over the passages of one entity up to a date, fused; questions are expanded for both."""
+    rows = _passages(spark, sf_dir).where("entity = 'en' AND filed <= DATE'2020-09-01'").select("key", "text")
+    asked = _asked(spark, sf_dir).select("query", "terms")
+    return r.hybrid(asked, rows, k=10)

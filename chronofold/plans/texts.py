@@ -10,7 +10,7 @@ from chronofold.plans.base import register, table
 QUERIES: list = []
 query = register(QUERIES)
 
-#: Negative words of the lexicon queries.
+#: A lexicon for the queries below: some negative words, and two that the test texts have.
 NEGATIVE = ["loss", "default", "adverse", "decline", "failure", "the", "on"]
 
 
@@ -134,24 +134,31 @@ def fn_split_sections(spark, sf_dir):
     return annual.unionByName(quarter).select("doc_id", "form", "s.section", F.col("s.text").alias("body"))
 
 
-#: What is said at the end of each document, by its id: denied, plain, an auditor's phrase, or nothing of the kind.
-SAID = ["We do not have sufficient cash.", "There is insufficient liquidity.", "Our responsibility covers insufficient capital.", "All is well."]
+#: What is said in the middle of each document, by its id, once or twice: denied, plain, an auditor's phrase, nothing of the kind, and plain with a denial beyond reach.
+SAID = ["We do not have sufficient cash.", "There is insufficient liquidity.", "Our responsibility covers insufficient capital.", "All is well.", "There is insufficient liquidity" + " and so on" * 20 + " and no default."]
 
 
 def _said():
-    pick = F.element_at(F.array(*[F.lit(x) for x in SAID]), (F.col("doc_id") % 4 + 1).cast("int"))
-    return F.concat(F.coalesce("text", F.lit("")), F.lit(". "), pick)
+    """Documents with the sentence after their first half, and for odd ids again at the end."""
+    pick = F.element_at(F.array(*[F.lit(x) for x in SAID]), (F.col("doc_id") % len(SAID) + 1).cast("int"))
+    t = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(t) / 2).cast("int")
+    again = F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit(". "), pick)).otherwise("")
+    return F.concat(F.left(t, half), F.lit(". "), pick, F.lit(" "), F.substr(t, half + 1), again)
+
+
+_TIMES = "CASE WHEN doc_id % 5 IN ({0}) THEN 1 + doc_id % 2 ELSE 0 END"
 
 
-@query("SELECT doc_id, CAST(doc_id % 4 = 1 AS INTEGER) AS n_plain, CAST(doc_id % 4 = 0 AS INTEGER) AS n_negated, CAST(doc_id % 4 = 2 AS INTEGER) AS n_boilerplate FROM documents")
+@query(f"SELECT doc_id, CAST({_TIMES.format('1, 4')} AS INTEGER) AS n_plain, CAST({_TIMES.format('0')} AS INTEGER) AS n_negated, CAST({_TIMES.format('2')} AS INTEGER) AS n_boilerplate FROM documents")
 def fn_context_rate(spark, sf_dir):
     c = _docs(spark, sf_dir).select("doc_id", _said().alias("t")).select("doc_id", text.context_rate(text.SHORTFALL)("t").alias("c"))
     return c.select("doc_id", *[F.col("c")[n].alias(f"n_{n}") for n in ("plain", "negated", "boilerplate")])
 
 
-@query("SELECT doc_id, CAST(doc_id % 4 IN (0, 1) AS INTEGER) AS included, CAST(CASE WHEN doc_id % 4 = 0 THEN -1 ELSE 0 END AS INTEGER) AS delta FROM documents")
+@query(f"SELECT doc_id, CAST({_TIMES.format('0, 1, 4')} AS INTEGER) AS included, CAST(-({_TIMES.format('0')}) AS INTEGER) AS delta FROM documents")
 def fn_corrected_liquidity(spark, sf_dir):
-    """Under the narrower denial the first of the four is a shortfall."""
+    """Under the narrower denial the first of the five is a shortfall."""
     return _docs(spark, sf_dir).select("doc_id", _said().alias("t")).select("doc_id", text.corrected_liquidity("t").alias("c")).select("doc_id", "c.*")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -47,25 +48,29 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
 
 
 def publish(spark: SparkSession, df: DataFrame, root: str) -> str:
-    """Write a new version below ``root``, and then one small pointer file to it that is renamed into place.
+    """Write a new version below ``root``, and then one small pointer file that names it.
 
-    Pointers are numbered and never changed, so a reader finds the last whole
-    one: before the rename the old version, after it the new.  An empty version
-    is not published.  Two publishers at once get different numbers; the later
-    rename of the same number fails.
+    Pointers are numbered, created once and never replaced, so of two publishers
+    that have the same number the later one fails.  A reader takes the last
+    pointer that is whole: the old version as long as the new one is not.  An
+    empty version is not published.
     """
     version = uuid.uuid4().hex
     df.write.parquet(f"{root}/{version}")
     if spark.read.schema(df.schema).parquet(f"{root}/{version}").limit(1).count() == 0:
         raise ValueError("an empty version is not published")
-    made, number = f"{root}/{version}.pointer", len(_pointers(spark, root))
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.json(made)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    pointers, place = hadoop(f"{root}/pointers"), hadoop(f"{root}/pointers/{number:012d}")
+    number = len(_pointers(spark, root))
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/pointers/{number:012d}")
     fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(pointers)
-    if fs.exists(place) or not fs.rename(hadoop(made), place):
-        raise ValueError("another version was published meanwhile")
+    fs.mkdirs(place.getParent())
+    try:
+        pointer = fs.create(place, False)  # fails where the file is there, on every store
+    except Exception as e:
+        if "exists" in str(e).lower():
+            raise ValueError("another version was published meanwhile") from None
+        raise
+    pointer.writeBytes(json.dumps({"version": version}) + "\n")
+    pointer.close()
     return version
 
 
@@ -77,11 +82,11 @@ def _pointers(spark: SparkSession, root: str) -> list[str]:
 
 def current(spark: SparkSession, root: str) -> DataFrame:
     """The version that was published last."""
-    found = _pointers(spark, root)
-    if not found:
-        raise ValueError("nothing is published there")
-    version = spark.read.schema("version string").json(found[-1]).first()[0]
-    return spark.read.parquet(f"{root}/{version}")
+    for pointer in reversed(_pointers(spark, root)):
+        named = spark.read.schema("version string").json(pointer).where("version IS NOT NULL").first()
+        if named:
+            return spark.read.parquet(f"{root}/{named.version}")
+    raise ValueError("nothing is published there")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

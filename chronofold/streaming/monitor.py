@@ -29,22 +29,6 @@ def bounded_items(stream: DataFrame, *, keys: list[str], time: str, late: str) -
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def baseline_then_new(stream: DataFrame, *, key: str, item: str, group: str, order: str) -> DataFrame:
-    """Per key: of the first batch the newest item of each group is reported and the rest kept silently; later, every unseen item."""
-    schema = f"{key} string, {item} string, {group} string, kind string"
-
-    def step(name, batches: Iterator[pd.DataFrame], state):
-        known = set(state.get[0]) if state.exists else None
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values([order, item])
-        fresh = pdf if known is None else pdf[~pdf[item].isin(known)]
-        fresh = fresh.drop_duplicates(item)
-        shown = fresh.groupby(group, sort=True).tail(1) if known is None else fresh
-        state.update((sorted((known or set()) | set(pdf[item])),))
-        yield pd.DataFrame({key: name[0], item: shown[item], group: shown[group], "kind": "first" if known is None else "new"})
-
-    return stream.groupBy(key).applyInPandasWithState(step, schema, "seen array<string>", "append", "NoTimeout")
-
-
 #: The store that keeps state outside the heap, and has lists, maps and timers.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -100,12 +84,47 @@ def told_until_expiry(stream: DataFrame, *, key: str, item: str, time: str, seco
     (UTC): key, item, told_at.  State is one entry for each item told within
     ``seconds`` of the watermark; timers of event time remove older ones, which
     changes no row.  Rows that are later than ``late`` are dropped.  Start the
-    stream within ``state_in_rocks``.
+    stream with ``write_once``, or within ``state_in_rocks``.
     """
     rows = stream.select(F.col(key).alias("key"), F.col(item).alias("item"), F.col(time).alias("time")).withWatermark("time", late)
     return rows.groupBy("key").transformWithStateInPandas(_Expiring("item", "time", seconds), "key string, item string, told_at timestamp", "Append", "EventTime")
 
 
+class _Baseline(StatefulProcessor):
+    """For each key the items that were seen, one entry each, and whether its first batch has passed."""
+
+    def __init__(self, item: str, group: str, order: str):
+        self.item, self.group, self.order = item, group, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "item string", "there boolean")
+        self.begun = handle.getValueState("begun", "there boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values([self.order, self.item])
+        first = not self.begun.exists()
+        fresh = pdf[[not self.seen.containsKey((i,)) for i in pdf[self.item]]].drop_duplicates(self.item)
+        for i in fresh[self.item]:
+            self.seen.updateValue((i,), (True,))
+        self.begun.update((True,))
+        shown = fresh.groupby(self.group, sort=True).tail(1) if first else fresh
+        yield pd.DataFrame({"key": key[0], "item": shown[self.item], "group": shown[self.group], "kind": "first" if first else "new"})
+
+    def close(self) -> None:
+        pass
+
+
+def baseline_then_new(stream: DataFrame, *, key: str, item: str, group: str, order: str) -> DataFrame:
+    """Per key: of the first batch the newest item of each group is reported and the rest kept silently; later, every unseen item.
+
+    State is an entry for each item, looked up and added one by one, so a batch
+    touches its own items only.  Start the stream with ``write_once``, or within
+    ``state_in_rocks``.
+    """
+    told = stream.groupBy(key).transformWithStateInPandas(_Baseline(item, group, order), "key string, item string, group string, kind string", "Append", "None")
+    return told.toDF(key, item, group, "kind")
+
+
 def isolated(df: DataFrame, *, by: str, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """``work`` on the rows of each entity; an entity on which it fails gives its own rows back with what went wrong.
 
@@ -275,7 +294,9 @@ def write_once(stream: DataFrame, write: Callable[[DataFrame, int], None], check
     """Run a stream into ``write(batch, id)``: all that is available, or at an interval.
 
     A batch is done once its checkpoint is written, so after a failure ``write``
-    sees the same id again and must replace what it wrote under it.
+    sees the same id again and must replace what it wrote under it.  State is
+    kept outside the heap.
     """
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+    with state_in_rocks(stream.sparkSession):
+        return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
