@@ -11,11 +11,11 @@ neighbour in the array moves on by one as well; elsewhere bytes are compared.  A
 window is repeated if it has ``span`` bytes in common with a neighbour in the
 array.
 
-A piece that stands in several places enters the array once: each of its
-suffixes stands beside its copies', with all that is left of the piece in
-common.  An anchor with very many pieces is dealt out to several shards; windows
-that are new to their own shard are looked up among the sorted windows of the
-others by binary search (``repeats.merge_shards``).
+A piece that stands in several places enters the array twice, which makes each
+of its suffixes the neighbour of its copy; what is repeated is read from the
+array alone.  An anchor with very many pieces is dealt out to several shards;
+windows that are new to their own shard are looked up among the sorted windows
+of the others by binary search (``repeats.merge_shards``).
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from chronofold.llm.common import _BYTE_CODE, range_hash, slices, text_bytes
 from chronofold.llm.repeats import SLICE, Piece, Windows, find, keyed, pieces, removed, search_shards, spans_of, with_ranges
 
-#: Bytes after which a suffix array is built.
-ENOUGH = 1 << 19
+#: Bytes after which a suffix array is built; copies come on top.
+ENOUGH = 3 << 17
 
 
 def suffix_array(text: np.ndarray, ends: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,11 +119,8 @@ def common_prefixes(text: np.ndarray, ends: np.ndarray, sa: np.ndarray) -> np.nd
     return np.where(before < 0, 0, np.maximum(value, 0))
 
 
-def repeated_starts(parts: list[bytes], span: int, counts: list[int] | None = None) -> list[np.ndarray]:
-    """For each byte string, whether the window at each of its starts occurs at another place in any of them.
-
-    ``counts``: places of each string; one with several has copies beside it.
-    """
+def repeated_starts(parts: list[bytes], span: int) -> list[np.ndarray]:
+    """For each byte string, whether the window at each of its starts occurs at another place in any of them."""
     sizes = np.array([len(p) for p in parts], np.int64)
     text = np.frombuffer(b"".join(parts), np.uint8)
     ends = np.cumsum(sizes)
@@ -131,15 +128,14 @@ def repeated_starts(parts: list[bytes], span: int, counts: list[int] | None = No
     hit = common_prefixes(text, ends, sa) >= span
     back = np.flatnonzero(hit[sa])  # and the suffix before it in the array
     hit[sa[back - 1]] = True
-    if counts is not None:
-        hit |= np.repeat(np.array(counts) > 1, sizes)
     return [hit[e - s : max(e - s, e - span + 1)] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
 def search(held: list[Piece], span: int) -> list[tuple[np.ndarray, np.ndarray | None]]:
     """Repeated windows of a shard's pieces, and hashes of the windows of those whose anchor has several shards."""
-    hits = repeated_starts([p.data for p in held], span, [p.n for p in held])
-    return [(hit, range_hash(_BYTE_CODE[np.frombuffer(p.data, np.uint8)], 0x9E6D62D06F6A9A9B)(at := np.arange(len(hit)), at + span).view(np.int64) if p.shards > 1 else None) for p, hit in zip(held, hits, strict=True)]
+    again = [p for p in held if p.n > 1]
+    hits = repeated_starts([p.data for p in held] + [p.data for p in again], span)
+    return [(hit, range_hash(_BYTE_CODE[np.frombuffer(p.data, np.uint8)], 0x9E6D62D06F6A9A9B)(at := np.arange(len(hit)), at + span).view(np.int64) if p.shards > 1 else None) for p, hit in zip(held, hits, strict=False)]
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, kept binary, spans array<struct<start:long,end:long>>"
