@@ -269,27 +269,37 @@ def fit(texts: list[str], steps: int = 300, rate: float = 2.0, decay: float = 1e
     return Field(index, weights, chain * 0.5, (skip + skip.T) / 2)
 
 
-def marginals(field: Field, nodes: list[Node], rounds: int = 12, damping: float = 0.3) -> np.ndarray:
-    """Label probabilities of each node by loopy sum-product."""
+#: Edges along which messages are sent at a time.
+EDGES = 1 << 14
+
+
+def _send(said: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Messages (edges x labels) from what the senders believe, over edges that have one table; their largest is 0."""
+    out = np.empty_like(said)
+    for at in range(0, len(said), EDGES):
+        x = said[at : at + EDGES, :, None] + table
+        top = x.max(axis=1)
+        msg = top + np.log(np.exp(x - top[:, None, :]).sum(axis=1))
+        out[at : at + EDGES] = msg - msg.max(axis=1, keepdims=True)
+    return out
+
+
+def marginals(field: Field, nodes: list[Node], rounds: int = 12, damping: float = 0.3, skips: bool = True) -> np.ndarray:
+    """Label probabilities of each node by loopy sum-product; without ``skips`` on the chain alone."""
     unary = field.unary(nodes)
     chain, skip = links(nodes)
-    edges = chain + skip
+    edges = chain + (skip if skips else [])
     if edges:
         a, b = (np.array(x) for x in zip(*edges, strict=True))
-        table = np.stack([field.chain] * len(chain) + [field.skip] * len(skip))
+        n = len(chain)
         ab, ba = np.zeros((len(edges), len(LABELS))), np.zeros((len(edges), len(LABELS)))
         for _ in range(rounds):
             belief = unary.copy()
             np.add.at(belief, b, ab)
             np.add.at(belief, a, ba)
-            new = []
-            for source, back, t in ((a, ba, table), (b, ab, table.transpose(0, 2, 1))):
-                x = (belief[source] - back)[:, :, None] + t
-                top = x.max(axis=1)
-                msg = top + np.log(np.exp(x - top[:, None, :]).sum(axis=1))
-                new.append(msg - msg.max(axis=1, keepdims=True))
-            ab = damping * ab + (1 - damping) * new[0]
-            ba = damping * ba + (1 - damping) * new[1]
+            forth, back = belief[a] - ba, belief[b] - ab
+            ab = damping * ab + (1 - damping) * np.concatenate([_send(forth[:n], field.chain), _send(forth[n:], field.skip)])
+            ba = damping * ba + (1 - damping) * np.concatenate([_send(back[:n], field.chain.T), _send(back[n:], field.skip.T)])
         np.add.at(unary, b, ab)
         np.add.at(unary, a, ba)
     p = np.exp(unary - unary.max(axis=1, keepdims=True))
@@ -300,13 +310,13 @@ def marginals(field: Field, nodes: list[Node], rounds: int = 12, damping: float
 SURE = 0.8
 
 
-def spans(text: str, field: Field) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """Pattern spans, and all spans with those that the field adds; both in order."""
+def spans(text: str, field: Field, skips: bool = True) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """Pattern spans, and all spans with those that the field adds (without ``skips``, the field's chain); both in order."""
     base = base_spans(text)
     nodes = nodes_of(text, base)
     if not nodes:
         return base, base
-    p = marginals(field, nodes)
+    p = marginals(field, nodes, skips=skips)
     best = p.argmax(axis=1)
     more = [(n.start, n.end, LABELS[k]) for n, k, row in zip(nodes, best, p, strict=True) if k and not n.fixed and row[k] >= SURE]
     return base, sorted(base + more, key=lambda s: (s[0], _RANK[s[2]]))
@@ -316,18 +326,18 @@ def joined(found: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in found)
 
 
-#: Documents to train on at most, and how many rows are looked through for them.
-SAMPLE, LOOKED = 1500, 30_000
+#: Documents to train on at most, how many rows are looked through for them, and the characters of one at most.
+SAMPLE, LOOKED, CHARACTERS = 1500, 30_000, 60_000
 
 
 def training_texts(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> list[str]:
-    """At most SAMPLE texts with a digit or an @, of at most 60,000 characters, drawn by a hash of the id."""
+    """At most SAMPLE texts with a digit or an @, of at most CHARACTERS characters, drawn by a hash of the id."""
     total = docs.count()
     if not total:
         return []
     u = F.pmod(F.xxhash64(F.col(id_column), F.lit(11)), F.lit(1 << 40))
     rows = docs.select(u.alias("_u"), F.col(text_column).alias("_text")).where(F.col("_u") < int(min(1.0, LOOKED / total) * (1 << 40)))
-    rows = rows.where(F.col("_text").rlike("[0-9@]") & (F.length("_text") <= 60_000))
+    rows = rows.where(F.col("_text").rlike("[0-9@]") & (F.length("_text") <= CHARACTERS))
     return rows.orderBy("_u", "_text").limit(SAMPLE).select("_text").toArrow().column(0).to_pylist()
 
 

@@ -213,6 +213,28 @@ def test_unigram_documents(spark, frame):
     assert unigram.encode_documents(frame([])).count() == 0
 
 
+def test_field_on_a_cycle():
+    """Loopy messages on a graph with a cycle against all assignments: close, and with the same labels; a long text is no trouble."""
+    rng = np.random.default_rng(3)
+    skip = rng.normal(size=(6, 6)) * 0.5
+    field = pii.Field({}, np.zeros((0, 6)), rng.normal(size=(6, 6)) * 0.5, (skip + skip.T) / 2)
+    nodes = [pii.Node(10 * i, 10 * i + 3, t, "", "", f) for i, (t, f) in enumerate((("11111", 0), ("22222", 2), ("33333", 0), ("11111", 0), ("22222", 0)))]
+    chain, far = pii.links(nodes)
+    assert len(chain) == 4 and {(0, 3), (1, 4)} <= set(far), "chain and skip links close cycles"
+    unary = field.unary(nodes)
+    exact = np.zeros((5, 6))
+    for labels in itertools.product(range(6), repeat=5):
+        score = sum(unary[i, y] for i, y in enumerate(labels)) + sum(field.chain[labels[i], labels[j]] for i, j in chain) + sum(field.skip[labels[i], labels[j]] for i, j in far)
+        exact[range(5), labels] += np.exp(score)
+    exact /= exact.sum(axis=1, keepdims=True)
+    got = pii.marginals(field, nodes, rounds=100)
+    assert np.abs(got - exact).max() < 0.08 and (got.argmax(axis=1) == exact.argmax(axis=1)).all()
+    alone = pii.marginals(field, nodes, rounds=100, skips=False)
+    assert np.abs(alone - exact).max() > np.abs(got - exact).max(), "the skip links matter"
+    many = [pii.Node(10 * i, 10 * i + 3, f"key{i % 50:04d}", "", "", 0) for i in range(20_000)]
+    assert np.allclose(pii.marginals(field, many, rounds=2).sum(axis=1), 1)
+
+
 def test_pipeline_stages(spark, frame, tmp_path):
     rng = random.Random(9)
     words = {"aa": [f"the{i}" for i in range(90)], "bb": [f"und{i}" for i in range(90)]}
