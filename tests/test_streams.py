@@ -95,12 +95,13 @@ def server():
 
 def test_requests_of_all_tasks_are_spaced(spark, server):
     spark.dataSource.register(origin.PagedSearch)
-    pages = spark.read.format("paged_search").option("url", server.url).option("size", 5).option("tasks", 4).option("every", 0.15).load()
+    pages = spark.read.format("paged_search").option("url", server.url).option("size", 5).option("tasks", 4).option("every", 0.5).load()
     got = pages.select("page", F.spark_partition_id().alias("task"), "ids").collect()
     assert sorted(r.page for r in got) == list(range(12)) and len({r.task for r in got}) == 4
     assert [x for r in sorted(got) for x in r.ids] == server.items
     times = sorted(server.times)
-    assert len(times) >= 13 and min(b - a for a, b in zip(times, times[1:], strict=False)) >= 0.15
+    # they are sent at least 0.5 s apart; on a busy machine one may arrive late
+    assert len(times) >= 13 and min(b - a for a, b in zip(times, times[1:], strict=False)) >= 0.35
 
 
 def test_turns_of_many_tasks():
