@@ -1,13 +1,14 @@
 """Repeated word sequences: seeds from winnowed anchors, extended both ways to maximal repeats.
 
 Documents are joined on their anchors (``repeats``): all pieces of an anchor,
-each the anchor with the words around it, come together.  From the seed each
-piece is extended to the left and to the right, word by word, and a window of
-the span is a match where another piece has the same words as far to the left
-and as far to the right.  That is told by the hashes of both extensions, which
-are sorted rather than compared in pairs, so a group of n pieces costs n log n.
-Runs of matching windows over all seeds of a document are its maximal repeats
-of at least ``span`` words.
+each the anchor with the words around it, come together.  Seeds are extended to
+both sides: pieces that have the same words as far to the left stand together,
+in the order of the words on the right, so the neighbours of a piece are those
+that it has the longest extension to the right with.  Its length is counted word
+by word.  A repeat goes from the left end to the end of that extension; it is
+maximal to the right, and kept if it has ``span`` words at least.  A group of n
+pieces is sorted, not compared in pairs.  A piece that stands in several places
+comes as two, which extend over each other whole.
 """
 
 from __future__ import annotations
@@ -28,32 +29,73 @@ from chronofold.llm.repeats import SLICE, Piece, Windows, find, keyed, pieces, r
 ENOUGH = 2 << 20
 
 
-def extend(held: list[Piece], what: Windows) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each piece, which of its windows another piece of the same anchor has too, and a hash of each window.
-
-    Window i of a piece reaches (seed - i) words to the left of its seed and the
-    rest of the span to the right.
+#: Extensions that are counted at a time.
+COUNTED = 1 << 14
+
+
+def right_contexts(held: list[Piece], what: Windows) -> tuple[np.ndarray, np.ndarray]:
+    """The words to the right of each piece's seed, as far as a window can reach (0 beyond its end), and how many there are."""
+    reach = what.span - what.gram
+    out = np.zeros((len(held), reach), np.uint64)
+    size = np.zeros(len(held), np.int64)
+    for i, p in enumerate(held):
+        words = np.frombuffer(p.data, np.uint64)[p.seed + what.gram :][:reach]
+        out[i, : len(words)], size[i] = words, len(words)
+    return out, size
+
+
+def extensions(left: np.ndarray, owner: np.ndarray, right: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each row (what stands to the left, and a piece), the longest extension to the right that it shares with another row of the same left side."""
+    by_right = np.lexsort(right.T[::-1]) if right.shape[1] else np.arange(len(right))
+    rank = np.empty(len(right), np.int64)
+    rank[by_right] = np.arange(len(right))
+    order = np.lexsort((rank[owner], left))
+    longest = np.zeros(len(left), np.int64)
+    together = np.flatnonzero(left[order][1:] == left[order][:-1])
+    for at in range(0, len(together), COUNTED):
+        rows = together[at : at + COUNTED]
+        a, b = order[rows], order[rows + 1]
+        x, y = owner[a], owner[b]
+        differs = right[x] != right[y]
+        same = np.where(differs.any(axis=1), differs.argmax(axis=1), right.shape[1]) if right.shape[1] else np.zeros(len(rows), np.int64)
+        common = np.minimum(same, np.minimum(size[x], size[y]))
+        np.maximum.at(longest, a, common)
+        np.maximum.at(longest, b, common)
+    # a row that shares its left side with nothing has no extension, not even an empty one
+    shared = np.zeros(len(left), bool)
+    shared[order[together]] = shared[order[together + 1]] = True
+    return np.where(shared, longest, -1)
+
+
+def extend(held: list[Piece], what: Windows) -> list[tuple[np.ndarray, np.ndarray | None]]:
+    """For each piece, which of its windows lie in a repeat, and a hash of each window if the anchor has other shards.
+
+    Window i of a piece reaches (seed - i) words to the left of its seed; it is
+    repeated if the extension to the right of that left side covers its rest.
     """
-    sizes = np.array([len(p.data) // 8 for p in held], np.int64)
+    copies = [i for i, p in enumerate(held) for _ in range(2 if p.n > 1 else 1)]
+    pieces_ = [held[i] for i in copies]
+    sizes = np.array([len(p.data) // 8 for p in pieces_], np.int64)
     count = sizes - what.span + 1
     ends = np.cumsum(sizes)
-    words = np.frombuffer(b"".join(p.data for p in held), np.uint64)
-    owner = np.repeat(np.arange(len(held)), count)
+    words = np.frombuffer(b"".join(p.data for p in pieces_), np.uint64)
+    owner = np.repeat(np.arange(len(pieces_)), count)
     i = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     start = (ends - sizes)[owner] + i
-    seed = (ends - sizes + np.array([p.seed for p in held], np.int64))[owner]
-    anchor = np.array([p.anchor for p in held], np.int64).view(np.uint64)[owner]
+    seed = (ends - sizes + np.array([p.seed for p in pieces_], np.int64))[owner]
+    anchor = np.array([p.anchor for p in pieces_], np.int64).view(np.uint64)[owner]
     hashes = range_hash(words, 0xD6E8FEB86659FD93)
-    left, right = hashes(start, seed), hashes(seed + what.gram, start + what.span)
-    both = mix64(left ^ mix64(right ^ anchor))
-    weight = np.array([p.n for p in held], np.int64)[owner]  # a piece with several places matches itself
-    order = np.argsort(both)
-    new = np.flatnonzero(np.concatenate([[True], both[order][1:] != both[order][:-1]])) if len(order) else order
-    times = np.add.reduceat(weight[order], new) if len(order) else weight
-    hit = np.zeros(len(owner), bool)
-    hit[order] = np.repeat(times, np.diff(np.append(new, len(order)))) > 1
-    cut = np.cumsum(count)[:-1]
-    return list(zip(np.split(hit, cut), np.split(both.view(np.int64), cut), strict=True))
+    left = mix64(hashes(start, seed) ^ anchor)
+    right, size = right_contexts(pieces_, what)
+    longest = extensions(left, owner, right, size)
+    hit = longest >= start + what.span - seed - what.gram
+    out: list = [None] * len(held)
+    for k, (a, b) in enumerate(zip(np.cumsum(count) - count, np.cumsum(count), strict=True)):
+        p = pieces_[k]
+        if out[copies[k]] is None:  # of two copies the first tells for both
+            whole = mix64(left[a:b] ^ hashes(seed[a:b] + what.gram, start[a:b] + what.span)).view(np.int64) if p.shards > 1 else None
+            out[copies[k]] = (hit[a:b], whole)
+    return out
 
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start:int,end:int>>"
