@@ -246,3 +246,53 @@ def pack_documents(
             yield flush()
 
     return rows.mapInArrow(run, schema)
+
+
+def conversation_sizes(turns: DataFrame, *, end_id: int = 1, vocabulary: str | None = None, answers: str = "assistant") -> DataFrame:
+    """Tokens, segments and loss-bearing tokens of each conversation: conv_id, tokens, segments, loss.
+
+    Each turn is a segment, its text's ids and the end id; those of the role
+    ``answers`` bear loss.  Null texts are empty, null roles bear none, and rows
+    without a conversation's id belong to none.
+    """
+    path = vocabulary or vocabulary_path()
+
+    def run(batches):
+        encode = encoder(path).encode
+        for batch in slices(batches, limit=4 << 20):
+            sizes = [len(ids) + 1 for ids in encode(batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], ["conv_id", "bears", "n"])
+
+    rows = turns.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("role") == answers, F.lit(False)).alias("bears"), "text")
+    sized = rows.mapInArrow(run, "conv_id long, bears boolean, n long")
+    return sized.groupBy("conv_id").agg(F.sum("n").alias("tokens"), F.count("*").alias("segments"), F.sum(F.when(F.col("bears"), F.col("n")).otherwise(0)).alias("loss"))
+
+
+def pack_whole(sizes: DataFrame, limits: Limits, *, id_column: str = "conv_id") -> DataFrame:
+    """Sequences of whole examples within all limits: the id, tokens, segments, loss, sequence_id, and whether the example is too large for any sequence.
+
+    ``sizes`` has tokens, segments and loss of each example (null: 0).  One that
+    is beyond a limit by itself has a sequence of its own.  Examples are packed
+    in groups of consecutive rows of a partition, as in ``pack_documents``.
+    """
+    cap = np.array([limits.tokens, limits.segments, limits.loss])
+    kind = sizes.schema[id_column].dataType.simpleString()
+    names = [id_column, "tokens", "segments", "loss", "sequence_id", "oversized"]
+    rows = sizes.select(id_column, *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in names[1:4]])
+
+    def run(batches):
+        base, count = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, GROUP_ROWS):
+                part = batch.slice(at, GROUP_ROWS)
+                size = np.stack([part.column(i).to_numpy() for i in (1, 2, 3)], axis=1)
+                large = (size > cap).any(axis=1)
+                fit = np.flatnonzero(~large)
+                bins = [[int(fit[k]) for k in b] for b in pack_vectors(size[fit], cap)] + [[int(k)] for k in np.flatnonzero(large)]
+                sequence = np.zeros(len(size), np.int64)
+                for number, b in enumerate(bins, count):
+                    sequence[b] = base + number
+                count += len(bins)
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(4)], pa.array(sequence), pa.array(large)], names)
+
+    return rows.mapInArrow(run, f"`{id_column}` {kind}, tokens long, segments long, loss long, sequence_id long, oversized boolean")

@@ -97,8 +97,25 @@ def simhash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wanted.join(found, ["hi", "lo"]).select("doc_id", "n_near", "least", "most")
 
 
+#: What a sequence of conversations holds: each of the three limits is reached by some.
+CONVERSATION_LIMITS = packing.Limits(tokens=3584, segments=18, loss=2800)
+
+
+def packing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations in sequences with limits on tokens, turns and tokens of answers.  Null texts are empty; an empty table gives no rows."""
+    sizes = packing.conversation_sizes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return packing.pack_whole(stage_table(sizes, "conversation-sizes"), CONVERSATION_LIMITS)
+
+
+def wavelet_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each token id that is divisible by 100 occurs in all documents, and where first and last, looked up in the shard files."""
+    shards = wavelet.with_starts(wavelet.encode_shards(documents(spark, sf_dir)))
+    return wavelet.occurrences(shards, list(range(0, 50_257, 100)))
+
+
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"simhash_search": simhash_search}
+    named = {"simhash_search": simhash_search, "packing_conversations": packing_conversations, "wavelet_occurrences": wavelet_occurrences}
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | named
 
 
 def _op3_sql() -> str:

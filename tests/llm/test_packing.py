@@ -3,9 +3,9 @@ import zlib
 import numpy as np
 import pytest
 
-from chronofold.llm.packing import Limits, pack_documents, pack_group, pack_vectors
+from chronofold.llm.packing import Limits, conversation_sizes, pack_documents, pack_group, pack_vectors, pack_whole
 from chronofold.llm.tokens import Encoder, vocabulary_path
-from chronofold.llm.wavelet import Shard, build, encode_shards, read_digest, token_counts, with_starts
+from chronofold.llm.wavelet import Shard, build, encode_shards, occurrences, read_digest, token_counts, with_starts
 
 ODD = [
     "", "a  b", " x", "x ", "it's\n\nfoo 12,3", "a\tb c d  e\n f", "\n", " ", "hello.\nWorld ab., c.", "don't can't 's",
@@ -159,3 +159,58 @@ def test_shard_reads_only_what_it_needs(tmp_path):
     s = Shard(Counted(), check=False)
     assert s.access(123456) == ids[123456] and s.count(int(ids[7])) == (ids == ids[7]).sum()
     assert Counted.read < file.size() / 3
+
+
+def test_occurrences_equal_brute_force(spark, frame, monkeypatch):
+    monkeypatch.setattr("chronofold.llm.wavelet.SHARD_TOKENS", 200)
+    rows = [(i, f"word{i % 7} the the {'x y ' * (i % 30)}") for i in range(60)] + [(None, None), (61, "")]
+    e = Encoder(vocabulary_path())
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    ids = np.concatenate([np.append(x, 2) for x in e.encode([t for _, t in order])])
+    shards = with_starts(encode_shards(frame(rows), partitions=2))
+    assert shards.count() > 3
+    wanted = sorted({2, 262, 40_000, *ids.tolist()[:20]})
+    got = {r.token: (r.n, r.first, r.last) for r in occurrences(shards, wanted).collect()}
+    at = {t: np.flatnonzero(ids == t).tolist() for t in wanted}
+    assert got == {t: (len(p), p[0] if p else None, p[-1] if p else None) for t, p in at.items()}
+
+
+def test_read_back_checks_whole_files(spark, frame):
+    shards = with_starts(encode_shards(frame([(1, "some text"), (2, "more")]), partitions=1))
+    path = shards.first().path.removeprefix("file://")
+    with open(path, "r+b") as f:
+        f.seek(-6, 2)
+        f.write(b"!")
+    with pytest.raises(Exception, match="checksum"):
+        read_digest(shards).collect()
+
+
+def test_conversations_under_three_limits(spark):
+    """Each limit binds somewhere, none is broken, nothing is lost; sequences that look at tokens alone break the others."""
+    rng = np.random.default_rng(5)
+    turns = []
+    for c in range(400):
+        for t in range(int(rng.integers(1, 9))):
+            role = "assistant" if rng.random() < 0.5 else rng.choice(["user", "system"])
+            turns.append((c, t, str(role), "word " * int(rng.integers(1, 60) if c % 3 else rng.integers(1, 4))))
+    turns += [(900, 0, None, None), (901, 0, "assistant", "long " * 3000), (None, 0, "user", "nobody's")]
+    sizes = conversation_sizes(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3))
+    long = len(Encoder(vocabulary_path()).encode(["long " * 3000])[0]) + 1
+    assert {tuple(r) for r in sizes.where("conv_id >= 900").collect()} == {(900, 1, 1, 0), (901, long, 1, long)}
+    limits = Limits(tokens=560, segments=20, loss=270)
+    got = pack_whole(sizes.coalesce(1), limits).collect()
+    assert sorted(r.conv_id for r in got) == sorted({t[0] for t in turns if t[0] is not None})
+    assert {r.conv_id for r in got if r.oversized} == {r.conv_id for r in got if r.tokens > 560 or r.segments > 20 or r.loss > 270} >= {901}
+    bins = {}
+    for r in got:
+        if not r.oversized:
+            bins.setdefault(r.sequence_id, []).append((r.tokens, r.segments, r.loss))
+    totals = np.array([np.sum(b, axis=0) for b in bins.values()])
+    cap = np.array([560, 20, 270])
+    assert (totals <= cap).all()
+    assert (totals >= 0.95 * cap).any(axis=0).all(), "each limit is nearly reached by some sequence"
+    each = np.array([x for b in bins.values() for x in b])
+    assert len(bins) <= 1.1 * np.ceil(each.sum(axis=0) / cap).max() + 1
+    alone = [each[b].sum(axis=0) for b in pack_vectors(each[:, :1], cap[:1])]
+    assert np.mean([(x > cap).any() for x in alone]) > 0.3
+    assert pack_whole(sizes.limit(0), limits).collect() == []
