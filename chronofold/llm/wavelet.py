@@ -200,12 +200,13 @@ def _store(folder: str) -> str | None:
     return folder
 
 
-def _opened(path: str | None, data: bytes | None) -> Shard:
-    """A shard by its file, or by its bytes."""
+def _opened(path: str | None, data: bytes | None, whole: bool = False) -> Shard:
+    """A shard by its file, or by its bytes.  One that is read as a whole is held against its checksum; else only ranges are read."""
     if path is None:
         return Shard(data)
     store, place = pafs.FileSystem.from_uri(path)
-    return Shard(store.open_input_file(place), check=False)
+    file = store.open_input_file(place)
+    return Shard(file.read()) if whole else Shard(file, check=False)
 
 
 def encode_shards(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", end_id: int = 2, vocabulary: str | None = None, partitions: int | None = None) -> DataFrame:
@@ -279,7 +280,7 @@ def read_digest(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 docs_, starts, sizes, crcs, at = [], [], [], [], row["start"]
-                for doc, ids in _opened(row["path"], row["data"]).documents():
+                for doc, ids in _opened(row["path"], row["data"], whole=True).documents():
                     docs_.append(None if doc == -(2**63) else doc)
                     starts.append(at)
                     sizes.append(len(ids))
@@ -313,3 +314,27 @@ def token_counts(shards: DataFrame, tokens: list[int]) -> DataFrame:
                 )
 
     return _dealt(shards, "part", "shard", "path", "data").mapInArrow(run, "part int, shard int, token int, n long, first long")
+
+
+def occurrences(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    """Occurrences of each given id in all shards, which have ``start``: token, n, and the places of the first and the last one.
+
+    Places count the ids of all documents in order.  Ids that nowhere occur have
+    n 0 and no places.  Counting and lookup go through the planes of each file;
+    what leaves a shard is a row for each id that it has.
+    """
+    wanted = shards.sparkSession.createDataFrame([(t,) for t in sorted(set(tokens))], "token int")
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                s, found = _opened(row["path"], row["data"]), []
+                for t in tokens:
+                    if n := s.count(t):
+                        found.append((t, n, row["start"] + s.select(t, 0), row["start"] + s.select(t, n - 1)))
+                columns = list(zip(*found, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["token", "n", "first", "last"])
+
+    told = _dealt(shards, "start", "path", "data").mapInArrow(run, "token int, n long, first long, last long")
+    summed = told.groupBy("token").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return wanted.join(summed, "token", "left").select("token", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "first", "last")
