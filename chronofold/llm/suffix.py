@@ -34,13 +34,25 @@ from chronofold.llm.repeats import SLICE, Piece, Windows, find, keyed, pieces, r
 ENOUGH = 3 << 17
 
 
-def suffix_array(text: np.ndarray, ends: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray]:
+def _undecided(pos: np.ndarray, new: np.ndarray, twin: np.ndarray | None) -> np.ndarray:
+    """Which places of the array are in groups that may still be split: not single ones, and not pairs of a suffix and its copy."""
+    last = np.append(new[1:], True)
+    out = ~(new & last)
+    if twin is not None and len(pos) > 1:
+        pair = new[:-1] & last[1:] & ~new[1:] & (twin[pos[:-1]] == pos[1:])
+        out[:-1][pair] = out[1:][pair] = False
+    return out
+
+
+def suffix_array(text: np.ndarray, ends: np.ndarray, upto: int, twin: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The sorted suffixes of several strings laid end to end, and each position's rank.
 
     ``ends`` are the strings' ends.  Suffixes stop at their string's end and are
     then all different, so no comparison runs into the next string.  The order
     is complete up to ``upto`` bytes; suffixes that agree further stay in one
-    group, with one rank, in text order.
+    group, with one rank, in text order.  ``twin`` gives for each position that
+    of its copy further on, in a string that is put in twice (-1: none); such a
+    pair agrees to its end, so where it is alone it is left alone.
     """
     n = len(text)
     if n == 0:
@@ -55,17 +67,20 @@ def suffix_array(text: np.ndarray, ends: np.ndarray, upto: int) -> tuple[np.ndar
     code = text.astype(np.uint64) + np.uint64(1)
     for k in range(7):  # seven bytes at nine bits; 0 stands for the end
         part = np.zeros(n, np.uint64)
-        part[: n - k] = code[k:]
+        part[: max(0, n - k)] = code[k:]
         part[left <= k] = 0
         key = key << np.uint64(9) | part
     sa = np.argsort(key)
     ordered = key[sa]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    if twin is not None:  # pairs of copies in text order
+        swap = np.flatnonzero(twin[sa[1:]] == sa[:-1])
+        sa[swap], sa[swap + 1] = sa[swap + 1].copy(), sa[swap].copy()
     start = np.flatnonzero(new)
     rank = np.empty(n, np.int64)
     rank[sa] = np.repeat(start, np.diff(np.append(start, n)))
     h = 7
-    slots = np.flatnonzero(~(new & np.append(new[1:], True)))  # places of the array whose groups have several suffixes
+    slots = np.flatnonzero(_undecided(sa, new, twin))
     while len(slots) and h < upto:
         pos = sa[slots]
         # the rank h bytes on, above those of suffixes that end before, which are in text order
@@ -78,7 +93,7 @@ def suffix_array(text: np.ndarray, ends: np.ndarray, upto: int) -> tuple[np.ndar
         new = np.concatenate([[True], (pair[1:] != pair[:-1]) | ended[1:]])
         start = np.flatnonzero(new)
         rank[pos] = np.repeat(slots[start], np.diff(np.append(start, len(pos))))
-        slots = slots[~(new & np.append(new[1:], True))]
+        slots = slots[_undecided(pos, new, twin)]
         h *= 2
     return sa, rank
 
@@ -119,12 +134,21 @@ def common_prefixes(text: np.ndarray, ends: np.ndarray, sa: np.ndarray) -> np.nd
     return np.where(before < 0, 0, np.maximum(value, 0))
 
 
-def repeated_starts(parts: list[bytes], span: int) -> list[np.ndarray]:
-    """For each byte string, whether the window at each of its starts occurs at another place in any of them."""
+def repeated_starts(parts: list[bytes], span: int, twice: list[int] = ()) -> list[np.ndarray]:
+    """For each byte string, whether the window at each of its starts occurs at another place in any of them.
+
+    The strings with the numbers ``twice`` are put in again after the others.
+    """
+    parts = [*parts, *(parts[i] for i in twice)]
     sizes = np.array([len(p) for p in parts], np.int64)
     text = np.frombuffer(b"".join(parts), np.uint8)
     ends = np.cumsum(sizes)
-    sa, _ = suffix_array(text, ends, span)
+    twin = None
+    if len(twice):
+        twin = np.full(len(text), -1, np.int64)
+        for i, k in enumerate(twice, len(parts) - len(twice)):
+            twin[ends[k] - sizes[k] : ends[k]] = np.arange(ends[i] - sizes[i], ends[i])
+    sa, _ = suffix_array(text, ends, span, twin)
     hit = common_prefixes(text, ends, sa) >= span
     back = np.flatnonzero(hit[sa])  # and the suffix before it in the array
     hit[sa[back - 1]] = True
@@ -133,8 +157,7 @@ def repeated_starts(parts: list[bytes], span: int) -> list[np.ndarray]:
 
 def search(held: list[Piece], span: int) -> list[tuple[np.ndarray, np.ndarray | None]]:
     """Repeated windows of a shard's pieces, and hashes of the windows of those whose anchor has several shards."""
-    again = [p for p in held if p.n > 1]
-    hits = repeated_starts([p.data for p in held] + [p.data for p in again], span)
+    hits = repeated_starts([p.data for p in held], span, [i for i, p in enumerate(held) if p.n > 1])
     return [(hit, range_hash(_BYTE_CODE[np.frombuffer(p.data, np.uint8)], 0x9E6D62D06F6A9A9B)(at := np.arange(len(hit)), at + span).view(np.int64) if p.shards > 1 else None) for p, hit in zip(held, hits, strict=False)]
 
 
