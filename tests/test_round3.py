@@ -1,10 +1,14 @@
 """What larger tables have shown: times at the edge of a second, cut-off references, and steps that grew faster than their rows."""
 
 import datetime
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronofold.functions import text
+from chronofold.operators import neighbours
+from chronofold.operators import retrieval as r
 from chronofold.plans import flows
 
 
@@ -34,3 +38,20 @@ def test_health_to_the_microsecond(spark, events):
     """str_health: a report from half a second after the time of asking is from the future; of equal times the first counts."""
     at = events([(1, "2024-01-30T18:00:00.500000", 1, "a"), (2, "2024-01-30T18:00:00", 2, "a"), (3, "2024-01-29T11:59:59.999999", 3, "a"), (4, "2024-01-30T17:00:00", 4, "error"), (5, "2024-01-30T17:00:00", 4, "a")])
     assert {r.user_id: r.healthy for r in flows.str_health(spark, at).collect()} == {1: False, 2: True, 3: False, 4: False}
+
+
+@pytest.mark.parametrize("least", [None, 0.3])
+def test_nearest_against_all_pairs(spark, monkeypatch, least):
+    """ret_vector: the same rows as a join of all pairs, with copies, zero, short and missing vectors, and keys that are null; no task gives more than k rows for a query."""
+    rng = random.Random(5)
+    vectors = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(150)]
+    vectors += [list(vectors[3])] * 40 + [[0.0] * 6, [1.0, 2.0], None, [1.0, None, 0.0, 0.0, 0.0, 0.0]]
+    rows = spark.createDataFrame([(i if i != 160 else None, v) for i, v in enumerate(vectors)], "i long, v array<float>").repartition(3).cache()
+    monkeypatch.setattr(neighbours, "ROWS", 16)
+    monkeypatch.setattr(r, "QUERIES", 15)
+    q = rows.where("i % 5 = 0 OR i > 188")
+    pairs = q.select(F.col("i").alias("query"), F.col("v").alias("a")).crossJoin(rows.select(F.col("i").alias("key"), F.col("v").alias("b"))).select("query", "key", r.cosine(F.col("a"), F.col("b")).alias("similarity"))
+    want = r.ranked(pairs if least is None else pairs.where(F.col("similarity") >= least), by="query", order=[F.desc(F.round("similarity", 6)), F.col("key")], k=7)
+    found = r.nearest(q, rows, query="i", key="i", vector="v", k=7, least=least)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
+    assert "NestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
