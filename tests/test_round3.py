@@ -1,6 +1,7 @@
 """What larger tables have shown: times at the edge of a second, cut-off references, and steps that grew faster than their rows."""
 
 import datetime
+import difflib
 import random
 
 import pytest
@@ -55,3 +56,28 @@ def test_nearest_against_all_pairs(spark, monkeypatch, least):
     found = r.nearest(q, rows, query="i", key="i", vector="v", k=7, least=least)
     assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
     assert "NestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_meet_on_rare_characters(spark):
+    """join_fuzzy_name: suggestions are those of all pairs by difflib, and a name without a likely partner meets none."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("aabbcdé ") for _ in range(rng.randrange(9)))
+    known = [word() for _ in range(150)] + ["Customer#0001", "Customer#0010", None, "x" * 40]
+    asked = [word() for _ in range(80)] + known[:5] + ["customer#0001", "Zz 1 !!", "", None, "x" * 30, "Customer#0001"]
+    rows = lambda xs: spark.createDataFrame([(x,) for x in xs], "n string")
+    pool = {x for x in known if x is not None}
+
+    def best(x):
+        scored = [] if x is None else [(difflib.SequenceMatcher(None, k, x).ratio(), k) for k in pool]
+        return max((s for s in scored if s[0] >= 0.6), default=(0, None))[1]
+
+    got = text.fuzzy_names(rows(asked), rows(known), name="n")
+    assert sorted(map(repr, (tuple(x) for x in got.collect()))) == sorted(repr((x, best(x))) for x in asked)
+    sent = []
+    run = spark.sparkContext.broadcast
+    spark.sparkContext.broadcast = lambda v: sent.append(v) or run(v)
+    try:
+        text.fuzzy_names(rows(["Zz 1 !!"]), rows(known), name="n").collect()
+    finally:
+        del spark.sparkContext.broadcast
+    assert not sent, "no list of names goes through the driver"
