@@ -13,6 +13,7 @@ from chronofold.operators import neighbours
 from chronofold.operators import retrieval as r
 from chronofold.plans import flows
 from chronofold.sources import filings
+from chronofold.streaming import monitor
 
 
 @pytest.fixture
@@ -110,3 +111,12 @@ def test_ownership_is_read_without_paths_in_the_jvm(spark):
     told = filings.ownership_documents(df, "xml", ["cik"])
     assert [tuple(x)[:7] for x in told.collect()] == [("7", None, "A & B", True, False, None, False)] * 2
     assert "xpath" not in told._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_a_fan_out_are_not_made_distinct(spark):
+    """str_fanout_notify: copies go before the join; of an event with several keys each user is told once."""
+    events = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (2, "b"), (3, None), (4, "z")], "e long, k string")
+    users = spark.createDataFrame([("a", 10), ("a", 10), ("b", 10), ("b", 11), (None, 12)], "k string, u long")
+    got = monitor.fan_out(events, users, None, key="k", event="e", user="u")
+    assert sorted(map(tuple, got.collect())) == [(1, 10), (2, 10), (2, 11)]
+    assert "Aggregate [" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and plan.startswith("Union"), "the pairs of events with one key pass as they are"
