@@ -120,3 +120,38 @@ def test_pairs_of_a_fan_out_are_not_made_distinct(spark):
     got = monitor.fan_out(events, users, None, key="k", event="e", user="u")
     assert sorted(map(tuple, got.collect())) == [(1, 10), (2, 10), (2, 11)]
     assert "Aggregate [" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and plan.startswith("Union"), "the pairs of events with one key pass as they are"
+
+
+class _Counted:
+    """A map or value in state that counts what it is asked."""
+
+    def __init__(self):
+        self.kept, self.asked = {}, 0
+
+    def containsKey(self, k):
+        self.asked += 1
+        return k in self.kept
+
+    def getValue(self, k):
+        self.asked += 1
+        return self.kept[k]
+
+    def updateValue(self, k, v):
+        self.asked += 1
+        self.kept[k] = v
+
+    def exists(self):
+        return bool(self.kept)
+
+    def update(self, v):
+        self.kept[0] = v
+
+
+def test_expiring_state_is_asked_once_for_each_item():
+    """str_ttl: a batch with many rows of one item looks it up once and writes it once."""
+    p, timers = monitor._Expiring("item", "time", 10), []
+    p.told, p.handle = _Counted(), type("H", (), {"registerTimer": lambda self, at: timers.append(at)})()
+    rows = lambda seconds: iter([pd.DataFrame({"item": "x", "time": [pd.Timestamp(s, unit="s") for s in seconds]})])
+    told = lambda seconds: [t.second for t in pd.concat(list(p.handleInputRows(("k",), rows(seconds), None)))["told_at"]]
+    assert told(range(25)) == [0, 10, 20] and p.told.asked == 2 and timers == [30_000]
+    assert told([25, 29, 30, 41]) == [30, 41] and p.told.asked == 5 and timers == [30_000, 51_000]
