@@ -155,3 +155,25 @@ def test_expiring_state_is_asked_once_for_each_item():
     told = lambda seconds: [t.second for t in pd.concat(list(p.handleInputRows(("k",), rows(seconds), None)))["told_at"]]
     assert told(range(25)) == [0, 10, 20] and p.told.asked == 2 and timers == [30_000]
     assert told([25, 29, 30, 41]) == [30, 41] and p.told.asked == 5 and timers == [30_000, 51_000]
+
+
+def test_latent_axes_take_few_passes(spark):
+    """ret_lsa, ret_hybrid_latent: the fit goes through the rows once for a block of directions, not once for each; the axes stay those of a plain decomposition."""
+    import numpy as np
+
+    from chronofold.operators import latent
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice([f"w{(i % 9) * 20 + j:03d}" for j in range(60)]) for _ in range(40))) for i in range(400)]
+    terms = latent.with_terms(spark.createDataFrame(rows, "key long, text string"), key="key", text="text")
+    spark.sparkContext.setJobGroup("fit", "fit")
+    space = latent.fit_space(terms, 200, 24)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("fit"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs < 40
+    m = np.zeros((len(rows), 200))
+    for i, t in terms.collect():
+        for x in set(t) & set(space.places):
+            m[i, space.places[x]] = (1 + np.log(t.count(x))) * space.idf[space.places[x]]
+    want = np.linalg.svd(m / np.linalg.norm(m, axis=1, keepdims=True))[2][:24].T
+    assert np.allclose(space.axes @ space.axes.T, want @ want.T, atol=1e-6)
