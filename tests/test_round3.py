@@ -177,3 +177,21 @@ def test_latent_axes_take_few_passes(spark):
             m[i, space.places[x]] = (1 + np.log(t.count(x))) * space.idf[space.places[x]]
     want = np.linalg.svd(m / np.linalg.norm(m, axis=1, keepdims=True))[2][:24].T
     assert np.allclose(space.axes @ space.axes.T, want @ want.T, atol=1e-6)
+
+
+def test_scores_are_not_shuffled_pair_by_pair(spark, monkeypatch):
+    """ret_hybrid_rrf, ret_eval, feat_rag_sentiment: a task gives the best rows of each query; pairs of query and row are not shuffled. Ties go by key, in blocks of queries too."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice([f"w{j}" for j in range(12)]) for _ in range(1 + i % 9))) for i in range(200)] + [(500 + i, "w1 w2 w3") for i in range(50)] + [(600, None), (601, "")]
+    docs = spark.createDataFrame(rows, "key long, text string").repartition(5)
+    asked = spark.createDataFrame([(i, [f"w{i}", f"w{(i + 1) % 12}", "none"]) for i in range(12)] + [(50, []), (51, ["none"])], "query long, terms array<string>")
+    index = r.question_index(docs, asked, key="key", text="text")
+    told = lambda df: sorted((x.query, x["rank"], x.key, round(x.score, 9)) for x in df.collect())
+    want = told(r.bm25(asked, tuple(index), k=7))
+    got = r.bm25(asked, index, k=7)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 1
+    assert told(got) == want and len(want) == 12 * 7
+    odd = lambda s: s.where("key % 2 = 1")
+    assert told(r.bm25(asked, index, k=7, keep=odd)) == told(r.bm25(asked, tuple(index), k=7, keep=odd))
+    monkeypatch.setattr(r, "CELLS", 30)
+    assert told(r.bm25(asked, index, k=7)) == want
