@@ -195,3 +195,15 @@ def test_scores_are_not_shuffled_pair_by_pair(spark, monkeypatch):
     assert told(r.bm25(asked, index, k=7, keep=odd)) == told(r.bm25(asked, tuple(index), k=7, keep=odd))
     monkeypatch.setattr(r, "CELLS", 30)
     assert told(r.bm25(asked, index, k=7)) == want
+
+
+def test_quotes_meet_on_a_word(spark):
+    """ret_eval: texts and items meet on a word, not each text with each item; what is found is what contains finds."""
+    items = [(1, "alpha, beta gamma"), (2, "pha beta gam"), (3, "one two"), (4, "-"), (5, None), (6, ""), (7, "x É beta. y z")]
+    texts = ["alpha, beta gamma", "ALPHA, BETA GAMMA", "so alpha, beta gammas", "alphabeta gamma", "alpha beta gamma", "none two", "a-b", "", None, "x É beta. y zz", "beta"]
+    rows, asked = spark.createDataFrame(list(enumerate(texts)), "key long, text string"), spark.createDataFrame(items, "query long, t string")
+    got = r.quoting(rows, asked, key="key", text="text", query="query", said="t")
+    want = sorted((i, k) for i, t in items for k, x in enumerate(texts) if t is not None and x is not None and t in x)
+    assert sorted((x.query, x.key) for x in got.collect()) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
