@@ -207,3 +207,12 @@ def test_quotes_meet_on_a_word(spark):
     assert sorted((x.query, x.key) for x in got.collect()) == want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def test_petitions_come_in_pieces(spark):
+    """fn_petition_extract: texts stay in Arrow batches, of which few at a time are made strings; no whole batch becomes a series."""
+    df = spark.createDataFrame([(i, "On March 1, 2020, Acme Inc. filed a voluntary petition under chapter 11. " * (i % 3), datetime.date(2020, 3, 15)) for i in range(500)] + [(500, None, None)], "i long, t string, filed date").withColumn("names", F.array(F.lit("Acme, Incorporated")))
+    got = text.petitions(df, text="t", filed="filed", names="names")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "EvalPython" not in plan
+    assert {x.i for x in got.collect()} == {i for i in range(500) if i % 3}
