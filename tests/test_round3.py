@@ -216,3 +216,15 @@ def test_petitions_come_in_pieces(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "EvalPython" not in plan
     assert {x.i for x in got.collect()} == {i for i in range(500) if i % 3}
+
+
+def test_phrases_by_matrices_and_by_joins(spark, monkeypatch):
+    """ret_hybrid_rrf: the two ways to the list over two-word terms agree."""
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choice(["red", "green", "blue", "old"]) for _ in range(n))
+    docs = spark.createDataFrame([(i, say(1 + i % 7)) for i in range(60)] + [(60, None)], "key long, text string")
+    asked = spark.createDataFrame([(i, say(4)) for i in range(5)] + [(9, "red")], "query long, text string")
+    told = lambda: sorted((x.query, x["rank"], x.key, round(x.score, 9)) for x in r.phrase_list(asked, docs, query="query", key="key", text="text", k=4).collect())
+    got = told()
+    monkeypatch.setattr(r, "PHRASES", 1)
+    assert got == told() and got
