@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronofold.functions import text
-from chronofold.operators import neighbours
+from chronofold.operators import fanout, neighbours
 from chronofold.operators import retrieval as r
-from chronofold.plans import flows
+from chronofold.plans import flows, relational
 from chronofold.sources import filings
 from chronofold.streaming import monitor
 
@@ -228,3 +228,22 @@ def test_phrases_by_matrices_and_by_joins(spark, monkeypatch):
     got = told()
     monkeypatch.setattr(r, "PHRASES", 1)
     assert got == told() and got
+
+
+def test_fanout_of_one_nation_is_spread(spark, tmp_path, monkeypatch):
+    """join_left_fanout: no task holds a nation, lists of suppliers are cut, and nulls and unmatched rows stay."""
+    monkeypatch.setattr(fanout, "LISTED", 8)
+    spark.createDataFrame([*[(i, 1) for i in range(40)], (40, 2), (41, None)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(100 + i, i, "P") for i in range(20)] + [(200, 0, "P"), (201, 1, "F")], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([*[(i, 1) for i in range(30)], (None, 1), (99, None), (98, 3)], "s_suppkey long, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = relational.join_left_fanout(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    orders = [(i, 100 + i if i < 20 else None) for i in range(40)] + [(0, 200)]
+    want = [(c, o, s) for c, o in orders for s in [*range(30), None]] + [(40, None, None), (41, None, None)]
+    assert sorted((tuple(r)[:3] for r in rows), key=repr) == sorted(want, key=repr)
+    tasks = [r.task for r in rows]
+    assert max(tasks.count(t) for t in set(tasks)) < len(rows) / 2
