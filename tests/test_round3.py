@@ -247,3 +247,25 @@ def test_fanout_of_one_nation_is_spread(spark, tmp_path, monkeypatch):
     assert sorted((tuple(r)[:3] for r in rows), key=repr) == sorted(want, key=repr)
     tasks = [r.task for r in rows]
     assert max(tasks.count(t) for t in set(tasks)) < len(rows) / 2
+
+
+def test_baseline_state_is_sparks_own(spark, tmp_path):
+    """str_baseline: no item or key costs a call into Python; a batch adds its own new items and keys to the state, and copies and groups that are null do no harm."""
+    schema, told = "k string, i long, g string, d date", []
+
+    def poll(rows):
+        spark.createDataFrame([(k, i, g, datetime.date(2024, 1, d)) for k, i, g, d in rows], schema).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        run = monitor.write_once(monitor.baseline_then_new(stream, key="k", item="i", group="g", order="d"), lambda df, _: told.extend(tuple(r) for r in df.collect()), f"{tmp_path}/state")
+        run.awaitTermination()
+        state = run.recentProgress[0]["stateOperators"]
+        out, told[:] = sorted(told), []
+        return out, [(s["operatorName"], s["numRowsUpdated"]) for s in state]
+
+    many = [(f"m{n}", n, "a", 1) for n in range(300)]
+    out, state = poll([*many, ("x", 1, "a", 1), ("x", 2, "a", 5), ("x", 2, "b", 9), ("x", 3, "b", 2), ("x", 4, None, 7), ("y", 9, "a", 3), ("y", 8, "a", 3)])
+    assert out == sorted([*[(k, i, g, "first") for k, i, g, _ in many], ("x", 2, "a", "first"), ("x", 3, "b", "first"), ("y", 9, "a", "first")])
+    assert state == [("dedupe", 2 * 300 + 6 + 2)]
+    out, state = poll([("x", 1, "a", 30), ("x", 7, "a", 1), ("x", 7, "a", 2), ("x", 6, None, 2), ("z", 1, "b", 4)])
+    assert out == [("x", 6, None, "new"), ("x", 7, "a", "new"), ("z", 1, "b", "first")]
+    assert state == [("dedupe", 4)]
