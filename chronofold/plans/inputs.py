@@ -8,6 +8,7 @@ from chronofold.plans.base import ORDERS, day, fresh_folder, orders, register, t
 from chronofold.sources import filings, generators, origin, readers, sinks
 from chronofold.sources.members import ZipLines
 from chronofold.sources.origin import PagedSearch
+from chronofold.staging import written
 
 QUERIES: list = []
 query = register(QUERIES)
@@ -173,7 +174,7 @@ def scan_tsv_zip(spark, sf_dir):
     )
     rows = o.select(F.concat(F.lit("z"), F.floor(F.col("accession") / 5000).cast("string")).alias("path"), sub.alias("sub"), num.alias("num"))
     files = _archives(rows, {"sub.txt": ("sub", "adsh\tcik\tname\tfiled\tperiod\tfy\tfp\tform"), "num.txt": ("num", "adsh\ttag\tversion\tvalue\tddate\tqtrs\tuom\tcoreg\tsegments")})
-    return filings.archive_facts(files, tags=["Assets", "Cash"])
+    return filings.archive_facts(written(files, "archives"), tags=["Assets", "Cash"])  # made once, for both members
 
 
 @query(f"WITH {ORDERS} SELECT concat('Caf', chr(233), ' ', cik) AS \"NameCorp\", CAST(accession AS VARCHAR) AS \"PrimaryKey\", filed AS \"DateFiled\", concat('set_1-12-2023_', accession // 5000, '.csv') AS member FROM o")

@@ -1,8 +1,11 @@
 """What larger tables have shown: times at the edge of a second, cut-off references, and steps that grew faster than their rows."""
 
+import csv
 import datetime
 import difflib
+import io
 import random
+import zipfile
 
 import pandas as pd
 import pytest
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 from chronofold.functions import text
 from chronofold.operators import fanout, neighbours
 from chronofold.operators import retrieval as r
-from chronofold.plans import flows, relational
+from chronofold.plans import flows, inputs, relational
 from chronofold.sources import filings
 from chronofold.streaming import monitor
 
@@ -269,3 +272,38 @@ def test_baseline_state_is_sparks_own(spark, tmp_path):
     out, state = poll([("x", 1, "a", 30), ("x", 7, "a", 1), ("x", 7, "a", 2), ("x", 6, None, 2), ("z", 1, "b", 4)])
     assert out == [("x", 6, None, "new"), ("x", 7, "a", "new"), ("z", 1, "b", "first")]
     assert state == [("dedupe", 4)]
+
+
+def test_archives_are_made_once(spark, monkeypatch):
+    """scan_tsv_zip: both members are read from archives that were made once."""
+    made, packed = [], inputs._archives
+    count = spark.sparkContext.accumulator(0)
+
+    def counted(rows, members):
+        def one(pdf):
+            count.add(1)
+            return pdf
+
+        files = packed(rows, members)
+        made.append(files.count())
+        return files.mapInPandas(lambda batches: (one(b) for b in batches for b in (b.iloc[i : i + 1] for i in range(len(b)))), files.schema)
+
+    monkeypatch.setattr(inputs, "_archives", counted)
+    inputs.scan_tsv_zip(spark, "/root/testdata/sf0.001").collect()
+    assert count.value == made[0] > 0
+
+
+def test_members_are_read_as_by_names(spark):
+    """archive_table: short and blank lines, equal names, quotes and columns that a header lacks, as a reader by names gives them."""
+    text_ = 'a\tb\tb\tc\n1\t2\t3\t4\n5\n\n"x\ty"\t6" z\t\t8\t9\n7\tk\tl\n'
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("t.txt", text_)
+        z.writestr("none.txt", "")
+    files = spark.createDataFrame([("p", bytearray(data.getvalue()))], "path string, content binary")
+    columns = ["b", "a", "nosuch", "c"]
+    lines = csv.DictReader(io.StringIO(text_, newline=""), delimiter="\t")
+    want = [(*[row.get(c) or None for c in columns], ["a", "b", "b", "c"]) for row in lines]
+    assert len(want) == 4 and [tuple(r) for r in filings.archive_table(files, "t.txt", columns).collect()] == want
+    assert [tuple(r) for r in filings.archive_table(files, "t.txt", columns, only={"a": ["5", "7"]}).collect()] == [w for w in want if w[1] in ("5", "7")]
+    assert filings.archive_table(files, "none.txt", columns).isEmpty()
