@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import heavy_keys, join_small, mix64, row_key, skew_join, slices, small, stage_table, text_bytes, word_bounds, word_hashes
+from chronofold.llm.common import heavy_keys, join_small, mix64, passing, row_key, skew_join, slices, small, stage_table, text_bytes, word_bounds, word_hashes
 
 REGISTERS, BAND = 128, 4
 MANTISSA = 10
@@ -451,16 +451,19 @@ def deduplicate(docs: DataFrame, *, words: int = 5, percent: int = 80, id_column
     in the group; of rows that are equal in id and text any one.  Columns are
     unchanged, whatever their names.
     """
-    sketches, classes = classes_of(docs, words, percent, id_column, text_column)
-    first = classes.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.k").alias("k")).distinct()
-    copies = stage_table(sketches.where("n_shingles > 0").groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "copies")
-    first = stage_table(first.join(copies, "k", "left"), "first")
+    with passing() as keep:  # what stays is told by one table; those that led to it go
+        sketches, classes = classes_of(docs, words, percent, id_column, text_column)
+        first = classes.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.k").alias("k")).distinct()
+        copies = stage_table(sketches.where("n_shingles > 0").groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "copies")
+        first = stage_table(first.join(copies, "k", "left"), "first")
+        copied = bool(copies.limit(1).count())
+        keep(first)
     names = [f"c{i}" for i in range(len(docs.columns))]
     of = dict(zip(docs.columns, names, strict=True))
     rows = docs.toDF(*names).withColumn("k", row_key(of[id_column], of[text_column]))
     worded = F.coalesce(F.col(of[text_column]).rlike(WORD), F.lit(False))
     kept = rows.where(worded).join(first.where("n IS NULL"), "k", "left_semi").select(*names)
-    if copies.limit(1).count():
+    if copied:
         again = rows.where(worded).join(first.where("n IS NOT NULL"), "k", "left_semi")
         kept = kept.unionByName(again.dropDuplicates(["k", of[id_column], of[text_column]]).select(*names))
     return kept.unionByName(rows.where(~worded).select(*names)).toDF(*docs.columns)

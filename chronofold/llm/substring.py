@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import mix64, range_hash, row_key, slices
+from chronofold.llm.common import drop_table, mix64, range_hash, row_key, slices
 from chronofold.llm.repeats import SLICE, Piece, Windows, find, keyed, pieces, removed, search_shards, spans_of, with_ranges
 
 #: Bytes of word hashes after which seeds are extended together.
@@ -117,7 +117,9 @@ def remove_repeats(docs: DataFrame, *, span: int = 50, gram: int = 8, id_column:
     what = Windows(span, min(gram, span), True)
     rows = keyed(docs, id_column, text_column)
     found = find(rows, what)
-    hits = search_shards(pieces(rows, found, what), what, lambda held: extend(held, what), ENOUGH)
+    made = pieces(rows, found, what)
+    hits = search_shards(made, what, lambda held: extend(held, what), ENOUGH)
+    drop_table(made)
     if keep_columns:
         kept = [f"c{i}" for i in range(len(docs.columns))]
         of = dict(zip(docs.columns, kept, strict=True))
@@ -126,6 +128,7 @@ def remove_repeats(docs: DataFrame, *, span: int = 50, gram: int = 8, id_column:
     else:
         kept, schema, at = ["doc_id", "text"], OUT if with_text else ", ".join(OUT.split(", ")[:4]), 1
     rows = with_ranges(rows, found, hits).select(*kept, "items")
+    drop_table(hits)
     names = schema.names if keep_columns else [x.split()[0] for x in schema.split(", ")]
 
     def cut(batch: pa.RecordBatch, touched: bool) -> pa.RecordBatch:

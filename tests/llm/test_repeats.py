@@ -64,3 +64,20 @@ def test_pieces_of_several_shards_tell_their_windows():
     held = [Piece(1, k, 1, 2, 2, np.array(w, np.uint64).tobytes()) for k, w in enumerate(([1, 9, 9, 2, 3, 4, 5, 6], [1, 9, 9, 2, 3, 4, 5, 7]))]
     (_, a), (_, b) = substring.extend(held, WHAT)
     assert (a == b).tolist() == [True, True, False] and len(set(a.tolist())) == 3
+
+
+def test_spent_tables_go(spark):
+    """The pipeline's stages leave no more behind than the tables that their result is read from."""
+    from chronofold.llm import common, minhash, substring
+
+    text = " ".join(f"w{i}" for i in range(90))
+    docs = spark.createDataFrame([(i, f"{'ab'[i % 2]} {text} {'cd'[i % 2]}") for i in range(6)] + [(9, "alone " * 3), (10, None)], "doc_id long, text string")
+    before = set(common._written)
+    left = minhash.deduplicate(docs)
+    assert sorted(p.rpartition("/")[2].partition("-")[0] for p in set(common._written) - before) == ["first"]
+    assert {r.doc_id for r in left.collect()} >= {0, 9, 10}
+    before = set(common._written)
+    cut = substring.remove_repeats(docs, keep_columns=True)
+    names = [p.rpartition("/")[2].rpartition("-")[0] for p in set(common._written) - before]
+    assert not {"anchors", "often", "pieces", "rivals", "hits"} & set(names)
+    assert {r.doc_id: r.text for r in cut.collect()}[0] == ""
