@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from chronofold.llm import minhash, repeats, simhash, substring, suffix
+from chronofold.llm import minhash, queries, repeats, simhash, substring, suffix
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -282,3 +282,15 @@ def test_bytes_at_the_full_span(spark, frame):
     rows = [text(600), text(30) + passage + text(500), passage + text(50), text(10) + passage[:380], "ab" * 500, "ab" * 260, "z" * 401, None, ""]
     rows += [rows[0], rows[0][:450], text(3000) + rows[1] + text(800)]
     check_bytes(frame, list(enumerate(rows)), 400, 48)
+
+
+def test_passages_are_measured_in_bytes(frame, tmp_path, spark):
+    """A passage of sixty words goes from 400 bytes on, at 399 it stays, and n_bytes is the whole text's size either way."""
+    short, full = " ".join(["abcde"] * 40 + ["fghijkl"] * 20), " ".join(["mnopq"] * 40 + ["rstuvwx"] * 19 + ["rstuvwxy"])
+    assert (len(short), len(full)) == (399, 400) and len(short.split()) == len(full.split()) == 60
+    rows = [(0, "1" + short + "2"), (1, "3" + short + "4"), (2, "5" + full + "6"), (3, "7" + full + "8")]
+    frame(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.text) for r in queries.op8_suffix_arrays(spark, str(tmp_path)).collect()}
+    assert got == {0: (401, 0, rows[0][1]), 1: (401, 0, rows[1][1]), 2: (402, 400, "56"), 3: (402, 400, "78")}
+    below = {r.doc_id: r.n_removed for r in suffix.remove_repeats(frame(rows), span=399).collect()}
+    assert below == {0: 399, 1: 399, 2: 400, 3: 400}
