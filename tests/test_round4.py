@@ -6,6 +6,17 @@ import random
 import numpy as np
 
 from chronofold.functions import likeness, text
+from chronofold.plans import texts
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_asked_names_need_the_ratio(spark):
+    """join_fuzzy_name: some of the names asked for are not known, and have a suggestion by likeness alone."""
+    rows = texts.join_fuzzy_name(spark, SF).collect()
+    assert {(r.name, r.suggestion) for r in rows if r.suggestion} == {("customer#000000000", "Customer#000000000"), ("Customer no. 000000100", "Customer#000000100")}
+    assert sum(r.suggestion is None for r in rows) == 2
+
 
 def test_names_meet_in_blocks(spark, monkeypatch):
     """join_fuzzy_name: the closest of all names that are much alike, over many small blocks; none of the registry is broadcast."""
