@@ -5,8 +5,10 @@ import difflib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from chronofold.functions import likeness, text
+from chronofold.operators import latent
 from chronofold.plans import texts
 from chronofold.streaming import monitor
 
@@ -92,3 +94,15 @@ def test_keys_are_told_in_groups(spark, tmp_path, monkeypatch):
     assert poll([("a", "x", 10), ("a", "x", 50), ("a", "y", 60), ("b", "x", 20), ("a", "x", 115), (None, "x", 30), ("c", None, 30)]) == sorted([("a", "x", 10), ("a", "x", 115), ("a", "y", 60), ("b", "x", 20), (None, "x", 30), ("c", None, 30)], key=repr)
     assert poll([("a", "x", 214), ("a", "y", 160), ("b", "z", 150), ("b", "x", 119), (None, "x", 129), ("c", None, 129)]) == [("a", "y", 160), ("b", "z", 150)]
     assert poll([("a", "x", 900), ("b", "x", 901), ("a", "x", 999), ("a", "y", 901)]) == [("a", "x", 900), ("a", "y", 901), ("b", "x", 901)]
+
+
+def test_terms_are_looked_at_few_rows_at_a_time(monkeypatch):
+    """ret_lsa: the weights of a large batch come in parts, which together are those of the whole."""
+    lists = pa.array([["a", "b", "a"], [], None, ["c"], ["b", None, "b"]] * 3, pa.list_(pa.string()))
+    places, idf = {"a": 0, "b": 1}, np.array([1.0, 2.0])
+    monkeypatch.setattr(latent, "ROWS", 4)
+    parts = list(latent.few_at_a_time([pa.RecordBatch.from_arrays([lists], ["terms"])]))
+    assert [p.num_rows for p in parts] == [4, 4, 4, 3]
+    row, at, v = (np.concatenate(x) for x in zip(*[(r + 4 * n, a, w) for n, p in enumerate(parts) for r, a, w in [latent._weights(p.column(0), places, idf)]], strict=True))
+    rows = lambda r, a, w: sorted(zip(r.tolist(), a.tolist(), w.tolist(), strict=True))
+    assert rows(row, at, v) == rows(*latent._weights(lists, places, idf))
